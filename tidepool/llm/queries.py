@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, ngram_join, packing, token_counts, warc
+from . import bpe, media, ngram_join, packing, quality_rules, token_counts, warc
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return warc.read_archives(warc.write_archives(pages), pages.schema["page_id"].dataType.simpleString())
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op9_warc": op9_warc,
     "op10_ngram_join": op10_ngram_join,
 }
