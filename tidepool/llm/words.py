@@ -42,25 +42,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(body: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts body[offsets[i]:offsets[i+1]]: each word's start, end and hash in order, and the words before each text."""
-    n, docs = len(body), len(offsets) - 1
-    if n == 0:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64)
-    inside = ~_SPACE[body]
+def running(body: np.ndarray, lower: bool) -> np.ndarray:
+    """Sums of the polynomial up to each byte: span() gets the hash of any run of bytes from them."""
+    run = np.empty(len(body) + 1, np.uint64)
+    run[0] = 0
+    np.cumsum((_BYTE_LOWER if lower else _BYTE)[body] * _power(_P, len(body)), out=run[1:])
+    return run
+
+
+def span(run: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((run[ends] - run[starts]) * _power(_PINV, len(run))[starts] + (ends - starts).astype(np.uint64))
+
+
+def bounds(body: np.ndarray, offsets: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs, within a text, of bytes that `outside` doesn't have."""
+    n = len(body)
+    inside = ~outside[body]
     first = np.zeros(n + 1, bool)
     first[offsets[:-1]] = True
     start = inside.copy()
     start[1:] &= ~inside[:-1] | first[1:n]
     end = inside.copy()
     end[:-1] &= ~inside[1:] | first[1:n]
-    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    run = np.empty(n + 1, np.uint64)
-    run[0] = 0
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[body] * _power(_P, n), out=run[1:])
-    hashes = mix((run[ends] - run[starts]) * _power(_PINV, n)[starts] + (ends - starts).astype(np.uint64))
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def words(body: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts body[offsets[i]:offsets[i+1]]: each word's start, end and hash in order, and the words before each text."""
+    if len(body) == 0:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    starts, ends = bounds(body, offsets, _SPACE)
+    return starts, ends, span(running(body, lower), starts, ends), np.searchsorted(starts, offsets)
 
 
 def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
