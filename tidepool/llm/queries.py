@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity, warc
+from . import bpe, language_model, media, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity, warc
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -44,6 +44,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return warc.read_archives(warc.write_archives(pages), pages.schema["page_id"].dataType.simpleString())
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
+    "op8_language_model": op8_language_model,
     "op9_warc": op9_warc,
     "op10_ngram_join": op10_ngram_join,
 }
