@@ -1,16 +1,19 @@
-"""A hierarchical Pitman-Yor language model: restaurants of words over restaurants of byte contexts.
-
-Tokens are lower-cased words and one end for each text. The word restaurant's customers are all training tokens; each of
-its tables is a customer, spelled out, of the byte restaurants: contexts of two bytes, whose parents are contexts of
-one byte, whose parent is the empty context, whose parent is uniform. So restaurants share parents, and a word never
-seen gets the probability of its spelling. Seating is sampled by Gibbs sweeps: all customers of every dish are seated
-again by the Chinese-restaurant rule given the rest, first bytes, then words. A text's score is the logarithm of the
+"""A hierarchical Pitman-Yor language model of word pairs over words over a uniform parent.
+
+Tokens are lower-cased words and one end for each text; a token's context is the token before it (an end, for the
+first). Every context is a restaurant whose customers are the training tokens that follow it; all share one parent, the
+restaurant of words without context, whose customers are the context restaurants' tables, and whose parent is uniform over
+the vocabulary and one unknown. Seating is sampled by Gibbs sweeps: all customers of a dish are seated again by the
+Chinese-restaurant rule given the rest. Each part of the contexts sweeps on its own against the word frequencies that
+it has seen itself; the shared parent is seated when the parts' tables meet. A text's score is the logarithm of the
 predictive probability averaged over the sampled seatings.
 
-Words are counted over the whole corpus: chunks of documents send their distinct words with counts to parts of the
-vocabulary, parts answer with counts and probabilities, and chunks score their texts. A word meets one row for each
-chunk, not for each occurrence, so frequent words are no skew. Only byte counts come to the driver: at most 2**24 cells,
-whatever the corpus (a few hundred thousand in practice), and as much is broadcast.
+Chunks of documents send their distinct words and pairs, as sorted hashes with counts, to parts; parts answer in the
+same order; chunks score their texts. A word or pair meets a row for each chunk, not for each occurrence. Contexts with
+many customers are dealt over all parts by the following word. Nothing of the corpus is on the driver but two totals and
+at most four contexts for each part. Chunks are a function of documents' contents, so lost tasks can run again.
+
+Words are 64-bit hashes; following words are told apart by 48 bits within a context.
 
 Cases: a null or empty text is its end alone; rows repeat as given (each counts); without training texts counts are
 zero and scores come from the uniform parent; an empty table gives none; other columns are not read.
@@ -18,50 +21,29 @@ zero and scores come from the uniform parent; an empty table gives none; other c
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, fold, text_bytes, texts, written
-from .words import _LOWER, mix, running, span, words
+from .words import chain, mix, words
 
 MODULUS, HELD_OUT = 5, 1
-#: Bytes of text in a chunk, on average; and chunks to a part of the vocabulary.
+#: Bytes of text in a chunk, on average; and how many parts there are at most.
 CHUNK_BYTES = 12_000_000
 MOST_PARTS = 1 << 15
-#: Discounts and strengths: of the word restaurant, and of byte restaurants.
-WORD_D, WORD_S = 0.6, 50.0
-BYTE_D, BYTE_S = 0.4, 1.0
-BURN_IN, SAMPLES = 3, 2
-END = 10  # the byte that spells the end of a text
-GAP = 32  # the byte that ends every spelling
-
-
-def _spelled(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of texts, as (first start, end, hash ascending), and each token's number; tokens lie text by text without ends."""
-    starts, ends, hashes, at = words(body, offsets, lower=True)
-    kinds, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    return kinds, np.stack([starts[first], ends[first]]) if len(first) else np.zeros((2, 0), np.int64), inverse, at
-
-
-def _gather(body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """body[begin:end] of each, one after another, each followed by GAP."""
-    size = end - begin + 1
-    to = np.cumsum(size)
-    which = np.repeat(begin - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)
-    out = np.concatenate([body, np.zeros(1, np.uint8)])[np.minimum(which, len(body))]
-    out[to - 1] = GAP
-    return out
-
-
-def _end_word() -> np.uint64:
-    raw = np.array([END], np.uint8)
-    return span(running(raw, lower=True), np.array([0]), np.array([1]))[0]
+#: Discounts and strengths: of context restaurants, and of the restaurant of words.
+PAIR_D, PAIR_S = 0.8, 1.0
+WORD_D, WORD_S = 0.65, 10.0
+BURN_IN, SAMPLES = 2, 2
+END = np.uint64(0x51ED270B9E3779B1)
+LOW = np.uint64((1 << 48) - 1)
+BLOBS = "kind int, dest int, src int, a binary, b binary, c binary, d binary, e binary"
 
 
 def seat(c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -69,243 +51,296 @@ def seat(c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) ->
 
     The first 32 customers are seated one by one; after that in blocks that double, each with its expected rate."""
     t = (c > 0).astype(np.float64)
-    i = 1
-    while i < int(c.max(initial=0)):
-        on = np.flatnonzero(c > i)
+    i, on = 1, np.flatnonzero(c > 1)
+    while len(on):
         block = 1 if i < 32 else i
         m = np.minimum(c[on] - i, block)
         rate = new[on] / (i + (m - 1) / 2 - d * t[on] + new[on])
         t[on] += rng.random(len(on)) < rate if block == 1 else np.minimum(rng.poisson(m * rate), m)
         i += block
+        on = on[c[on] > i]
     return t
 
 
-@dataclass(frozen=True)
-class Level:
-    """Restaurants of one context length: dishes are (context << 8 | byte), ascending."""
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(hashes & LOW) % np.uint64(parts)).astype(np.int32)
 
-    keys: np.ndarray
-    seen: np.ndarray  # discounted share of a dish at its own tables
-    back: np.ndarray  # for each context, the weight of the parent
 
+def _pack(values: np.ndarray) -> tuple[bytes, bytes]:
+    """48-bit values as 4 and 2 bytes each."""
+    return (values & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (values >> np.uint64(32)).astype("<u2").tobytes()
 
-@dataclass(frozen=True)
-class Bytes:
-    levels: tuple[Level, ...]  # contexts of two, one and no bytes
-
-    def symbol(self, context: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        p = np.full(len(byte), 1 / 256)
-        for k, level in reversed(list(enumerate(self.levels))):
-            own = context & np.int64((1 << 8 * (2 - k)) - 1)
-            key = own << 8 | byte
-            at = np.minimum(np.searchsorted(level.keys, key), max(len(level.keys) - 1, 0))
-            hit = level.keys[at] == key if len(level.keys) else np.zeros(len(key), bool)
-            p = level.back[own] * p
-            p[hit] += level.seen[at[hit]]
-        return p
-
-    def words(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Probabilities of spellings: raw is words each followed by GAP, ends the places after the gaps."""
-        if len(raw) == 0:
-            return np.zeros(len(ends))
-        logs = np.log(self.symbol(*contexts(raw)))
-        total = np.concatenate([[0.0], np.cumsum(logs)])
-        return np.exp(total[ends] - total[np.concatenate([[0], ends[:-1]])])
-
-
-def contexts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of spellings, the two bytes before it within its word (GAP before the first), and itself."""
-    x = raw.astype(np.int64)
-    one = np.concatenate([[GAP], x[:-1]])
-    two = np.where(one == GAP, GAP, np.concatenate([[GAP, GAP], x[:-2]])[: len(x)])
-    return two << 8 | one, x
-
-
-def sample_bytes(keys: np.ndarray, counts: np.ndarray, rng: np.random.Generator, sweeps: int) -> Bytes:
-    """Seatings of byte restaurants for customers counts of (two bytes << 8 | byte), after Gibbs sweeps from one table a dish."""
-    cells = [keys, *(np.unique(keys & np.int64((1 << 8 * (2 - k)) - 1 << 8 | 255)) for k in (1, 2))] if len(keys) else [keys] * 3
-    up = [np.searchsorted(cells[k + 1], cells[k] & np.int64((1 << 8 * (1 - k)) - 1 << 8 | 255)) for k in (0, 1)]
-    tables: list[np.ndarray] = []
-    customers = [counts.astype(np.float64)]
-    for k in range(3):
-        tables.append(np.minimum(customers[k], 1.0))
-        if k < 2:
-            customers.append(np.bincount(up[k], tables[k], len(cells[k + 1])))
-    levels: list[Level] = []
-    for sweep in range(sweeps + 1):
-        levels, p, below = [], np.full(len(cells[2]), 1 / 256), None
-        parents: list[np.ndarray] = [np.zeros(0)] * 3
-        for k in (2, 1, 0):
-            size = 1 << 8 * (2 - k)
-            context = cells[k] >> 8
-            c_all, t_all = np.bincount(context, customers[k], size), np.bincount(context, tables[k], size)
-            seen = np.maximum(customers[k] - BYTE_D * tables[k], 0) / (BYTE_S + c_all[context])
-            back = (BYTE_S + BYTE_D * t_all) / (BYTE_S + c_all)
-            parents[k] = p
-            levels.insert(0, Level(cells[k], seen, back))
-            below = seen + back[context] * p
-            if k:
-                p = below[up[k - 1]]
-        if sweep == sweeps:
-            break
-        for k in range(3):
-            context = cells[k] >> 8
-            t_all = np.bincount(context, tables[k], 1 << 8 * (2 - k))
-            tables[k] = seat(customers[k].astype(np.int64), (BYTE_S + BYTE_D * t_all[context]) * parents[k], BYTE_D, rng)
-            if k < 2:
-                customers[k + 1] = np.bincount(up[k], tables[k], len(cells[k + 1]))
-    return Bytes(tuple(levels))
 
+def _unpack(low: pa.Scalar, high: pa.Scalar) -> np.ndarray:
+    return _of(low, "<u4").astype(np.uint64) | _of(high, "<u2").astype(np.uint64) << np.uint64(32)
 
-@dataclass(frozen=True)
-class Sample:
-    spelling: Bytes
-    tables: float  # of the word restaurant
-    before: float  # tables of the sweep before, given which these were seated
-    seed: int
 
+def _of(blob: pa.Scalar, kind: str) -> np.ndarray:
+    return np.frombuffer(blob.as_buffer(), kind)
 
-def _tables(sample_seed: int, hashes: np.ndarray, c: np.ndarray, tables: float, p: np.ndarray) -> np.ndarray:
-    """Tables of words in a sweep: the same wherever they are computed, since the draws depend on the part's words alone."""
-    return seat(c, (WORD_S + WORD_D * tables) * p, WORD_D, np.random.default_rng([sample_seed, zlib.crc32(hashes.tobytes())]))
 
+def _counts(x: np.ndarray) -> bytes:
+    return np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes()
 
-def _spell(blob: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(blob.as_buffer(), np.uint8)
-    return raw, np.flatnonzero(raw == GAP) + 1
 
+def _table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * 8
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 5
+    return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["kind", "dest", "src", "a", "b", "c", "d", "e"])
 
-def _hash(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    return span(running(raw, lower=True), begin, ends - 1) if len(ends) else np.zeros(0, np.uint64)
 
+class Chunk:
+    """The tokens of a chunk's documents, its distinct words and pairs, both in the order in which parts see them."""
 
-def _batch_texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    body, offsets = text_bytes(table.column("text").combine_chunks())
-    return _LOWER[body], offsets
+    def __init__(self, docs: pa.Table, parts: int):
+        body, offsets = text_bytes(docs.column("text").combine_chunks())
+        _, _, hashes, at = words(body, offsets, lower=True)
+        self.docs, self.train = docs.num_rows, docs.column("train").to_numpy()
+        self.count = np.diff(at) + 1
+        self.owner = np.repeat(np.arange(self.docs), self.count)
+        tokens = np.full(len(self.owner), END, np.uint64)
+        last = np.cumsum(self.count) - 1
+        inner = np.ones(len(tokens), bool)
+        inner[last] = False
+        tokens[inner] = hashes
+        self.last = last
+        self.kinds, number = np.unique(tokens, return_inverse=True)
+        part = part_of(self.kinds, parts)
+        order = np.argsort(part, kind="stable")
+        self.kinds, self.part = self.kinds[order], part[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.word = place[number]
 
+    def words(self) -> Iterator[tuple[int, slice]]:
+        return _runs(self.part)
 
-def _requests(parts: int):
-    """Of a chunk of documents: its distinct words and training counts, for each part of the vocabulary."""
+    def pairs(self, hot: np.ndarray, parts: int) -> None:
+        n = np.int64(len(self.kinds))
+        before = np.empty_like(self.word)
+        before[1:] = self.word[:-1]
+        before[np.concatenate([[0], self.last[:-1] + 1])] = self.word[self.last[0]]
+        both, self.pair = np.unique(before * n + self.word, return_inverse=True)
+        self.u, self.w = both // n, both % n
+        u, w = self.kinds[self.u], self.kinds[self.w] & LOW
+        part = self.part[self.u].copy()
+        salted = np.isin(u, hot)
+        part[salted] = part_of(chain(u[salted], w[salted]), parts)
+        order = np.lexsort((w, u, part))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair, self.u, self.w, self.pair_part = place[self.pair], self.u[order], self.w[order], part[order]
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        body, offsets = _batch_texts(table)
-        kinds, where, inverse, at = _spelled(body, offsets)
-        train = np.repeat(table.column("train").to_numpy(), np.diff(at))
-        counts = np.bincount(inverse, train, len(kinds)).astype("<u4")
-        extra = np.array([int(table.column("train").to_numpy().sum())], "<u4")
-        body = np.concatenate([body, np.array([END], np.uint8)])
-        kinds, counts = np.append(kinds, _end_word()), np.append(counts, extra)
-        where = np.concatenate([where, np.array([[len(body) - 1], [len(body)]])], axis=1)
-        order = np.argsort(kinds)
-        kinds, counts, where = kinds[order], counts[order], where[:, order]
-        part = (mix(kinds) % np.uint64(parts)).astype(np.int64)
-        rows = []
-        for p in np.unique(part).tolist():
-            m = part == p
-            rows.append((p, key[0].as_py(), _gather(body, where[0][m], where[1][m]).tobytes(), counts[m].astype("<u4").tobytes()))
-        columns = list(zip(*rows, strict=True))
-        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["part", "chunk", "words", "counts"])
+
+def _runs(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    if len(part):
+        cut = np.flatnonzero(np.diff(part)) + 1
+        for a, b in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(part)]]).tolist(), strict=True):
+            yield int(part[a]), slice(a, b)
+
+
+def _ask_words(parts: int) -> Callable:
+    """Of a chunk: (part, chunk, distinct words, training counts)."""
+
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        chunk = Chunk(docs, parts)
+        counts = np.bincount(chunk.word, chunk.train[chunk.owner], len(chunk.kinds))
+        return _table([(0, p, key[0].as_py(), chunk.kinds[m].astype("<u8").tobytes(), _counts(counts[m]), None, None, None) for p, m in chunk.words()])
 
     return run
 
 
-def _add(key: tuple, table: pa.Table) -> pa.Table:
-    """A part of the vocabulary: words with training counts above zero."""
-    raws, hashes, counts, kept_ends = [], [], [], []
-    base = 0
-    for w, c in zip(table.column("words").combine_chunks(), table.column("counts").combine_chunks(), strict=True):
-        raw, ends = _spell(w)
-        c = np.frombuffer(c.as_buffer(), "<u4")
-        raws.append(raw)
-        hashes.append(_hash(raw, ends))
-        counts.append(c)
-        kept_ends.append(ends + base)
-        base += len(raw)
-    raw, h, c, ends = (np.concatenate(x) for x in (raws, hashes, counts, kept_ends))
-    begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    kinds, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    total = np.bincount(inverse, c, len(kinds)).astype(np.int64)
+def _add_words(key: tuple, asked: pa.Table) -> pa.Table:
+    """A part of the vocabulary: words with training counts above zero, ascending."""
+    h = np.concatenate([_of(x, "<u8") for x in asked.column("a").combine_chunks()])
+    c = np.concatenate([_of(x, "<u4") for x in asked.column("b").combine_chunks()])
+    kinds, inverse = np.unique(h, return_inverse=True)
+    total = np.bincount(inverse, c, len(kinds)).astype("<i8")
     known = total > 0
-    first = first[known]
-    spelled = _gather(raw, begin[first], ends[first] - 1)
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([spelled.tobytes()], pa.binary()), pa.array([total[known].astype("<i8").tobytes()], pa.binary()), pa.array([int(known.sum())], pa.int64()), pa.array([int(total.sum())], pa.int64())], ["part", "words", "counts", "kinds", "tokens"])
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([kinds[known].astype("<u8").tobytes()], pa.binary()), pa.array([total[known].tobytes()], pa.binary()), pa.array([int(known.sum())], pa.int64()), pa.array([int(total.sum())], pa.int64())], ["part", "words", "counts", "kinds", "tokens"])
 
 
-def _sweep(vocabulary: DataFrame, before: Sample | None, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Seat the words' customers again; byte counts of all tables' spellings (keys and counts), and the number of tables."""
+def _hot(vocabulary: DataFrame, least: float) -> np.ndarray:
+    """Contexts with more than `least` customers, with their counts: few, as counts add up to all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, c in zip(batch.column(0), batch.column(1), strict=True):
-                raw, ends = _spell(w)
-                c = np.frombuffer(c.as_buffer(), "<i8")
-                if before is None:
-                    t = np.ones(len(c))
-                else:
-                    t = _tables(seed, _hash(raw, ends), c, before.tables, before.spelling.words(raw, ends))
-                context, byte = contexts(raw)
-                size = np.diff(np.concatenate([[0], ends]))
-                kinds, inverse = np.unique(context << 8 | byte, return_inverse=True)
-                total = np.bincount(inverse, np.repeat(t, size), len(kinds)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(total), pa.array(np.where(np.arange(len(kinds)) == 0, t.sum(), 0).astype(np.int64))], ["cell", "n", "tables"])
-
-    cells = vocabulary.select("words", "counts").filter("kinds > 0").mapInArrow(run, "cell long, n long, tables long")
-    rows = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("tables").alias("tables")).toPandas().sort_values("cell")
-    return rows["cell"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), float(rows["tables"].sum())
-
-
-def _answer(model: object, total: int):
-    """Counts and averaged probabilities of the words each chunk asked for."""
+                w, c = _of(w, "<i8"), _of(c, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(w[c > least]), pa.array(c[c > least])], ["word", "n"])
+
+    rows = vocabulary.select("words", "counts").mapInArrow(run, "word long, n long").collect()
+    out = np.array(sorted((r.word & (1 << 64) - 1, r.n) for r in rows), np.uint64).reshape(-1, 2)
+    return out
+
+
+def _ask_pairs(parts: int, hot: np.ndarray) -> Callable:
+    """Of a chunk: (part, chunk, contexts, pairs of each, following words, training counts)."""
+
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        chunk = Chunk(docs, parts)
+        chunk.pairs(hot[:, 0], parts)
+        counts = np.bincount(chunk.pair, chunk.train[chunk.owner], len(chunk.u))
+        rows = []
+        for p, m in _runs(chunk.pair_part):
+            u = chunk.u[m]
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(u)) + 1, [len(u)]])
+            rows.append((0, p, key[0].as_py(), chunk.kinds[u[cut[:-1]]].astype("<u8").tobytes(), _counts(np.diff(cut)), *_pack(chunk.kinds[chunk.w[m]] & LOW), _counts(counts[m])))
+        return _table(rows)
+
+    return run
+
+
+def _seat_pairs(parts: int, distinct: int, hot: np.ndarray) -> Callable:
+    """Seat a part's context restaurants. Rows out, by kind: 0 answers to chunks (customers and tables of each pair they
+    named), 1 tables of words for the parent, 2 tables of contexts."""
+
+    def run(key: tuple, asked: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        columns = [asked.column(n).combine_chunks() for n in ("a", "b", "c", "d", "e")]
+        u = np.concatenate([np.repeat(_of(a, "<u8"), _of(b, "<u4")) for a, b in zip(columns[0], columns[1], strict=True)])
+        w = np.concatenate([_unpack(c, d) for c, d in zip(columns[2], columns[3], strict=True)])
+        counts = [_of(e, "<u4") for e in columns[4]]
+        size = [len(x) for x in counts]
+        _, first, inverse = np.unique(chain(u, w), return_index=True, return_inverse=True)
+        c = np.bincount(inverse, np.concatenate(counts), len(first)).astype(np.int64)
+        contexts, context = np.unique(u[first], return_inverse=True)
+        follow, following = np.unique(w[first], return_inverse=True)
+        known = c > 0
+        customers = np.bincount(context, c, len(contexts))
+        parent = np.bincount(following, c, len(follow))
+        parent = (parent + WORD_S / (distinct + 1)) / (parent.sum() + WORD_S)
+        # a context that is dealt over parts has a share of its tables here
+        share = np.ones(len(contexts))
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot[:, 0], contexts), len(hot) - 1)
+            dealt = hot[at, 0] == contexts
+            share[dealt] = np.maximum(customers[dealt], 1) / hot[at, 1][dealt]
+        rng = np.random.default_rng([17, part])
+        t, samples = known.astype(np.float64), []
+        for sweep in range(BURN_IN + SAMPLES):
+            tables = np.bincount(context, t, len(contexts)) / share
+            t = seat(c, (PAIR_S + PAIR_D * tables[context]) * parent[following], PAIR_D, rng)
+            if sweep >= BURN_IN:
+                samples.append(t)
+        rows, at = [], 0
+        for chunk, n in zip(asked.column("src").to_pylist(), size, strict=True):
+            own = inverse[at : at + n]
+            rows.append((0, chunk, part, _counts(c[own]), *(_counts(x[own]) for x in samples), None, None))
+            at += n
+        for kind, names, number, own_part in ((1, follow, following, part_of(follow, parts)), (2, contexts, context, part_of(contexts, parts))):
+            sums = [np.bincount(number, x, len(names)) for x in samples]
+            some = sums[0] > 0
+            names, own_part, sums = names[some], own_part[some], [x[some] for x in sums]
+            order = np.argsort(own_part, kind="stable")
+            for p, m in _runs(own_part[order]):
+                rows.append((kind, p, part, *_pack(names[order][m] & LOW), *(_counts(x[order][m]) for x in sums), None))
+        return _table(rows)
+
+    return run
+
+
+def _seat_words(distinct: int) -> Callable:
+    """A part of the parent restaurant: for each word its customers (tables of contexts) and tables, and its own tables as a context."""
+
+    def run(key: tuple, known: pa.Table, tables: pa.Table) -> pa.Table:
+        if not known.num_rows:
+            return pa.table([pa.array([], k) for k in (pa.int32(), *[pa.binary()] * 2, *[pa.list_(pa.binary())] * 3, pa.list_(pa.float64()), pa.list_(pa.float64()))], ["part", "words", "counts", "customers", "tables", "own", "all_customers", "all_tables"])
+        h, c = _of(known.column("words")[0], "<u8"), known.column("counts")[0].as_py()
+        low = h & LOW
+        order = np.argsort(low)
+        sums = np.zeros((2, SAMPLES, len(h)))
+        for kind, a, b, *t in zip(tables.column("kind").to_pylist(), *(tables.column(n).combine_chunks() for n in "abcd"), strict=True):
+            names = _unpack(a, b)
+            at = order[np.minimum(np.searchsorted(low, names, sorter=order), max(len(h) - 1, 0))] if len(h) else np.zeros(0, np.int64)
+            hit = low[at] == names
+            for s in range(SAMPLES):
+                sums[kind - 1, s] += np.bincount(at[hit], _of(t[s], "<u4")[hit], len(h))
+        customers = np.maximum(sums[0], 1)  # a training token has a table somewhere
+        rng = np.random.default_rng([19, key[0].as_py()])
+        own = [seat(customers[s].astype(np.int64), np.full(len(h), (WORD_S + WORD_D * distinct) / (distinct + 1)), WORD_D, rng) for s in range(SAMPLES)]
+        blob = lambda xs: pa.array([[_counts(x) for x in xs]], pa.list_(pa.binary()))
+        totals = lambda xs: pa.array([[float(x.sum()) for x in xs]], pa.list_(pa.float64()))
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([c], pa.binary()), blob(customers), blob(own), blob(sums[1]), totals(customers), totals(own)],
+                        ["part", "words", "counts", "customers", "tables", "own", "all_customers", "all_tables"])
+
+    return run
+
+
+@dataclass(frozen=True)
+class Totals:
+    tokens: int
+    distinct: int
+    customers: tuple[float, ...]  # of the parent restaurant, in each sample
+    tables: tuple[float, ...]
+
+    def unknown(self, s: int) -> float:
+        return (WORD_S + WORD_D * self.tables[s]) / (WORD_S + self.customers[s]) / (self.distinct + 1)
+
+
+def _answer_words(totals: Totals) -> Callable:
+    """(kind 1, chunk, part, training counts, and for each sample the parent's probability and the context's tables)."""
 
     def run(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-        samples: list[Sample] = model.value
-        h, c, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        h, c, p, t = np.zeros(0, np.uint64), np.zeros(0, np.int64), [np.zeros(0)] * SAMPLES, [np.zeros(0)] * SAMPLES
         if known.num_rows:
-            raw, ends = _spell(known.column("words")[0])
-            h, c = _hash(raw, ends), np.frombuffer(known.column("counts")[0].as_buffer(), "<i8")
-            order = np.argsort(h)
-            for s, prior in samples:
-                t = _tables(s.seed, h, c, prior.tables, prior.spelling.words(raw, ends))
-                seen.append((c - WORD_D * t)[order] / (WORD_S + total))
-            h, c = h[order], c[order]
+            h, c = _of(known.column("words")[0], "<u8"), _of(known.column("counts")[0], "<i8")
+            for s in range(SAMPLES):
+                customers, tables = (_of(known.column(n)[0][s], "<u4") for n in ("customers", "tables"))
+                p[s] = np.maximum(customers - WORD_D * tables, 0) / (WORD_S + totals.customers[s])
+                t[s] = _of(known.column("own")[0][s], "<u4")
         rows = []
-        for chunk, w in zip(asked.column("chunk").to_pylist(), asked.column("words").combine_chunks(), strict=True):
-            raw, ends = _spell(w)
-            own = _hash(raw, ends)
+        for chunk, a in zip(asked.column("src").to_pylist(), asked.column("a").combine_chunks(), strict=True):
+            own = _of(a, "<u8")
             at = np.minimum(np.searchsorted(h, own), max(len(h) - 1, 0))
             hit = h[at] == own if len(h) else np.zeros(len(own), bool)
-            p = np.zeros(len(own))
-            for k, (s, _) in enumerate(samples):
-                p += (WORD_S + WORD_D * s.tables) / (WORD_S + total) * s.spelling.words(raw, ends)
-                if seen:
-                    p[hit] += seen[k][at[hit]]
-            counts = np.zeros(len(own), "<u4")
-            counts[hit] = np.minimum(c[at[hit]], (1 << 32) - 1)
-            rows.append((chunk, own.astype("<u8").tobytes(), counts.tobytes(), np.log10(p / len(samples)).astype("<f4").tobytes()))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(x, pa.binary()) for x in columns[1:])], ["chunk", "hashes", "counts", "logs"])
+            counts = np.zeros(len(own), np.int64)
+            counts[hit] = c[at[hit]]
+            both = []
+            for s in range(SAMPLES):
+                prob, tables = np.full(len(own), totals.unknown(s)), np.zeros(len(own))
+                prob[hit] += p[s][at[hit]]
+                tables[hit] = t[s][at[hit]]
+                both += [prob.astype("<f4").tobytes(), _counts(tables)]
+            rows.append((1, chunk, key[0].as_py(), _counts(counts), *both))
+        return _table(rows)
 
     return run
 
 
-def _score(total: int, distinct: int):
+def _score(parts: int, hot: np.ndarray, totals: Totals) -> Callable:
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        body, offsets = _batch_texts(docs)
-        kinds, _, inverse, at = _spelled(body, offsets)
-        h, c, p = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in answers.column(n).combine_chunks()]) if answers.num_rows else np.zeros(0, t) for n, t in (("hashes", "<u8"), ("counts", "<u4"), ("logs", "<f4")))
-        order = np.argsort(h)
-        h, c, p = h[order], c[order].astype(np.float64), p[order].astype(np.float64)
-        place = np.searchsorted(h, np.append(kinds, _end_word()))
-        owner, count = np.repeat(np.arange(docs.num_rows), np.diff(at)), np.diff(at) + 1
-        base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-        sums = [np.bincount(owner, x[place[:-1]][inverse], docs.num_rows) + x[place[-1]] for x in (base, p, (c > 0).astype(np.float64))]
-        return pa.table([docs.column("doc_id"), pa.array(~docs.column("train").to_numpy()), pa.array(count.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(np.full(docs.num_rows, total)), pa.array(sums[0]), pa.array(sums[1])],
+        chunk = Chunk(docs, parts)
+        chunk.pairs(hot[:, 0], parts)
+        kind, src = answers.column("kind").to_numpy(), answers.column("src").to_numpy()
+
+        def column(k: int, name: str, form: str) -> np.ndarray:
+            blobs = answers.column(name).combine_chunks()
+            rows = np.flatnonzero(kind == k)
+            return np.concatenate([_of(blobs[i], form) for i in rows[np.argsort(src[rows])].tolist()]).astype(np.float64)
+
+        c = column(1, "a", "<u4")
+        prob = np.zeros(len(chunk.u))
+        customers = column(0, "a", "<u4")
+        for s in range(SAMPLES):
+            parent, tables = column(1, "bd"[s], "<f4"), column(1, "ce"[s], "<u4")
+            back = (PAIR_S + PAIR_D * tables) / (PAIR_S + c)
+            own = np.maximum(customers - PAIR_D * column(0, "bc"[s], "<u4"), 0) / (PAIR_S + c[chunk.u])
+            prob += own + np.minimum(back[chunk.u], 1) * parent[chunk.w]
+        base = np.log10((c + 0.5) / (totals.tokens + 0.5 * (totals.distinct + 1)))
+        sums = [np.bincount(chunk.owner, x, chunk.docs) for x in (base[chunk.word], np.log10(prob / SAMPLES)[chunk.pair], (c > 0).astype(np.float64)[chunk.word])]
+        return pa.table([docs.column("doc_id"), pa.array(~chunk.train), pa.array(chunk.count), pa.array(sums[2].astype(np.int64)), pa.array(np.full(chunk.docs, totals.tokens)), pa.array(sums[0]), pa.array(sums[1])],
                         ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
+def _sweep_files(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of earlier steps, which nothing reads any more: it does so when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
@@ -314,25 +349,28 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text").cast("long") + 1).alias("n")).first().n or 0
     chunks = max(1, -(-int(size) // chunk_bytes))
     parts = min(chunks, MOST_PARTS)
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    grouped = docs.groupBy("chunk")
-    requests = grouped.applyInArrow(_requests(parts), "part int, chunk int, words binary, counts binary")
-    vocabulary = written(requests.groupBy("part").applyInArrow(_add, "part int, words binary, counts binary, kinds long, tokens long"), "vocabulary")
+    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).groupBy("chunk")
+    asked = chunked.applyInArrow(_ask_words(parts), BLOBS)
+    vocabulary = written(asked.select(F.col("dest").alias("part"), "a", "b").groupBy("part").applyInArrow(_add_words, "part int, words binary, counts binary, kinds long, tokens long"), "vocabulary")
     row = vocabulary.agg(F.sum("kinds").alias("v"), F.sum("tokens").alias("n")).first()
-    distinct, total = int(row.v or 0), int(row.n or 0)
-
-    rng = np.random.default_rng(11)
-    keys, counts, tables = _sweep(vocabulary, None, 0)
-    now = Sample(sample_bytes(keys, counts, rng, BURN_IN), tables, 0.0, 0)
-    kept = []
-    for k in range(1 + SAMPLES):
-        keys, counts, tables = _sweep(vocabulary, now, k + 1)
-        after = Sample(sample_bytes(keys, counts, rng, BURN_IN), tables, now.tables, k + 1)
-        if k:
-            kept.append((after, now))
-        now = after
-    model = spark.sparkContext.broadcast(kept)
-    answers = requests.groupBy("part").cogroup(vocabulary.groupBy("part")).applyInArrow(_answer(model, total), "chunk int, hashes binary, counts binary, logs binary")
+    distinct, tokens = int(row.v or 0), int(row.n or 0)
+    hot = _hot(vocabulary, tokens / (4 * parts))
+    _sweep_files(spark)
+
+    pairs = chunked.applyInArrow(_ask_pairs(parts, hot), BLOBS)
+    seated = written(pairs.withColumnRenamed("dest", "part").groupBy("part").applyInArrow(_seat_pairs(parts, distinct, hot), BLOBS), "seated")
+    _sweep_files(spark)
+
+    tables = seated.filter("kind > 0").withColumnRenamed("dest", "part").groupBy("part")
+    lists = "part int, words binary, counts binary, customers array<binary>, tables array<binary>, own array<binary>, all_customers array<double>, all_tables array<double>"
+    parent = written(vocabulary.groupBy("part").cogroup(tables).applyInArrow(_seat_words(distinct), lists), "parent")
+    sums = [F.sum(F.get(n, F.lit(s))).alias(f"{n}{s}") for n in ("all_customers", "all_tables") for s in range(SAMPLES)]
+    row = parent.agg(*sums).first()
+    totals = Totals(tokens, distinct, tuple(row[f"all_customers{s}"] or 0.0 for s in range(SAMPLES)), tuple(row[f"all_tables{s}"] or 0.0 for s in range(SAMPLES)))
+    _sweep_files(spark)
+
+    answers = asked.withColumnRenamed("dest", "part").groupBy("part").cogroup(parent.groupBy("part")).applyInArrow(_answer_words(totals), BLOBS)
+    replies = seated.filter("kind = 0").unionByName(answers).withColumnRenamed("dest", "chunk").groupBy("chunk")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = grouped.cogroup(answers.groupBy("chunk")).applyInArrow(_score(total, distinct), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = chunked.cogroup(replies).applyInArrow(_score(parts, hot, totals), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
