@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,13 +52,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what written() stored, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete what written() stored, once nothing reads it any more, and let Spark drop shuffle files of finished plans."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Spark deletes shuffle files when the plans that made them are collected, on the driver: have that done now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,16 +21,15 @@ zero and scores come from the uniform parent; an empty table gives none; other c
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, fold, text_bytes, texts, written
+from .common import arrow_limits, fold, sweep, text_bytes, texts, written
 from .words import chain, mix, words
 
 MODULUS, HELD_OUT = 5, 1
@@ -335,12 +334,6 @@ def _score(parts: int, hot: np.ndarray, totals: Totals) -> Callable:
     return run
 
 
-def _sweep_files(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of earlier steps, which nothing reads any more: it does so when their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
@@ -355,11 +348,11 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     row = vocabulary.agg(F.sum("kinds").alias("v"), F.sum("tokens").alias("n")).first()
     distinct, tokens = int(row.v or 0), int(row.n or 0)
     hot = _hot(vocabulary, tokens / (4 * parts))
-    _sweep_files(spark)
+    sweep(spark)
 
     pairs = chunked.applyInArrow(_ask_pairs(parts, hot), BLOBS)
     seated = written(pairs.withColumnRenamed("dest", "part").groupBy("part").applyInArrow(_seat_pairs(parts, distinct, hot), BLOBS), "seated")
-    _sweep_files(spark)
+    sweep(spark)
 
     tables = seated.filter("kind > 0").withColumnRenamed("dest", "part").groupBy("part")
     lists = "part int, words binary, counts binary, customers array<binary>, tables array<binary>, own array<binary>, all_customers array<double>, all_tables array<double>"
@@ -367,7 +360,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     sums = [F.sum(F.get(n, F.lit(s))).alias(f"{n}{s}") for n in ("all_customers", "all_tables") for s in range(SAMPLES)]
     row = parent.agg(*sums).first()
     totals = Totals(tokens, distinct, tuple(row[f"all_customers{s}"] or 0.0 for s in range(SAMPLES)), tuple(row[f"all_tables{s}"] or 0.0 for s in range(SAMPLES)))
-    _sweep_files(spark)
+    sweep(spark)
 
     answers = asked.withColumnRenamed("dest", "part").groupBy("part").cogroup(parent.groupBy("part")).applyInArrow(_answer_words(totals), BLOBS)
     replies = seated.filter("kind = 0").unionByName(answers).withColumnRenamed("dest", "chunk").groupBy("chunk")

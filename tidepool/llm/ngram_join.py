@@ -32,9 +32,11 @@ from .components import components
 from .words import chain, mix, words
 
 WORK_BYTES = 4 << 20
-#: The sketch has 2**SKETCH_BITS counters (a fixed 1 MB), in blocks that are added up and sent to the driver.
-SKETCH_BITS = 18
+#: The sketch has 2**SKETCH_BITS counters (a fixed 4 MB), in blocks that are added up and sent to the driver.
+SKETCH_BITS = 20
 BLOCKS = 64
+#: Shingles of a set are counted in so many cells: the smaller counts of two sets bound what they share.
+CELLS = 256
 #: Only shingles in the lowest quarter of hashes are counted: prefixes come from there.
 COUNTED = 2
 
@@ -101,8 +103,8 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _heaviness(counts: np.ndarray) -> np.ndarray:
-    """Order class of each counter: 0 up to twice the mean load, then the logarithm of the excess."""
-    usual = 2 * counts.mean() + 16
+    """Order class of each counter: 0 up to what chance loads it with, then the logarithm of the excess."""
+    usual = counts.mean() + 4 * np.sqrt(counts.mean()) + 8
     return np.ceil(np.log2(np.maximum(counts / usual, 1))).astype(np.uint8)
 
 
@@ -120,6 +122,8 @@ def _sets(docs: DataFrame, n: int, percent: int, classes: object) -> DataFrame:
                 run_ = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own + np.uint64(1)))])
                 other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own ^ np.uint64(0x5DEECE66D)))])
                 prefixes, groups = [], []
+                spread = np.bincount(np.repeat(np.arange(b - a), size) * CELLS + (own >> np.uint64(24)).astype(np.int64) % CELLS, minlength=(b - a) * CELLS).reshape(b - a, CELLS)
+                cells = [x.tobytes() for x in np.minimum(spread, 65535).astype("<u2")]
                 for i in range(b - a):
                     s = own[at[i] : at[i + 1]]
                     keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
@@ -129,11 +133,11 @@ def _sets(docs: DataFrame, n: int, percent: int, classes: object) -> DataFrame:
                     groups.append(int(mix(np.bitwise_xor.reduce(mix(p + np.uint64(3)), keepdims=True) + np.uint64(len(s)))[0].astype(np.int64)) if len(s) else 0)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array((run_[at[1:]] - run_[at[:-1]]).view(np.int64)),
-                    pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)), pa.array(groups, pa.int64()), pa.array(prefixes, pa.binary()),
-                ], ["doc_id", "n_shingles", "sig1", "sig2", "grp", "prefix"])
+                    pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)), pa.array(groups, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(cells, pa.binary()),
+                ], ["doc_id", "n_shingles", "sig1", "sig2", "grp", "prefix", "cells"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, sig1 long, sig2 long, grp long, prefix binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, sig1 long, sig2 long, grp long, prefix binary, cells binary")
 
 
 def _postings(groups: DataFrame) -> DataFrame:
@@ -158,8 +162,26 @@ def _close(percent: int, a: str, b: str) -> str:
     return f"100 * least({a}.size, {b}.size) >= {percent} * greatest({a}.size, {b}.size) AND {100 + percent} * ({most}) >= {need}"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets reach the threshold. Sets are made for the documents of pairs alone."""
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the counts of their sets' cells don't rule out. A cell at its largest value bounds nothing."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int64) for k in (4, 5))
+            low = np.minimum(x, y)
+            most = np.where((low == 65535).any(axis=1), sizes, low.sum(axis=1))
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * most >= percent * sizes))
+
+    kind = reps.schema["rep"].dataType.simpleString()
+    one = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("x"), F.col("cells").alias("p"))
+    two = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("y"), F.col("cells").alias("q"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(check, f"a {kind}, b {kind}")
+
+
+def _verified(candidates: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole sets reach the threshold. Sets are made again for the documents of possible pairs alone."""
+    pairs = written(_possible(candidates, reps, percent), "possible")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +200,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(whole, f"id {kind}, members binary"), "sets")
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
     out = written(full.mapInArrow(check, f"a {kind}, b {kind}"), "links")
-    discard(sets)
+    discard(sets, pairs)
     return out
 
 
@@ -196,8 +218,10 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     classes = spark.sparkContext.broadcast(_heaviness(sketch(docs, n)))
     sets = written(_sets(docs, n, percent, classes), "shingles")
     copies = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig1", "sig2", "n_shingles")
-    reps = copies.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"))
+    reps = copies.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"))
     reps = written(reps, "representatives")
+    mine = written(sets.select("doc_id", "n_shingles", "sig1", "sig2"), "signatures")
+    discard(sets)
     groups = written(reps.groupBy("grp", F.col("n_shingles").alias("size")).agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix")), "groups")
     member = reps.select("rep", "grp")
     heads = groups.select("grp", "head")
@@ -210,7 +234,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     star = postings.alias("x").join(lists.alias("y"), "token").where("x.grp <> y.grp").where(_close(percent, "x", "y")).select(F.col("y.grp").alias("g"), F.col("x.grp").alias("h")).distinct()
     outer = star.join(heads.select(F.col("grp").alias("g"), F.col("head").alias("a")), "g").join(heads.select(F.col("grp").alias("h"), F.col("head").alias("b")), "h").select("a", "b")
     tried = written(inner.union(outer).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = _verified(tried, docs, n, percent)
+    links = _verified(tried, reps, docs, n, percent)
     found = components(links)
 
     # pairs of members that share a prefix shingle and still lie in different components
@@ -219,16 +243,20 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     listed = postings.join(spread, "grp")
     mixed = listed.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
     open_ = written(listed.join(mixed, "token"), "open")
+    discard(postings)
     across = open_.alias("x").join(open_.alias("y"), "token").where("x.grp < y.grp AND NOT (x.low = x.high AND y.low = y.high AND x.low = y.low)").where(_close(percent, "x", "y")).select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h"))
     within = spread.filter("low <> high").select(F.col("grp").alias("g"), F.col("grp").alias("h"))
     left = labelled.select(F.col("grp").alias("g"), F.col("rep").alias("a"), F.col("comp").alias("ca"))
     right = labelled.select(F.col("grp").alias("h"), F.col("rep").alias("b"), F.col("comp").alias("cb"))
     more = across.distinct().union(within).join(left, "g").join(right, "h").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    extra = _verified(more, docs, n, percent)
+    discard(open_, labelled, tried, found)
+    extra = _verified(more, reps, docs, n, percent)
     found = components(links.union(extra))
+    copies_of = written(reps.filter("copies > 1").select("sig1", "sig2", F.col("n_shingles").alias("size"), "rep"), "copies")
+    discard(links, extra, more, groups, reps)
 
-    same = reps.filter("copies > 1").select("sig1", "sig2", F.col("n_shingles").alias("size"), "rep").alias("r")
-    out = sets.alias("s").join(same, (F.col("s.sig1") == F.col("r.sig1")) & (F.col("s.sig2") == F.col("r.sig2")) & (F.col("s.n_shingles") == F.col("r.size")) & F.col("s.doc_id").isNotNull(), "left")
+    same = copies_of.alias("r")
+    out = mine.alias("s").join(same, (F.col("s.sig1") == F.col("r.sig1")) & (F.col("s.sig2") == F.col("r.sig2")) & (F.col("s.n_shingles") == F.col("r.size")) & F.col("s.doc_id").isNotNull(), "left")
     out = out.select("s.doc_id", "s.n_shingles", F.coalesce("r.rep", "s.doc_id").alias("rep"))
     return out.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
