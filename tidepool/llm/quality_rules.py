@@ -73,7 +73,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
                           (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), starts.alias("_r"))
     r = F.col("_r")
     covered = F.aggregate(F.transform(r, lambda x, j: F.least(F.lit(3), x - F.coalesce(F.get(r, j - 1), x - 3))), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = second.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.when(F.size(r) > 0, covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"))
+    repeats = F.when(F.size(r) > 0, covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words")
+    # a generator of one row: filters on the counts stay above it, rather than computing them again for each mention
+    out = second.select(*kept, F.inline(F.array(F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", repeats))))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
 
 
