@@ -18,8 +18,10 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,12 @@ from pyspark.sql import DataFrame
 from .common import arrow_limits, slices, text_bytes, texts
 
 #: Distinct words kept between batches of a worker.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 WORK_BYTES = 4 << 20
 #: White space as the library's pattern engine has it (no control separators 0x1C to 0x1F).
 SPACE = r"\p{White_Space}"
+#: Marks that are a pre-token of their own at the end of a word.
+MARKS = frozenset(",.;:!?")
 #: Python's own split() takes these for white space too.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -65,8 +69,8 @@ class Bpe:
         self.symbols = [""] * (1 + max(max(self.vocab.values()), *self.added.values()))
         for s, i in [*self.vocab.items(), *self.added.items()]:
             self.symbols[i] = s
-        self.cache: dict[str, tuple[int, ...]] = {}  # of units
-        self.words: dict[str, tuple[int, ...]] = {}  # of their pre-tokens
+        self.cache: dict[str, bytes] = {}  # of units, ids as in the result
+        self.words: dict[str, bytes] = {}  # of their pre-tokens
         if not merges:
             return
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -99,16 +103,21 @@ class Bpe:
             text = unicodedata.normalize("NFC", text)
             # lower() alone would look at a final sigma's neighbours
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return self.blank.split(text) if SEPARATORS.search(text) else text.split()
+        return [u for u in self.blank.split(text) if u] if SEPARATORS.search(text) else text.split()
 
     def pieces(self, text: str) -> list[str]:
+        if self.normalised:  # most units are a word, or one with a mark after it
+            if text.isalpha():
+                return [text]
+            if text[-1] in MARKS and text[:-1].isalpha():
+                return [text[:-1], text[-1]]
         if not text.isascii() and (odd := [c for c in set(text) if unicodedata.category(c) == "Cn"]):
             # unassigned characters are neither letters nor numbers, whatever the pattern engine takes them for
             plain = text.translate(dict.fromkeys(map(ord, odd), "\ue000"))
             return [text[m.start() : m.end()] for m in self.pattern.finditer(plain)]
         return self.pattern.findall(text)
 
-    def encode_units(self, units: list[str]) -> list[tuple[int, ...]]:
+    def encode_units(self, units: list[str]) -> list[bytes]:
         """Ids of each unit; a distinct pre-token is encoded once."""
         if not self.normalised:
             return self.encode_words(units)
@@ -116,12 +125,12 @@ class Bpe:
         ids = self.words
         if len(ids) > CACHE_WORDS:
             ids.clear()
-        distinct = list({w for s in split for w in s} - ids.keys())
+        distinct = list(set(chain.from_iterable(split)) - ids.keys())
         ids.update(zip(distinct, self.encode_words(distinct), strict=True))
-        return [ids[s[0]] if len(s) == 1 else sum((ids[w] for w in s), ()) for s in split]
+        return [ids[s[0]] if len(s) == 1 else b"".join([ids[w] for w in s]) for s in split]
 
     # Encoding distinct words
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, by the pair occurrence index over all of them."""
         sym: list[int] = []
         owner: list[int] = []
@@ -199,7 +208,7 @@ class Bpe:
                 index[rank] = later
                 heapq.heappush(heap, rank)
         begin.append(n)
-        return [tuple([s for s in sym[i:j] if s >= 0]) for i, j in zip(begin, begin[1:], strict=False)]
+        return [array("I", [s for s in sym[i:j] if s >= 0]).tobytes() for i, j in zip(begin, begin[1:], strict=False)]
 
     def encode(self, batch: Iterable[str]) -> list[np.ndarray]:
         """Ids of each text. Each distinct word of the batch is encoded once."""
@@ -210,16 +219,11 @@ class Bpe:
             cache.clear()
         todo = [w for w in new if w not in cache]
         cache.update(zip(todo, self.encode_units(todo), strict=True))
+        get = cache.__getitem__
         out = []
         for p in prepared:
-            ids: list[int] = []
-            for run in p:
-                if isinstance(run, int):
-                    ids.append(run)
-                else:
-                    for w in run:
-                        ids += cache[w]
-            out.append(np.array(ids, "<u4"))
+            raw = b"".join([b"".join(map(get, run)) if not isinstance(run, int) else np.array(run, "<u4").tobytes() for run in p])
+            out.append(np.frombuffer(raw, "<u4"))
         return out
 
     def decode(self, ids: np.ndarray) -> str:

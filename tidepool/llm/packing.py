@@ -13,6 +13,7 @@ first; an empty table gives none; other columns are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_WORDS, Bpe, byte_characters, text_lists
+from .bpe import Bpe, byte_characters, text_lists
 from .common import arrow_limits, texts, written
 
 LENGTH = 4096
@@ -44,8 +45,11 @@ class Library(Bpe):
         self.model = Tokenizer.from_file(path).model
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        return [tuple([t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]) for w in words]
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        model, letters = self.model.tokenize, self.letters
+        # printable ASCII stands for itself
+        plain = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters) for w in words]
+        return [array("I", [t.id for t in model(w)]).tobytes() for w in plain]
 
 
 @lru_cache(1)
@@ -130,12 +134,12 @@ def _schema(df: DataFrame) -> str:
 def _first(docs: DataFrame, path: str, length: int, most: int, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, base, out = load(path), _partition() << 32, None
-        windows = Windows(length, most, base)
+        windows, last = Windows(length, most, base), np.array([end], "<u4").tobytes()
         for batch in batches:
             out = out or _Out(batch.schema.field(0).type)
             for a, b, some in text_lists(batch.column(1)):
                 for doc, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), bpe.encode(some), strict=True):
-                    data = ids.tobytes() + np.array([end], "<u4").tobytes()
+                    data = ids.tobytes() + last
                     total, start = len(ids) + 1, 0
                     while total - start >= length:
                         out.rows.append((doc, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), total, windows.next, 0, length, True))
