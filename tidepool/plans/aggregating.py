@@ -67,10 +67,10 @@ def usage_summary(spark: SparkSession, d: str) -> DataFrame:
     return O.usage(e, ["kind"]).withColumn("cost", F.round("cost", 4))
 
 
-@query("ttl_merge", "SELECT o_custkey AS k, CASE WHEN count(x) > 0 THEN coalesce(min(CASE WHEN x > 0 THEN x END), 0) END AS ttl FROM (SELECT o_custkey, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderkey % 5 < 2 THEN 0 ELSE o_orderkey % 5 END AS x FROM orders) GROUP BY 1")
+@query("ttl_merge", "SELECT o_custkey AS k, CASE WHEN count(x) > 0 THEN coalesce(min(CASE WHEN x > 0 THEN x END), 0) ELSE -1 END AS ttl FROM (SELECT o_custkey, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderkey % 5 < 2 THEN 0 ELSE o_orderkey % 5 END AS x FROM orders) GROUP BY 1")
 def ttl_merge(spark: SparkSession, d: str) -> DataFrame:
     x = F.when(F.col("status") != "P", F.when(F.col("id") % 5 < 2, 0).otherwise(F.col("id") % 5))
-    return S.order_events(spark, d).select(F.col("actor_id").alias("k"), x.alias("x")).groupBy("k").agg(O.merged_ttl(F.col("x")).alias("ttl"))
+    return S.order_events(spark, d).select(F.col("actor_id").alias("k"), x.alias("x")).groupBy("k").agg(F.coalesce(O.merged_ttl(F.col("x")), F.lit(-1)).alias("ttl"))
 
 
 @query("forget_policy_merge", "SELECT o_custkey AS k, arg_min(p, r) AS policy FROM (SELECT o_custkey, CASE o_orderstatus WHEN 'P' THEN 'until_changed' WHEN 'F' THEN 'permanent' ELSE 'temporary' END AS p, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS r FROM orders) GROUP BY 1")

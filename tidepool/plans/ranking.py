@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.literals import seconds, timestamp
@@ -77,21 +77,26 @@ def next_segment(spark: SparkSession, d: str) -> DataFrame:
 SPANS = "s AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1e6 - 1704067200 AS a, epoch_us(ts) / 1e6 - 1704067200 + value AS b FROM events)"
 
 
+def micros(seconds_column: str) -> Column:
+    """Whole microseconds, which both engines round alike."""
+    return F.round(F.col(seconds_column) * 1e6).cast("long")
+
+
 def spans(spark: SparkSession, d: str) -> DataFrame:
     s = seconds(F.col("t"), timestamp("2024-01-01"))
     return S.events(spark, d).select("user_id", "id", "action", s.alias("start"), (s + F.col("value")).alias("end"))
 
 
-@query("span_islands", f"WITH {SPANS}, m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM s), g AS (SELECT *, sum(CASE WHEN e IS NULL OR a - e > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS UNBOUNDED PRECEDING) AS i FROM m) SELECT user_id, round(min(a), 3) AS \"start\", round(max(b), 3) AS \"end\", count(*) AS spans FROM g GROUP BY user_id, i")
+@query("span_islands", f"WITH {SPANS}, m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM s), g AS (SELECT *, sum(CASE WHEN e IS NULL OR a - e > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS UNBOUNDED PRECEDING) AS i FROM m) SELECT user_id, CAST(round(min(a) * 1e6) AS BIGINT) AS \"start\", CAST(round(max(b) * 1e6) AS BIGINT) AS \"end\", count(*) AS spans FROM g GROUP BY user_id, i")
 def span_islands(spark: SparkSession, d: str) -> DataFrame:
     out = I.islands(spans(spark, d), ["user_id"], 3600.0, tie=["id"])
-    return out.select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "spans")
+    return out.select("user_id", micros("start").alias("start"), micros("end").alias("end"), "spans")
 
 
-@query("same_track_merge", f"WITH {SPANS}, m AS (SELECT *, lag(event_type) OVER w AS p, lag(b) OVER w AS e FROM s WINDOW w AS (PARTITION BY user_id ORDER BY a, b, event_id)), g AS (SELECT *, sum(CASE WHEN p = event_type AND a - e <= 7200 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS UNBOUNDED PRECEDING) AS i FROM m) SELECT user_id, event_type AS action, round(min(a), 3) AS \"start\", round(max(b), 3) AS \"end\", count(*) AS turns FROM g GROUP BY user_id, event_type, i")
+@query("same_track_merge", f"WITH {SPANS}, m AS (SELECT *, lag(event_type) OVER w AS p, lag(b) OVER w AS e FROM s WINDOW w AS (PARTITION BY user_id ORDER BY a, b, event_id)), g AS (SELECT *, sum(CASE WHEN p = event_type AND a - e <= 7200 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS UNBOUNDED PRECEDING) AS i FROM m) SELECT user_id, event_type AS action, CAST(round(min(a) * 1e6) AS BIGINT) AS \"start\", CAST(round(max(b) * 1e6) AS BIGINT) AS \"end\", count(*) AS turns FROM g GROUP BY user_id, event_type, i")
 def same_track_merge(spark: SparkSession, d: str) -> DataFrame:
     out = I.merge_neighbours(spans(spark, d), ["user_id"], "action", 7200.0, tie=["id"])
-    return out.select("user_id", "action", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "turns")
+    return out.select("user_id", "action", micros("start").alias("start"), micros("end").alias("end"), "turns")
 
 
 @query("sliding_windows", "WITH m AS (SELECT c_custkey AS id, greatest(1.0, abs(c_acctbal) / 10) AS dur FROM customer), n AS (SELECT id, dur, unnest(range(0, greatest(1, CAST(ceil((dur - 2) / 6) AS BIGINT)))) AS w FROM m) SELECT id, CAST(w AS INTEGER) AS \"window\", CAST(w * 6.0 AS DOUBLE) AS \"start\", CAST(least(w * 6.0 + 8, dur) AS DOUBLE) AS \"end\" FROM n")
@@ -138,9 +143,9 @@ def order_consistency(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.min(F.when(F.col("p").isNull() | (F.col("p") <= F.col("value")), 1).otherwise(0)).alias("consistent"))
 
 
-@query("compact_map", f"WITH {SPANS} SELECT user_id, event_id, round(coalesce(sum(b - a) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.5 * (row_number() OVER (PARTITION BY user_id ORDER BY a, event_id) - 1), 3) AS compact_start, round(a, 3) AS original_start FROM s")
+@query("compact_map", f"WITH {SPANS} SELECT user_id, event_id, CAST(round(1e6 * (coalesce(sum(b - a) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.5 * (row_number() OVER (PARTITION BY user_id ORDER BY a, event_id) - 1))) AS BIGINT) AS compact_start, CAST(round(a * 1e6) AS BIGINT) AS original_start FROM s")
 def compact_map(spark: SparkSession, d: str) -> DataFrame:
     """Speech spans laid end to end with half a second between, and where they came from."""
     w = Window.partitionBy("user_id").orderBy("start", "id")
     before = F.coalesce(F.sum(F.col("end") - F.col("start")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return spans(spark, d).select("user_id", F.col("id").alias("event_id"), F.round(before + 0.5 * (F.row_number().over(w) - 1), 3).alias("compact_start"), F.round("start", 3).alias("original_start"))
+    return spans(spark, d).select("user_id", F.col("id").alias("event_id"), F.round(1e6 * (before + 0.5 * (F.row_number().over(w) - 1))).cast("long").alias("compact_start"), micros("start").alias("original_start"))
