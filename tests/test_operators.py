@@ -158,3 +158,38 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_media_folds(spark):
+    from tidepool.operators import media
+
+    pairs = spark.createDataFrame([(1, "a", "x", 0.9, False), (1, "a", "y", 0.8, True), (1, "b", "x", 0.7, False), (2, "a", "x", 0.1, False)], "source_id int, speaker string, track string, score double, verified boolean")
+    assert values(media.match_once(pairs), "source_id", "speaker", "track") == [(1, "a", "y"), (1, "b", "x"), (2, "a", "x")]
+    tracks = spark.createDataFrame([(1, 1, 0.0, 1.0, [1.0, 0.0]), (1, 2, 10.0, 11.0, [0.9, 0.1]), (1, 3, 20.0, 21.0, [0.0, 1.0]), (1, 4, 22.0, 23.0, [1.0, 0.0])], "seed int, track int, start double, end double, embedding array<double>")
+    assert values(media.stitch(tracks), "start", "end", "tracks") == [(0.0, 11.0, 2), (20.0, 23.0, 2)]
+    faces = spark.createDataFrame([(1, 1, [1.0, 0.0], 0.9, 30.0), (1, 2, [1.0, 0.1], 0.9, 30.0), (1, 3, [0.0, 1.0], 0.9, 30.0), (1, 4, [1.0, 0.0], 0.1, 30.0)], "source_id int, id int, embedding array<double>, detection_confidence double, quality_score double")
+    assert values(media.similar_faces(faces, 0.9), "id", "cluster") == [(1, 1), (2, 1), (3, 3), (4, -1)]
+
+
+def test_alignment_picks_the_closest_turns(spark):
+    from tidepool.operators import media
+
+    turns = spark.createDataFrame([(1, i, [1.0, 0.0]) for i in (0, 5, 6, 7)] + [(1, 3, [0.0, 1.0])], "session_id int, idx int, vector array<double>")
+    events = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.0, 1.0]), (1, 3, [-1.0, -1.0])], "session_id int, event_id int, vector array<double>")
+    got = {r.event_id: (r.hits, r.status, r.first, r.last) for r in media.align(turns, events).collect()}
+    assert got == {1: (4, "mapped", 5, 7), 2: (1, "weak", 3, 3), 3: (0, "unmapped", None, None)}
+
+
+def test_client(spark, tmp_path):
+    from tidepool.client import Memory
+
+    m = Memory(spark, str(tmp_path / "store"))
+    m.add(spark.createDataFrame([("1", "t", "red widget in the box"), ("2", "t", "blue ring"), ("1", "u", "red ring")], "id string, tenant_id string, text string"))
+    assert [r.id for r in m.search("t", "red").collect()] == ["1"]
+    m.update("t", "2", "red red ring")
+    assert {r.id for r in m.search("t", "red").collect()} == {"1", "2"}
+    m.delete("t", "1")
+    assert [r.id for r in m.search("t", "red").collect()] == ["2"] and m.get("t", "1").count() == 0
+    assert [r.event for r in m.history("t", "1").collect()] == ["ADD", "DELETE"]
+    m.clear("t")
+    assert values(m.entries(), "tenant_id", "id") == [("u", "1")]
