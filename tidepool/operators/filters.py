@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sources of internal indexes, hidden unless asked for.
-INTERNAL_SOURCES = ("tkg_dialog_utterance_index_v1", "dialog_utterance_index")
+#: Sources of internal indexes, hidden unless one of them is asked for.
+INTERNAL_SOURCES = ("tkg_dialog_utterance_index_v1", "tkg_dialog_event_index_v1")
 
 
 def visible(as_of: Column, expires: str = "expires_at", published: str = "published") -> Column:
@@ -58,8 +58,9 @@ def topic_prefix(prefix: str, column: str = "topic_path") -> Column:
 
 
 def external(column: str = "source", asked: list[str] | None = None) -> Column:
-    hidden = [s for s in INTERNAL_SOURCES if s not in (asked or [])]
-    return ~F.coalesce(F.col(column).isin(*hidden), F.lit(False)) if hidden else F.lit(True)
+    if set(asked or []) & set(INTERNAL_SOURCES):
+        return F.lit(True)
+    return ~F.coalesce(F.col(column).isin(*INTERNAL_SOURCES), F.lit(False))
 
 
 @dataclass(frozen=True)

@@ -81,7 +81,7 @@ def speech_turns(spark: SparkSession, d: str) -> DataFrame:
     return media.speaker_tracks(x, y, 100.0).select("source_id", "speaker", "text", micros("start").alias("start"), micros("end").alias("end"))
 
 
-@query("external_sources", "SELECT doc_id AS id, source FROM documents WHERE source NOT IN ('tkg_dialog_utterance_index_v1', 'dialog_utterance_index')")
+@query("external_sources", "SELECT doc_id AS id, source FROM documents WHERE source NOT IN ('tkg_dialog_utterance_index_v1', 'tkg_dialog_event_index_v1')")
 def external_sources(spark: SparkSession, d: str) -> DataFrame:
     return S.parquet(spark, d, "documents", "doc_id", "source").filter(filters.external()).select(F.col("doc_id").alias("id"), "source")
 
