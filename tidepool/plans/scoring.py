@@ -174,7 +174,11 @@ def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
     return O.top(s, ["a", "b", "query_id"], 5, "x").select("a", "b", "query_id", "id", "rank")
 
 
-@query("fidelity_score", """WITH t AS (SELECT conv_id, turn, text, lower(text) AS low FROM conversations) SELECT conv_id, turn, CAST(round(CASE WHEN regexp_matches(text, '\\b[A-Z][a-z]{2,}') THEN 0 ELSE 0 END + least(CASE WHEN list_contains(regexp_extract_all(low, '[a-z0-9]+'), 'thing') THEN 1 ELSE 0 END + CASE WHEN list_contains(regexp_extract_all(low, '[a-z0-9]+'), 'else') THEN 1 ELSE 0 END, 3) * 0.0015 + CASE WHEN contains(low, 'thing else') THEN 0.002 ELSE 0 END + CASE WHEN list_contains(regexp_extract_all(low, '[a-z0-9]+'), 'thing') THEN 0.0015 ELSE 0 END, 6) AS DOUBLE) AS score FROM t""")
+_HAS = "list_contains(regexp_extract_all(low, '[a-z0-9'']+'), '{0}')"
+
+
+@query("fidelity_score", f"""WITH t AS (SELECT conv_id, turn, text, lower(text) AS low FROM conversations) SELECT conv_id, turn, CAST(round(least(CASE WHEN {_HAS.format("the")} THEN 1 ELSE 0 END + CASE WHEN {_HAS.format("that")} THEN 1 ELSE 0 END, 3) * 0.0015
+ + CASE WHEN contains(low, 'that the') THEN 0.002 ELSE 0 END + CASE WHEN regexp_matches(low, ',|\\band\\b|\\bor\\b') THEN 0.003 ELSE 0 END, 6) AS DOUBLE) AS score FROM t""")
 def fidelity_score(spark: SparkSession, d: str) -> DataFrame:
-    q = O.Question("what is the thing else")
+    q = O.Question("what kinds of that the")
     return S.parquet(spark, d, "conversations").select("conv_id", "turn", F.round(O.fidelity(q, F.col("text")), 6).alias("score"))
