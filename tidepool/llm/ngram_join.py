@@ -5,9 +5,10 @@
 2. A second pass makes each document's shingle set, its 128-bit signature and, in that order, its prefix: two sets of a
    sufficient overlap share at least one shingle of their prefixes. Equal sets become one representative.
 3. Representatives with the same prefix and size form a group. Groups meet on the shingles of their prefixes. Each
-   posting list is first compared with its smallest group and, once links have been merged into components, pairs of
-   groups that still lie in different components are compared: pairs within a component can't change it, so a large
-   set of near copies costs about one comparison a member. Groups are then expanded and members verified on whole sets.
+   posting list is first compared with one of its groups and, once links have been merged into components, groups that
+   still lie in different components are expanded and their members compared: pairs within a component can't change it,
+   so a large set of near copies costs a few comparisons a member. Parity bits and cell counts, which bound what two
+   sets share, rule out pairs before whole sets are joined and verified.
 4. Components of links are found by smallest labels. Copies are never expanded into pairs.
 
 Shingles are 64-bit hashes of words; two different ones of a corpus share a hash with a chance of about 2**-60.
@@ -31,12 +32,17 @@ from .common import arrow_limits, discard, slices, text_bytes, texts, written
 from .components import components
 from .words import chain, mix, words
 
-WORK_BYTES = 4 << 20
+WORK_BYTES = 1 << 20
 #: The sketch has 2**SKETCH_BITS counters (a fixed 4 MB), in blocks that are added up and sent to the driver.
 SKETCH_BITS = 20
 BLOCKS = 64
 #: Shingles of a set are counted in so many cells: the smaller counts of two sets bound what they share.
 CELLS = 256
+#: Bits of a set: whether an odd number of its shingles falls on each. Bits that differ are no more than shingles that do.
+PARITY = 768
+BITS = [f"b{i}" for i in range(PARITY // 64)]
+#: Posting lists choose among so many orders for the group that all of a list are compared with.
+PIVOTS = 8
 #: Only shingles in the lowest quarter of hashes are counted: prefixes come from there.
 COUNTED = 2
 
@@ -103,9 +109,10 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _heaviness(counts: np.ndarray) -> np.ndarray:
-    """Order class of each counter: 0 up to what chance loads it with, then the logarithm of the excess."""
-    usual = counts.mean() + 4 * np.sqrt(counts.mean()) + 8
-    return np.ceil(np.log2(np.maximum(counts / usual, 1))).astype(np.uint8)
+    """Order class of each counter: 0 up to what chance loads it with, then quarters of doublings of the excess."""
+    mean = counts.mean()
+    excess = (counts - mean) / (2 * np.sqrt(mean) + 2)
+    return np.clip(np.ceil(4 * np.log2(np.maximum(excess, 1))), 0, 255).astype(np.uint8)
 
 
 def _sets(docs: DataFrame, n: int, percent: int, classes: object) -> DataFrame:
@@ -124,6 +131,8 @@ def _sets(docs: DataFrame, n: int, percent: int, classes: object) -> DataFrame:
                 prefixes, groups = [], []
                 spread = np.bincount(np.repeat(np.arange(b - a), size) * CELLS + (own >> np.uint64(24)).astype(np.int64) % CELLS, minlength=(b - a) * CELLS).reshape(b - a, CELLS)
                 cells = [x.tobytes() for x in np.minimum(spread, 65535).astype("<u2")]
+                odd = np.bincount(np.repeat(np.arange(b - a), size) * PARITY + (own >> np.uint64(37)).astype(np.int64) % PARITY, minlength=(b - a) * PARITY) & 1
+                bits = np.packbits(odd.astype(bool)).view("<i8").reshape(b - a, PARITY // 64)
                 for i in range(b - a):
                     s = own[at[i] : at[i + 1]]
                     keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
@@ -134,10 +143,11 @@ def _sets(docs: DataFrame, n: int, percent: int, classes: object) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array((run_[at[1:]] - run_[at[:-1]]).view(np.int64)),
                     pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)), pa.array(groups, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(cells, pa.binary()),
-                ], ["doc_id", "n_shingles", "sig1", "sig2", "grp", "prefix", "cells"])
+                    *(pa.array(np.ascontiguousarray(x)) for x in bits.T),
+                ], ["doc_id", "n_shingles", "sig1", "sig2", "grp", "prefix", "cells", *BITS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, sig1 long, sig2 long, grp long, prefix binary, cells binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, sig1 long, sig2 long, grp long, prefix binary, cells binary, {", ".join(f"{c} long" for c in BITS)}")
 
 
 def _postings(groups: DataFrame) -> DataFrame:
@@ -156,14 +166,20 @@ def _postings(groups: DataFrame) -> DataFrame:
 
 
 def _close(percent: int, a: str, b: str) -> str:
-    """Size and position filters for postings with aliases a and b."""
+    """Size filter for postings with aliases a and b, and the prefix that this pair of sizes needs, which is shorter than for sizes unknown."""
     need = f"{percent} * ({a}.size + {b}.size)"
-    most = f"least({a}.pos, {b}.pos) + 1 + least({a}.size - {a}.pos, {b}.size - {b}.pos) - 1"
-    return f"100 * least({a}.size, {b}.size) >= {percent} * greatest({a}.size, {b}.size) AND {100 + percent} * ({most}) >= {need}"
+    within = " AND ".join(f"{100 + percent} * ({x}.size - {x}.pos) >= {need}" for x in (a, b))
+    return f"100 * least({a}.size, {b}.size) >= {percent} * greatest({a}.size, {b}.size) AND {within}"
+
+
+def _alike(percent: int, a: str, b: str, size: str) -> str:
+    """Whether the bits of two rows leave room for the threshold: they differ by at most what two such sets may."""
+    differ = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in BITS)
+    return f"{100 + percent} * ({differ}) <= {100 - percent} * ({a}.{size} + {b}.{size})"
 
 
 def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the counts of their sets' cells don't rule out. A cell at its largest value bounds nothing."""
+    """Pairs that neither the bits of their sets nor the counts of their cells rule out. A cell at its largest value bounds nothing."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,9 +190,12 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * most >= percent * sizes))
 
     kind = reps.schema["rep"].dataType.simpleString()
-    one = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("x"), F.col("cells").alias("p"))
-    two = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("y"), F.col("cells").alias("q"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(check, f"a {kind}, b {kind}")
+    marks = reps.select("rep", "n_shingles", *BITS)
+    one = pairs.join(marks.withColumnRenamed("rep", "a"), "a").alias("x")
+    left = one.join(marks.withColumnRenamed("rep", "b").alias("y"), (F.col("x.b") == F.col("y.b")) & F.expr(_alike(percent, "x", "y", "n_shingles"))).select("x.a", "x.b")
+    first = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("x"), F.col("cells").alias("p"))
+    second = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("y"), F.col("cells").alias("q"))
+    return left.join(first, "a").join(second, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(check, f"a {kind}, b {kind}")
 
 
 def _verified(candidates: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -218,7 +237,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     classes = spark.sparkContext.broadcast(_heaviness(sketch(docs, n)))
     sets = written(_sets(docs, n, percent, classes), "shingles")
     copies = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig1", "sig2", "n_shingles")
-    reps = copies.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"))
+    reps = copies.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"), *(F.first(c).alias(c) for c in BITS))
     reps = written(reps, "representatives")
     mine = written(sets.select("doc_id", "n_shingles", "sig1", "sig2"), "signatures")
     discard(sets)
@@ -228,9 +247,10 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     # within groups: each member with its head
     inner = member.join(groups.filter("members > 1").select("grp", "head"), "grp").filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    # across groups: each group with the smallest of every posting list it is in
+    # across groups: each group with one of every posting list it is in; lists choose by a few different orders
     postings = written(_postings(groups), "postings")
-    lists = postings.groupBy("token").agg(F.min(F.struct("size", "grp", "pos")).alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", "p.*")
+    order = F.xxhash64("grp", F.pmod("token", F.lit(PIVOTS)))
+    lists = postings.groupBy("token").agg(F.min(F.struct(order.alias("o"), "size", "grp", "pos")).alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", "p.size", "p.grp", "p.pos")
     star = postings.alias("x").join(lists.alias("y"), "token").where("x.grp <> y.grp").where(_close(percent, "x", "y")).select(F.col("y.grp").alias("g"), F.col("x.grp").alias("h")).distinct()
     outer = star.join(heads.select(F.col("grp").alias("g"), F.col("head").alias("a")), "g").join(heads.select(F.col("grp").alias("h"), F.col("head").alias("b")), "h").select("a", "b")
     tried = written(inner.union(outer).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -242,13 +262,11 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     spread = groups.select("grp").join(labelled.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "grp")
     listed = postings.join(spread, "grp")
     mixed = listed.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
-    open_ = written(listed.join(mixed, "token"), "open")
+    members = labelled.join(reps.select("rep", *BITS), "rep")
+    open_ = written(postings.join(mixed, "token").join(members, "grp"), "open")
     discard(postings)
-    across = open_.alias("x").join(open_.alias("y"), "token").where("x.grp < y.grp AND NOT (x.low = x.high AND y.low = y.high AND x.low = y.low)").where(_close(percent, "x", "y")).select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h"))
-    within = spread.filter("low <> high").select(F.col("grp").alias("g"), F.col("grp").alias("h"))
-    left = labelled.select(F.col("grp").alias("g"), F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    right = labelled.select(F.col("grp").alias("h"), F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    more = across.distinct().union(within).join(left, "g").join(right, "h").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    meets = f"x.rep < y.rep AND x.comp <> y.comp AND {_close(percent, 'x', 'y')} AND {_alike(percent, 'x', 'y', 'size')}"
+    more = open_.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(meets)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
     discard(open_, labelled, tried, found)
     extra = _verified(more, reps, docs, n, percent)
