@@ -13,7 +13,7 @@ same order; chunks score their texts. A word or pair meets a row for each chunk,
 many customers are dealt over all parts by the following word. Nothing of the corpus is on the driver but two totals and
 at most four contexts for each part. Chunks are a function of documents' contents, so lost tasks can run again.
 
-Words are 64-bit hashes; following words are told apart by 48 bits within a context.
+Words are 64-bit hashes; between chunks and parts contexts are told apart by 48 bits, and the words after one by 40.
 
 Cases: a null or empty text is its end alone; rows repeat as given (each counts); without training texts counts are
 zero and scores come from the uniform parent; an empty table gives none; other columns are not read.
@@ -29,19 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, fold, sweep, text_bytes, texts, written
+from .common import arrow_limits, fold, slices, sweep, text_bytes, texts, written
 from .words import chain, mix, words
 
 MODULUS, HELD_OUT = 5, 1
 #: Bytes of text in a chunk, on average; and how many parts there are at most.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 9_000_000
 MOST_PARTS = 1 << 15
 #: Discounts and strengths: of context restaurants, and of the restaurant of words.
 PAIR_D, PAIR_S = 0.8, 1.0
 WORD_D, WORD_S = 0.65, 10.0
 BURN_IN, SAMPLES = 2, 2
 END = np.uint64(0x51ED270B9E3779B1)
-LOW = np.uint64((1 << 48) - 1)
+#: Bytes by which contexts and following words are told apart between chunks and parts.
+CONTEXT_BYTES, WORD_BYTES = 6, 5
+#: Texts are hashed so many bytes at a time.
+WORK_BYTES = 1 << 20
 BLOBS = "kind int, dest int, src int, a binary, b binary, c binary, d binary, e binary"
 
 
@@ -61,25 +64,52 @@ def seat(c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) ->
     return t
 
 
+def _low(hashes: np.ndarray, size: int) -> np.ndarray:
+    return hashes & np.uint64((1 << 8 * size) - 1)
+
+
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(hashes & LOW) % np.uint64(parts)).astype(np.int32)
+    return (mix(_low(hashes, WORD_BYTES)) % np.uint64(parts)).astype(np.int32)
 
 
-def _pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """48-bit values as 4 and 2 bytes each."""
-    return (values & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (values >> np.uint64(32)).astype("<u2").tobytes()
+def _pack(values: np.ndarray, size: int) -> bytes:
+    """The low bytes of values."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def _unpack(low: pa.Scalar, high: pa.Scalar) -> np.ndarray:
-    return _of(low, "<u4").astype(np.uint64) | _of(high, "<u2").astype(np.uint64) << np.uint64(32)
+def _unpack(blob: pa.Scalar, size: int) -> np.ndarray:
+    raw = _of(blob, "u1").reshape(-1, size)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :size] = raw
+    return out.view("<u8").reshape(-1)
 
 
 def _of(blob: pa.Scalar, kind: str) -> np.ndarray:
     return np.frombuffer(blob.as_buffer(), kind)
 
 
-def _counts(x: np.ndarray) -> bytes:
-    return np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes()
+def _small(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length with counts that are mostly small: a byte each, larger ones apart with their places."""
+    out = [np.array([len(arrays[0])], "<u4").tobytes()]
+    for x in arrays:
+        x = np.minimum(x, (1 << 32) - 1).astype("<u4")
+        large = np.flatnonzero(x > 255).astype("<u4")
+        out += [np.array([len(large)], "<u4").tobytes(), large.tobytes(), x[large].tobytes(), x.astype("u1").tobytes()]
+    return b"".join(out)
+
+
+def _large(blob: pa.Scalar) -> list[np.ndarray]:
+    """What _small() packed."""
+    raw = blob.as_buffer()
+    n, at, out = int(np.frombuffer(raw, "<u4", 1)[0]), 4, []
+    while at < len(raw):
+        k = int(np.frombuffer(raw, "<u4", 1, at)[0])
+        places, values = np.frombuffer(raw, "<u4", k, at + 4), np.frombuffer(raw, "<u4", k, at + 4 + 4 * k)
+        x = np.frombuffer(raw, "u1", n, at + 4 + 8 * k).astype(np.int64)
+        x[places] = values
+        out.append(x)
+        at += 4 + 8 * k + n
+    return out
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -93,9 +123,14 @@ class Chunk:
 
     def __init__(self, docs: pa.Table, parts: int):
         body, offsets = text_bytes(docs.column("text").combine_chunks())
-        _, _, hashes, at = words(body, offsets, lower=True)
+        found, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for a, b in slices(np.diff(offsets), WORK_BYTES):
+            _, _, h, at = words(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True)
+            found.append(h)
+            counts.append(np.diff(at))
+        hashes = np.concatenate(found)
         self.docs, self.train = docs.num_rows, docs.column("train").to_numpy()
-        self.count = np.diff(at) + 1
+        self.count = np.concatenate(counts) + 1
         self.owner = np.repeat(np.arange(self.docs), self.count)
         tokens = np.full(len(self.owner), END, np.uint64)
         last = np.cumsum(self.count) - 1
@@ -121,11 +156,13 @@ class Chunk:
         before[np.concatenate([[0], self.last[:-1] + 1])] = self.word[self.last[0]]
         both, self.pair = np.unique(before * n + self.word, return_inverse=True)
         self.u, self.w = both // n, both % n
-        u, w = self.kinds[self.u], self.kinds[self.w] & LOW
-        part = self.part[self.u].copy()
-        salted = np.isin(u, hot)
-        part[salted] = part_of(chain(u[salted], w[salted]), parts)
-        order = np.lexsort((w, u, part))
+        self.pair_part = self.part[self.u]  # words lie in the order of their parts, and so do pairs by context
+        salted = np.flatnonzero(np.isin(self.kinds, hot)[self.u])
+        if not len(salted):
+            return
+        part = self.pair_part.copy()
+        part[salted] = part_of(chain(self.kinds[self.u[salted]], _low(self.kinds[self.w[salted]], WORD_BYTES)), parts)
+        order = np.argsort(part, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.pair, self.u, self.w, self.pair_part = place[self.pair], self.u[order], self.w[order], part[order]
@@ -144,7 +181,7 @@ def _ask_words(parts: int) -> Callable:
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         chunk = Chunk(docs, parts)
         counts = np.bincount(chunk.word, chunk.train[chunk.owner], len(chunk.kinds))
-        return _table([(0, p, key[0].as_py(), chunk.kinds[m].astype("<u8").tobytes(), _counts(counts[m]), None, None, None) for p, m in chunk.words()])
+        return _table([(0, p, key[0].as_py(), chunk.kinds[m].astype("<u8").tobytes(), _small(counts[m]), None, None, None) for p, m in chunk.words()])
 
     return run
 
@@ -152,7 +189,7 @@ def _ask_words(parts: int) -> Callable:
 def _add_words(key: tuple, asked: pa.Table) -> pa.Table:
     """A part of the vocabulary: words with training counts above zero, ascending."""
     h = np.concatenate([_of(x, "<u8") for x in asked.column("a").combine_chunks()])
-    c = np.concatenate([_of(x, "<u4") for x in asked.column("b").combine_chunks()])
+    c = np.concatenate([_large(x)[0] for x in asked.column("b").combine_chunks()])
     kinds, inverse = np.unique(h, return_inverse=True)
     total = np.bincount(inverse, c, len(kinds)).astype("<i8")
     known = total > 0
@@ -184,7 +221,7 @@ def _ask_pairs(parts: int, hot: np.ndarray) -> Callable:
         for p, m in _runs(chunk.pair_part):
             u = chunk.u[m]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(u)) + 1, [len(u)]])
-            rows.append((0, p, key[0].as_py(), chunk.kinds[u[cut[:-1]]].astype("<u8").tobytes(), _counts(np.diff(cut)), *_pack(chunk.kinds[chunk.w[m]] & LOW), _counts(counts[m])))
+            rows.append((0, p, key[0].as_py(), _pack(chunk.kinds[u[cut[:-1]]], CONTEXT_BYTES), _small(np.diff(cut)), _pack(chunk.kinds[chunk.w[m]], WORD_BYTES), _small(counts[m]), None))
         return _table(rows)
 
     return run
@@ -196,10 +233,10 @@ def _seat_pairs(parts: int, distinct: int, hot: np.ndarray) -> Callable:
 
     def run(key: tuple, asked: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        columns = [asked.column(n).combine_chunks() for n in ("a", "b", "c", "d", "e")]
-        u = np.concatenate([np.repeat(_of(a, "<u8"), _of(b, "<u4")) for a, b in zip(columns[0], columns[1], strict=True)])
-        w = np.concatenate([_unpack(c, d) for c, d in zip(columns[2], columns[3], strict=True)])
-        counts = [_of(e, "<u4") for e in columns[4]]
+        columns = [asked.column(n).combine_chunks() for n in ("a", "b", "c", "d")]
+        u = np.concatenate([np.repeat(_unpack(a, CONTEXT_BYTES), _large(b)[0]) for a, b in zip(columns[0], columns[1], strict=True)])
+        w = np.concatenate([_unpack(c, WORD_BYTES) for c in columns[2]])
+        counts = [_large(d)[0] for d in columns[3]]
         size = [len(x) for x in counts]
         _, first, inverse = np.unique(chain(u, w), return_index=True, return_inverse=True)
         c = np.bincount(inverse, np.concatenate(counts), len(first)).astype(np.int64)
@@ -212,9 +249,11 @@ def _seat_pairs(parts: int, distinct: int, hot: np.ndarray) -> Callable:
         # a context that is dealt over parts has a share of its tables here
         share = np.ones(len(contexts))
         if len(hot):
-            at = np.minimum(np.searchsorted(hot[:, 0], contexts), len(hot) - 1)
-            dealt = hot[at, 0] == contexts
-            share[dealt] = np.maximum(customers[dealt], 1) / hot[at, 1][dealt]
+            order = np.argsort(_low(hot[:, 0], CONTEXT_BYTES))
+            names, total = _low(hot[:, 0], CONTEXT_BYTES)[order], hot[order, 1]
+            at = np.minimum(np.searchsorted(names, contexts), len(hot) - 1)
+            dealt = names[at] == contexts
+            share[dealt] = np.maximum(customers[dealt], 1) / total[at][dealt]
         rng = np.random.default_rng([17, part])
         t, samples = known.astype(np.float64), []
         for sweep in range(BURN_IN + SAMPLES):
@@ -225,15 +264,16 @@ def _seat_pairs(parts: int, distinct: int, hot: np.ndarray) -> Callable:
         rows, at = [], 0
         for chunk, n in zip(asked.column("src").to_pylist(), size, strict=True):
             own = inverse[at : at + n]
-            rows.append((0, chunk, part, _counts(c[own]), *(_counts(x[own]) for x in samples), None, None))
+            rows.append((0, chunk, part, _small(c[own], *((x - known)[own] for x in samples)), None, None, None, None))
             at += n
-        for kind, names, number, own_part in ((1, follow, following, part_of(follow, parts)), (2, contexts, context, part_of(contexts, parts))):
+        for kind, names, number, width in ((1, follow, following, WORD_BYTES), (2, contexts, context, CONTEXT_BYTES)):
+            own_part = part_of(names, parts)
             sums = [np.bincount(number, x, len(names)) for x in samples]
             some = sums[0] > 0
             names, own_part, sums = names[some], own_part[some], [x[some] for x in sums]
             order = np.argsort(own_part, kind="stable")
             for p, m in _runs(own_part[order]):
-                rows.append((kind, p, part, *_pack(names[order][m] & LOW), *(_counts(x[order][m]) for x in sums), None))
+                rows.append((kind, p, part, _pack(names[order][m], width), _small(*(x[order][m] for x in sums)), None, None, None))
         return _table(rows)
 
     return run
@@ -244,21 +284,22 @@ def _seat_words(distinct: int) -> Callable:
 
     def run(key: tuple, known: pa.Table, tables: pa.Table) -> pa.Table:
         if not known.num_rows:
-            return pa.table([pa.array([], k) for k in (pa.int32(), *[pa.binary()] * 2, *[pa.list_(pa.binary())] * 3, pa.list_(pa.float64()), pa.list_(pa.float64()))], ["part", "words", "counts", "customers", "tables", "own", "all_customers", "all_tables"])
+            return pa.table([pa.array([], k) for k in (pa.int32(), *[pa.binary()] * 5, *[pa.list_(pa.float64())] * 2)], ["part", "words", "counts", "customers", "tables", "own", "all_customers", "all_tables"])
         h, c = _of(known.column("words")[0], "<u8"), known.column("counts")[0].as_py()
-        low = h & LOW
-        order = np.argsort(low)
+        lows = {1: _low(h, WORD_BYTES), 2: _low(h, CONTEXT_BYTES)}
+        orders = {k: np.argsort(x) for k, x in lows.items()}
         sums = np.zeros((2, SAMPLES, len(h)))
-        for kind, a, b, *t in zip(tables.column("kind").to_pylist(), *(tables.column(n).combine_chunks() for n in "abcd"), strict=True):
-            names = _unpack(a, b)
+        for kind, a, b in zip(tables.column("kind").to_pylist(), tables.column("a").combine_chunks(), tables.column("b").combine_chunks(), strict=True):
+            t = _large(b)
+            low, order, names = lows[kind], orders[kind], _unpack(a, WORD_BYTES if kind == 1 else CONTEXT_BYTES)
             at = order[np.minimum(np.searchsorted(low, names, sorter=order), max(len(h) - 1, 0))] if len(h) else np.zeros(0, np.int64)
             hit = low[at] == names
             for s in range(SAMPLES):
-                sums[kind - 1, s] += np.bincount(at[hit], _of(t[s], "<u4")[hit], len(h))
+                sums[kind - 1, s] += np.bincount(at[hit], t[s][hit], len(h))
         customers = np.maximum(sums[0], 1)  # a training token has a table somewhere
         rng = np.random.default_rng([19, key[0].as_py()])
         own = [seat(customers[s].astype(np.int64), np.full(len(h), (WORD_S + WORD_D * distinct) / (distinct + 1)), WORD_D, rng) for s in range(SAMPLES)]
-        blob = lambda xs: pa.array([[_counts(x) for x in xs]], pa.list_(pa.binary()))
+        blob = lambda xs: pa.array([_small(*xs)], pa.binary())
         totals = lambda xs: pa.array([[float(x.sum()) for x in xs]], pa.list_(pa.float64()))
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([c], pa.binary()), blob(customers), blob(own), blob(sums[1]), totals(customers), totals(own)],
                         ["part", "words", "counts", "customers", "tables", "own", "all_customers", "all_tables"])
@@ -277,34 +318,23 @@ class Totals:
         return (WORD_S + WORD_D * self.tables[s]) / (WORD_S + self.customers[s]) / (self.distinct + 1)
 
 
-def _answer_words(totals: Totals) -> Callable:
-    """(kind 1, chunk, part, training counts, and for each sample the parent's probability and the context's tables)."""
-
-    def run(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-        h, c, p, t = np.zeros(0, np.uint64), np.zeros(0, np.int64), [np.zeros(0)] * SAMPLES, [np.zeros(0)] * SAMPLES
-        if known.num_rows:
-            h, c = _of(known.column("words")[0], "<u8"), _of(known.column("counts")[0], "<i8")
-            for s in range(SAMPLES):
-                customers, tables = (_of(known.column(n)[0][s], "<u4") for n in ("customers", "tables"))
-                p[s] = np.maximum(customers - WORD_D * tables, 0) / (WORD_S + totals.customers[s])
-                t[s] = _of(known.column("own")[0][s], "<u4")
-        rows = []
-        for chunk, a in zip(asked.column("src").to_pylist(), asked.column("a").combine_chunks(), strict=True):
-            own = _of(a, "<u8")
-            at = np.minimum(np.searchsorted(h, own), max(len(h) - 1, 0))
-            hit = h[at] == own if len(h) else np.zeros(len(own), bool)
-            counts = np.zeros(len(own), np.int64)
-            counts[hit] = c[at[hit]]
-            both = []
-            for s in range(SAMPLES):
-                prob, tables = np.full(len(own), totals.unknown(s)), np.zeros(len(own))
-                prob[hit] += p[s][at[hit]]
-                tables[hit] = t[s][at[hit]]
-                both += [prob.astype("<f4").tobytes(), _counts(tables)]
-            rows.append((1, chunk, key[0].as_py(), _counts(counts), *both))
-        return _table(rows)
-
-    return run
+def _answer_words(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+    """(kind 1, chunk, part): each word's training counts, and in each sample its customers and tables in the parent and its tables as a context."""
+    h, facts = np.zeros(0, np.uint64), []
+    if known.num_rows:
+        h, facts = _of(known.column("words")[0], "<u8"), [_of(known.column("counts")[0], "<i8")]
+        for own in zip(*(_large(known.column(n)[0]) for n in ("customers", "tables", "own")), strict=True):
+            facts += own
+    rows = []
+    for chunk, a in zip(asked.column("src").to_pylist(), asked.column("a").combine_chunks(), strict=True):
+        own = _of(a, "<u8")
+        at = np.minimum(np.searchsorted(h, own), max(len(h) - 1, 0))
+        hit = h[at] == own if len(h) else np.zeros(len(own), bool)
+        out = np.zeros((1 + 3 * SAMPLES, len(own)), np.int64)
+        for k, x in enumerate(facts):
+            out[k, hit] = x[at[hit]]
+        rows.append((1, chunk, key[0].as_py(), _small(*out), None, None, None, None))
+    return _table(rows)
 
 
 def _score(parts: int, hot: np.ndarray, totals: Totals) -> Callable:
@@ -312,20 +342,22 @@ def _score(parts: int, hot: np.ndarray, totals: Totals) -> Callable:
         chunk = Chunk(docs, parts)
         chunk.pairs(hot[:, 0], parts)
         kind, src = answers.column("kind").to_numpy(), answers.column("src").to_numpy()
+        blobs = answers.column("a").combine_chunks()
 
-        def column(k: int, name: str, form: str) -> np.ndarray:
-            blobs = answers.column(name).combine_chunks()
+        def facts(k: int) -> list[np.ndarray]:
             rows = np.flatnonzero(kind == k)
-            return np.concatenate([_of(blobs[i], form) for i in rows[np.argsort(src[rows])].tolist()]).astype(np.float64)
+            parts_ = [_large(blobs[i]) for i in rows[np.argsort(src[rows])].tolist()]
+            return [np.concatenate(x).astype(np.float64) for x in zip(*parts_, strict=True)]
 
-        c = column(1, "a", "<u4")
+        c, *by_word = facts(1)
+        customers, *extra = facts(0)
         prob = np.zeros(len(chunk.u))
-        customers = column(0, "a", "<u4")
         for s in range(SAMPLES):
-            parent, tables = column(1, "bd"[s], "<f4"), column(1, "ce"[s], "<u4")
-            back = (PAIR_S + PAIR_D * tables) / (PAIR_S + c)
-            own = np.maximum(customers - PAIR_D * column(0, "bc"[s], "<u4"), 0) / (PAIR_S + c[chunk.u])
-            prob += own + np.minimum(back[chunk.u], 1) * parent[chunk.w]
+            inner, tables, own_tables = by_word[3 * s : 3 * s + 3]
+            parent = np.maximum(inner - WORD_D * tables, 0) / (WORD_S + totals.customers[s]) + totals.unknown(s)
+            back = np.minimum((PAIR_S + PAIR_D * own_tables) / (PAIR_S + c), 1)
+            seated = extra[s] + (customers > 0)
+            prob += np.maximum(customers - PAIR_D * seated, 0) / (PAIR_S + c[chunk.u]) + back[chunk.u] * parent[chunk.w]
         base = np.log10((c + 0.5) / (totals.tokens + 0.5 * (totals.distinct + 1)))
         sums = [np.bincount(chunk.owner, x, chunk.docs) for x in (base[chunk.word], np.log10(prob / SAMPLES)[chunk.pair], (c > 0).astype(np.float64)[chunk.word])]
         return pa.table([docs.column("doc_id"), pa.array(~chunk.train), pa.array(chunk.count), pa.array(sums[2].astype(np.int64)), pa.array(np.full(chunk.docs, totals.tokens)), pa.array(sums[0]), pa.array(sums[1])],
@@ -355,14 +387,14 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     sweep(spark)
 
     tables = seated.filter("kind > 0").withColumnRenamed("dest", "part").groupBy("part")
-    lists = "part int, words binary, counts binary, customers array<binary>, tables array<binary>, own array<binary>, all_customers array<double>, all_tables array<double>"
+    lists = "part int, words binary, counts binary, customers binary, tables binary, own binary, all_customers array<double>, all_tables array<double>"
     parent = written(vocabulary.groupBy("part").cogroup(tables).applyInArrow(_seat_words(distinct), lists), "parent")
     sums = [F.sum(F.get(n, F.lit(s))).alias(f"{n}{s}") for n in ("all_customers", "all_tables") for s in range(SAMPLES)]
     row = parent.agg(*sums).first()
     totals = Totals(tokens, distinct, tuple(row[f"all_customers{s}"] or 0.0 for s in range(SAMPLES)), tuple(row[f"all_tables{s}"] or 0.0 for s in range(SAMPLES)))
     sweep(spark)
 
-    answers = asked.withColumnRenamed("dest", "part").groupBy("part").cogroup(parent.groupBy("part")).applyInArrow(_answer_words(totals), BLOBS)
+    answers = asked.withColumnRenamed("dest", "part").groupBy("part").cogroup(parent.groupBy("part")).applyInArrow(_answer_words, BLOBS)
     replies = seated.filter("kind = 0").unionByName(answers).withColumnRenamed("dest", "chunk").groupBy("chunk")
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = chunked.cogroup(replies).applyInArrow(_score(parts, hot, totals), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
