@@ -189,7 +189,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, windows: int = WINDOW
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padding (of its sequence)."""
     arrow_limits(docs.sparkSession)
     docs = texts(docs)
-    tasks = docs.rdd.getNumPartitions()
+    tasks = max(1, docs.rdd.getNumPartitions())
     done = written(_first(docs, path, length, windows, end), "packed")
     parts, level = [done.filter("full")], 1
     left = done.filter("NOT full")
