@@ -19,6 +19,7 @@ import heapq
 import json
 import unicodedata
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_limits, slices, text_bytes, texts
 
 #: Distinct words kept between batches of a worker.
-CACHE_WORDS = 400_000
-WORK_BYTES = 4 << 20
+CACHE_WORDS = 200_000
+WORK_BYTES = 2 << 20
 #: White space as the library's pattern engine has it (no control separators 0x1C to 0x1F).
 SPACE = r"\p{White_Space}"
 #: Marks that are a pre-token of their own at the end of a word.
@@ -75,7 +76,8 @@ class Bpe:
             return
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         v = self.vocab
-        self.merges = {(v[a] << 32) | v[b]: (rank, v[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.by_rank = [(v[a], v[b], v[a + b]) for a, b in pairs]
+        self.ranks = {a << 32 | b: rank for rank, (a, b, _) in enumerate(self.by_rank)}
         chars = byte_characters()
         self.first = [v.get(c, -1) for c in chars]
         self.final = [v.get(c + self.suffix, -1) for c in chars]
@@ -131,82 +133,63 @@ class Bpe:
 
     # Encoding distinct words
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, by the pair occurrence index over all of them."""
-        sym: list[int] = []
-        owner: list[int] = []
-        begin = []
-        first, final = self.first, self.final
-        for w, word in enumerate(words):
+        """Ids of each word, by the pair occurrence index over all of them. A mark of -1 lies between words and joins nothing."""
+        first, final = self.first.__getitem__, self.final
+        sym, begin = [-1], []
+        for word in words:
             raw = word.encode()
             begin.append(len(sym))
-            sym.extend([first[b] for b in raw[:-1]])
-            sym.append(final[raw[-1]])
-            owner.extend([w] * len(raw))
+            sym += map(first, raw)
+            sym[-1] = final[raw[-1]]
+            sym.append(-1)
         n = len(sym)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        for b in begin:
-            before[b] = -1
-            if b:
-                after[b - 1] = n
-        if n:
-            after[n - 1] = n
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank_of, by_rank = self.ranks.get, self.by_rank
         index: dict[int, list[int]] = {}
-        made: dict[int, tuple[int, int, int]] = {}
-        merges = self.merges
-        starts = set(begin)
-        for p in range(n - 1):
-            if p + 1 not in starts and (m := merges.get(sym[p] << 32 | sym[p + 1])) is not None:
-                if (got := index.get(m[0])) is None:
-                    index[m[0]] = [p]
-                    made[m[0]] = (sym[p], sym[p + 1], m[1])
+        for p, k in enumerate(map(rank_of, [x << 32 | y for x, y in zip(sym, sym[1:], strict=False)])):
+            if k is not None:
+                if k in index:
+                    index[k].append(p)
                 else:
-                    got.append(p)
+                    index[k] = [p]
         heap = list(index)
         heapq.heapify(heap)
+        push, pop = heapq.heappush, heapq.heappop
         while heap:
-            rank = heapq.heappop(heap)
+            rank = pop(heap)
             places = index.pop(rank, None)
             if places is None:
                 continue
-            a, b, new = made[rank]
+            a, b, new = by_rank[rank]
             places.sort()
-            waiting: set[int] = set()
+            waiting: set[int] = set()  # words where a lower rank has come up
             later = []
             for p in places:
-                if sym[p] != a or (q := after[p]) >= n or sym[q] != b:
+                if sym[p] != a:
                     continue
-                if waiting and owner[p] in waiting:
+                q = after[p]
+                if sym[q] != b:
+                    continue
+                if waiting and bisect_right(begin, p) in waiting:
                     later.append(p)
                     continue
                 sym[p], sym[q] = new, -2
                 after[p] = r = after[q]
-                if r < n:
-                    before[r] = p
-                    if (m := merges.get(new << 32 | sym[r])) is not None:
-                        k = m[0]
-                        if (got := index.get(k)) is None:
-                            index[k] = [p]
-                            made[k] = (new, sym[r], m[1])
-                            heapq.heappush(heap, k)
+                before[r] = p
+                o = before[p]
+                for at, pair in ((p, new << 32 | sym[r]), (o, sym[o] << 32 | new)):
+                    k = rank_of(pair)
+                    if k is not None:
+                        if k in index:
+                            index[k].append(at)
                         else:
-                            got.append(p)
+                            index[k] = [at]
+                            push(heap, k)
                         if k < rank:
-                            waiting.add(owner[p])
-                o = before[p]
-                if o >= 0 and (m := merges.get(sym[o] << 32 | new)) is not None:
-                    k = m[0]
-                    if (got := index.get(k)) is None:
-                        index[k] = [o]
-                        made[k] = (sym[o], new, m[1])
-                        heapq.heappush(heap, k)
-                    else:
-                        got.append(o)
-                    if k < rank:
-                        waiting.add(owner[p])
+                            waiting.add(bisect_right(begin, p))
             if later:
                 index[rank] = later
-                heapq.heappush(heap, rank)
+                push(heap, rank)
         begin.append(n)
         return [array("I", [s for s in sym[i:j] if s >= 0]).tobytes() for i, j in zip(begin, begin[1:], strict=False)]
 
