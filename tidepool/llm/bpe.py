@@ -82,11 +82,6 @@ class Bpe:
         self.first = [v.get(c, -1) for c in chars]
         self.final = [v.get(c + self.suffix, -1) for c in chars]
 
-    def forget(self) -> None:
-        """Let go of cached words, so that a worker that waits for its next task stays small."""
-        self.cache.clear()
-        self.words.clear()
-
     # Preparing texts
     def parts(self, text: str) -> Iterator[list[str] | int]:
         """Runs of units (texts that are encoded on their own), and ids of added tokens between them, in order."""
@@ -251,7 +246,6 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for a, b, some in text_lists(batch.column(1)):
                 ids = bpe.encode(some)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
-        bpe.forget()
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens long")
 
@@ -284,6 +278,5 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
                     pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]),
                 ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        bpe.forget()
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

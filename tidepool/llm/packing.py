@@ -153,7 +153,6 @@ def _first(docs: DataFrame, path: str, length: int, most: int, end: int) -> Data
             for number, items in windows.rest():
                 out.rows += _rows(number, items, False)
             yield out.batch()
-        bpe.forget()
 
     return docs.mapInArrow(run, _schema(docs))
 

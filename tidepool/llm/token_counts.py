@@ -79,6 +79,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             for a, b, some in text_lists(batch.column(1)):
                 n = np.array(counts.count(some), np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes[a:b]), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-        counts.known.clear()
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
