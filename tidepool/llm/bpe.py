@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_limits, slices, text_bytes, texts
 
 #: Distinct words kept between batches of a worker.
-CACHE_WORDS = 200_000
-WORK_BYTES = 2 << 20
+CACHE_WORDS = 250_000
+WORK_BYTES = 3 << 20
 #: White space as the library's pattern engine has it (no control separators 0x1C to 0x1F).
 SPACE = r"\p{White_Space}"
 #: Marks that are a pre-token of their own at the end of a word.
@@ -124,10 +124,11 @@ class Bpe:
         if not self.normalised:
             return self.encode_words(units)
         split = [self.pieces(u) for u in units]
+        words = set(chain.from_iterable(split))
+        if len(self.words) > CACHE_WORDS:
+            self.words = {w: self.words[w] for w in words & self.words.keys()}
         ids = self.words
-        if len(ids) > CACHE_WORDS:
-            ids.clear()
-        distinct = list(set(chain.from_iterable(split)) - ids.keys())
+        distinct = list(words - ids.keys())
         ids.update(zip(distinct, self.encode_words(distinct), strict=True))
         return [ids[s[0]] if len(s) == 1 else b"".join([ids[w] for w in s]) for s in split]
 
@@ -197,9 +198,9 @@ class Bpe:
         """Ids of each text. Each distinct word of the batch is encoded once."""
         prepared = [list(self.parts(t)) for t in batch]
         new = set().union(*(run for p in prepared for run in p if not isinstance(run, int)))
+        if len(self.cache) > CACHE_WORDS:  # what this batch has again is worth keeping
+            self.cache = {w: self.cache[w] for w in new & self.cache.keys()}
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
         todo = [w for w in new if w not in cache]
         cache.update(zip(todo, self.encode_units(todo), strict=True))
         get = cache.__getitem__
