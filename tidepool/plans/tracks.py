@@ -14,7 +14,7 @@ MS = "m AS (SELECT user_id % 10 AS source_id, event_type, event_id, a, b FROM s
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    return spans(spark, d).filter("id < 2000").withColumn("source_id", F.col("user_id") % 10)
+    return spans(spark, d).withColumn("source_id", F.col("user_id") % 10)
 
 
 @query("face_voice_pairs", f"WITH {SPANS}, {MS}, x AS (SELECT source_id, event_type || source_id AS speaker, a, b FROM m WHERE event_id % 2 = 0), y AS (SELECT source_id, event_type AS track, a, b FROM m WHERE event_id % 2 = 1), p AS (SELECT x.source_id, speaker, track, sum(least(x.b, y.b) - greatest(x.a, y.a)) AS seconds, sum(x.b - x.a) AS length, count(*) AS turns FROM x JOIN y ON x.source_id = y.source_id AND x.a < y.b AND y.a < x.b WHERE least(x.b, y.b) - greatest(x.a, y.a) >= 0.4 GROUP BY ALL) SELECT source_id, speaker, track, round(seconds, 6) AS seconds, round(0.75 * least(1.0, seconds / length) + 0.25 * turns / max(turns) OVER (PARTITION BY source_id, speaker), 6) AS score FROM p")
@@ -65,7 +65,8 @@ def face_voice_confidence(spark: SparkSession, d: str) -> DataFrame:
 @query("window_payload", f"WITH {SPANS}, {MS}, w AS (SELECT source_id, n AS \"window\", n * 86400.0 AS a, (n + 1) * 86400.0 AS b FROM (SELECT DISTINCT source_id FROM m), (SELECT unnest(range(0, 31)) AS n)), h AS (SELECT w.source_id, w.\"window\", event_id, row_number() OVER (PARTITION BY w.source_id, w.\"window\" ORDER BY m.a, event_id) AS k FROM w JOIN m ON w.source_id = m.source_id AND w.a <= m.b AND m.a <= w.b) SELECT source_id, \"window\", string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY k) AS items FROM h WHERE k <= 5 GROUP BY 1, 2")
 def window_payload(spark: SparkSession, d: str) -> DataFrame:
     s = _sources(spark, d)
-    w = s.select("source_id").distinct().join(F.broadcast(spark.range(31).withColumnRenamed("id", "window")), F.lit(True))
+    days = s.agg(F.floor(F.min("start") / 86400).alias("first"), F.floor(F.max("end") / 86400).alias("last")).select(F.explode(F.sequence("first", "last")).alias("window"))  # one row of bounds
+    w = s.select("source_id").distinct().join(F.broadcast(days), F.lit(True))
     w = w.select("source_id", "window", (F.col("window") * 86400.0).alias("a_start"), ((F.col("window") + 1) * 86400.0).alias("a_end"))
     out = media.window_payload(w, s.select("source_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("id").alias("item")), 86400.0, 5)
     return out.select("source_id", "window", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
