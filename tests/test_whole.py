@@ -68,3 +68,21 @@ def test_speech_turns_of_all_events(spark, tables):
     met = {(x[0], x[2], x[3]) for x, _ in pairs}
     want += [(x[0], x[2], "(audio)", micros(x[3]), micros(max(x[4], x[3] + 1))) for x in m if x[1] % 2 == 0 and (x[0], x[2], x[3]) not in met]
     assert got(spark, "speech_turns", tables) == sorted(want)
+
+
+def test_interval_overlap_pairs_of_all_users(spark, tables):
+    e = [(i, u, s, s + n) for i, s, u, _, n in EVENTS]
+    want = [(x[0], y[0], round(min(x[3], y[3]) - max(x[2], y[2]), 3)) for x in e for y in e if x[1] < y[1] and x[2] < y[3] and y[2] < x[3]]
+    assert any(a > 5000 for a, _, _ in want) and got(spark, "interval_overlap_pairs", tables) == sorted(want)
+
+
+def test_span_to_segment_of_all_users_and_days(spark, tables):
+    assert got(spark, "span_to_segment", tables) == sorted((i, int(s // 900)) for i, s, _, _, _ in EVENTS)
+
+
+def test_nearest_sample_of_all_users(spark, tables):
+    want = []
+    for i, s, u, _, _ in EVENTS:
+        samples = sorted((abs(s - t), t, j) for j, t, v, _, _ in EVENTS if v == u and j % 2 == 1)
+        want += [(u, i, samples[0][2])] if i % 2 == 0 and samples else []
+    assert want == [(53, 5000, 5001)] and got(spark, "nearest_sample", tables) == want

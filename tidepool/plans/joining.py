@@ -177,7 +177,7 @@ TRACKS = "tr AS (SELECT user_id, event_id AS id, epoch_us(ts) / 1e6 - 1704067200
 
 def _tracks(spark: SparkSession, d: str) -> DataFrame:
     s = seconds(F.col("t"), timestamp("2024-01-01"))
-    return S.events(spark, d).filter("user_id < 20").select("user_id", "id", "action", s.alias("start"), (s + F.col("value")).alias("end"))
+    return S.events(spark, d).select("user_id", "id", "action", s.alias("start"), (s + F.col("value")).alias("end"))
 
 
 @query("interval_overlap_pairs", f"WITH {TRACKS} SELECT x.id AS a, y.id AS b, round(least(x.f, y.f) - greatest(x.s, y.s), 3) AS seconds FROM tr x JOIN tr y ON x.user_id < y.user_id AND x.s < y.f AND y.s < x.f")
@@ -200,8 +200,10 @@ def timeslice_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("span_to_segment", f"WITH {TRACKS}, g AS (SELECT unnest(range(0, 3000)) AS i) SELECT id AS span_id, min(i) AS segment_index FROM tr JOIN g ON s < (i + 1) * 900 AND i * 900 < f GROUP BY 1")
 def span_to_segment(spark: SparkSession, d: str) -> DataFrame:
-    g = spark.range(3000).select(F.col("id").alias("segment_index"), (F.col("id") * 900.0).alias("start"), ((F.col("id") + 1) * 900.0).alias("end"))
-    return I.assign_first(_tracks(spark, d).select(F.col("id").alias("span_id"), "start", "end"), g, 900.0)
+    t = _tracks(spark, d)
+    g = t.agg(F.floor(F.min("start") / 900).alias("first"), F.floor(F.max("end") / 900).alias("last")).select(F.explode(F.sequence("first", "last")).alias("segment_index"))
+    g = g.select("segment_index", (F.col("segment_index") * 900.0).alias("start"), ((F.col("segment_index") + 1) * 900.0).alias("end"))
+    return I.assign_first(t.select(F.col("id").alias("span_id"), "start", "end"), g, 900.0)
 
 
 @query("nearest_sample", f"WITH {TRACKS}, c AS (SELECT id, user_id, s FROM tr WHERE id % 2 = 0), o AS (SELECT id, user_id, s FROM tr WHERE id % 2 = 1), r AS (SELECT c.id AS point_id, o.id AS sample_id, c.user_id, row_number() OVER (PARTITION BY c.id ORDER BY abs(c.s - o.s), o.s) AS k FROM c JOIN o USING (user_id)) SELECT user_id, point_id, sample_id FROM r WHERE k = 1")
