@@ -1,6 +1,7 @@
 """Queries over rows that an id, a user or a fixed range would leave out, against brute force."""
 
 import datetime as dt
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -86,3 +87,10 @@ def test_nearest_sample_of_all_users(spark, tables):
         samples = sorted((abs(s - t), t, j) for j, t, v, _, _ in EVENTS if v == u and j % 2 == 1)
         want += [(u, i, samples[0][2])] if i % 2 == 0 and samples else []
     assert want == [(53, 5000, 5001)] and got(spark, "nearest_sample", tables) == want
+
+
+def test_proper_names_of_every_turn(spark, tmp_path):
+    texts = ["Anna Lee met Bob", "Élodie saw Anna Lee – then André and Zoé", "nobody", "Naïve Karl Marx lives in Köln", "在London Paris 见面", "Straße: Maria, Jo", None]
+    pq.write_table(pa.table({"conv_id": [1] * len(texts), "turn": range(len(texts)), "role": ["user"] * len(texts), "text": texts}), tmp_path / "conversations.parquet")
+    want = [(1, i, ",".join(re.findall(r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*\b", t)) if t is not None else None) for i, t in enumerate(texts)]
+    assert got(spark, "proper_names", str(tmp_path)) == want

@@ -60,7 +60,8 @@ def chat_time(text: Column) -> Column:
 
 
 def proper_names(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*)\b"), 1)
+    """Runs of capitalised ASCII words. Word boundaries are Unicode's on every Java, so no name ends before an accented letter."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\b([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*)\b"), 1)
 
 
 def speaker(text: Column) -> Column:

@@ -47,8 +47,7 @@ def keyword_derive(spark: SparkSession, d: str) -> DataFrame:
 
 @query("proper_names", "SELECT conv_id, turn, array_to_string(regexp_extract_all(text, '\\b[A-Z][a-z]{2,}(?:\\s+[A-Z][a-z]{2,})*\\b'), ',') AS names FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
 def proper_names(spark: SparkSession, d: str) -> DataFrame:
-    c = S.parquet(spark, d, "conversations").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return c.select("conv_id", "turn", F.array_join(T.proper_names(F.col("text")), ",").alias("names"))
+    return S.parquet(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.proper_names(F.col("text")), ",").alias("names"))
 
 
 @query("turn_refs", "SELECT conv_id, turn, CAST(turn AS INTEGER) AS n FROM conversations")
