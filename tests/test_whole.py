@@ -94,3 +94,59 @@ def test_proper_names_of_every_turn(spark, tmp_path):
     pq.write_table(pa.table({"conv_id": [1] * len(texts), "turn": range(len(texts)), "role": ["user"] * len(texts), "text": texts}), tmp_path / "conversations.parquet")
     want = [(1, i, ",".join(re.findall(r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*\b", t)) if t is not None else None) for i, t in enumerate(texts)]
     assert got(spark, "proper_names", str(tmp_path)) == want
+
+
+@pytest.fixture(scope="module")
+def whole(sf):
+    return lambda t: pq.read_table(f"{sf}/{t}.parquet").to_pylist()
+
+
+def grouped(pairs):
+    out = {}
+    for k, v in pairs:
+        out.setdefault(k, []).append(v)
+    return out
+
+
+def test_explain_bundle_of_every_order(spark, sf, whole):
+    lines = grouped((x["l_orderkey"], x) for x in whole("lineitem"))
+    names = lambda own, letter, c: sorted({f"{letter}{x[c]}" for x in own})
+    want = []
+    for o in sorted(x["o_orderkey"] for x in whole("orders")):
+        own = lines.get(o, [])
+        p, s, n = names(own, "p", "l_partkey"), names(own, "s", "l_suppkey"), len({x["l_shipdate"] for x in own})
+        want.append((o, ",".join(p), ",".join(s), n, round(0.3 * min(n, 3) + 0.2 * min(len(p), 3), 6)))
+    assert len(want) > 1000 and got(spark, "explain_bundle", sf) == want
+
+
+def test_entity_timeline_union_of_every_entity(spark, sf, whole):
+    want = [(x["o_custkey"], "order", x["o_orderkey"], x["o_orderdate"]) for x in whole("orders")] + [(x["user_id"], x["event_type"], x["event_id"], x["ts"]) for x in whole("events")]
+    assert got(spark, "entity_timeline_union", sf) == sorted(want)
+
+
+def test_entity_facts_of_every_part(spark, sf, whole):
+    facts = grouped(((x["l_partkey"], x["l_orderkey"]), x["l_shipdate"]) for x in whole("lineitem"))
+    newest = sorted(((*k, max(v), len(v)) for k, v in facts.items()), key=lambda r: (-r[2].timestamp(), r[1], r[0]))[:100]
+    assert got(spark, "entity_facts", sf) == sorted(newest)
+
+
+def test_quotes_of_every_session(spark, tmp_path):
+    pq.write_table(pa.table({"conv_id": [3, 20, 700, 701], "turn": [0, 1, 2, 3], "role": ["user", "user", "user", "assistant"], "text": ["a", "b", "c", "d"]}), tmp_path / "conversations.parquet")
+    assert got(spark, "quotes", str(tmp_path)) == [(3, 0, "a"), (20, 1, "b"), (700, 2, "c")]
+
+
+def test_semantic_summary_of_every_user(spark, sf, whole):
+    users = grouped((x["user_id"], x) for x in whole("events"))
+    ids = lambda own: ",".join(map(str, sorted(x["event_id"] for x in own if x["event_type"] in ("click", "view")))) or None
+    assert got(spark, "semantic_summary", sf) == sorted((u, ids(own), sum(x["event_type"] == "purchase" for x in own)) for u, own in users.items())
+
+
+def test_order_consistency_of_every_event(spark, tmp_path):
+    pq.write_table(pa.table({"event_id": [1, 2, 400, 401], "ts": pa.array([START + dt.timedelta(days=i) for i in range(4)], pa.timestamp("us")), "user_id": [7, 8, 7, 9], "event_type": ["view"] * 4, "value": [5.0, 1.0, 4.0, 2.0], "props": ['{"k": 1}'] * 4}), tmp_path / "events.parquet")
+    assert got(spark, "order_consistency", str(tmp_path)) == [(7, 0), (8, 1), (9, 1)]
+
+
+def test_edge_endpoints_of_every_part(spark, sf, whole):
+    parts, suppliers = {x["p_partkey"] for x in whole("part")}, {x["s_suppkey"] for x in whole("supplier")}
+    want = {(f"p{x['l_partkey']}", f"s{x['l_suppkey']}") for x in whole("lineitem") if x["l_partkey"] in parts and x["l_suppkey"] in suppliers}
+    assert got(spark, "edge_endpoints", sf) == sorted(want)

@@ -28,7 +28,7 @@ def time_since_topic_entity(spark: SparkSession, d: str) -> DataFrame:
 @query("quotes", "SELECT conv_id AS session_id, turn AS idx, text FROM conversations WHERE role = 'user' AND conv_id < 20 ORDER BY idx DESC, session_id LIMIT 50")
 def quotes(spark: SparkSession, d: str) -> DataFrame:
     """What one speaker said, newest first."""
-    t = S.turns(spark, d).filter("speaker = 'user' AND session_id < 20")
+    t = S.turns(spark, d).filter("speaker = 'user'")
     return t.select("session_id", "idx", "text").orderBy(F.desc("idx"), "session_id").limit(50)
 
 

@@ -64,8 +64,8 @@ SELECT o_orderkey AS event_id, coalesce(entities, '') AS entities, coalesce(evid
 def explain_bundle(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.scoring import explain_signal
 
-    e = S.order_events(spark, d).filter("id < 200").select(F.col("id").alias("event_id"))
-    lines = S.parquet(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate").filter("l_orderkey < 200")
+    e = S.order_events(spark, d).select(F.col("id").alias("event_id"))
+    lines = S.parquet(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
     item = lambda letter, c: lines.select(F.col("l_orderkey").alias("event_id"), F.concat(F.lit(letter), F.col(c).cast("string")).alias("item"))
     out = G.bundle(e, {"entities": item("p", "l_partkey"), "evidences": item("s", "l_suppkey"), "slices": item("", "l_shipdate")})
     signal = explain_signal(F.size("slices"), F.lit(0), F.size("entities"), F.lit(0))
@@ -98,14 +98,14 @@ def entity_by_name(spark: SparkSession, d: str) -> DataFrame:
 @query("entity_facts", "SELECT p_partkey AS entity_id, l_orderkey AS fact_id, max(l_shipdate) AS t, count(*) AS sources FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey < 20 GROUP BY 1, 2 ORDER BY t DESC, fact_id, entity_id LIMIT 100")
 def entity_facts(spark: SparkSession, d: str) -> DataFrame:
     """What is stated of entities, newest first."""
-    lines = S.parquet(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_shipdate").filter("l_partkey < 20")
+    lines = S.parquet(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_shipdate")
     return lines.groupBy(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("fact_id")).agg(F.max("l_shipdate").alias("t"), F.count(F.lit(1)).alias("sources")).orderBy(F.desc("t"), "fact_id", "entity_id").limit(100)
 
 
 @query("entity_timeline_union", "SELECT o_custkey AS entity_id, 'order' AS kind, o_orderkey AS item, o_orderdate AS t FROM orders WHERE o_custkey < 30 UNION ALL SELECT user_id, event_type, event_id, ts FROM events WHERE user_id < 30")
 def entity_timeline_union(spark: SparkSession, d: str) -> DataFrame:
-    a = S.order_events(spark, d).filter("actor_id < 30").select(F.col("actor_id").alias("entity_id"), F.lit("order").alias("kind"), F.col("id").alias("item"), "t")
-    b = S.events(spark, d).filter("user_id < 30").select(F.col("user_id").alias("entity_id"), F.col("action").alias("kind"), F.col("id").alias("item"), "t")
+    a = S.order_events(spark, d).select(F.col("actor_id").alias("entity_id"), F.lit("order").alias("kind"), F.col("id").alias("item"), "t")
+    b = S.events(spark, d).select(F.col("user_id").alias("entity_id"), F.col("action").alias("kind"), F.col("id").alias("item"), "t")
     return a.unionByName(b)
 
 

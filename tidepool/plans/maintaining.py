@@ -40,8 +40,8 @@ def edge_merge_sum(spark: SparkSession, d: str) -> DataFrame:
 
 @query("edge_endpoints", f"WITH {EDGE} SELECT src_id, dst_id FROM e WHERE CAST(substr(src_id, 2) AS INTEGER) < 100 AND CAST(substr(dst_id, 2) AS INTEGER) < 50")
 def edge_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    p = S.parquet(spark, d, "part", "p_partkey").filter("p_partkey < 100").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
-    s = S.parquet(spark, d, "supplier", "s_suppkey").filter("s_suppkey < 50").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    p = S.parquet(spark, d, "part", "p_partkey").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
+    s = S.parquet(spark, d, "supplier", "s_suppkey").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
     return O.known_edges(supply(spark, d), p.union(s)).select("src_id", "dst_id")
 
 

@@ -139,7 +139,7 @@ def rank_unit(spark: SparkSession, d: str) -> DataFrame:
 @query("order_consistency", "WITH r AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE event_id < 400) SELECT user_id, CAST(min(CASE WHEN p IS NULL OR p <= value THEN 1 ELSE 0 END) AS INTEGER) AS consistent FROM r GROUP BY 1")
 def order_consistency(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("t", "id")
-    e = S.events(spark, d).filter("id < 400").withColumn("p", F.lag("value").over(w))
+    e = S.events(spark, d).withColumn("p", F.lag("value").over(w))
     return e.groupBy("user_id").agg(F.min(F.when(F.col("p").isNull() | (F.col("p") <= F.col("value")), 1).otherwise(0)).alias("consistent"))
 
 
