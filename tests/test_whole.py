@@ -1,6 +1,7 @@
 """Queries over rows that an id, a user or a fixed range would leave out, against brute force."""
 
 import datetime as dt
+import math
 import re
 
 import pyarrow as pa
@@ -150,3 +151,19 @@ def test_edge_endpoints_of_every_part(spark, sf, whole):
     parts, suppliers = {x["p_partkey"] for x in whole("part")}, {x["s_suppkey"] for x in whole("supplier")}
     want = {(f"p{x['l_partkey']}", f"s{x['l_suppkey']}") for x in whole("lineitem") if x["l_partkey"] in parts and x["l_suppkey"] in suppliers}
     assert got(spark, "edge_endpoints", sf) == sorted(want)
+
+
+def test_bm25_topk_of_every_benchmark_item(spark, tmp_path):
+    docs, items = ["red stone river", "blue stone", "green hill and river river", "hill"], ["stone", "river", "hill", "nothing", "red", "river hill hill", "blue"]
+    pq.write_table(pa.table({"doc_id": range(len(docs)), "text": docs}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": range(len(items)), "text": items}), tmp_path / "benchmark.parquet")
+    words, want = [x.split() for x in docs], []
+    mean = sum(map(len, words)) / len(words)
+    for q, item in enumerate(items):
+        scores = []
+        for i, own in enumerate(words):
+            parts = [math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) * own.count(w) * 2.5 / (own.count(w) + 1.5 * (0.25 + 0.75 * len(own) / mean)) for w in item.split() if (n := sum(w in x for x in words)) and w in own]
+            scores += [(-round(sum(parts), 6), i)] if parts else []
+        want += [(q, i, -s, k) for k, (s, i) in enumerate(sorted(scores), 1)]
+    found = got(spark, "bm25_topk", str(tmp_path))
+    assert [(q, i, k) for q, i, _, k in found] == [(q, i, k) for q, i, _, k in sorted(want)] and [r[2] for r in found] == pytest.approx([r[2] for r in sorted(want)], abs=1e-5)
