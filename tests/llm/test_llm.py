@@ -329,6 +329,26 @@ def test_ngram_join_large_groups(spark, n, percent):
     assert [got[i] for i in range(len(texts))] == list(zip(sizes, comp, strict=True))
 
 
+def test_ngram_join_near_copies_just_below_the_threshold(spark):
+    """Copies that differ from their text in a word each: like it, but mostly not like each other; without and with the text."""
+    rng = np.random.default_rng(8)
+    words, texts = [f"w{i}" for i in range(3000)], []
+    for k in range(2):
+        base = list(rng.choice(words, 70))
+        for _ in range(120):
+            t = list(base)
+            for p in rng.choice(70, 1 + rng.integers(0, 4) // 3, replace=False):
+                t[p] = f"x{rng.integers(0, 10_000)}"
+            texts.append(" ".join(t))
+        if k:
+            texts.append(" ".join(base))
+    sizes, comp = brute_components(texts, 3, 90)
+    assert len(set(comp[:120])) > 20 and len(set(comp[120:])) < 80
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(df, 3, 90).collect()}
+    assert [got[i] for i in range(len(texts))] == list(zip(sizes, comp, strict=True))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (103, 101)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}

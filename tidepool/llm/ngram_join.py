@@ -4,12 +4,17 @@
    that many documents share come last), which any order could be without changing results.
 2. A second pass makes each document's shingle set, its 128-bit signature and, in that order, its prefix: two sets of a
    sufficient overlap share at least one shingle of their prefixes. Equal sets become one representative.
-3. Representatives with the same prefix and size form a group. Groups meet on the shingles of their prefixes. Each
-   posting list is first compared with one of its groups and, once links have been merged into components, groups that
-   still lie in different components are expanded and their members compared: pairs within a component can't change it,
-   so a large set of near copies costs a few comparisons a member. Parity bits and cell counts, which bound what two
-   sets share, rule out pairs before whole sets are joined and verified.
-4. Components of links are found by smallest labels. Copies are never expanded into pairs.
+3. Representatives with the same prefix and size form a group. Groups meet on the shingles of their prefixes. Where such
+   a posting list holds few members, its group pairs are filtered by sizes and positions, expanded into members, ruled
+   out by parity bits and cell counts, which bound what two sets share, and verified.
+4. In longer lists a few members are pivots. Bits and sizes tell which members can't be near a pivot; the others are
+   compared with it and then described by how they differ from the shingles that most of them have, the centre. By the
+   triangle inequality members near the centre are linked with the nearest one without being compared; of the others two
+   can only be linked if they share enough of their *differences*, so a prefix join on differences, rarest first, finds
+   them. A member that is nearer to a pivot than the bound has met all it can be linked with and leaves the list; what is
+   left of lists is expanded like short ones, but for pairs within a component. So a large set of near copies costs a few
+   comparisons a member, also where most of them are just below the threshold.
+5. Components of links are found by smallest labels. Copies are never expanded into pairs.
 
 Shingles are 64-bit hashes of words; two different ones of a corpus share a hash with a chance of about 2**-60.
 
@@ -41,8 +46,11 @@ CELLS = 256
 #: Bits of a set: whether an odd number of its shingles falls on each. Bits that differ are no more than shingles that do.
 PARITY = 768
 BITS = [f"b{i}" for i in range(PARITY // 64)]
-#: Posting lists choose among so many orders for the group that all of a list are compared with.
-PIVOTS = 8
+#: Posting lists of up to so many members are expanded into pairs at once; longer ones have so many pivots.
+FEW = 16
+PIVOTS = 3
+#: Members whose bits and size differ from a pivot's by no more than this share of its size are compared with it, if bits can tell.
+REACH, REACH_BITS = 0.9, 300
 #: Only shingles in the lowest quarter of hashes are counted: prefixes come from there.
 COUNTED = 2
 
@@ -151,18 +159,18 @@ def _sets(docs: DataFrame, n: int, percent: int, classes: object) -> DataFrame:
 
 
 def _postings(groups: DataFrame) -> DataFrame:
-    """(grp, size, token, pos) of each group's prefix."""
+    """(grp, size, members, token, pos) of each group's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(2)]
+            data = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(3)]
             count = np.array([len(x) for x in data], np.int64)
             which = np.repeat(np.arange(len(data)), count)
             at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
             token = np.concatenate(data) if data else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(token), pa.array(at)], ["grp", "size", "token", "pos"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(which)) for k in range(3)), pa.array(token), pa.array(at)], ["grp", "size", "members", "token", "pos"])
 
-    return groups.select("grp", "size", "prefix").mapInArrow(run, "grp long, size long, token long, pos long")
+    return groups.select("grp", "size", "members", "prefix").mapInArrow(run, "grp long, size long, members long, token long, pos long")
 
 
 def _close(percent: int, a: str, b: str) -> str:
@@ -198,10 +206,14 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return left.join(first, "a").join(second, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def _verified(candidates: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets reach the threshold. Sets are made again for the documents of possible pairs alone."""
-    pairs = written(_possible(candidates, reps, percent), "possible")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _whole(pairs: list[DataFrame], docs: DataFrame, n: int) -> DataFrame:
+    """(id, members), stored: whole shingle sets, made again for the documents in pairs (a, b).
+
+    The ids are stored first: Spark broadcasts them if their file is small, and shuffles texts only if it isn't."""
+    ends = [p.select(c) for p in pairs for c in p.columns]
+    for e in ends[1:]:
+        ends[0] = ends[0].union(e)
+    ids = written(ends[0].toDF("doc_id").distinct(), "wanted")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,23 +222,92 @@ def _verified(candidates: DataFrame, reps: DataFrame, docs: DataFrame, n: int, p
                 own, at = shingles(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([own[at[i] : at[i + 1]].astype("<u8").tobytes() for i in range(b - a)], pa.binary())], ["id", "members"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(whole, f"id {kind}, members binary"), "sets")
+    discard(ids)
+    return out
+
+
+def _both(pairs: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
+    """Pairs (a, b) with the sizes x and y of their sets and the shingles that only one of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            own, sizes = [], ([], [])
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                x, y = np.frombuffer(x.as_buffer(), "<i8"), np.frombuffer(y.as_buffer(), "<i8")
+                sizes[0].append(len(x))
+                sizes[1].append(len(y))
+                own.append(np.setxor1d(x, y, assume_unique=True))
+            at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+            only = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes[0], pa.int64()), pa.array(sizes[1], pa.int64()), only], ["a", "b", "x", "y", "only"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(whole, f"id {kind}, members binary"), "sets")
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    out = written(full.mapInArrow(check, f"a {kind}, b {kind}"), "links")
-    discard(sets, pairs)
-    return out
+    return full.mapInArrow(run, f"a {kind}, b {kind}, x long, y long, only array<long>")
+
+
+def _linked(percent: int) -> str:
+    """Whether rows of _both() reach the threshold."""
+    return f"{100 + percent} * size(only) <= {100 - percent} * (x + y)"
+
+
+def _centred(differences: DataFrame, percent: int) -> DataFrame:
+    """(p, x, size, d, e) from (p, x, size, only): d are the differences of x from what most of p's members have.
+
+    e is by how much d exceeds the share of the allowed differences that x has by its size: members x and y whose e add
+    up to no more than 0 are linked, and others only if d of x and of y share (e of x + e of y) / 2 / (100 + percent) or more."""
+    counts = differences.select("p", F.explode("only").alias("token")).groupBy("p", "token").agg(F.count(F.lit(1)).alias("c"))
+    sizes = differences.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    # no more than twice the mean number of differences of p's members
+    most = counts.join(sizes, "p").filter("2 * c > n").groupBy("p").agg(F.collect_list("token").alias("most"))
+    d = F.when(F.col("most").isNull(), F.col("only")).otherwise(F.concat(F.array_except("only", "most"), F.array_except("most", "only")))
+    out = differences.join(most, "p", "left").select("p", "x", "size", d.alias("d"))
+    return out.withColumn("e", F.expr(f"{100 + percent} * size(d) - {100 - percent} * size"))
+
+
+def _reach(size: str) -> str:
+    """How far from a pivot of this size a member may be to be compared with it."""
+    return f"least({REACH} * {size}, {REACH_BITS})"
+
+
+def _leaves(distance: str, size: str, percent: int) -> str:
+    """Whether a member at this distance has all that it can be linked with in reach of the pivot.
+
+    Members x and y that are linked differ by (100 - percent) / percent of the size of x at most, and x is no larger than
+    the pivot's size and the distance."""
+    return f"{percent} * {distance} + {100 - percent} * ({distance} + {size}) <= {percent} * {_reach(size)}"
+
+
+def _pivots(long: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(token, p) pivots of long lists and (p, x) members in reach of each, from (token, rep, size, bits)."""
+    row = F.struct("rep", "size", *BITS)
+    far = " + ".join(f"bit_count({c} ^ p.{c})" for c in BITS)
+    live, chosen, near = long, [], []
+    for k in range(PIVOTS):
+        pick = live.groupBy("token").agg(F.min_by(row, F.xxhash64("rep", F.lit(k))).alias("p"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW).drop("n")
+        met = written(live.join(pick, "token").withColumn("far", F.expr(f"greatest({far}, abs(size - p.size))")), "met")
+        chosen.append(met.select("token", F.col("p.rep").alias("p")).distinct())
+        near.append(met.where(f"far <= {_reach('p.size')}").select(F.col("p.rep").alias("p"), F.col("rep").alias("x")).distinct())
+        live = met.where(f"NOT ({_leaves('far', 'p.size', percent)}) AND rep <> p.rep").select(*long.columns)
+    out = chosen[0], near[0]
+    for c, m in zip(chosen[1:], near[1:], strict=True):
+        out = out[0].union(c), out[1].union(m)
+    return written(out[0].distinct(), "chosen"), written(out[1].distinct(), "near")
+
+
+def _meeting(centred: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components whose differences may share enough, from (p, x, size, d, e, comp, least)."""
+    step = 2 * (100 + percent)
+    each = centred.select("p", "x", "size", "e", "comp", "least", F.explode("d").alias("token"))
+    # members of different components can only share differences that occur in more than one component
+    shared = each.groupBy("p", "token").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("p", "token", "c")
+    rows = each.join(shared, ["p", "token"]).groupBy("p", "x", "size", "e", "comp", "least").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("d"))
+    rows = rows.withColumn("m", F.size("d")).withColumn("keep", F.expr(f"m + 1 - greatest(1, cast(ceil((e + least) / {step}) AS int))")).filter("keep > 0")
+    index = written(rows.select("p", "x", "size", "e", "comp", "m", F.posexplode(F.slice("d", F.lit(1), F.col("keep"))).alias("pos", "t")).select("p", "x", "size", "e", "comp", "m", "pos", "t.token"), "differences")
+    meets = f"i.x < j.x AND i.comp <> j.comp AND i.e + j.e > 0 AND {step} * least(i.m - i.pos, j.m - j.pos) >= i.e + j.e AND 100 * least(i.size, j.size) >= {percent} * greatest(i.size, j.size)"
+    pairs = index.alias("i").join(index.alias("j"), (F.col("i.p") == F.col("j.p")) & (F.col("i.token") == F.col("j.token")) & F.expr(meets))
+    return pairs.select(F.col("i.x").alias("a"), F.col("j.x").alias("b"))
 
 
 def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -243,36 +324,57 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     discard(sets)
     groups = written(reps.groupBy("grp", F.col("n_shingles").alias("size")).agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix")), "groups")
     member = reps.select("rep", "grp")
-    heads = groups.select("grp", "head")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    # within groups: each member with its head
-    inner = member.join(groups.filter("members > 1").select("grp", "head"), "grp").filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    # across groups: each group with one of every posting list it is in; lists choose by a few different orders
+    # posting lists with more than one member
     postings = written(_postings(groups), "postings")
-    order = F.xxhash64("grp", F.pmod("token", F.lit(PIVOTS)))
-    lists = postings.groupBy("token").agg(F.min(F.struct(order.alias("o"), "size", "grp", "pos")).alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", "p.size", "p.grp", "p.pos")
-    star = postings.alias("x").join(lists.alias("y"), "token").where("x.grp <> y.grp").where(_close(percent, "x", "y")).select(F.col("y.grp").alias("g"), F.col("x.grp").alias("h")).distinct()
-    outer = star.join(heads.select(F.col("grp").alias("g"), F.col("head").alias("a")), "g").join(heads.select(F.col("grp").alias("h"), F.col("head").alias("b")), "h").select("a", "b")
-    tried = written(inner.union(outer).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = _verified(tried, reps, docs, n, percent)
-    found = components(links)
-
-    # pairs of members that share a prefix shingle and still lie in different components
-    labelled = written(member.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", "grp", F.coalesce("component", "rep").alias("comp")), "labelled")
-    spread = groups.select("grp").join(labelled.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "grp")
-    listed = postings.join(spread, "grp")
-    mixed = listed.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
-    members = labelled.join(reps.select("rep", *BITS), "rep")
-    open_ = written(postings.join(mixed, "token").join(members, "grp"), "open")
+    lists = postings.groupBy("token").agg(F.sum("members").alias("n")).filter("n > 1")
+    listed = written(postings.join(lists, "token"), "lists")
     discard(postings)
+
+    # short lists: group pairs, then their members
+    short = listed.filter(F.col("n") <= FEW)
+    meet = F.expr(f"x.grp < y.grp AND {_close(percent, 'x', 'y')} OR x.grp = y.grp AND x.members > 1")
+    near = short.alias("x").join(short.alias("y"), (F.col("x.token") == F.col("y.token")) & meet).select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).distinct()
+    near = near.join(member.select(F.col("grp").alias("g"), F.col("rep").alias("a")), "g").join(member.select(F.col("grp").alias("h"), F.col("rep").alias("b")), "h").where("g <> h OR a < b").select("a", "b")
+    pairs = written(_possible(near, reps, percent), "possible")
+
+    # long lists: members in reach of pivots
+    long = listed.filter(F.col("n") > FEW).select("token", "grp", "size", "pos").join(reps.select("grp", "rep", *BITS), "grp").drop("grp")
+    long = written(long, "long")
+    discard(listed, groups)
+    chosen, clusters = _pivots(long.drop("pos"), percent)
+    sets = _whole([pairs, clusters], docs, n)
+    links = written(_both(pairs, sets, kind).where(_linked(percent)).select("a", "b"), "links")
+    differences = written(_both(clusters.select(F.col("p").alias("a"), F.col("x").alias("b")), sets, kind), "differences")
+    discard(pairs, clusters, sets)
+    centred = written(_centred(differences.select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("y").alias("size"), "only"), percent), "centred")
+    best = written(centred.groupBy("p").agg(F.min(F.struct("e", "x")).alias("m")).select("p", F.col("m.e").alias("least"), F.col("m.x").alias("first")), "nearest")
+    around = centred.join(best, "p").where("x <> first AND e + least <= 0").select(F.col("first").alias("a"), F.col("x").alias("b"))
+    more = written(differences.where("a <> b").where(_linked(percent)).select("a", "b").union(around), "links")
+    left = differences.where(_leaves("size(only)", "x", percent)).select(F.col("a").alias("p"), F.col("b").alias("rep"))
+    rest = written(long.join(chosen.join(left, "p").select("token", "rep").distinct(), ["token", "rep"], "left_anti"), "rest")
+    discard(long, chosen, differences)
+    found = components(links.union(more))
+
+    # members of different components that share enough of their differences, and those that are left in a list
+    named = centred.join(found.withColumnRenamed("id", "x"), "x", "left").withColumn("comp", F.coalesce("component", "x")).join(best, "p").drop("component", "first")
+    named = written(named, "named")
+    rest_ = rest.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    rest_ = written(rest_, "open")
+    discard(centred, best, found, rest)
+    mixed = rest_.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
+    open_ = rest_.join(mixed, "token")
     meets = f"x.rep < y.rep AND x.comp <> y.comp AND {_close(percent, 'x', 'y')} AND {_alike(percent, 'x', 'y', 'size')}"
-    more = open_.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(meets)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    discard(open_, labelled, tried, found)
-    extra = _verified(more, reps, docs, n, percent)
-    found = components(links.union(extra))
+    others = open_.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(meets)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    pairs = written(_possible(_meeting(named, percent).union(others).distinct(), reps, percent), "possible")
+    discard(named, rest_)
+    sets = _whole([pairs], docs, n)
+    last = written(_both(pairs, sets, kind).where(_linked(percent)).select("a", "b"), "links")
+    discard(pairs, sets)
+    found = components(links.union(more).union(last))
     copies_of = written(reps.filter("copies > 1").select("sig1", "sig2", F.col("n_shingles").alias("size"), "rep"), "copies")
-    discard(links, extra, more, groups, reps)
+    discard(links, more, last, reps)
 
     same = copies_of.alias("r")
     out = mine.alias("s").join(same, (F.col("s.sig1") == F.col("r.sig1")) & (F.col("s.sig2") == F.col("r.sig2")) & (F.col("s.n_shingles") == F.col("r.size")) & F.col("s.doc_id").isNotNull(), "left")
