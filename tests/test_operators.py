@@ -193,3 +193,13 @@ def test_client(spark, tmp_path):
     assert [r.event for r in m.history("t", "1").collect()] == ["ADD", "DELETE"]
     m.clear("t")
     assert values(m.entries(), "tenant_id", "id") == [("u", "1")]
+
+
+def test_cosine_top_in_blocks(spark):
+    from tidepool.operators import scoring
+
+    rows = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = spark.createDataFrame(rows[:9], "query_id long, qvec array<double>")
+    want = sorted(map(tuple, scoring.cosine_top(asked, corpus, 3).collect()))
+    assert sorted(map(tuple, scoring.cosine_top(asked, corpus, 3, block=2).collect())) == want and len(want) == 27

@@ -112,7 +112,7 @@ def nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     return O.nearest_rank(S.events(spark, d), ["action"], "value", 0.95)
 
 
-@query("semantic_summary", "SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (event_type IN ('click', 'view')) AS episodic, count(*) FILTER (event_type = 'purchase') AS semantic FROM events WHERE user_id < 10 GROUP BY 1")
+@query("semantic_summary", "SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (event_type IN ('click', 'view')) AS episodic, count(*) FILTER (event_type = 'purchase') AS semantic FROM events GROUP BY 1")
 def semantic_summary(spark: SparkSession, d: str) -> DataFrame:
     e = S.events(spark, d)
     ids = F.sort_array(F.collect_list(F.when(F.col("action").isin("click", "view"), F.col("id"))))

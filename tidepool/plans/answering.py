@@ -25,7 +25,7 @@ def time_since_topic_entity(spark: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", "last_t", F.greatest(F.lit(0), F.datediff(F.lit("2024-02-01").cast("date"), F.col("last_t").cast("date"))).cast("long").alias("days"))
 
 
-@query("quotes", "SELECT conv_id AS session_id, turn AS idx, text FROM conversations WHERE role = 'user' AND conv_id < 20 ORDER BY idx DESC, session_id LIMIT 50")
+@query("quotes", "SELECT conv_id AS session_id, turn AS idx, text FROM conversations WHERE role = 'user' ORDER BY idx DESC, session_id LIMIT 50")
 def quotes(spark: SparkSession, d: str) -> DataFrame:
     """What one speaker said, newest first."""
     t = S.turns(spark, d).filter("speaker = 'user'")

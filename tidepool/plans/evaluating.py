@@ -11,13 +11,13 @@ from ..sources import tables as S
 from .registry import query
 from .scoring import COS
 
-PRED = f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id < 10), c AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label = q.label AS rel, {COS} AS s FROM embeddings e, q WHERE e.vec_id <> q.vec_id),
+PRED = f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label = q.label AS rel, {COS} AS s FROM embeddings e, q WHERE e.vec_id <> q.vec_id),
  p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM c QUALIFY rank <= 20), g AS (SELECT query_id, id FROM c WHERE rel)"""
 
 
 def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = S.vectors(spark, d)
-    q = v.filter("id < 10").select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"), F.col("label").alias("ql"))
+    q = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"), F.col("label").alias("ql"))
     pairs = v.join(F.broadcast(q), F.col("id") != F.col("query_id"))
     predicted = Sc.top(pairs.select("query_id", "id", Sc.cosine(F.col("vector"), F.col("qvec")).alias("score")), ["query_id"], 20)
     return predicted, pairs.filter("label = ql").select("query_id", "id")
@@ -38,10 +38,10 @@ def weighted_support(spark: SparkSession, d: str) -> DataFrame:
     return O.weighted_support(*prepared(spark, d)).select("query_id", F.round("support", 6).alias("support"))
 
 
-@query("acc_at_k", f"{PRED} SELECT round(avg(CASE WHEN vec_id IN (SELECT query_id FROM p WHERE rel AND rank <= 3) THEN 1 ELSE 0 END), 6) AS accuracy FROM embeddings WHERE vec_id < 12")
+@query("acc_at_k", f"{PRED} SELECT round(avg(CASE WHEN vec_id IN (SELECT query_id FROM p WHERE rel AND rank <= 3) THEN 1 ELSE 0 END), 6) AS accuracy FROM embeddings WHERE vec_id % 50 = 0")
 def acc_at_k(spark: SparkSession, d: str) -> DataFrame:
     p, g = prepared(spark, d)
-    q = S.vectors(spark, d).filter("id < 12").select(F.col("id").alias("query_id"))
+    q = S.vectors(spark, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"))
     return O.accuracy(p, g, q, 3).select(F.round("accuracy", 6).alias("accuracy"))
 
 

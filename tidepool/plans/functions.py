@@ -45,7 +45,7 @@ def keyword_derive(spark: SparkSession, d: str) -> DataFrame:
     return S.parquet(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.array_join(T.keywords(F.col("text"), ["that", "and", "the", "with"]), ",").alias("keywords"))
 
 
-@query("proper_names", "SELECT conv_id, turn, array_to_string(regexp_extract_all(text, '\\b[A-Z][a-z]{2,}(?:\\s+[A-Z][a-z]{2,})*\\b'), ',') AS names FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("proper_names", "SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(regexp_replace(text, '([^\\p{L}\\p{M}\\p{N}_])', '\\1\\1', 'g'), '(?:^|[^\\p{L}\\p{M}\\p{N}_])([A-Z][a-z]{2,}(?:\\s+[A-Z][a-z]{2,})*)(?:$|[^\\p{L}\\p{M}\\p{N}_])', 1), lambda x: replace(replace(x, '  ', ' '), chr(10) || chr(10), chr(10))), ',') AS names FROM conversations")
 def proper_names(spark: SparkSession, d: str) -> DataFrame:
     return S.parquet(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.proper_names(F.col("text")), ",").alias("names"))
 

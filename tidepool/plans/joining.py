@@ -59,8 +59,8 @@ def events_full(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "t", F.array_join("entities", ",").alias("entities"), F.get("place", F.lit(0)).alias("place"))
 
 
-@query("explain_bundle", """WITH p AS (SELECT l_orderkey AS event_id, string_agg(DISTINCT 'p' || l_partkey, ',' ORDER BY 'p' || l_partkey) AS entities, string_agg(DISTINCT 's' || l_suppkey, ',' ORDER BY 's' || l_suppkey) AS evidences, count(DISTINCT l_shipdate) AS slices FROM lineitem WHERE l_orderkey < 200 GROUP BY 1)
-SELECT o_orderkey AS event_id, coalesce(entities, '') AS entities, coalesce(evidences, '') AS evidences, coalesce(slices, 0) AS slices, CAST(round(0.3 * least(coalesce(slices, 0), 3) + 0.2 * least(CASE WHEN entities IS NULL THEN 0 ELSE len(string_split(entities, ',')) END, 3), 6) AS DOUBLE) AS signal FROM orders LEFT JOIN p ON event_id = o_orderkey WHERE o_orderkey < 200""")
+@query("explain_bundle", """WITH p AS (SELECT l_orderkey AS event_id, string_agg(DISTINCT 'p' || l_partkey, ',' ORDER BY 'p' || l_partkey) AS entities, string_agg(DISTINCT 's' || l_suppkey, ',' ORDER BY 's' || l_suppkey) AS evidences, count(DISTINCT l_shipdate) AS slices FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS event_id, coalesce(entities, '') AS entities, coalesce(evidences, '') AS evidences, coalesce(slices, 0) AS slices, CAST(round(0.3 * least(coalesce(slices, 0), 3) + 0.2 * least(CASE WHEN entities IS NULL THEN 0 ELSE len(string_split(entities, ',')) END, 3), 6) AS DOUBLE) AS signal FROM orders LEFT JOIN p ON event_id = o_orderkey""")
 def explain_bundle(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.scoring import explain_signal
 
@@ -95,14 +95,14 @@ def entity_by_name(spark: SparkSession, d: str) -> DataFrame:
     return G.resolve_names(p, "Red Widget").select("id", "name", "score").orderBy(F.desc("score"), "id").limit(20)
 
 
-@query("entity_facts", "SELECT p_partkey AS entity_id, l_orderkey AS fact_id, max(l_shipdate) AS t, count(*) AS sources FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey < 20 GROUP BY 1, 2 ORDER BY t DESC, fact_id, entity_id LIMIT 100")
+@query("entity_facts", "SELECT p_partkey AS entity_id, l_orderkey AS fact_id, max(l_shipdate) AS t, count(*) AS sources FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2 ORDER BY t DESC, fact_id, entity_id LIMIT 100")
 def entity_facts(spark: SparkSession, d: str) -> DataFrame:
     """What is stated of entities, newest first."""
     lines = S.parquet(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_shipdate")
     return lines.groupBy(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("fact_id")).agg(F.max("l_shipdate").alias("t"), F.count(F.lit(1)).alias("sources")).orderBy(F.desc("t"), "fact_id", "entity_id").limit(100)
 
 
-@query("entity_timeline_union", "SELECT o_custkey AS entity_id, 'order' AS kind, o_orderkey AS item, o_orderdate AS t FROM orders WHERE o_custkey < 30 UNION ALL SELECT user_id, event_type, event_id, ts FROM events WHERE user_id < 30")
+@query("entity_timeline_union", "SELECT o_custkey AS entity_id, 'order' AS kind, o_orderkey AS item, o_orderdate AS t FROM orders UNION ALL SELECT user_id, event_type, event_id, ts FROM events")
 def entity_timeline_union(spark: SparkSession, d: str) -> DataFrame:
     a = S.order_events(spark, d).select(F.col("actor_id").alias("entity_id"), F.lit("order").alias("kind"), F.col("id").alias("item"), "t")
     b = S.events(spark, d).select(F.col("user_id").alias("entity_id"), F.col("action").alias("kind"), F.col("id").alias("item"), "t")
@@ -172,7 +172,7 @@ def orphan_entities(spark: SparkSession, d: str) -> DataFrame:
     return G.orphans(n, S.edges(spark, d))
 
 
-TRACKS = "tr AS (SELECT user_id, event_id AS id, epoch_us(ts) / 1e6 - 1704067200 AS s, epoch_us(ts) / 1e6 - 1704067200 + value AS f FROM events WHERE user_id < 20)"
+TRACKS = "tr AS (SELECT user_id, event_id AS id, (epoch_us(ts) - 1704067200000000) / 1e6 AS s, (epoch_us(ts) - 1704067200000000) / 1e6 + value AS f FROM events)"
 
 
 def _tracks(spark: SparkSession, d: str) -> DataFrame:
@@ -180,13 +180,13 @@ def _tracks(spark: SparkSession, d: str) -> DataFrame:
     return S.events(spark, d).select("user_id", "id", "action", s.alias("start"), (s + F.col("value")).alias("end"))
 
 
-@query("interval_overlap_pairs", f"WITH {TRACKS} SELECT x.id AS a, y.id AS b, round(least(x.f, y.f) - greatest(x.s, y.s), 3) AS seconds FROM tr x JOIN tr y ON x.user_id < y.user_id AND x.s < y.f AND y.s < x.f")
+@query("interval_overlap_pairs", f"WITH {TRACKS} SELECT x.id AS a, y.id AS b, floor((least(x.f, y.f) - greatest(x.s, y.s)) * 1000 + 0.5) / 1000 AS seconds FROM tr x JOIN tr y ON x.user_id < y.user_id AND x.s < y.f AND y.s < x.f")
 def interval_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     t = _tracks(spark, d)
     x = t.select(F.col("id").alias("a"), F.col("user_id").alias("ua"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
     y = t.select(F.col("id").alias("b"), F.col("user_id").alias("ub"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     j = I.overlap_join(x, y, 600.0).filter("ua < ub")
-    return j.select("a", "b", F.round(I.overlap(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")), 3).alias("seconds"))
+    return j.select("a", "b", (F.floor(I.overlap(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")) * 1000 + 0.5) / 1000).alias("seconds"))
 
 
 @query("timeslice_overlap", "SELECT n AS slice, count(*) AS events FROM (SELECT unnest(range(0, 30)) AS n) JOIN events ON ts <= TIMESTAMP '2024-01-01' + (n + 1) * INTERVAL 1 DAY AND ts + INTERVAL 1 HOUR >= TIMESTAMP '2024-01-01' + n * INTERVAL 1 DAY GROUP BY 1")
@@ -198,7 +198,7 @@ def timeslice_overlap(spark: SparkSession, d: str) -> DataFrame:
     return I.overlap_join(e, n, 86400.0, bounds="closed").groupBy("slice").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("span_to_segment", f"WITH {TRACKS}, g AS (SELECT unnest(range(0, 3000)) AS i) SELECT id AS span_id, min(i) AS segment_index FROM tr JOIN g ON s < (i + 1) * 900 AND i * 900 < f GROUP BY 1")
+@query("span_to_segment", f"WITH {TRACKS}, g AS (SELECT unnest(range(CAST(floor(min(s) / 900) AS BIGINT), CAST(floor(max(f) / 900) AS BIGINT) + 1)) AS i FROM tr) SELECT id AS span_id, min(i) AS segment_index FROM tr JOIN g ON s < (i + 1) * 900 AND i * 900 < f GROUP BY 1")
 def span_to_segment(spark: SparkSession, d: str) -> DataFrame:
     t = _tracks(spark, d)
     g = t.agg(F.floor(F.min("start") / 900).alias("first"), F.floor(F.max("end") / 900).alias("last")).select(F.explode(F.sequence("first", "last")).alias("segment_index"))

@@ -38,7 +38,7 @@ def edge_merge_sum(spark: SparkSession, d: str) -> DataFrame:
     return O.merge_edges(e, e.filter("weight > 1").withColumn("weight", F.lit(None).cast("double")))
 
 
-@query("edge_endpoints", f"WITH {EDGE} SELECT src_id, dst_id FROM e WHERE CAST(substr(src_id, 2) AS INTEGER) < 100 AND CAST(substr(dst_id, 2) AS INTEGER) < 50")
+@query("edge_endpoints", f"WITH {EDGE} SELECT src_id, dst_id FROM e")
 def edge_endpoints(spark: SparkSession, d: str) -> DataFrame:
     p = S.parquet(spark, d, "part", "p_partkey").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
     s = S.parquet(spark, d, "supplier", "s_suppkey").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))

@@ -136,7 +136,7 @@ def rank_unit(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", F.round(F.when(F.col("n") == 1, 1.0).otherwise(1 - (F.col("r") - 1) / (F.col("n") - 1)), 6).alias("u"))
 
 
-@query("order_consistency", "WITH r AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE event_id < 400) SELECT user_id, CAST(min(CASE WHEN p IS NULL OR p <= value THEN 1 ELSE 0 END) AS INTEGER) AS consistent FROM r GROUP BY 1")
+@query("order_consistency", "WITH r AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, CAST(min(CASE WHEN p IS NULL OR p <= value THEN 1 ELSE 0 END) AS INTEGER) AS consistent FROM r GROUP BY 1")
 def order_consistency(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("t", "id")
     e = S.events(spark, d).withColumn("p", F.lag("value").over(w))

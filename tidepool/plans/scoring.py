@@ -13,11 +13,11 @@ from .joining import EDGES, H1, HOP, PICK, SEED_SQL, _seeds
 from .registry import query
 
 COS = "CASE WHEN sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * x))) > 0 THEN list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * q.embedding[i])) / (sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x)))) ELSE 0 END"
-TOPV = f"cs AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cs)"
+TOPV = f"cs AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cs)"
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return S.vectors(spark, d).filter("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"))
+    return S.vectors(spark, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"))
 
 
 @query("cosine_topk", f"WITH {TOPV} SELECT query_id, id, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
@@ -40,7 +40,7 @@ def mean_embedding(spark: SparkSession, d: str) -> DataFrame:
 
 
 TOK = "regexp_extract_all(coalesce({0}, ''), '[A-Za-z0-9_]+')"
-BM = f"""q AS (SELECT item_id AS query_id, lower(unnest({TOK.format('text')})) AS token FROM benchmark WHERE item_id < 5), qa AS (SELECT query_id, token, count(*) AS times FROM q GROUP BY ALL),
+BM = f"""q AS (SELECT item_id AS query_id, lower(unnest({TOK.format('text')})) AS token FROM benchmark), qa AS (SELECT query_id, token, count(*) AS times FROM q GROUP BY ALL),
  dd AS (SELECT doc_id AS id, list_transform({TOK.format('text')}, lambda x: lower(x)) AS tokens FROM documents), st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM dd),
  tf AS (SELECT id, dl, token, count(*) AS tf FROM (SELECT id, len(tokens) AS dl, unnest(tokens) AS token FROM dd) WHERE token IN (SELECT token FROM qa) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
  bs AS (SELECT query_id, id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (token) JOIN qa USING (token), st GROUP BY ALL)"""
@@ -90,8 +90,8 @@ def graph_contribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 ROUTES = f"""WITH {TOPV}, c AS (SELECT query_id, id, 'vec' AS route, score FROM rk WHERE rank <= 30
- UNION ALL SELECT q.vec_id, e.vec_id, 'entity', CAST(1.0 / (1 + abs(q.label - e.label)) AS DOUBLE) FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND e.label = q.label AND e.vec_id % 3 = 0
- UNION ALL SELECT q.vec_id, e.vec_id, 'time', CAST(pow(0.5, abs(q.vec_id - e.vec_id) / 10.0) AS DOUBLE) FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND abs(q.vec_id - e.vec_id) <= 20),
+ UNION ALL SELECT q.vec_id, e.vec_id, 'entity', CAST(1.0 / (1 + abs(q.label - e.label)) AS DOUBLE) FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.label = q.label AND e.vec_id % 3 = 0
+ UNION ALL SELECT q.vec_id, e.vec_id, 'time', CAST(pow(0.5, abs(q.vec_id - e.vec_id) / 10.0) AS DOUBLE) FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND abs(q.vec_id - e.vec_id) <= 20),
  p AS (SELECT *, row_number() OVER (PARTITION BY query_id, route ORDER BY score DESC, id) AS r FROM c WHERE score > 0)"""
 
 
@@ -99,7 +99,7 @@ def routes(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of three routes: (query_id, id, route, score)."""
     v, q = S.vectors(spark, d), _queries(spark, d)
     a = O.cosine_top(q, v.select("id", "vector"), 30).select("query_id", "id", F.lit("vec").alias("route"), "score")
-    ql = v.filter("id < 5").select(F.col("id").alias("query_id"), F.col("label").alias("ql"))
+    ql = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("ql"))
     both = v.join(F.broadcast(ql), F.lit(True))
     b = both.filter("label = ql AND id % 3 = 0").select("query_id", "id", F.lit("entity").alias("route"), (1.0 / (1 + F.abs(F.col("ql") - F.col("label")))).alias("score"))
     t = both.filter("abs(query_id - id) <= 20").select("query_id", "id", F.lit("time").alias("route"), F.pow(F.lit(0.5), F.abs(F.col("query_id") - F.col("id")) / 10.0).alias("score"))

@@ -10,7 +10,7 @@ from ..sources import tables as S
 from .ranking import SPANS, spans
 from .registry import query
 
-MS = "m AS (SELECT user_id % 10 AS source_id, event_type, event_id, a, b FROM s WHERE event_id < 2000)"
+MS = "m AS (SELECT user_id % 10 AS source_id, event_type, event_id, a, b FROM s)"
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +62,7 @@ def face_voice_confidence(spark: SparkSession, d: str) -> DataFrame:
     return S.events(spark, d).select("id", F.round(media.confidence(F.col("value") / 500, asd), 6).alias("confidence"))
 
 
-@query("window_payload", f"WITH {SPANS}, {MS}, w AS (SELECT source_id, n AS \"window\", n * 86400.0 AS a, (n + 1) * 86400.0 AS b FROM (SELECT DISTINCT source_id FROM m), (SELECT unnest(range(0, 31)) AS n)), h AS (SELECT w.source_id, w.\"window\", event_id, row_number() OVER (PARTITION BY w.source_id, w.\"window\" ORDER BY m.a, event_id) AS k FROM w JOIN m ON w.source_id = m.source_id AND w.a <= m.b AND m.a <= w.b) SELECT source_id, \"window\", string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY k) AS items FROM h WHERE k <= 5 GROUP BY 1, 2")
+@query("window_payload", f"WITH {SPANS}, {MS}, w AS (SELECT source_id, n AS \"window\", n * 86400.0 AS a, (n + 1) * 86400.0 AS b FROM (SELECT DISTINCT source_id FROM m), (SELECT unnest(range(CAST(floor(min(a) / 86400) AS BIGINT), CAST(floor(max(b) / 86400) AS BIGINT) + 1)) AS n FROM m)), h AS (SELECT w.source_id, w.\"window\", event_id, row_number() OVER (PARTITION BY w.source_id, w.\"window\" ORDER BY m.a, event_id) AS k FROM w JOIN m ON w.source_id = m.source_id AND w.a <= m.b AND m.a <= w.b) SELECT source_id, \"window\", string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY k) AS items FROM h WHERE k <= 5 GROUP BY 1, 2")
 def window_payload(spark: SparkSession, d: str) -> DataFrame:
     s = _sources(spark, d)
     days = s.agg(F.floor(F.min("start") / 86400).alias("first"), F.floor(F.max("end") / 86400).alias("last")).select(F.explode(F.sequence("first", "last")).alias("window"))  # one row of bounds
