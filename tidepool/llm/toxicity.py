@@ -2,8 +2,9 @@
 
 A text's features are the words in it (runs of letters, lower-cased) and their first 4 to 7 bytes, as 64-bit hashes,
 each present or not. Features that separate the labels are chosen by document counts, which partitions add up before
-they meet. Weights are a logistic regression with a squared penalty and a counterfactual one: in labelled sentences that
-mention a group, the term is swapped for others of its list, and every change of the score that this makes is penalised.
+they meet. Weights are a logistic regression with a squared penalty and a counterfactual one: in every labelled sentence
+that mentions a group, its terms are swapped for each other one of their lists (all of a sentence by the same number of
+places), and every change of the score that this makes is penalised, as often as it occurs.
 So a neutral mention of a group weighs no more than that of another, and terms can't become signs of toxicity.
 
 Training reads at most TRAIN_ROWS labelled rows (in the order of a hash of the id); every document is scored, whole.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, fold, slices, text_bytes, texts
+from .common import arrow_limits, discard, fold, slices, text_bytes, texts, written
 from .training import labelled, sigmoid
 from .words import bounds, mix, running, span
 
@@ -31,8 +32,8 @@ TRAIN_ROWS = 20_000
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
-#: Feature hashes are dealt to so many groups, and each keeps its best so many.
-GROUPS, BEST = 32, 192
+#: So many features, the best over all; their counts are added up in so many groups of hashes.
+FEATURES, GROUPS = 6144, 32
 LEAST_TOXIC = 4
 PENALTY, COUNTERFACTUAL = 5e-5, 1.0
 WORK_BYTES = 1 << 20
@@ -109,24 +110,35 @@ def _counts(train: DataFrame) -> DataFrame:
         kinds, total, toxic = kinds[keep], total[keep], toxic[keep]
         # how sure a feature is of label 1, times how much it covers
         gain = toxic * np.log((toxic + 0.5) / (total + 1) / 0.5)
-        top = np.lexsort((kinds, -gain))[:BEST]
+        top = np.lexsort((kinds, -gain))[:FEATURES]
         top = top[gain[top] > 0]
         yield pa.RecordBatch.from_arrays([pa.array(kinds[top]), pa.array(gain[top].astype(np.float64))], ["feature", "gain"])
 
     slim = train.select("text", "label")
-    return slim.mapInArrow(partial, "grp int, counts binary, docs long").groupBy("grp").applyInArrow(choose, "feature long, gain double")
+    return slim.mapInArrow(partial, "grp int, counts binary, docs long").groupBy("grp").applyInArrow(choose, "feature long, gain double").orderBy(F.desc("gain"), "feature").limit(FEATURES)
 
 
-def _examples(train: DataFrame, known: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    """Chosen features (as numbers) of each labelled row, the labels, and what swaps of identity terms change in its sentences."""
+def _shifts() -> tuple[re.Pattern, list[dict[str, str]]]:
+    """What finds identity terms, and for each number of places the term that takes each one's place; lines that are shorter have none."""
     lines = [line.split() for line in IDENTITY]
-    swaps = {t: line[(i + 1) % len(line)] for line in lines for i, t in enumerate(line)}
-    pattern = re.compile(r"\b(" + "|".join(map(re.escape, swaps)) + r")\b")
+    swaps = [{t: line[(i + k) % len(line)] for line in lines if k < len(line) for i, t in enumerate(line)} for k in range(1, max(map(len, lines)))]
+    return re.compile(r"\b(" + "|".join(map(re.escape, swaps[0])) + r")\b"), swaps
+
+
+def _examples(train: DataFrame, known: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray], np.ndarray]:
+    """Chosen features (as numbers) of each labelled row, the labels, and what swaps of identity terms change in sentences, with how often.
+
+    Different changes are as many as terms and the word beginnings that they share with a sentence's other words."""
+    pattern, swaps = _shifts()
 
     def numbers(h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
         return at[known[at] == h] if len(known) else np.zeros(0, np.int64)
 
+    def change(sentence: str, swap: dict[str, str]) -> np.ndarray:
+        before, after = numbers(_of(sentence)), numbers(_of(pattern.sub(lambda m: swap.get(m[0], m[0]), sentence)))
+        return np.concatenate([~np.setdiff1d(before, after), np.setdiff1d(after, before)]).astype("<i4")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, changes = [], []
@@ -135,23 +147,22 @@ def _examples(train: DataFrame, known: np.ndarray) -> tuple[list[np.ndarray], np
                 own = []
                 for sentence in _SENTENCE.findall(text.lower()) if pattern.search(text.lower()) else ():
                     if pattern.search(sentence):
-                        before, after = numbers(_of(sentence)), numbers(_of(pattern.sub(lambda m: swaps[m[0]], sentence)))
-                        gone, new = np.setdiff1d(before, after), np.setdiff1d(after, before)
-                        if len(gone) + len(new):
-                            own.append(np.concatenate([~gone, new]).astype("<i4").tobytes())
-                changes.append(own[:8])
+                        own += [c.tobytes() for c in (change(sentence, swap) for swap in swaps) if len(c)]
+                changes.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.binary()), batch.column(1), pa.array(changes, pa.list_(pa.binary()))], ["doc_id", "found", "label", "changes"])
 
     kind = train.schema["doc_id"].dataType.simpleString()
-    got = train.select("text", "label", "doc_id").mapInArrow(run, f"doc_id {kind}, found binary, label int, changes array<binary>").collect()
-    got.sort(key=lambda r: r.doc_id)
-    changes = [np.frombuffer(c, "<i4") for r in got for c in r.changes]
+    found = written(train.select("text", "label", "doc_id").mapInArrow(run, f"doc_id {kind}, found binary, label int, changes array<binary>"), "examples")
+    got = sorted(found.select("doc_id", "found", "label").collect(), key=lambda r: r.doc_id)
+    moved = {bytes(r.change): r.n for r in found.select(F.explode("changes").alias("change")).groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
+    discard(found)
     # the same for a neutral mention of every term, so the penalty never rests on what the corpus happens to mention
-    for t, u in swaps.items():
-        a, b = numbers(_of(f"they are {t}")), numbers(_of(f"they are {u}"))
-        if len(x := np.concatenate([~np.setdiff1d(a, b), np.setdiff1d(b, a)])):
-            changes.append(x)
-    return [np.frombuffer(r.found, "<i4") for r in got], np.array([r.label for r in got], np.float64), changes
+    for swap in swaps:
+        for t in swap:
+            if len(c := change(f"they are {t}", swap)):
+                moved[c.tobytes()] = moved.get(c.tobytes(), 0) + 1
+    changes = sorted(moved)
+    return [np.frombuffer(r.found, "<i4") for r in got], np.array([r.label for r in got], np.float64), [np.frombuffer(c, "<i4") for c in changes], np.array([moved[c] for c in changes], np.float64)
 
 
 @dataclass(frozen=True)
@@ -161,14 +172,15 @@ class Model:
     intercept: float
 
 
-def solve(rows: list[np.ndarray], y: np.ndarray, changes: list[np.ndarray], p: int, rounds: int = 800) -> tuple[np.ndarray, float]:
-    """Logistic regression with a squared and a counterfactual penalty, by gradient steps with momentum."""
+def solve(rows: list[np.ndarray], y: np.ndarray, changes: list[np.ndarray], p: int, times: np.ndarray | None = None, rounds: int = 800) -> tuple[np.ndarray, float]:
+    """Logistic regression with a squared and a counterfactual penalty, by gradient steps with momentum. Changes count as often as `times` says."""
+    times = np.ones(len(changes)) if times is None else times
     at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     swap = np.concatenate(changes) if changes else np.zeros(0, np.int64)
     change = np.repeat(np.arange(len(changes)), [len(c) for c in changes])
     sign, swap = np.where(swap < 0, -1.0, 1.0), np.where(swap < 0, ~swap, swap)
-    n, m = len(y), max(len(changes), 1)
+    n, m = len(y), max(times.sum(), 1)
     degree = np.bincount(row, minlength=n)
     step = 1 / (0.25 * (1 + degree.mean() * 4) + PENALTY + COUNTERFACTUAL * 4)
     w, b, z, c, t = np.zeros(p), float(np.log(y.mean() / (1 - y.mean()))), np.zeros(p), 0.0, 1.0
@@ -178,7 +190,7 @@ def solve(rows: list[np.ndarray], y: np.ndarray, changes: list[np.ndarray], p: i
         grad = np.bincount(at, off[row], p) / n + PENALTY * z
         if len(changes):
             moved = np.bincount(change, sign * z[swap], len(changes))
-            grad += COUNTERFACTUAL * np.bincount(swap, sign * moved[change], p) / m
+            grad += COUNTERFACTUAL * np.bincount(swap, sign * (times * moved)[change], p) / m
         new, new_b = z - step * grad, c - step * off.mean()
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, c = new + (t - 1) / s * (new - w), new_b + (t - 1) / s * (new_b - b)
@@ -188,13 +200,13 @@ def solve(rows: list[np.ndarray], y: np.ndarray, changes: list[np.ndarray], p: i
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     arrow_limits(docs.sparkSession)
-    some = labelled(docs, labels, target, MODULUS, HELD_OUT, rows)
+    some = written(labelled(docs, labels, target, MODULUS, HELD_OUT, rows), "labelled")
     known = np.array(sorted(r.feature for r in _counts(some).collect()), np.int64).view(np.uint64)
     known.sort()
-    examples, y, changes = _examples(some, known)
+    examples, y, changes, times = _examples(some, known)
     if len(y) == 0 or y.min() == y.max():
         return Model(known[:0], np.zeros(0), 0.0 if len(y) and y[0] else -40.0)
-    w, b = solve(examples, y, changes, len(known))
+    w, b = solve(examples, y, changes, len(known), times)
     return Model(known, w, b)
 
 

@@ -12,11 +12,13 @@ from .common import fold, texts
 def labelled(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int, bound: int) -> DataFrame:
     """(doc_id, text, label) of at most `bound` labelled rows outside the held-out fold, taken in the order of a hash of the id.
 
-    A doc_id labelled more than once counts with its largest label; null ids and labels don't count."""
+    A doc_id labelled more than once counts with its largest label, one with several texts with the smallest of them; null
+    ids and labels don't count. So there are at most `bound` rows, however often a document repeats."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).filter(fold(modulus) != held)
     known = known.groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return texts(docs).join(F.broadcast(known), "doc_id")  # at most `bound` rows
+    some = texts(docs).join(F.broadcast(known), "doc_id")  # at most `bound` rows
+    return some.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
