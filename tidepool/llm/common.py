@@ -37,9 +37,12 @@ def fold(modulus: int, id_col: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidepool.checkpoint.dir", None)
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only where everything runs on this machine can one of our own do."""
+    conf = spark.sparkContext.getConf()
+    at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidepool.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidepool-")
         spark.conf.set("spark.tidepool.checkpoint.dir", at)
     return at.rstrip("/")
