@@ -192,7 +192,6 @@ def test_classifiers(run, spark, sf, name, target, modulus, held):
     assert got.score.between(0, 1).all()
     known = got.merge(pd.read_parquet(f"{larger}/labels.parquet"), on="doc_id")
     known = known[known.held_out]
-    print(name, (known.predicted == known[target]).mean(), len(known))
     assert (known.predicted == known[target]).mean() > 0.9
 
 
@@ -435,23 +434,104 @@ def test_language_model(run, corpus):
 
 
 def test_language_model_sums_to_one(spark):
-    """Over the vocabulary and one unknown, probabilities after a context add up to one."""
-    texts = ["a b a c", "a b", "b c a b", "c c a"] * 6
-    vocabulary = ["a", "b", "c", "unseen"]
+    """Over the vocabulary, the end and one unknown word, probabilities after a context add up to one."""
+    texts = ["a b a c", "a b", "b c a b", "c c a", "a"] * 8
     train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1]
     test = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1]
-    rows = list(zip(train, texts, strict=False)) + [(test[0], "a")] + [(t, f"a {w}") for t, w in zip(test[1:], vocabulary, strict=False)]
+    words = ["a", "b", "c", "unseen"]
+    asked = ["", *words, *(f"{u} {w}" for u in words for w in words)]
+    rows = list(zip(train, texts, strict=False)) + list(zip(test, asked, strict=False))
     got = {r.doc_id: r.score for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    # score("a w") - log P(a | start) - log P(end | w): compare texts that differ in w alone, with ends scored apart
-    assert all(s < 0 for s in got.values()) and got[test[2]] > got[test[4]]
+    p = {a: 10 ** got[t] for a, t in zip(asked, test, strict=False)}
+    # with x[w] = P(w | start): P(end | u) = p[u] / x[u] and P(w | u) = p[u w] x[w] / (p[w] x[u]); that these add up to one for
+    # each u gives x, and then the probabilities after the start must add up to one as well
+    q = np.array([[p[f"{u} {w}"] / p[w] for w in words] for u in words])
+    x = np.linalg.solve(np.eye(4) - q, [p[u] for u in words])
+    assert (x > 0).all() and abs(x.sum() + p[""] - 1) < 1e-6
 
 
-def test_seating():
+def one_by_one(c, rest, parent, s, d, rng):
+    t = 0
+    for i in range(c):
+        new = (s + d * (rest + t)) * parent
+        t += i == 0 or rng.random() * (i - d * t + new) < new
+    return t
+
+
+@pytest.mark.parametrize(("c", "rest", "parent"), [(0, 5, 0.1), (1, 5, 0.1), (2, 5, 0.1), (50, 20, 0.02), (3000, 400, 0.01), (3000, 0, 0.9)])
+def test_seating(c, rest, parent):
+    """The law of the number of tables is that of customers who come one by one, however many they are."""
     rng = np.random.default_rng(0)
-    c = np.array([0, 1, 2, 50, 5000])
-    t = np.mean([language_model.seat(c, np.full(5, 0.5), 0.5, rng) for _ in range(200)], axis=0)
-    assert t[0] == 0 and t[1] == 1 and 1 < t[2] < 2 and t[2] < t[3] < t[4] < 1000
-    assert abs(t[2] - (1 + 0.5 / (1 - 0.5 + 0.5))) < 0.15
+    n = 400
+    got = language_model.seat(np.full(n, c), np.full(n, float(rest)), np.full(n, parent), 1.0, 0.8, rng)
+    want = np.array([one_by_one(c, rest, parent, 1.0, 0.8, rng) for _ in range(n)])
+    assert abs(got.mean() - want.mean()) <= 4 * math.sqrt((got.var() + want.var()) / n) + 1e-9 and got.max() <= max(c, 0)
+    assert abs(got.std() - want.std()) <= 0.25 * want.std() + 0.1
+
+
+def brute_pitman_yor(train, tokens_of, sweeps=30, seed=0):
+    """Means of predictive log10 probabilities under the same hierarchy, with customers reseated one at a time at explicit tables."""
+    rng = np.random.default_rng(seed)
+    kinds = sorted({w for t in train for w in t})
+    base = 1 / (len(kinds) + 1)
+    child, parent = defaultdict(lambda: defaultdict(list)), defaultdict(list)
+    (sd, ss), (wd, ws) = (language_model.PAIR_D, language_model.PAIR_S), (language_model.WORD_D, language_model.WORD_S)
+    size = lambda r: sum(sum(x) for x in r.values())
+    tables = lambda r: sum(len(x) for x in r.values())
+    p_word = lambda w: (max(sum(parent[w]) - wd * len(parent[w]), 0) + (ws + wd * tables(parent)) * base) / (ws + size(parent))
+
+    def p(u, w):
+        r = child[u]
+        return (max(sum(r[w]) - sd * len(r[w]), 0) + (ss + sd * tables(r)) * p_word(w)) / (ss + size(r))
+
+    def sit(own, weight_new, d):
+        weights = np.array([x - d for x in own] + [weight_new])
+        k = rng.choice(len(weights), p=weights / weights.sum())
+        if k == len(own):
+            own.append(0)
+        own[k] += 1
+        return k == len(own) - 1 and own[k] == 1
+
+    def leave(own):
+        k = rng.choice(len(own), p=np.array(own) / sum(own))
+        own[k] -= 1
+        if own[k] == 0:
+            del own[k]
+            return True
+        return False
+
+    def add(u, w):
+        if sit(child[u][w], (ss + sd * tables(child[u])) * p_word(w), sd):
+            sit(parent[w], (ws + wd * tables(parent)) * base, wd)
+
+    pairs = [(u, w) for t in train for u, w in zip(["\n", *t[:-1]], t, strict=True)]
+    for u, w in pairs:
+        add(u, w)
+    total = [np.zeros(len(t)) for t in tokens_of]
+    for k in range(sweeps):
+        for u, w in pairs:
+            if leave(child[u][w]):
+                leave(parent[w])
+            add(u, w)
+        if k >= sweeps // 2:
+            for out, t in zip(total, tokens_of, strict=True):
+                out += [p(u, w) for u, w in zip(["\n", *t[:-1]], t, strict=True)]
+    return [float(np.log10(x / (sweeps - sweeps // 2)).sum()) for x in total]
+
+
+def test_language_model_scores_are_those_of_a_sampler(spark):
+    """Scores against a sampler that reseats one customer at a time, over a small corpus."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(30)]
+    weights = 1 / np.arange(1, 31)
+    texts = [" ".join(rng.choice(words, rng.integers(3, 12), p=weights / weights.sum())) for _ in range(90)]
+    rows = list(enumerate(texts))
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    tokens = [[*t.split(), "\n"] for t in texts]
+    want = brute_pitman_yor([t for t, h in zip(tokens, held, strict=True) if not h], tokens)
+    got = {r.doc_id: r.score for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    off = np.array([got[i] - w for i, w in enumerate(want)]) / [len(t) for t in tokens]
+    assert abs(off.mean()) < 0.03 and np.abs(off).mean() < 0.06
 
 
 def test_warc(run, sf):

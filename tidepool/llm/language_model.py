@@ -3,10 +3,12 @@
 Tokens are lower-cased words and one end for each text; a token's context is the token before it (an end, for the
 first). Every context is a restaurant whose customers are the training tokens that follow it; all share one parent, the
 restaurant of words without context, whose customers are the context restaurants' tables, and whose parent is uniform over
-the vocabulary and one unknown. Seating is sampled by Gibbs sweeps: all customers of a dish are seated again by the
-Chinese-restaurant rule given the rest. Each part of the contexts sweeps on its own against the word frequencies that
-it has seen itself; the shared parent is seated when the parts' tables meet. A text's score is the logarithm of the
-predictive probability averaged over the sampled seatings.
+the vocabulary and one unknown. Seating is sampled by Gibbs sweeps: a dish's tables are taken away, in its restaurant and
+in the parent, and its customers sit down again, one after the other, by the Chinese-restaurant rule against the parent's
+predictive probability; then the parent is seated again. All dishes of a part of the contexts are drawn at once from the
+sweep before, and a part sweeps with a parent of its own, over the tables of its own contexts (approximate distributed
+sampling); the shared parent is seated, by sweeps too, when the parts' tables meet. A text's score is the logarithm of
+the predictive probability averaged over the sampled seatings.
 
 Chunks of documents send their distinct words and pairs, as sorted hashes with counts, to parts; parts answer in the
 same order; chunks score their texts. A word or pair meets a row for each chunk, not for each occurrence. Contexts with
@@ -39,7 +41,7 @@ MOST_PARTS = 1 << 15
 #: Discounts and strengths: of context restaurants, and of the restaurant of words.
 PAIR_D, PAIR_S = 0.8, 1.0
 WORD_D, WORD_S = 0.65, 10.0
-BURN_IN, SAMPLES = 2, 2
+BURN_IN, SAMPLES = 4, 2
 END = np.uint64(0x51ED270B9E3779B1)
 #: Bytes by which contexts and following words are told apart between chunks and parts.
 CONTEXT_BYTES, WORD_BYTES = 6, 5
@@ -48,19 +50,30 @@ WORK_BYTES = 1 << 20
 BLOBS = "kind int, dest int, src int, a binary, b binary, c binary, d binary, e binary"
 
 
-def seat(c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of c customers of one dish, where a table opens with weight `new` against i - d * tables.
+def seat(c: np.ndarray, rest: np.ndarray, parent: np.ndarray, s: float, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of c customers of one dish that come one after the other, with `rest` tables of other dishes around.
 
-    The first 32 customers are seated one by one; after that in blocks that double, each with its expected rate."""
+    The i-th customer opens the (t + 1)-th table with weight (s + d * (rest + t)) * parent against i - 1 - d * t. Early ones
+    are drawn one by one; later those that may open one are drawn at once and thinned out, by the same law."""
     t = (c > 0).astype(np.float64)
-    i, on = 1, np.flatnonzero(c > 1)
-    while len(on):
-        block = 1 if i < 32 else i
-        m = np.minimum(c[on] - i, block)
-        rate = new[on] / (i + (m - 1) / 2 - d * t[on] + new[on])
-        t[on] += rng.random(len(on)) < rate if block == 1 else np.minimum(rng.poisson(m * rate), m)
-        i += block
+    on = np.flatnonzero(c > 1)
+    i = 1
+    while len(on) and i < 32:
+        new = (s + d * (rest[on] + t[on])) * parent[on]
+        t[on] += rng.random(len(on)) * (i - d * t[on] + new) < new
+        i += 1
         on = on[c[on] > i]
+    at = np.full(len(on), float(i))  # customers that sit
+    while len(on):
+        # the chance of a new table falls with each customer until there is one: draw by the chance now, then thin out
+        new = (s + d * (rest[on] + t[on])) * parent[on]
+        norm = at - d * t[on] + new
+        skipped = np.floor(np.log(1 - rng.random(len(on))) / np.log1p(-np.minimum(new / norm, 1 - 1e-12)))
+        opened = (rng.random(len(on)) * (norm + skipped) < norm) & (at + skipped < c[on])
+        at += skipped + 1
+        t[on[opened]] += 1
+        left = at < c[on]
+        on, at = on[left], at[left]
     return t
 
 
@@ -244,8 +257,6 @@ def _seat_pairs(parts: int, distinct: int, hot: np.ndarray) -> Callable:
         follow, following = np.unique(w[first], return_inverse=True)
         known = c > 0
         customers = np.bincount(context, c, len(contexts))
-        parent = np.bincount(following, c, len(follow))
-        parent = (parent + WORD_S / (distinct + 1)) / (parent.sum() + WORD_S)
         # a context that is dealt over parts has a share of its tables here
         share = np.ones(len(contexts))
         if len(hot):
@@ -256,9 +267,17 @@ def _seat_pairs(parts: int, distinct: int, hot: np.ndarray) -> Callable:
             share[dealt] = np.maximum(customers[dealt], 1) / total[at][dealt]
         rng = np.random.default_rng([17, part])
         t, samples = known.astype(np.float64), []
+        above = (np.bincount(following, t, len(follow)) > 0).astype(np.float64)
         for sweep in range(BURN_IN + SAMPLES):
-            tables = np.bincount(context, t, len(contexts)) / share
-            t = seat(c, (PAIR_S + PAIR_D * tables[context]) * parent[following], PAIR_D, rng)
+            # the parent's customers are these restaurants' tables; it is seated again in each sweep
+            guests = np.bincount(following, t, len(follow))
+            above = seat(guests.astype(np.int64), above.sum() - above, np.full(len(follow), 1 / (distinct + 1)), WORD_S, WORD_D, rng)
+            # a dish's own tables are taken away, here and above, before its customers sit down again
+            others = guests[following] - t
+            chance = np.maximum(others - WORD_D * np.minimum(above[following], others), 0) + (WORD_S + WORD_D * above.sum()) / (distinct + 1)
+            chance /= WORD_S + guests.sum() - t
+            tables = np.bincount(context, t, len(contexts))
+            t = seat(c, (tables / share)[context] - t, chance, PAIR_S, PAIR_D, rng)
             if sweep >= BURN_IN:
                 samples.append(t)
         rows, at = [], 0
@@ -298,7 +317,14 @@ def _seat_words(distinct: int) -> Callable:
                 sums[kind - 1, s] += np.bincount(at[hit], t[s][hit], len(h))
         customers = np.maximum(sums[0], 1)  # a training token has a table somewhere
         rng = np.random.default_rng([19, key[0].as_py()])
-        own = [seat(customers[s].astype(np.int64), np.full(len(h), (WORD_S + WORD_D * distinct) / (distinct + 1)), WORD_D, rng) for s in range(SAMPLES)]
+        own = []
+        for s in range(SAMPLES):
+            tables_ = np.ones(len(h))
+            for _ in range(BURN_IN):
+                # the part holds its share of all words, so it sees that share of the tables of all
+                around = (tables_.sum() - tables_) * max(distinct / max(len(h), 1), 1.0)
+                tables_ = seat(customers[s].astype(np.int64), around, np.full(len(h), 1 / (distinct + 1)), WORD_S, WORD_D, rng)
+            own.append(tables_)
         blob = lambda xs: pa.array([_small(*xs)], pa.binary())
         totals = lambda xs: pa.array([[float(x.sum()) for x in xs]], pa.list_(pa.float64()))
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([c], pa.binary()), blob(customers), blob(own), blob(sums[1]), totals(customers), totals(own)],
