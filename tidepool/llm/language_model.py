@@ -13,9 +13,12 @@ the predictive probability averaged over the sampled seatings.
 Chunks of documents send their distinct words and pairs, as sorted hashes with counts, to parts; parts answer in the
 same order; chunks score their texts. A word or pair meets a row for each chunk, not for each occurrence. Contexts with
 many customers are dealt over all parts by the following word. Nothing of the corpus is on the driver but two totals and
-at most four contexts for each part. Chunks are a function of documents' contents, so lost tasks can run again.
+at most four contexts for each part. There are as many chunks and parts as the corpus has megabytes for, each a task of
+its own, so a task's input doesn't grow; blobs between them are no more than chunks times parts and no more than the
+words and pairs of chunks. Rows are dealt to chunks by their place in a stored file, so repeated rows are spread and lost
+tasks find the same rows again; rows that don't come from a file are stored first.
 
-Words are 64-bit hashes; between chunks and parts contexts are told apart by 48 bits, and the words after one by 40.
+Words are 64-bit hashes everywhere.
 
 Cases: a null or empty text is its end alone; rows repeat as given (each counts); without training texts counts are
 zero and scores come from the uniform parent; an empty table gives none; other columns are not read.
@@ -28,23 +31,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, fold, slices, sweep, text_bytes, texts, written
 from .words import chain, mix, words
 
 MODULUS, HELD_OUT = 5, 1
-#: Bytes of text in a chunk, on average; and how many parts there are at most.
+#: Bytes of text in a chunk, on average.
 CHUNK_BYTES = 9_000_000
-MOST_PARTS = 1 << 15
 #: Discounts and strengths: of context restaurants, and of the restaurant of words.
 PAIR_D, PAIR_S = 0.8, 1.0
 WORD_D, WORD_S = 0.65, 10.0
 BURN_IN, SAMPLES = 4, 2
 END = np.uint64(0x51ED270B9E3779B1)
-#: Bytes by which contexts and following words are told apart between chunks and parts.
-CONTEXT_BYTES, WORD_BYTES = 6, 5
 #: Texts are hashed so many bytes at a time.
 WORK_BYTES = 1 << 20
 BLOBS = "kind int, dest int, src int, a binary, b binary, c binary, d binary, e binary"
@@ -77,24 +78,8 @@ def seat(c: np.ndarray, rest: np.ndarray, parent: np.ndarray, s: float, d: float
     return t
 
 
-def _low(hashes: np.ndarray, size: int) -> np.ndarray:
-    return hashes & np.uint64((1 << 8 * size) - 1)
-
-
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(_low(hashes, WORD_BYTES)) % np.uint64(parts)).astype(np.int32)
-
-
-def _pack(values: np.ndarray, size: int) -> bytes:
-    """The low bytes of values."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
-
-
-def _unpack(blob: pa.Scalar, size: int) -> np.ndarray:
-    raw = _of(blob, "u1").reshape(-1, size)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :size] = raw
-    return out.view("<u8").reshape(-1)
+    return (mix(hashes) % np.uint64(parts)).astype(np.int32)
 
 
 def _of(blob: pa.Scalar, kind: str) -> np.ndarray:
@@ -174,7 +159,7 @@ class Chunk:
         if not len(salted):
             return
         part = self.pair_part.copy()
-        part[salted] = part_of(chain(self.kinds[self.u[salted]], _low(self.kinds[self.w[salted]], WORD_BYTES)), parts)
+        part[salted] = part_of(chain(self.kinds[self.u[salted]], self.kinds[self.w[salted]]), parts)
         order = np.argsort(part, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -234,7 +219,7 @@ def _ask_pairs(parts: int, hot: np.ndarray) -> Callable:
         for p, m in _runs(chunk.pair_part):
             u = chunk.u[m]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(u)) + 1, [len(u)]])
-            rows.append((0, p, key[0].as_py(), _pack(chunk.kinds[u[cut[:-1]]], CONTEXT_BYTES), _small(np.diff(cut)), _pack(chunk.kinds[chunk.w[m]], WORD_BYTES), _small(counts[m]), None))
+            rows.append((0, p, key[0].as_py(), chunk.kinds[u[cut[:-1]]].astype("<u8").tobytes(), _small(np.diff(cut)), chunk.kinds[chunk.w[m]].astype("<u8").tobytes(), _small(counts[m]), None))
         return _table(rows)
 
     return run
@@ -247,8 +232,8 @@ def _seat_pairs(parts: int, distinct: int, hot: np.ndarray) -> Callable:
     def run(key: tuple, asked: pa.Table) -> pa.Table:
         part = key[0].as_py()
         columns = [asked.column(n).combine_chunks() for n in ("a", "b", "c", "d")]
-        u = np.concatenate([np.repeat(_unpack(a, CONTEXT_BYTES), _large(b)[0]) for a, b in zip(columns[0], columns[1], strict=True)])
-        w = np.concatenate([_unpack(c, WORD_BYTES) for c in columns[2]])
+        u = np.concatenate([np.repeat(_of(a, "<u8"), _large(b)[0]) for a, b in zip(columns[0], columns[1], strict=True)])
+        w = np.concatenate([_of(c, "<u8") for c in columns[2]])
         counts = [_large(d)[0] for d in columns[3]]
         size = [len(x) for x in counts]
         _, first, inverse = np.unique(chain(u, w), return_index=True, return_inverse=True)
@@ -260,8 +245,7 @@ def _seat_pairs(parts: int, distinct: int, hot: np.ndarray) -> Callable:
         # a context that is dealt over parts has a share of its tables here
         share = np.ones(len(contexts))
         if len(hot):
-            order = np.argsort(_low(hot[:, 0], CONTEXT_BYTES))
-            names, total = _low(hot[:, 0], CONTEXT_BYTES)[order], hot[order, 1]
+            names, total = hot[:, 0], hot[:, 1]  # ascending
             at = np.minimum(np.searchsorted(names, contexts), len(hot) - 1)
             dealt = names[at] == contexts
             share[dealt] = np.maximum(customers[dealt], 1) / total[at][dealt]
@@ -285,14 +269,14 @@ def _seat_pairs(parts: int, distinct: int, hot: np.ndarray) -> Callable:
             own = inverse[at : at + n]
             rows.append((0, chunk, part, _small(c[own], *((x - known)[own] for x in samples)), None, None, None, None))
             at += n
-        for kind, names, number, width in ((1, follow, following, WORD_BYTES), (2, contexts, context, CONTEXT_BYTES)):
+        for kind, names, number in ((1, follow, following), (2, contexts, context)):
             own_part = part_of(names, parts)
             sums = [np.bincount(number, x, len(names)) for x in samples]
             some = sums[0] > 0
             names, own_part, sums = names[some], own_part[some], [x[some] for x in sums]
             order = np.argsort(own_part, kind="stable")
             for p, m in _runs(own_part[order]):
-                rows.append((kind, p, part, _pack(names[order][m], width), _small(*(x[order][m] for x in sums)), None, None, None))
+                rows.append((kind, p, part, names[order][m].astype("<u8").tobytes(), _small(*(x[order][m] for x in sums)), None, None, None))
         return _table(rows)
 
     return run
@@ -305,14 +289,11 @@ def _seat_words(distinct: int) -> Callable:
         if not known.num_rows:
             return pa.table([pa.array([], k) for k in (pa.int32(), *[pa.binary()] * 5, *[pa.list_(pa.float64())] * 2)], ["part", "words", "counts", "customers", "tables", "own", "all_customers", "all_tables"])
         h, c = _of(known.column("words")[0], "<u8"), known.column("counts")[0].as_py()
-        lows = {1: _low(h, WORD_BYTES), 2: _low(h, CONTEXT_BYTES)}
-        orders = {k: np.argsort(x) for k, x in lows.items()}
         sums = np.zeros((2, SAMPLES, len(h)))
         for kind, a, b in zip(tables.column("kind").to_pylist(), tables.column("a").combine_chunks(), tables.column("b").combine_chunks(), strict=True):
-            t = _large(b)
-            low, order, names = lows[kind], orders[kind], _unpack(a, WORD_BYTES if kind == 1 else CONTEXT_BYTES)
-            at = order[np.minimum(np.searchsorted(low, names, sorter=order), max(len(h) - 1, 0))] if len(h) else np.zeros(0, np.int64)
-            hit = low[at] == names
+            t, names = _large(b), _of(a, "<u8")
+            at = np.minimum(np.searchsorted(h, names), max(len(h) - 1, 0))
+            hit = h[at] == names if len(h) else np.zeros(len(names), bool)
             for s in range(SAMPLES):
                 sums[kind - 1, s] += np.bincount(at[hit], t[s][hit], len(h))
         customers = np.maximum(sums[0], 1)  # a training token has a table somewhere
@@ -392,36 +373,49 @@ def _score(parts: int, hot: np.ndarray, totals: Totals) -> Callable:
     return run
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a number of each row's place in its file, which is the same whenever the row is read."""
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("place")
+    try:
+        return texts(docs, place)
+    except AnalysisException:
+        return texts(written(texts(docs), "texts"), place)
+
+
 def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    docs = texts(docs).withColumn("train", fold(MODULUS) != HELD_OUT)
+    docs = _placed(docs).withColumn("train", fold(MODULUS) != HELD_OUT)
     size = docs.agg(F.sum(F.octet_length("text").cast("long") + 1).alias("n")).first().n or 0
-    chunks = max(1, -(-int(size) // chunk_bytes))
-    parts = min(chunks, MOST_PARTS)
-    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).groupBy("chunk")
+    chunks = parts = max(1, -(-int(size) // chunk_bytes))
+
+    def dealt(rows: DataFrame, key: str) -> GroupedData:
+        """Groups by chunk or part, over as many tasks."""
+        return rows.repartition(chunks, key).groupBy(key)
+
+    chunked = dealt(docs.withColumn("chunk", F.pmod("place", F.lit(chunks)).cast("int")).drop("place"), "chunk")
     asked = chunked.applyInArrow(_ask_words(parts), BLOBS)
-    vocabulary = written(asked.select(F.col("dest").alias("part"), "a", "b").groupBy("part").applyInArrow(_add_words, "part int, words binary, counts binary, kinds long, tokens long"), "vocabulary")
+    vocabulary = written(dealt(asked.select(F.col("dest").alias("part"), "a", "b"), "part").applyInArrow(_add_words, "part int, words binary, counts binary, kinds long, tokens long"), "vocabulary")
     row = vocabulary.agg(F.sum("kinds").alias("v"), F.sum("tokens").alias("n")).first()
     distinct, tokens = int(row.v or 0), int(row.n or 0)
     hot = _hot(vocabulary, tokens / (4 * parts))
     sweep(spark)
 
     pairs = chunked.applyInArrow(_ask_pairs(parts, hot), BLOBS)
-    seated = written(pairs.withColumnRenamed("dest", "part").groupBy("part").applyInArrow(_seat_pairs(parts, distinct, hot), BLOBS), "seated")
+    seated = written(dealt(pairs.withColumnRenamed("dest", "part"), "part").applyInArrow(_seat_pairs(parts, distinct, hot), BLOBS), "seated")
     sweep(spark)
 
-    tables = seated.filter("kind > 0").withColumnRenamed("dest", "part").groupBy("part")
+    tables = dealt(seated.filter("kind > 0").withColumnRenamed("dest", "part"), "part")
     lists = "part int, words binary, counts binary, customers binary, tables binary, own binary, all_customers array<double>, all_tables array<double>"
-    parent = written(vocabulary.groupBy("part").cogroup(tables).applyInArrow(_seat_words(distinct), lists), "parent")
+    parent = written(dealt(vocabulary, "part").cogroup(tables).applyInArrow(_seat_words(distinct), lists), "parent")
     sums = [F.sum(F.get(n, F.lit(s))).alias(f"{n}{s}") for n in ("all_customers", "all_tables") for s in range(SAMPLES)]
     row = parent.agg(*sums).first()
     totals = Totals(tokens, distinct, tuple(row[f"all_customers{s}"] or 0.0 for s in range(SAMPLES)), tuple(row[f"all_tables{s}"] or 0.0 for s in range(SAMPLES)))
     sweep(spark)
 
-    answers = asked.withColumnRenamed("dest", "part").groupBy("part").cogroup(parent.groupBy("part")).applyInArrow(_answer_words, BLOBS)
-    replies = seated.filter("kind = 0").unionByName(answers).withColumnRenamed("dest", "chunk").groupBy("chunk")
+    answers = dealt(asked.withColumnRenamed("dest", "part"), "part").cogroup(dealt(parent, "part")).applyInArrow(_answer_words, BLOBS)
+    replies = dealt(seated.filter("kind = 0").unionByName(answers).withColumnRenamed("dest", "chunk"), "chunk")
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = chunked.cogroup(replies).applyInArrow(_score(parts, hot, totals), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
