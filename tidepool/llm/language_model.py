@@ -270,24 +270,29 @@ def _seat_pairs(parts: int, distinct: int, hot: np.ndarray) -> Callable:
             dealt = names[at] == contexts
             share[dealt] = np.maximum(customers[dealt], 1) / total[at][dealt]
         rng = np.random.default_rng([17, part])
-        t, samples = known.astype(np.float64), []
-        above = (np.bincount(following, t, len(follow)) > 0).astype(np.float64)
+        # a dish of one customer has one table in every seating
+        many, once = np.flatnonzero(c > 1), np.flatnonzero(c == 1)
+        dish, room, t, samples = following[many], context[many], np.ones(len(many)), []
+        below, within = np.bincount(following[once], minlength=len(follow)), np.bincount(context[once], minlength=len(contexts))
+        above = ((below + np.bincount(dish, t, len(follow))) > 0).astype(np.float64)
         for sweep in range(BURN_IN + SAMPLES):
             # the parent's customers are these restaurants' tables; it is seated again in each sweep
-            guests = np.bincount(following, t, len(follow))
+            guests = below + np.bincount(dish, t, len(follow))
             above = seat(guests.astype(np.int64), above.sum() - above, np.full(len(follow), 1 / (distinct + 1)), WORD_S, WORD_D, rng)
             # a dish's own tables are taken away, here and above, before its customers sit down again
-            others = guests[following] - t
-            chance = np.maximum(others - WORD_D * np.minimum(above[following], others), 0) + (WORD_S + WORD_D * above.sum()) / (distinct + 1)
+            others = guests[dish] - t
+            chance = np.maximum(others - WORD_D * np.minimum(above[dish], others), 0) + (WORD_S + WORD_D * above.sum()) / (distinct + 1)
             chance /= WORD_S + guests.sum() - t
-            tables = np.bincount(context, t, len(contexts))
-            t = seat(c, (tables / share)[context] - t, chance, PAIR_S, PAIR_D, rng)
+            tables = within + np.bincount(room, t, len(contexts))
+            t = seat(c[many], (tables / share)[room] - t, chance, PAIR_S, PAIR_D, rng)
             if sweep >= BURN_IN:
-                samples.append(t)
+                samples.append(known.astype(np.float64))
+                samples[-1][many] = t
+        more = [(x - known).astype(np.uint32) for x in samples]
         rows, at = [], 0
         for chunk, n in zip(asked.column("src").to_pylist(), size, strict=True):
             own = inverse[at : at + n]
-            rows.append((0, chunk, part, _small(c[own], *((x - known)[own] for x in samples)), None, None, None, None))
+            rows.append((0, chunk, part, _small(c[own], *(x[own] for x in more)), None, None, None, None))
             at += n
         for kind, names, number in ((1, follow, following), (2, contexts, context)):
             own_part = part_of(names, parts)
