@@ -195,6 +195,27 @@ def test_client(spark, tmp_path):
     assert values(m.entries(), "tenant_id", "id") == [("u", "1")]
 
 
+def test_client_decides_and_rolls_back(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidepool.client import Memory
+
+    def decide(old, new):
+        return new.withColumn("decision", F.when(F.col("text") == "forget", "DELETE").when(F.col("text") == "same", "NONE").otherwise("UPDATE"))
+
+    kinds = "id string, tenant_id string, text string"
+    m = Memory(spark, str(tmp_path / "store"), decide)
+    m.add(spark.createDataFrame([("1", "t", "one"), ("2", "t", "two"), ("3", "t", "three"), ("1", "u", "one")], kinds))
+    m.add(spark.createDataFrame([("1", "t", "forget"), ("2", "t", "same"), ("3", "t", "four")], kinds))
+    assert values(m.entries().filter("NOT is_deleted"), "tenant_id", "id", "text") == [("t", "2", "two"), ("t", "3", "four"), ("u", "1", "one")]
+    assert [r.event for r in m.history("t", "1").collect()] == ["ADD", "DELETE"]
+    for key in ("1", "3"):
+        m.rollback("t", key, m.history("t", key).collect()[-1].seq)
+    assert values(m.entries().filter("NOT is_deleted"), "tenant_id", "id", "text") == [("t", "1", "one"), ("t", "2", "two"), ("t", "3", "three"), ("u", "1", "one")]
+    m.rollback("t", "2", m.history("t", "2").collect()[0].seq)
+    assert m.get("t", "2").count() == 0 and m.history("t", "2").collect()[-1].event == "ROLLBACK"
+
+
 def test_cosine_top_in_blocks(spark):
     from tidepool.operators import scoring
 

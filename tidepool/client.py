@@ -1,7 +1,8 @@
 """A store of memory entries as Parquet, with what callers of such a service do: add, search, get, update, history, delete.
 
-Tables are partitioned by tenant; each change appends to an audit log and writes the tenant's partition anew, so a
-reader never sees half of one. Searches are plans over the current table; nothing is collected here.
+Tables are partitioned by tenant; each change adds to an audit log and writes a new version of the whole table. A version
+counts from when an empty file with its number and name exists; such files are never replaced, so a reader always finds a
+whole table. Searches are plans over the current table; nothing is collected here.
 """
 
 from __future__ import annotations
@@ -28,21 +29,29 @@ class Memory:
     tools: dict[str, Callable[..., DataFrame]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.tools |= {"search": self.search, "get": self.get, "history": self.history, "expand": graph.expand, "relations": graph.relations_of}
+        self.tools |= {"search": self.search, "get": self.get, "history": self.history, "rollback": self.rollback, "expand": graph.expand, "relations": graph.relations_of}
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_current")
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(at):
+        versions = self._versions(name)
+        if not versions:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{self.spark.read.text(str(at)).first()[0]}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{versions[-1].split("-")[1]}")
+
+    def _at(self, path: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _versions(self, name: str) -> list[str]:
+        """Names of versions, number first, in order."""
+        fs, at = self._at(f"{self.path}/{name}/_versions")
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
     def _write(self, name: str, df: DataFrame) -> None:
-        """A new version beside the old one, then one small file that names it."""
-        version = uuid.uuid4().hex
+        """A new version beside the old ones, then an empty file that names it."""
+        version, number = uuid.uuid4().hex, len(self._versions(name)) + 1
         df.write.partitionBy("tenant_id").parquet(f"{self.path}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}/_current")
+        fs, at = self._at(f"{self.path}/{name}/_versions/{number:012d}-{version}")
+        fs.create(at, False).close()
 
     def entries(self) -> DataFrame:
         return self._read("entries", COLUMNS)
@@ -50,20 +59,27 @@ class Memory:
     def audit(self) -> DataFrame:
         return self._read("audit", AUDIT)
 
-    def _log(self, rows: DataFrame, event: str) -> None:
+    def _log(self, rows: DataFrame) -> None:
+        """Rows have a column `event`; their other columns are what the entry was before it, but for ADD."""
         old = self.audit()
         last = old.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-        new = rows.join(F.broadcast(last), how="left").select(F.col("id").alias("object_id"), "tenant_id", (F.col("last") + 1).alias("seq"), F.lit(event).alias("event"), F.to_json(F.struct("text", "published", "is_deleted")).alias("snapshot"))
+        new = rows.join(F.broadcast(last), how="left").select(F.col("id").alias("object_id"), "tenant_id", (F.col("last") + 1).alias("seq"), "event", F.to_json(F.struct("text", "published", "is_deleted")).alias("snapshot"))
         self._write("audit", old.unionByName(new))
 
     def add(self, rows: DataFrame) -> None:
-        """Insert or replace entries (id, tenant_id, text and any other column)."""
+        """Insert or replace entries (id, tenant_id, text and any other column), as the hook decides; it may also delete, or leave rows out."""
         have = rows.columns
         full = rows.select(*(F.col(f.name) if f.name in have else F.lit(False if f.name == "is_deleted" else None).cast(f.dataType).alias(f.name) for f in self.entries().schema))
-        if self.decide:
-            full = self.decide(self.entries(), full).filter("decision IN ('ADD', 'UPDATE')").drop("decision")
-        self._log(full, "ADD")
-        self._write("entries", maintain.upsert(self.entries(), full, ["tenant_id", "id"]))
+        keys, old = ["tenant_id", "id"], self.entries()
+        decided = self.decide(old, full) if self.decide else full.withColumn("decision", F.lit("ADD"))
+        put = decided.filter("decision IN ('ADD', 'UPDATE')").drop("decision")
+        gone = decided.filter("decision = 'DELETE'").select(*keys).distinct()
+        fresh = put.join(old.select(*keys), keys, "left_anti").withColumn("event", F.lit("ADD"))
+        changed = old.join(put.select(*keys), keys, "left_semi").withColumn("event", F.lit("UPDATE"))
+        deleted = old.filter("NOT is_deleted").join(gone, keys, "left_semi").withColumn("event", F.lit("DELETE"))
+        self._log(fresh.unionByName(changed).unionByName(deleted))
+        after = maintain.upsert(old, put, keys).join(gone.withColumn("_gone", F.lit(True)), keys, "left")
+        self._write("entries", after.withColumn("is_deleted", F.coalesce("_gone", "is_deleted")).drop("_gone"))
 
     def get(self, tenant: str, key: str) -> DataFrame:
         return self.entries().filter((F.col("tenant_id") == tenant) & (F.col("id") == key) & ~F.col("is_deleted"))
@@ -77,7 +93,7 @@ class Memory:
 
     def _change(self, tenant: str, ids: list[str], changes: dict[str, Column], event: str) -> None:
         hit = (F.col("tenant_id") == tenant) & F.col("id").isin(*ids)
-        self._log(self.entries().filter(hit), event)
+        self._log(self.entries().filter(hit).withColumn("event", F.lit(event)))
         self._write("entries", self.entries().withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items()}))
 
     def update(self, tenant: str, key: str, text: str) -> None:
@@ -87,6 +103,19 @@ class Memory:
         """Entries stay, marked, so history and rollback work."""
         self._change(tenant, list(ids), {"is_deleted": F.lit(True)}, "DELETE")
 
+    def rollback(self, tenant: str, key: str, seq: int) -> None:
+        """Give an entry what it was before the change of this number; one that the change added is deleted. Logged as a change itself."""
+        mine = (F.col("tenant_id") == tenant) & (F.col("object_id") == key) & (F.col("seq") == seq)
+        was = F.from_json("snapshot", "text string, published boolean, is_deleted boolean")
+        back = self.audit().filter(mine).select("tenant_id", F.col("object_id").alias("id"), F.col("event"), was.alias("was"))
+        hit = self.entries().join(back, ["tenant_id", "id"], "left")
+        self._log(self.entries().join(back.select("tenant_id", "id"), ["tenant_id", "id"], "left_semi").withColumn("event", F.lit("ROLLBACK")))
+        added = F.col("event") == "ADD"
+        for c in ("text", "published", "is_deleted"):
+            to = F.when(added, F.lit(True) if c == "is_deleted" else F.col(c)).otherwise(F.col(f"was.{c}"))
+            hit = hit.withColumn(c, F.when(F.col("event").isNull(), F.col(c)).otherwise(to))
+        self._write("entries", hit.drop("event", "was"))
+
     def clear(self, tenant: str) -> None:
         self._write("entries", self.entries().filter(F.col("tenant_id") != tenant))
 

@@ -127,3 +127,31 @@ def time_window(question: str, as_of: dt.datetime) -> tuple[dt.datetime, dt.date
         first = day.replace(day=1)
         return (first - one).replace(day=1), first
     return None
+
+
+def mark_policy(category: Column, evidence: Column, status: Column) -> Column:
+    """How long a mark lives by default: struct of ttl (seconds, 0 for no end) and policy."""
+    grounded = evidence.isin("S2_tool_grounded", "S3_user_confirmed")
+    lasting = category.isin("preference", "rule") | ((category == "fact") & F.coalesce(grounded, F.lit(False)))
+    finished = F.lower(status).isin("done", "completed", "closed")
+    days = F.when(lasting, 0).when(category == "fact", 180).when((category == "task") & finished, 7).otherwise(30)
+    policy = F.when(category == "preference", "until_changed").when(lasting, "permanent").otherwise("temporary")
+    return F.struct((days * 86_400).cast("long").alias("ttl"), policy.alias("policy"))
+
+
+def cut(text: Column, most: int) -> Column:
+    """Text of at most so many characters, with an ellipsis where some are missing."""
+    return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit("\u2026"))).otherwise(text)
+
+
+def compact(items: Column, n: int, most: int) -> Column:
+    """The first n texts of an array that have any, each cut."""
+    return F.transform(F.slice(F.filter(items, lambda x: F.length(F.btrim(x)) > 0), 1, n), lambda x: cut(x, most))
+
+
+def digest(given: Column, utterances: Column, modality: Column, start: Column, end: Column) -> Column:
+    """A window's summary: the given one, else the texts of its first two utterances, else what it is and when."""
+    said = F.array_join(F.filter(F.slice(utterances, 1, 2), lambda x: F.length(F.btrim(x)) > 0), " ")
+    when = F.concat(modality, F.lit(" activity in "), F.format_string("%.1f-%.1fs", start, end))
+    some = lambda x: F.when(F.length(F.btrim(x)) > 0, x)
+    return F.coalesce(some(given), some(said), when)

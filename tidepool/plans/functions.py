@@ -121,3 +121,28 @@ def bbox_xywh(spark: SparkSession, d: str) -> DataFrame:
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     e = S.parquet(spark, d, "events", "event_id", "props")
     return e.select(F.col("event_id").alias("id"), F.expr("variant_get(parse_json(props), '$.k', 'int')").alias("k"))
+
+
+@query("mark_policy", "WITH m AS (SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'preference' WHEN 1 THEN 'rule' WHEN 2 THEN 'task' WHEN 3 THEN 'fact' ELSE 'other' END AS c, CASE event_id % 3 WHEN 0 THEN 'S1_ai_inference' WHEN 1 THEN 'S2_tool_grounded' ELSE 'S3_user_confirmed' END AS e, CASE event_type WHEN 'click' THEN 'Done' END AS s FROM events) SELECT id, CAST(86400 * CASE WHEN c IN ('preference', 'rule') THEN 0 WHEN c = 'fact' AND e <> 'S1_ai_inference' THEN 0 WHEN c = 'fact' THEN 180 WHEN c = 'task' AND s IS NOT NULL THEN 7 ELSE 30 END AS BIGINT) AS ttl, CASE WHEN c = 'preference' THEN 'until_changed' WHEN c = 'rule' OR c = 'fact' AND e <> 'S1_ai_inference' THEN 'permanent' ELSE 'temporary' END AS policy FROM m")
+def mark_policy(spark: SparkSession, d: str) -> DataFrame:
+    category = F.element_at(F.array(*map(F.lit, ("preference", "rule", "task", "fact", "other"))), (F.col("id") % 5 + 1).cast("int"))
+    evidence = F.element_at(F.array(*map(F.lit, ("S1_ai_inference", "S2_tool_grounded", "S3_user_confirmed"))), (F.col("id") % 3 + 1).cast("int"))
+    return S.events(spark, d).select("id", T.mark_policy(category, evidence, F.when(F.col("action") == "click", "Done")).alias("m")).select("id", "m.ttl", "m.policy")
+
+
+TALK = "SELECT conv_id, list(text ORDER BY turn, text) AS u FROM conversations WHERE text IS NOT NULL GROUP BY 1"
+
+
+@query("window_digest", f"SELECT conv_id AS id, CASE WHEN conv_id % 3 = 0 THEN 'given ' || conv_id WHEN conv_id % 3 = 1 AND len(trim(array_to_string(list_filter(list_slice(u, 1, 2), lambda x: len(trim(x)) > 0), ' '))) > 0 THEN array_to_string(list_filter(list_slice(u, 1, 2), lambda x: len(trim(x)) > 0), ' ') ELSE 'audio activity in ' || conv_id || '.0-' || (conv_id + 1) || '.5s' END AS summary FROM ({TALK})")
+def window_digest(spark: SparkSession, d: str) -> DataFrame:
+    """A third of conversations have a summary, a third their utterances, a third neither."""
+    talk = S.turns(spark, d).filter("text IS NOT NULL").groupBy(F.col("session_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]).alias("u"))
+    start = F.col("id").cast("double")
+    summary = T.digest(F.when(F.col("id") % 3 == 0, F.concat(F.lit("given "), F.col("id").cast("string"))), F.when(F.col("id") % 3 == 1, F.col("u")).otherwise(F.array().cast("array<string>")), F.lit("audio"), start, start + 1.5)
+    return talk.select("id", summary.alias("summary"))
+
+
+@query("context_compaction", f"SELECT conv_id AS id, array_to_string(list_transform(list_slice(list_filter(u, lambda x: len(trim(x)) > 0), 1, 3), lambda x: CASE WHEN len(x) > 40 THEN rtrim(substr(x, 1, 39)) || '\u2026' ELSE x END), chr(10)) AS context FROM ({TALK})")
+def context_compaction(spark: SparkSession, d: str) -> DataFrame:
+    talk = S.turns(spark, d).filter("text IS NOT NULL").groupBy(F.col("session_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]).alias("u"))
+    return talk.select("id", F.array_join(T.compact(F.col("u"), 3, 40), "\n").alias("context"))

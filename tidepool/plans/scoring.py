@@ -182,3 +182,9 @@ _HAS = "list_contains(regexp_extract_all(low, '[a-z0-9'']+'), '{0}')"
 def fidelity_score(spark: SparkSession, d: str) -> DataFrame:
     q = O.Question("what kinds of that the")
     return S.parquet(spark, d, "conversations").select("conv_id", "turn", F.round(O.fidelity(q, F.col("text")), 6).alias("score"))
+
+
+@query("fill_up", "WITH f AS (SELECT user_id, event_id AS id, value AS score FROM events WHERE event_id % 50 = 0), n AS (SELECT user_id, count(*) AS n FROM f GROUP BY 1), u AS (SELECT user_id, event_id AS id, value AS score, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS r FROM events WHERE event_id % 50 <> 0) SELECT user_id, id, score, false AS late FROM f UNION ALL SELECT u.user_id, id, score, true FROM u LEFT JOIN n USING (user_id) WHERE r <= 5 - coalesce(n, 0)")
+def fill_up(spark: SparkSession, d: str) -> DataFrame:
+    e = S.events(spark, d).select("user_id", "id", F.col("value").alias("score"))
+    return O.fill_up(e.filter("id % 50 = 0"), e.filter("id % 50 <> 0"), "user_id", 5)
