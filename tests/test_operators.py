@@ -224,3 +224,17 @@ def test_cosine_top_in_blocks(spark):
     asked = spark.createDataFrame(rows[:9], "query_id long, qvec array<double>")
     want = sorted(map(tuple, scoring.cosine_top(asked, corpus, 3).collect()))
     assert sorted(map(tuple, scoring.cosine_top(asked, corpus, 3, block=2).collect())) == want and len(want) == 27
+
+
+def test_percentiles_of_many_values(spark):
+    import numpy as np
+
+    rows = spark.range(60_000).select((F.col("id") % 2).alias("k"), ((F.col("id") * 7919) % 30_011 / 3 + F.when(F.col("id") % 5 == 0, 10_000).otherwise(0)).alias("v"))
+    own = {k: np.sort(g.v.to_numpy()) for k, g in rows.toPandas().groupby("k")}
+    points = [0.0, 0.25, 0.8, 0.999, 1.0]
+    for r in derive.percentiles(rows, ["k"], "v", points).collect():
+        assert [r[f"p{round(p * 100)}"] for p in points[:3]] == pytest.approx(list(np.quantile(own[r.k], points[:3])))
+    got = {(r.k, p): r.value for p in points for r in derive.nearest_rank(rows, ["k"], "v", p).collect()}
+    assert got == {(k, p): x[int(np.rint(p * (len(x) - 1)))] for k, x in own.items() for p in points}
+    some = spark.createDataFrame([(1, None), (2, 3.0), (2, 3.0), (2, None)], "k int, v double")
+    assert {r.k: r.p50 for r in derive.percentiles(some, ["k"], "v", [0.5]).collect()} == {1: None, 2: 3.0}

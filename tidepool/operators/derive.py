@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +23,45 @@ def time_slices(events: DataFrame, modes: dict[str, str]) -> DataFrame:
     return events.select("id", kinds.alias("k")).groupBy("k.granularity", "k.slice").agg(F.count(F.lit(1)).alias("events"))
 
 
+#: Ranks are sought between approximate quantiles so far to both sides; their own error is a tenth of that. Of fewer values all are counted.
+SLACK, ACCURACY, FEW_VALUES = 0.001, 10_000, 10_000
+
+
+def _at_ranks(rows: DataFrame, keys: list[str], value: str, points: list[float], index: Callable[[float, Column], Column]) -> DataFrame:
+    """(keys, point, i, low, high): the values at the whole ranks around i = index(point, n) of a key's n sorted values, exactly; nulls don't count.
+
+    Approximate quantiles bracket each rank. Values below a bracket are only counted, those in it are counted by value, and
+    just these are put in order, so no task orders a key's values."""
+    v, cuts = F.col(value), [c for p in points for c in (max(p - SLACK, 0.0), min(p + SLACK, 1.0))]
+    ends = rows.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, cuts, ACCURACY).alias("_cuts")).filter("_n > 0")
+    few = F.col("_n") < FEW_VALUES
+    marks = [
+        F.struct(
+            F.lit(p).alias("point"), index(p, F.col("_n")).alias("i"),
+            F.when(~few & F.lit(p > SLACK), F.col("_cuts")[2 * k]).alias("lo"), F.when(~few & F.lit(p < 1 - SLACK), F.col("_cuts")[2 * k + 1]).alias("hi"),
+        )
+        for k, p in enumerate(points)
+    ]
+    asked = ends.select(*keys, F.explode(F.array(*marks)).alias("_m")).select(*keys, "_m.*")
+    met = rows.filter(v.isNotNull()).select(*keys, v.alias("_v")).join(asked, keys).filter("hi IS NULL OR _v <= hi")
+    counted = met.groupBy(*keys, "point", "i", F.when(F.col("lo").isNull() | (F.col("_v") >= F.col("lo")), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*keys, "point").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.withColumn("_upto", F.sum("_c").over(order))
+    least = lambda at: F.min(F.when(F.col("_upto") > at, F.col("_v")))
+    return upto.groupBy(*keys, "point", "i").agg(least(F.floor("i")).alias("low"), least(F.ceil("i")).alias("high"))
+
+
 def percentiles(rows: DataFrame, keys: list[str], value: str, points: list[float]) -> DataFrame:
-    """Linearly interpolated percentiles."""
-    return rows.groupBy(*keys).agg(*(F.percentile(value, p).alias(f"p{round(p * 100)}") for p in points))
+    """Linearly interpolated percentiles; null where a key has no values."""
+    found = _at_ranks(rows, keys, value, points, lambda p, n: p * (n - 1))
+    between = F.col("low") + (F.col("high") - F.col("low")) * (F.col("i") - F.floor("i"))
+    wide = found.groupBy(*keys).agg(*(F.max(F.when(F.col("point") == p, between)).alias(f"p{round(p * 100)}") for p in points))
+    return rows.select(*keys).distinct().join(wide, keys, "left")
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
-    """The value at index round(p * (n - 1)) of a key's sorted values, found by rank rather than by collecting them."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumns({"_i": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    return ranked.filter(F.col("_i") == F.rint(p * (F.col("_n") - 1))).select(*keys, F.col(value).alias("value"))
+    """The value at index round(p * (n - 1)) of a key's sorted values."""
+    return _at_ranks(rows, keys, value, [p], lambda q, n: F.rint(q * (n - 1))).select(*keys, F.col("low").alias("value"))
 
 
 def histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:
@@ -75,9 +106,10 @@ def merged_policy(policy: Column) -> Column:
 
 
 def clip_summary(hits: DataFrame, k: int) -> DataFrame:
-    """Per clip: span, the first k texts in order, how long."""
-    first = F.slice(F.sort_array(F.collect_list(F.struct("t", "id", "text"))), 1, k)
-    return hits.groupBy("clip").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("hits"), F.array_join(F.transform(first, lambda x: x["text"]), " | ").alias("summary"))
+    """Per clip: span, the first k texts in order, how long. Tasks send k texts of a clip, however many it has."""
+    first = hits.withColumn("_k", F.row_number().over(Window.partitionBy("clip").orderBy("t", "id"))).filter(F.col("_k") <= k)
+    texts = first.groupBy("clip").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "text"))), lambda x: x["text"]), " | ").alias("summary"))
+    return hits.groupBy("clip").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("hits")).join(texts, "clip")
 
 
 def build_session_graph(turns: DataFrame, mentions: DataFrame) -> dict[str, DataFrame]:
