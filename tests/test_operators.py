@@ -238,3 +238,12 @@ def test_percentiles_of_many_values(spark):
     assert got == {(k, p): x[int(np.rint(p * (len(x) - 1)))] for k, x in own.items() for p in points}
     some = spark.createDataFrame([(1, None), (2, 3.0), (2, 3.0), (2, None)], "k int, v double")
     assert {r.k: r.p50 for r in derive.percentiles(some, ["k"], "v", [0.5]).collect()} == {1: None, 2: 3.0}
+
+
+def test_sessions_of_two_batches(spark, tmp_path):
+    write, kinds = ingest.replace_sessions(str(tmp_path / "sessions")), "session_id int, idx int, text string"
+    second = spark.createDataFrame([(1, 1, "b2"), (1, 2, "c")], kinds)
+    write(spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "x")], kinds), 0)
+    for _ in range(2):
+        write(second, 1)
+    assert values(spark.read.parquet(str(tmp_path / "sessions")), "session_id", "idx", "text") == [(1, 0, "a"), (1, 1, "b2"), (1, 2, "c"), (2, 0, "x")]

@@ -63,9 +63,13 @@ def next_in_order(rows: DataFrame, keys: list[str], t: str, key: str = "id", ext
     return rows.select(*keys, F.col(key).alias("src_id"), F.lead(key).over(w).alias("dst_id"), *more).filter("dst_id IS NOT NULL")
 
 
-def remap(points: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Times on a compacted line (at) moved to the original: pieces have compact_start, compact_end, original_start."""
-    hit = points.join(pieces, (F.col("at") >= F.col("compact_start")) & (F.col("at") < F.col("compact_end")))
+def remap(points: DataFrame, pieces: DataFrame, keys: list[str] | None = None, bucket: float = 60.0) -> DataFrame:
+    """Times on a compacted line (at) moved to the original: pieces of a key have compact_start, compact_end, original_start.
+
+    They meet on buckets of time; a point lies in one bucket, so none meets a piece twice. Points outside all pieces go."""
+    of = lambda c: F.floor(F.col(c) / bucket)
+    dealt = pieces.filter("compact_end > compact_start").withColumn("_bucket", F.explode(F.sequence(of("compact_start"), of("compact_end"))))
+    hit = points.withColumn("_bucket", of("at")).join(dealt, [*(keys or []), "_bucket"]).filter((F.col("at") >= F.col("compact_start")) & (F.col("at") < F.col("compact_end"))).drop("_bucket")
     return hit.withColumn("original", F.col("original_start") + F.col("at") - F.col("compact_start"))
 
 

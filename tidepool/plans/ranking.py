@@ -149,3 +149,11 @@ def compact_map(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("start", "id")
     before = F.coalesce(F.sum(F.col("end") - F.col("start")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return spans(spark, d).select("user_id", F.col("id").alias("event_id"), F.round(1e6 * (before + 0.5 * (F.row_number().over(w) - 1))).cast("long").alias("compact_start"), micros("start").alias("original_start"))
+
+
+@query("remap_times", "WITH p AS (SELECT c_nationkey AS k, c_custkey * 10.0 AS a, c_custkey * 10.0 + 7 AS b, c_custkey * 13.0 AS o FROM customer) SELECT event_id AS id, CAST(round((o + z - a) * 1000) AS BIGINT) AS ms FROM (SELECT event_id, event_id % 25 AS k, event_id % 1501 + 0.5 AS z FROM events) JOIN p USING (k) WHERE z >= a AND z < b")
+def remap_times(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("c_custkey").cast("double")
+    pieces = S.parquet(spark, d, "customer", "c_custkey", "c_nationkey").select(F.col("c_nationkey").cast("long").alias("k"), (c * 10).alias("compact_start"), (c * 10 + 7).alias("compact_end"), (c * 13).alias("original_start"))
+    points = S.events(spark, d).select("id", (F.col("id") % 25).cast("long").alias("k"), (F.col("id") % 1501 + 0.5).alias("at"))
+    return I.remap(points, pieces, ["k"]).select("id", F.round(F.col("original") * 1000).cast("long").alias("ms"))

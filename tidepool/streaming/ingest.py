@@ -69,10 +69,17 @@ def run_to_end(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, in
     stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def replace_sessions(target: str, key: str = "session_id") -> Callable[[DataFrame, int], None]:
-    """A sink that overwrites just the partitions of the sessions in a batch."""
+def replace_sessions(target: str, key: str = "session_id", row: str = "idx") -> Callable[[DataFrame, int], None]:
+    """A sink that writes just the partitions of the sessions in a batch: its rows take the place of stored ones of the same number, others stay.
+
+    A batch that runs again gives the same."""
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            stored = spark.read.schema(batch.schema).parquet(target).join(batch.select(key).distinct(), key, "left_semi")
+            batch = batch.unionByName(stored.join(batch.select(key, row), [key, row], "left_anti"))
         batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(target)
 
     return write
