@@ -84,11 +84,18 @@ def test_bm25_tokens_mixed_scripts(spark):
 
 
 def test_question(spark):
-    q = scoring.Question("When did Caroline go to the adoption meeting?")
-    assert q.slot == "time" and q.names == ["Caroline"] and "adoption meeting" in q.phrases
-    t = spark.createDataFrame([("Caroline went to an adoption meeting on 7 May 2023",), ("Melanie stayed",)], "text string")
-    good, bad = [r[0] for r in t.select(scoring.fidelity(q, F.col("text"))).collect()]
-    assert good > 0 > bad
+    asked = [(1, "When did Caroline go to the adoption meeting?"), (2, "Is her husband at the sunrise"), (3, ""), (4, None), (5, "What is the relationship status"), (6, "what books")]
+    q = spark.createDataFrame(asked, "id int, question string").select("id", scoring.profile(F.col("question")).alias("q"))
+    p = {r.id: r.q for r in q.collect()}
+    assert p[1].slot == "time" and p[1].names == ["caroline"] and "adoption meeting" in p[1].phrases and "go to" not in p[1].phrases
+    assert p[1].anchors == ["go", "the", "adoption", "meeting"] and p[1].rare == ["adoption", "meeting"]
+    assert sorted(p[2].rivals) == ["sunset", "wife"] and [p[i].slot for i in range(2, 7)] == ["general", "general", "general", "status", "list"]
+    assert all(not p[i][k] for i in (3, 4) for k in ("tokens", "names", "anchors", "rare", "phrases", "rivals"))
+    texts = [(1, "Caroline went to an adoption meeting on 7 May 2023"), (1, "Melanie stayed"), (2, "My wife saw the sunset"), (3, "Melanie"), (4, "x"), (1, None), (1, "")]
+    t = spark.createDataFrame(texts, "id int, text string").coalesce(1).withColumn("n", F.monotonically_increasing_id())
+    got = [round(r[1], 6) for r in sorted(t.join(q, "id").select("n", scoring.fidelity(F.col("q"), F.col("text"))).collect())]
+    # a name, two words, both long, one phrase, a time; another name; one word against two rivals; nothing to meet
+    assert got == [0.004 + 0.003 + 0.002 + 0.003 + 0.004, -0.004, round(0.0015 - 0.004, 6), 0, 0, 0, 0]
 
 
 def test_names_and_times(spark):

@@ -180,8 +180,9 @@ _HAS = "list_contains(regexp_extract_all(low, '[a-z0-9'']+'), '{0}')"
 @query("fidelity_score", f"""WITH t AS (SELECT conv_id, turn, text, lower(text) AS low FROM conversations) SELECT conv_id, turn, CAST(round(least(CASE WHEN {_HAS.format("the")} THEN 1 ELSE 0 END + CASE WHEN {_HAS.format("that")} THEN 1 ELSE 0 END, 3) * 0.0015
  + CASE WHEN contains(low, 'that the') THEN 0.002 ELSE 0 END + CASE WHEN regexp_matches(low, ',|\\band\\b|\\bor\\b') THEN 0.003 ELSE 0 END, 6) AS DOUBLE) AS score FROM t""")
 def fidelity_score(spark: SparkSession, d: str) -> DataFrame:
-    q = O.Question("what kinds of that the")
-    return S.parquet(spark, d, "conversations").select("conv_id", "turn", F.round(O.fidelity(q, F.col("text")), 6).alias("score"))
+    q = spark.range(1).select(O.profile(F.lit("what kinds of that the")).alias("asked"))  # one row
+    t = S.parquet(spark, d, "conversations").join(F.broadcast(q), F.lit(True))
+    return t.select("conv_id", "turn", F.round(O.fidelity(F.col("asked"), F.col("text")), 6).alias("score"))
 
 
 @query("fill_up", "WITH f AS (SELECT user_id, event_id AS id, value AS score FROM events WHERE event_id % 50 = 0), n AS (SELECT user_id, count(*) AS n FROM f GROUP BY 1), u AS (SELECT user_id, event_id AS id, value AS score, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS r FROM events WHERE event_id % 50 <> 0) SELECT user_id, id, score, false AS late FROM f UNION ALL SELECT u.user_id, id, score, true FROM u LEFT JOIN n USING (user_id) WHERE r <= 5 - coalesce(n, 0)")
