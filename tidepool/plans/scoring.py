@@ -65,7 +65,12 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return O.hash_embedding(p, 1536).select("id", "idx", F.round("value", 6).alias("value"))
 
 
-@query("token_overlap")
+_UNITS = """flatten(list_transform(string_split_regex({0}, '\\s+'), lambda t: list_concat([t], CASE WHEN len(t) = 1 THEN [t] ELSE list_transform(range(1, len(t)), lambda i: substr(t, CAST(i AS BIGINT), 2)) END, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t) + 1), lambda i: substr(t, CAST(i AS BIGINT), 1)) ELSE [] END)))"""
+
+
+@query("token_overlap", f"""WITH a AS (SELECT {_UNITS.format("'red widget'")} AS asked), p AS (SELECT p_partkey AS id, lower(trim(p_name)) AS low FROM part), u AS (SELECT id, low, asked, {_UNITS.format('low')} AS units FROM p, a),
+ s AS (SELECT id, CASE WHEN contains(low, 'red widget') THEN 10.0 ELSE greatest(CASE WHEN low <> '' AND contains('red widget', low) THEN len(low) ELSE 0 END, CASE WHEN contains(low, 'red') THEN 3 ELSE 0 END, CASE WHEN contains(low, 'widget') THEN 6 ELSE 0 END,
+ len(list_filter(list_distinct(asked), lambda x: list_contains(units, x))) + 0.1 * list_sum(list_transform(range(1, len(asked) + 1), lambda i: CASE WHEN list_contains(units, asked[i]) THEN len(asked) - i + 1 ELSE 0 END))) END AS score FROM u) SELECT id, CAST(round(score, 6) AS DOUBLE) AS score FROM s WHERE score > 0""")
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
     p = S.parquet(spark, d, "part", "p_partkey", "p_name").toDF("id", "text")
     return p.select("id", F.round(O.token_overlap("red widget", F.col("text")), 6).alias("score")).filter("score > 0")
