@@ -9,6 +9,7 @@ from ..operators import filters, media
 from ..sources import tables as S
 from .ranking import SPANS, spans
 from .registry import query
+from .scoring import COS
 
 MS = "m AS (SELECT user_id % 10 AS source_id, event_type, event_id, a, b FROM s)"
 
@@ -38,15 +39,27 @@ def tracklet_stitch(spark: SparkSession, d: str) -> DataFrame:
     return media.stitch(t)
 
 
-@query("face_clusters")
+FACES = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, vec_id // 200 AS source_id, embedding FROM embeddings), g AS (SELECT * FROM v WHERE id % 9 <> 0), l AS (SELECT e.id AS a, q.id AS b FROM g e JOIN g q USING (source_id) WHERE e.id <> q.id AND {COS} >= 0.5),
+ r AS (SELECT id AS a, id AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), c AS (SELECT a AS id, min(b) AS cluster FROM r GROUP BY 1) SELECT source_id, id, CAST(coalesce(cluster, -1) AS BIGINT) AS cluster FROM v LEFT JOIN c USING (id)"""
+
+
+@query("face_clusters", FACES)
 def face_clusters(spark: SparkSession, d: str) -> DataFrame:
-    v = S.vectors(spark, d).select((F.col("id") % 4).alias("source_id"), "id", F.col("vector").alias("embedding"), F.when(F.col("id") % 9 == 0, 0.5).otherwise(0.95).alias("detection_confidence"), F.lit(30.0).alias("quality_score"))
+    """Sources of two hundred detections, so that one doesn't grow with the table."""
+    v = S.vectors(spark, d).select(F.floor(F.col("id") / 200).alias("source_id"), "id", F.col("vector").alias("embedding"), F.when(F.col("id") % 9 == 0, 0.5).otherwise(0.95).alias("detection_confidence"), F.lit(30.0).alias("quality_score"))
     return media.similar_faces(v, 0.5)
 
 
-@query("turn_event_alignment")
+ALIGN = f"""WITH v AS (SELECT vec_id AS id, vec_id // 100 AS session_id, embedding FROM embeddings), h AS (SELECT session_id, e.id AS event_id, q.id AS idx FROM v e JOIN v q USING (session_id) WHERE e.id % 3 = 0 AND q.id % 3 > 0 AND {COS} >= 0.1),
+ s AS (SELECT *, lead(idx, 2) OVER (PARTITION BY event_id ORDER BY idx) AS far FROM h), b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY far - idx, idx) AS n FROM s WHERE far IS NOT NULL), c AS (SELECT event_id, count(*) AS hits, min(idx) AS low, max(idx) AS high FROM h GROUP BY 1)
+ SELECT v.session_id, v.id AS event_id, coalesce(hits, 0) AS hits, CASE WHEN hits >= 3 THEN 'mapped' WHEN hits > 0 THEN 'weak' ELSE 'unmapped' END AS status, CASE WHEN hits >= 3 THEN b.idx ELSE low END AS first, CASE WHEN hits >= 3 THEN b.far ELSE high END AS last
+ FROM v LEFT JOIN c ON c.event_id = v.id LEFT JOIN b ON b.event_id = v.id AND n = 1 WHERE v.id % 3 = 0"""
+
+
+@query("turn_event_alignment", ALIGN)
 def turn_event_alignment(spark: SparkSession, d: str) -> DataFrame:
-    v = S.vectors(spark, d).select((F.col("id") % 20).alias("session_id"), "id", "vector")
+    """Sessions of a hundred rows, so that the pairs of one don't grow with the table."""
+    v = S.vectors(spark, d).select(F.floor(F.col("id") / 100).alias("session_id"), "id", "vector")
     return media.align(v.filter("id % 3 > 0").select("session_id", F.col("id").alias("idx"), "vector"), v.filter("id % 3 = 0").select("session_id", F.col("id").alias("event_id"), "vector"), 0.1)
 
 
