@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_model, media, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity, warc
+from . import bpe, fill_middle, language_model, media, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity, warc
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -57,6 +57,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_warc": op9_warc,
     "op10_ngram_join": op10_ngram_join,
+    "op12_fill_middle": op12_fill_middle,
 }
 #: The others hold models, tokenizers or formats that SQL doesn't have; tests/llm compares them with brute force.
 ORACLES: dict[str, str] = {
@@ -82,4 +87,11 @@ k AS (SELECT a, b FROM l JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
 r AS (SELECT a AS id, b AS o FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.o)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(d.doc_id, m), d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id AS doc_id, min(o) AS m FROM r GROUP BY 1) USING (doc_id)""",
+    "op12_fill_middle": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h, [len(x) FOR x IN regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+')] AS l FROM documents),
+g AS (SELECT doc_id, t, l, len(l) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS h FROM d),
+c AS (SELECT *, coalesce(list_sum(l[:least(h[1] % (n + 1), h[2] % (n + 1))]), 0) AS a, coalesce(list_sum(l[:greatest(h[1] % (n + 1), h[2] % (n + 1))]), 0) AS b,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, substr(t, 1, CAST(a AS BIGINT)) AS x, substr(t, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT)) AS y, substr(t, CAST(b AS BIGINT) + 1) AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
