@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fill_middle, language_model, media, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity, warc
+from . import bpe, divergence, fill_middle, language_model, media, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity, warc
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -61,6 +61,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_ngram_join": op10_ngram_join,
     "op12_fill_middle": op12_fill_middle,
+    "op13_source_divergence": op13_source_divergence,
 }
 #: The others hold models, tokenizers or formats that SQL doesn't have; tests/llm compares them with brute force.
 ORACLES: dict[str, str] = {
@@ -94,4 +99,13 @@ c AS (SELECT *, coalesce(list_sum(l[:least(h[1] % (n + 1), h[2] % (n + 1))]), 0)
 p AS (SELECT *, substr(t, 1, CAST(a AS BIGINT)) AS x, substr(t, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT)) AS y, substr(t, CAST(b AS BIGINT) + 1) AS z FROM c)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op13_source_divergence": """WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d), k AS (SELECT lang, term, count(*) AS kc FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10), g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY 1, 2, 3),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, kc FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, c, 1 + (CAST(1000000000 AS HUGEINT) * (c + 2)) // (sum(c) OVER n + 2 * count(*) OVER n) AS p, 1 + (CAST(1000000000 AS HUGEINT) * (kc + 2)) // (sum(kc) OVER n + 2 * count(*) OVER n) AS q FROM x WINDOW n AS (PARTITION BY lang, source)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p WHERE c > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM u QUALIFY part = 'pair' OR rank <= 10""",
 }
