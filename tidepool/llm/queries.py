@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, divergence, fill_middle, language_model, media, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity, warc
+from . import bpe, divergence, fill_middle, language_model, licenses, media, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity, warc
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -57,6 +57,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_warc": op9_warc,
     "op10_ngram_join": op10_ngram_join,
+    "op11_license_scan": op11_license_scan,
     "op12_fill_middle": op12_fill_middle,
     "op13_source_divergence": op13_source_divergence,
 }
