@@ -19,8 +19,9 @@
 Shingles are 64-bit hashes of words; two different ones of a corpus share a hash with a chance of about 2**-60.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; with fewer words than n
-the whole sequence is the only shingle; equal sets are linked; ties go to the smaller doc_id; of repeated doc_ids each
-row is returned, with the same component if their texts agree; rows without doc_id are returned with their own null
+the whole sequence is the only shingle; equal sets are linked; ties go to the smaller doc_id; of a repeated doc_id each
+row is returned and each text keeps its links: texts of one doc_id are linked, so that all of them have one component (but for
+rows without words, which are linked with nothing); rows without doc_id are returned with their own null
 component and linked with nothing; an empty table gives none; other columns are not read.
 """
 
@@ -123,6 +124,12 @@ def _heaviness(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.ceil(4 * np.log2(np.maximum(excess, 1))), 0, 255).astype(np.uint8)
 
 
+def _signature(own: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit sum over each set."""
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own + np.uint64(1)))])
+    return (run[at[1:]] - run[at[:-1]]).view(np.int64)
+
+
 def _sets(docs: DataFrame, n: int, percent: int, classes: object) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
@@ -134,7 +141,6 @@ def _sets(docs: DataFrame, n: int, percent: int, classes: object) -> DataFrame:
                 heavy = np.zeros(len(own), np.uint8)
                 low = own < np.uint64(1 << 64 - COUNTED)
                 heavy[low] = table[_counters(own[low])]
-                run_ = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own + np.uint64(1)))])
                 other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own ^ np.uint64(0x5DEECE66D)))])
                 prefixes, groups = [], []
                 spread = np.bincount(np.repeat(np.arange(b - a), size) * CELLS + (own >> np.uint64(24)).astype(np.int64) % CELLS, minlength=(b - a) * CELLS).reshape(b - a, CELLS)
@@ -149,7 +155,7 @@ def _sets(docs: DataFrame, n: int, percent: int, classes: object) -> DataFrame:
                     prefixes.append(p.astype("<u8").tobytes())
                     groups.append(int(mix(np.bitwise_xor.reduce(mix(p + np.uint64(3)), keepdims=True) + np.uint64(len(s)))[0].astype(np.int64)) if len(s) else 0)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array((run_[at[1:]] - run_[at[:-1]]).view(np.int64)),
+                    batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(_signature(own, at)),
                     pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)), pa.array(groups, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(cells, pa.binary()),
                     *(pa.array(np.ascontiguousarray(x)) for x in bits.T),
                 ], ["doc_id", "n_shingles", "sig1", "sig2", "grp", "prefix", "cells", *BITS])
@@ -206,24 +212,27 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return left.join(first, "a").join(second, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def _whole(pairs: list[DataFrame], docs: DataFrame, n: int) -> DataFrame:
-    """(id, members), stored: whole shingle sets, made again for the documents in pairs (a, b).
+def _whole(pairs: list[DataFrame], docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """(id, members), stored: whole shingle sets of the representatives in pairs (a, b), made again from a text that has them.
 
-    The ids are stored first: Spark broadcasts them if their file is small, and shuffles texts only if it isn't."""
+    The ids are stored first: Spark broadcasts them if their file is small, and shuffles texts only if it isn't. Where a
+    doc_id has several texts, the signature tells which of them is meant."""
     ends = [p.select(c) for p in pairs for c in p.columns]
     for e in ends[1:]:
         ends[0] = ends[0].union(e)
-    ids = written(ends[0].toDF("doc_id").distinct(), "wanted")
+    ids = written(ends[0].toDF("rep").distinct().join(reps.select("rep", "doc_id", "sig1"), "rep"), "wanted")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body, offsets = text_bytes(batch.column(1))
+            want = batch.column(1).to_numpy()
+            body, offsets = text_bytes(batch.column(2))
             for a, b in slices(np.diff(offsets), WORK_BYTES):
                 own, at = shingles(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([own[at[i] : at[i + 1]].astype("<u8").tobytes() for i in range(b - a)], pa.binary())], ["id", "members"])
+                mine = np.flatnonzero(_signature(own, at) == want[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mine + a)), pa.array([own[at[i] : at[i + 1]].astype("<u8").tobytes() for i in mine.tolist()], pa.binary())], ["id", "members"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(whole, f"id {kind}, members binary"), "sets")
+    found = docs.join(ids, "doc_id").select("rep", "sig1", "text").mapInArrow(whole, "id long, members binary")
+    out = written(found.dropDuplicates(["id"]), "sets")
     discard(ids)
     return out
 
@@ -310,6 +319,16 @@ def _meeting(centred: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("i.x").alias("a"), F.col("j.x").alias("b"))
 
 
+def _same_ids(mine: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between representatives of different texts of one doc_id."""
+    several = mine.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sig1").alias("low"), F.max("sig1").alias("high")).filter("low <> high").select("doc_id")
+    several = written(mine.join(several, "doc_id").select("doc_id", "sig1", "sig2", "n_shingles").distinct(), "repeated")
+    each = several.join(reps.select("sig1", "sig2", "n_shingles", "rep"), ["sig1", "sig2", "n_shingles"]).select("doc_id", "rep")
+    out = written(each.join(each.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")), "links")
+    discard(several)
+    return out
+
+
 def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of Jaccard >= percent / 100)."""
     spark: SparkSession = docs.sparkSession
@@ -318,13 +337,14 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     classes = spark.sparkContext.broadcast(_heaviness(sketch(docs, n)))
     sets = written(_sets(docs, n, percent, classes), "shingles")
     copies = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig1", "sig2", "n_shingles")
-    reps = copies.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"), *(F.first(c).alias(c) for c in BITS))
-    reps = written(reps, "representatives")
+    reps = copies.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"), *(F.first(c).alias(c) for c in BITS))
+    # a representative has a number of its own, as several sets may have the same smallest doc_id
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
     mine = written(sets.select("doc_id", "n_shingles", "sig1", "sig2"), "signatures")
     discard(sets)
     groups = written(reps.groupBy("grp", F.col("n_shingles").alias("size")).agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix")), "groups")
     member = reps.select("rep", "grp")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = "bigint"
 
     # posting lists with more than one member
     postings = written(_postings(groups), "postings")
@@ -344,7 +364,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     long = written(long, "long")
     discard(listed, groups)
     chosen, clusters = _pivots(long.drop("pos"), percent)
-    sets = _whole([pairs, clusters], docs, n)
+    sets = _whole([pairs, clusters], docs, reps, n)
     links = written(_both(pairs, sets, kind).where(_linked(percent)).select("a", "b"), "links")
     differences = written(_both(clusters.select(F.col("p").alias("a"), F.col("x").alias("b")), sets, kind), "differences")
     discard(pairs, clusters, sets)
@@ -369,14 +389,15 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     others = open_.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(meets)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     pairs = written(_possible(_meeting(named, percent).union(others).distinct(), reps, percent), "possible")
     discard(named, rest_)
-    sets = _whole([pairs], docs, n)
+    sets = _whole([pairs], docs, reps, n)
     last = written(_both(pairs, sets, kind).where(_linked(percent)).select("a", "b"), "links")
     discard(pairs, sets)
-    found = components(links.union(more).union(last))
-    copies_of = written(reps.filter("copies > 1").select("sig1", "sig2", F.col("n_shingles").alias("size"), "rep"), "copies")
-    discard(links, more, last, reps)
-
-    same = copies_of.alias("r")
-    out = mine.alias("s").join(same, (F.col("s.sig1") == F.col("r.sig1")) & (F.col("s.sig2") == F.col("r.sig2")) & (F.col("s.n_shingles") == F.col("r.size")) & F.col("s.doc_id").isNotNull(), "left")
-    out = out.select("s.doc_id", "s.n_shingles", F.coalesce("r.rep", "s.doc_id").alias("rep"))
-    return out.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    same = _same_ids(mine, reps)
+    found = components(links.union(more).union(last).union(same))
+    least = found.join(reps.select(F.col("rep").alias("id"), "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = reps.select("sig1", "sig2", F.col("n_shingles").alias("size"), F.col("rep").alias("id"), "doc_id", "copies").join(found, "id", "left").join(least, "component", "left")
+    named = written(named.filter("copies > 1 OR component IS NOT NULL").select("sig1", "sig2", "size", F.coalesce("component_id", "doc_id").alias("component_id")), "named")
+    discard(links, more, last, same, found, reps)
+
+    match = (F.col("s.sig1") == F.col("r.sig1")) & (F.col("s.sig2") == F.col("r.sig2")) & (F.col("s.n_shingles") == F.col("r.size")) & F.col("s.doc_id").isNotNull()
+    return mine.alias("s").join(named.alias("r"), match, "left").select("s.doc_id", "s.n_shingles", F.coalesce("r.component_id", "s.doc_id").alias("component_id"))
