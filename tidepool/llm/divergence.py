@@ -46,7 +46,7 @@ WORK_BYTES = 1 << 20
 HELD = 1 << 19
 
 _OUTSIDE = np.zeros(256, bool)
-_OUTSIDE[: 0x41] = True
+_OUTSIDE[:0x41] = True
 _OUTSIDE[0x5B:0x61] = True
 _OUTSIDE[0x7B:0x80] = True
 
