@@ -124,12 +124,6 @@ def _heaviness(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.ceil(4 * np.log2(np.maximum(excess, 1))), 0, 255).astype(np.uint8)
 
 
-def _signature(own: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit sum over each set."""
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own + np.uint64(1)))])
-    return (run[at[1:]] - run[at[:-1]]).view(np.int64)
-
-
 def _sets(docs: DataFrame, n: int, percent: int, classes: object) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
@@ -141,6 +135,7 @@ def _sets(docs: DataFrame, n: int, percent: int, classes: object) -> DataFrame:
                 heavy = np.zeros(len(own), np.uint8)
                 low = own < np.uint64(1 << 64 - COUNTED)
                 heavy[low] = table[_counters(own[low])]
+                run_ = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own + np.uint64(1)))])
                 other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own ^ np.uint64(0x5DEECE66D)))])
                 prefixes, groups = [], []
                 spread = np.bincount(np.repeat(np.arange(b - a), size) * CELLS + (own >> np.uint64(24)).astype(np.int64) % CELLS, minlength=(b - a) * CELLS).reshape(b - a, CELLS)
@@ -155,13 +150,13 @@ def _sets(docs: DataFrame, n: int, percent: int, classes: object) -> DataFrame:
                     prefixes.append(p.astype("<u8").tobytes())
                     groups.append(int(mix(np.bitwise_xor.reduce(mix(p + np.uint64(3)), keepdims=True) + np.uint64(len(s)))[0].astype(np.int64)) if len(s) else 0)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(_signature(own, at)),
+                    batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array((run_[at[1:]] - run_[at[:-1]]).view(np.int64)),
                     pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)), pa.array(groups, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(cells, pa.binary()),
                     *(pa.array(np.ascontiguousarray(x)) for x in bits.T),
-                ], ["doc_id", "n_shingles", "sig1", "sig2", "grp", "prefix", "cells", *BITS])
+                ], ["doc_id", "hash", "n_shingles", "sig1", "sig2", "grp", "prefix", "cells", *BITS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, sig1 long, sig2 long, grp long, prefix binary, cells binary, {", ".join(f"{c} long" for c in BITS)}")
+    return docs.mapInArrow(run, f"doc_id {kind}, hash long, n_shingles long, sig1 long, sig2 long, grp long, prefix binary, cells binary, {", ".join(f"{c} long" for c in BITS)}")
 
 
 def _postings(groups: DataFrame) -> DataFrame:
@@ -216,23 +211,22 @@ def _whole(pairs: list[DataFrame], docs: DataFrame, reps: DataFrame, n: int) ->
     """(id, members), stored: whole shingle sets of the representatives in pairs (a, b), made again from a text that has them.
 
     The ids are stored first: Spark broadcasts them if their file is small, and shuffles texts only if it isn't. Where a
-    doc_id has several texts, the signature tells which of them is meant."""
+    doc_id has several texts, the text's hash tells which of them is meant."""
     ends = [p.select(c) for p in pairs for c in p.columns]
     for e in ends[1:]:
         ends[0] = ends[0].union(e)
-    ids = written(ends[0].toDF("rep").distinct().join(reps.select("rep", "doc_id", "sig1"), "rep"), "wanted")
+    ids = written(ends[0].toDF("rep").distinct().join(reps.select("rep", "doc_id", "hash"), "rep"), "wanted")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want = batch.column(1).to_numpy()
-            body, offsets = text_bytes(batch.column(2))
+            body, offsets = text_bytes(batch.column(1))
             for a, b in slices(np.diff(offsets), WORK_BYTES):
                 own, at = shingles(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                mine = np.flatnonzero(_signature(own, at) == want[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mine + a)), pa.array([own[at[i] : at[i + 1]].astype("<u8").tobytes() for i in mine.tolist()], pa.binary())], ["id", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([own[at[i] : at[i + 1]].astype("<u8").tobytes() for i in range(b - a)], pa.binary())], ["id", "members"])
 
-    found = docs.join(ids, "doc_id").select("rep", "sig1", "text").mapInArrow(whole, "id long, members binary")
-    out = written(found.dropDuplicates(["id"]), "sets")
+    # texts are shuffled for repeated rows, and not sets, as they compress
+    found = docs.join(ids, ["doc_id", "hash"]).select("rep", "text").dropDuplicates(["rep"])
+    out = written(found.mapInArrow(whole, "id long, members binary"), "sets")
     discard(ids)
     return out
 
@@ -333,13 +327,13 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of Jaccard >= percent / 100)."""
     spark: SparkSession = docs.sparkSession
     arrow_limits(spark)
-    docs = texts(docs)
+    docs = texts(docs).withColumn("hash", F.xxhash64("text"))
     classes = spark.sparkContext.broadcast(_heaviness(sketch(docs, n)))
     sets = written(_sets(docs, n, percent, classes), "shingles")
     copies = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig1", "sig2", "n_shingles")
-    reps = copies.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"), *(F.first(c).alias(c) for c in BITS))
+    reps = copies.agg(F.min(F.struct("doc_id", "hash")).alias("of"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"), *(F.first(c).alias(c) for c in BITS))
     # a representative has a number of its own, as several sets may have the same smallest doc_id
-    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    reps = written(reps.select("*", "of.doc_id", "of.hash", F.monotonically_increasing_id().alias("rep")).drop("of"), "representatives")
     mine = written(sets.select("doc_id", "n_shingles", "sig1", "sig2"), "signatures")
     discard(sets)
     groups = written(reps.groupBy("grp", F.col("n_shingles").alias("size")).agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix")), "groups")
