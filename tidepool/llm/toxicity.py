@@ -88,17 +88,19 @@ def _counts(train: DataFrame) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body, offsets = text_bytes(batch.column(0))
-            label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            h, o = _unique(*features(body, offsets))
-            kinds, inverse = np.unique(h, return_inverse=True)
-            total, toxic = np.bincount(inverse, minlength=len(kinds)), np.bincount(inverse, label[o], len(kinds)).astype(np.int64)
-            group = (kinds % np.uint64(GROUPS)).astype(np.int32)
-            for g in range(GROUPS):
-                m = group == g
-                if m.any():
-                    blob = np.stack([kinds[m].view(np.int64), total[m], toxic[m]])
-                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([blob.tobytes()], pa.binary()), pa.array([0 if g else len(label)], pa.int64())], ["grp", "counts", "docs"])
+            every, offsets = text_bytes(batch.column(0))
+            labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in slices(np.diff(offsets), WORK_BYTES):
+                label = labels[a:b]
+                h, o = _unique(*features(every[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                kinds, inverse = np.unique(h, return_inverse=True)
+                total, toxic = np.bincount(inverse, minlength=len(kinds)), np.bincount(inverse, label[o], len(kinds)).astype(np.int64)
+                group = (kinds % np.uint64(GROUPS)).astype(np.int32)
+                for g in range(GROUPS):
+                    m = group == g
+                    if m.any():
+                        blob = np.stack([kinds[m].view(np.int64), total[m], toxic[m]])
+                        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([blob.tobytes()], pa.binary()), pa.array([0 if g else len(label)], pa.int64())], ["grp", "counts", "docs"])
 
     def choose(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, total, toxic = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
