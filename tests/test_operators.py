@@ -223,6 +223,84 @@ def test_client_decides_and_rolls_back(spark, tmp_path):
     assert m.get("t", "2").count() == 0 and m.history("t", "2").collect()[-1].event == "ROLLBACK"
 
 
+def test_client_keeps_changes_of_two_writers(spark, tmp_path):
+    """A second writer commits between the first one's reading and writing: both changes are there, each logged once."""
+    from pyspark.sql import functions as F
+
+    from tidepool.client import Conflict, Memory
+
+    kinds, path = "id string, tenant_id string, text string", str(tmp_path / "store")
+    other, late = Memory(spark, path), []
+
+    def decide(old, new):
+        if late:
+            other.add(spark.createDataFrame([(late.pop(), "t", "from the other")], kinds))
+        return new.withColumn("decision", F.lit("UPDATE"))
+
+    m = Memory(spark, path, decide)
+    m.add(spark.createDataFrame([("1", "t", "one"), ("9", "u", "theirs")], kinds))
+    late.append("2")
+    m.add(spark.createDataFrame([("3", "t", "three"), ("3", "t", "three again"), (None, "t", "x"), ("4", None, "x")], kinds))
+    assert [(r.tenant_id, r.id) for r in m.entries().orderBy("tenant_id", "id").collect()] == [("t", "1"), ("t", "2"), ("t", "3"), ("u", "9")]
+    assert sorted((r.object_id, r.seq, r.event) for r in m.audit().filter("tenant_id = 't'").collect()) == [("1", 1, "ADD"), ("2", 2, "ADD"), ("3", 3, "ADD")] and m.commits("u") == [1]
+    # nothing to change is no commit; old tables can go, the log stays
+    m.delete("t", "none")
+    assert m.commits("t") == [1, 2, 3] and m.vacuum("t") == 2 and m.of("t").count() == 3 and m.audit().count() == 4
+    # a writer that never gets a number gives up
+    late[:] = [str(i) for i in range(100, 200)]
+    import tidepool.client
+
+    tries, tidepool.client.TRIES = tidepool.client.TRIES, 2
+    try:
+        with pytest.raises(Conflict):
+            m.add(spark.createDataFrame([("5", "t", "five")], kinds))
+    finally:
+        tidepool.client.TRIES = tries
+    assert m.get("t", "5").count() == 0
+
+
+def test_client_finds_by_vector(spark, tmp_path):
+    from tidepool.client import Memory
+
+    m = Memory(spark, str(tmp_path / "store"))
+    m.add(spark.createDataFrame([("1", "t/ä", "a", [1.0, 0.0]), ("2", "t/ä", "b", [0.6, 0.8]), ("3", "t/ä", "c", None), ("4", "u", "d", [1.0, 0.0])], "id string, tenant_id string, text string, vector array<float>"))
+    assert [(r.id, round(r.score, 5)) for r in m.near("t/ä", [0.0, 2.0], 3).orderBy("rank").collect()] == [("2", 0.8), ("1", 0.0), ("3", 0.0)]
+    m.update("t/ä", "2", "bb")
+    m.rollback("t/ä", "2", 2)
+    assert [(r.text, len(r.vector)) for r in m.get("t/ä", "2").collect()] == [("b", 2)]
+
+
+def test_upsert_of_repeated_keys(spark):
+    from tidepool.operators import maintain
+
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    new = spark.createDataFrame([(2, "x"), (2, "y"), (3, "z"), (3, "z")], "id long, v string")
+    for order in (new, new.orderBy("v"), new.orderBy("v", ascending=False)):
+        assert maintain.upsert(old, order, ["id"]).count() == 3 and len({tuple(r) for r in maintain.upsert(old, order, ["id"]).collect()}) == 3
+    assert {r.v for r in maintain.unique(new.withColumn("t", F.when(F.col("v") == "x", 2).otherwise(1)), ["id"], "t").filter("id = 2").collect()} == {"x"}
+
+
+def test_equivalences_are_approved_and_rejected(spark):
+    from tidepool.operators import maintain
+
+    edges = spark.createDataFrame([("a", "b", "EQUIV", 0.4), ("d", "c", "EQUIV", 0.7), ("a", "c", "KNOWS", 2.0), ("x", "y", "EQUIV", None)], "src_id string, dst_id string, rel_type string, weight double")
+    pending = spark.createDataFrame([("b", "a", "approved"), ("c", "d", "rejected"), ("e", "f", "approved"), ("f", "e", "approved"), ("g", "h", "pending"), ("i", "j", "approved"), ("j", "i", "rejected"), ("k", "k", "approved")], "a string, b string, status string")
+    got = {(r.src_id, r.dst_id, r.rel_type, r.weight) for r in maintain.approve_equivalents(edges, pending).collect()}
+    assert got == {("a", "b", "EQUIV", 0.4), ("a", "c", "KNOWS", 2.0), ("e", "f", "EQUIV", 1.0), ("x", "y", "EQUIV", None)}
+
+
+def test_purge_takes_orphans_of_orphans(spark):
+    from tidepool.operators import maintain
+
+    nodes = spark.createDataFrame([("v1", "Event"), ("v2", "Event"), ("e1", "Entity"), ("e2", "Entity"), ("p1", "Place"), ("q1", "Region"), ("lone", "Entity")], "id string, label string")
+    edges = spark.createDataFrame([("v1", "e1", "INVOLVES", 1.0), ("v1", "e2", "INVOLVES", 1.0), ("v2", "e2", "INVOLVES", 1.0), ("e1", "p1", "LIVES", 1.0), ("p1", "q1", "IN", 1.0)], "src_id string, dst_id string, rel_type string, weight double")
+    left, kept, went = maintain.purge(nodes, edges, spark.createDataFrame([("v1",), ("unknown",)], "id string"), ["Entity", "Place"])
+    assert {(r.id, r["round"]) for r in went.collect()} == {("v1", 0), ("e1", 1), ("p1", 2)} and {r.id for r in left.collect()} == {"v2", "e2", "q1", "lone"}
+    assert {(r.src_id, r.dst_id) for r in kept.collect()} == {("v2", "e2")}
+    _, _, went = maintain.purge(nodes, edges, spark.createDataFrame([("v1",), ("p1",)], "id string"), ["Entity", "Place"], directed=False)
+    assert {(r.id, r["round"]) for r in went.collect()} == {("v1", 0), ("p1", 0), ("e1", 1)}
+
+
 def test_cosine_top_in_blocks(spark):
     from tidepool.operators import scoring
 

@@ -5,9 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
+
+def unique(rows: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
+    """One row of each key: the one with the largest `newest`, ties and rows without it by a hash of all columns, so that any order of rows gives the same."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    by = F.xxhash64(*rest) if newest is None else F.struct(F.col(newest), F.xxhash64(*rest))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_r")).select(*keys, "_r.*").select(*rows.columns)
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], merge_nulls: bool = False) -> DataFrame:
-    """New rows replace old ones of their key whole; with merge_nulls, null columns keep the old value. One shuffle on the key."""
+    """New rows replace old ones of their key whole; with merge_nulls, null columns keep the old value. One shuffle on the key.
+
+    Of new rows of one key unique() chooses."""
+    new = unique(new, keys)
     if not merge_nulls:
         return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
     rest = [c for c in old.columns if c not in keys]
@@ -71,9 +85,43 @@ def purge_except(rows: DataFrame, source: str, keep: DataFrame) -> DataFrame:
 
 
 def approve_equivalents(edges: DataFrame, pending: DataFrame) -> DataFrame:
-    """Approved proposals become EQUIV edges, both ways known once."""
-    ok = pending.filter("status = 'approved'").select(F.least("a", "b").alias("src_id"), F.greatest("a", "b").alias("dst_id"), F.lit("EQUIV").alias("rel_type"), F.lit(1.0).alias("weight")).distinct()
-    return edges.select("src_id", "dst_id", "rel_type", "weight").unionByName(ok).dropDuplicates(["src_id", "dst_id", "rel_type"])
+    """Equivalences after decisions on proposals (a, b, status; both ways are one): approved ones become EQUIV edges of weight 1, and edges
+    that are there keep their weight; rejected ones take their EQUIV edge away. A pair with both decisions is rejected."""
+    ends = pending.select(F.least("a", "b").alias("src_id"), F.greatest("a", "b").alias("dst_id"), "status")
+    no = ends.filter("status = 'rejected'").select("src_id", "dst_id").distinct()
+    ok = ends.filter("status = 'approved' AND src_id <> dst_id").select("src_id", "dst_id").distinct().join(no, ["src_id", "dst_id"], "left_anti")
+    own = edges.select("src_id", "dst_id", "rel_type", "weight")
+    equal, rest = own.filter("rel_type = 'EQUIV'").withColumns({"src_id": F.least("src_id", "dst_id"), "dst_id": F.greatest("src_id", "dst_id")}), own.filter("rel_type <> 'EQUIV' OR rel_type IS NULL")
+    left = equal.groupBy("src_id", "dst_id").agg(F.max("weight").alias("weight")).join(no, ["src_id", "dst_id"], "left_anti")
+    both = left.join(ok.withColumn("_new", F.lit(1.0)), ["src_id", "dst_id"], "full").select("src_id", "dst_id", F.lit("EQUIV").alias("rel_type"), F.coalesce("weight", "_new").alias("weight"))
+    return rest.unionByName(both)
+
+
+def purge(nodes: DataFrame, edges: DataFrame, doomed: DataFrame, owned: list[str], directed: bool = True, rounds: int = 32) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left of nodes (id, label) and edges (src_id, dst_id, rel_type) when some nodes (id) go, and what went (id, label, round).
+
+    A node of an owned label goes as well when the last edge that leads to it went with others: an entity that nothing mentions any more, then a
+    place that only it was at, and so on to the fixed point. With directed=False it takes the last of all its edges, in whichever direction. One
+    that had no such edge to begin with stays. Each round joins only edges that
+    touch what went in the round before, and is stored, so the plan doesn't grow; rounds are as many as the longest chain."""
+    went = stored(nodes.join(doomed.select("id").distinct(), "id", "left_semi").select("id", "label", F.lit(0).alias("round")), "purged")
+    every, left = went, edges
+    for n in range(1, rounds + 1):
+        last = went.select("id")
+        cut = left.join(last.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct()
+        if not directed:
+            cut = cut.union(left.join(last.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi").select(F.col("src_id").alias("id"))).distinct()
+        left = stored(left.join(last.withColumnRenamed("id", "src_id"), "src_id", "left_anti").join(last.withColumnRenamed("id", "dst_id"), "dst_id", "left_anti").select(*edges.columns), "edges-left")
+        held = left.select(F.col("dst_id").alias("id"))
+        held = held if directed else held.union(left.select(F.col("src_id").alias("id")))
+        alone = nodes.filter(F.col("label").isin(*owned)).join(cut, "id", "left_semi").join(held, "id", "left_anti").join(every.select("id"), "id", "left_anti")
+        went = stored(alone.select("id", "label", F.lit(n).alias("round")), "purged")
+        if went.isEmpty():
+            break
+        every = every.unionByName(went)
+    else:
+        raise RuntimeError(f"there are still orphans after {rounds} rounds")
+    return nodes.join(every.select("id"), "id", "left_anti"), left, every
 
 
 def history(audit: DataFrame) -> DataFrame:

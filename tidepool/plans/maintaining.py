@@ -86,13 +86,32 @@ def purge_keep_set(spark: SparkSession, d: str) -> DataFrame:
     return O.purge_except(e, "src8", e.filter("id % 2 = 0"))
 
 
-@query("equiv_apply", "SELECT CAST(least(s_suppkey, s_suppkey + 1) AS BIGINT) AS src_id, CAST(s_suppkey + 1 AS BIGINT) AS dst_id, 'EQUIV' AS rel_type FROM supplier WHERE s_suppkey % 3 = 0")
+@query("equiv_apply", """WITH e AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b, CAST(s_suppkey % 7 AS DOUBLE) / 7 AS w FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, s_suppkey + 2, 0.25 FROM supplier),
+ p AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b, s_suppkey % 3 AS k FROM supplier)
+ SELECT CAST(coalesce(e.a, p.a) AS BIGINT) AS src_id, CAST(coalesce(e.b, p.b) AS BIGINT) AS dst_id, 'EQUIV' AS rel_type, CAST(coalesce(e.w, 1.0) AS DOUBLE) AS weight FROM e FULL JOIN (SELECT * FROM p WHERE k < 2) p ON e.a = p.a AND e.b = p.b WHERE coalesce(p.k, 0) <> 1""")
 def equiv_apply(spark: SparkSession, d: str) -> DataFrame:
-    s = S.parquet(spark, d, "supplier", "s_suppkey")
-    pending = s.select((F.col("s_suppkey") + 1).alias("a"), F.col("s_suppkey").alias("b"), F.when(F.col("s_suppkey") % 3 == 0, "approved").otherwise("rejected").alias("status"))
-    pending = pending.unionByName(pending.select(F.col("b").alias("a"), F.col("a").alias("b"), "status"))
-    empty = pending.select("a", "b").limit(0).select(F.col("a").alias("src_id"), F.col("b").alias("dst_id"), F.lit("EQUIV").alias("rel_type"), F.lit(1.0).alias("weight"))
-    return O.approve_equivalents(empty, pending).select("src_id", "dst_id", "rel_type")
+    """Proposals of both ways: approved ones add edges or leave those that are there, rejected ones take edges away, open ones change nothing."""
+    s = S.parquet(spark, d, "supplier", "s_suppkey").select(F.col("s_suppkey").cast("long").alias("k"))
+    there = s.filter("k % 2 = 0").select((F.col("k") + 1).alias("src_id"), F.col("k").alias("dst_id"), F.lit("EQUIV").alias("rel_type"), ((F.col("k") % 7) / 7).alias("weight"))
+    edges = there.unionByName(s.select(F.col("k").alias("src_id"), (F.col("k") + 2).alias("dst_id"), F.lit("EQUIV").alias("rel_type"), F.lit(0.25).alias("weight")))
+    status = F.when(F.col("k") % 3 == 0, "approved").when(F.col("k") % 3 == 1, "rejected").otherwise("pending")
+    pending = s.select((F.col("k") + 1).alias("a"), F.col("k").alias("b"), status.alias("status"))
+    return O.approve_equivalents(edges, pending.unionByName(pending.select(F.col("b").alias("a"), F.col("a").alias("b"), "status")))
+
+
+@query("purge_cascade", """WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey % 5 < 4), kept AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM o)), gone AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_orderkey IN (SELECT k FROM o) AND l_partkey NOT IN (SELECT p FROM kept)),
+ s AS (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_partkey IN (SELECT p FROM gone) AND l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_partkey NOT IN (SELECT p FROM gone)))
+ SELECT 'Event' AS label, 0 AS "round", count(*) AS n FROM o UNION ALL SELECT 'Entity', 1, count(*) FROM gone HAVING count(*) > 0 UNION ALL SELECT 'Place', 2, count(*) FROM s HAVING count(*) > 0""")
+def purge_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Most customers' orders go: parts that only they had go with them, and suppliers that only those parts had."""
+    at = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    o = S.parquet(spark, d, "orders", "o_orderkey", "o_custkey")
+    line = S.parquet(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey")
+    nodes = o.select(at("o", "o_orderkey").alias("id"), F.lit("Event").alias("label")).unionByName(S.parquet(spark, d, "part", "p_partkey").select(at("p", "p_partkey").alias("id"), F.lit("Entity").alias("label")))
+    nodes = nodes.unionByName(S.parquet(spark, d, "supplier", "s_suppkey").select(at("s", "s_suppkey").alias("id"), F.lit("Place").alias("label")))
+    edges = line.select(at("o", "l_orderkey").alias("src_id"), at("p", "l_partkey").alias("dst_id"), F.lit("INVOLVES").alias("rel_type")).union(line.select(at("p", "l_partkey"), at("s", "l_suppkey"), F.lit("SUPPLIED_BY"))).distinct()
+    _, _, went = O.purge(nodes, edges, o.filter("o_custkey % 5 < 4").select(at("o", "o_orderkey").alias("id")), ["Entity", "Place"])
+    return went.groupBy("label", "round").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("audit_latest", "SELECT user_id AS object_id, max(event_id) AS seq, arg_max(event_type, event_id) AS snapshot FROM events GROUP BY 1")

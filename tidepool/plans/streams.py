@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import tables as S
+from ..sources.store import new_path
 from ..streaming import ingest as O
+from ..streaming import machines
 from .registry import query
 
 
@@ -43,3 +45,17 @@ def session_cursor(spark: SparkSession, d: str) -> DataFrame:
 def job_retention(spark: SparkSession, d: str) -> DataFrame:
     """Finished jobs older than a time and without a retry ahead."""
     return S.parquet(spark, d, "events", "event_id", "event_type", "ts").filter("event_type = 'error' AND ts < TIMESTAMP_NTZ '2024-01-10' AND event_id % 4 <> 0").select(F.col("event_id").alias("id"))
+
+
+@query("state_stream", """WITH o AS (SELECT user_id, event_id, event_type, ts, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS b FROM events)
+ SELECT CAST(user_id AS VARCHAR) AS key, CAST(event_id AS VARCHAR) AS id, CASE WHEN b IS NULL THEN 'created' WHEN b = event_type THEN 'touched' ELSE 'updated' END AS status, CASE WHEN b <> event_type THEN b END AS before FROM o""")
+def state_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events in files whose order has nothing to do with time, as a stream of observations: the log of each user's state is that of the whole table in order of time."""
+    rows = S.events(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("id").cast("string").alias("id"), F.col("action").alias("value"), F.col("t").cast("timestamp").alias("t"))
+    files, log, at = new_path(spark, "observations"), new_path(spark, "state-log"), new_path(spark, "state-checkpoint")
+    rows.repartition(3, F.xxhash64("id")).write.parquet(files)
+    end = rows.agg(F.max("t").alias("t")).select(F.lit("").alias("key"), F.lit("end").alias("id"), F.lit(None).cast("string").alias("value"), (F.col("t") + F.make_dt_interval(days=F.lit(800))).alias("t"))
+    end.coalesce(1).write.mode("append").parquet(files)
+    out = machines.state_log(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(files), delay="400 days")
+    out.writeStream.format("parquet").option("path", log).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(log).filter("key <> ''").select("key", "id", "status", "before")

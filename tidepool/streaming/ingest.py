@@ -43,15 +43,16 @@ STATE_SCHEMA = "key string, value string, valid_from timestamp, status string"
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     value, since = state.get if state.exists else (None, None)
     rows = []
-    for pdf in batches:
-        for v, t in pdf.sort_values("t")[["value", "t"]].itertuples(index=False):
-            if since is not None and t < pd.Timestamp(since):
-                rows.append((key[0], v, t, "out_of_order"))
-            elif v != value:
-                rows.append((key[0], v, t, "applied"))
-                value, since = v, t
-            else:
-                since = t
+    # a trigger's rows come in several batches: none is judged before all are there
+    whole = pd.concat([pdf[["value", "t"]] for pdf in batches]).sort_values(["t", "value"])
+    for v, t in whole.itertuples(index=False):
+        if since is not None and t < pd.Timestamp(since):
+            rows.append((key[0], v, t, "out_of_order"))
+        elif v != value:
+            rows.append((key[0], v, t, "applied"))
+            value, since = v, t
+        else:
+            since = t
     if since is not None:
         state.update((value, pd.Timestamp(since).to_pydatetime()))
     yield pd.DataFrame(rows, columns=["key", "value", "valid_from", "status"])
@@ -60,7 +61,8 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def state_changes(observations: DataFrame) -> DataFrame:
     """A state machine per key (key, value, t): changes are applied, what comes before the last seen waits as out_of_order.
 
-    A key's state is one value and a time, however many observations it has."""
+    A key's state is one value and a time, however many observations it has. Rows of a trigger are taken in order of time; machines.state_log()
+    also waits for rows of later triggers, and keeps what is put aside."""
     return observations.groupBy("key").applyInPandasWithState(_advance, STATE_SCHEMA, "value string, seen timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -69,15 +71,17 @@ def run_to_end(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, in
     stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def replace_sessions(target: str, key: str = "session_id", row: str = "idx") -> Callable[[DataFrame, int], None]:
+def replace_sessions(target: str, key: str = "session_id", row: str = "idx", whole: bool = False) -> Callable[[DataFrame, int], None]:
     """A sink that writes just the partitions of the sessions in a batch: its rows take the place of stored ones of the same number, others stay.
 
+    With `whole` a batch has all rows of its sessions, so stored ones that it doesn't have are stale and go.
+
     A batch that runs again gives the same."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        if not whole and at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             stored = spark.read.schema(batch.schema).parquet(target).join(batch.select(key).distinct(), key, "left_semi")
             batch = batch.unionByName(stored.join(batch.select(key, row), [key, row], "left_anti"))
         batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(target)
