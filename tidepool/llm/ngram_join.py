@@ -224,8 +224,8 @@ def _whole(pairs: list[DataFrame], docs: DataFrame, reps: DataFrame, n: int) ->
                 own, at = shingles(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([own[at[i] : at[i + 1]].astype("<u8").tobytes() for i in range(b - a)], pa.binary())], ["id", "members"])
 
-    # texts are shuffled for repeated rows, and not sets, as they compress
-    found = docs.join(ids, ["doc_id", "hash"]).select("rep", "text").dropDuplicates(["rep"])
+    # ids alone say which texts leave their place; those are shuffled once, for their numbers and repeated rows
+    found = docs.join(ids.select("doc_id"), "doc_id", "left_semi").join(ids, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("rep", "text")
     out = written(found.mapInArrow(whole, "id long, members binary"), "sets")
     discard(ids)
     return out
