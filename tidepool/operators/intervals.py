@@ -56,6 +56,24 @@ def sliding(media: DataFrame, size: float, overlap_s: float) -> DataFrame:
     return w.select("id", F.col("n").alias("window"), (F.col("n") * step).alias("start"), F.least(F.col("n") * step + size, F.col("duration")).alias("end"))
 
 
+def _window_count(duration: Column, size: Column, overlap_s: Column) -> Column:
+    return F.when(duration <= size, 1).otherwise(1 + F.ceil(F.round((duration - size) / F.greatest(size - overlap_s, F.lit(0.1)), 9))).cast("int")
+
+
+def adaptive(media: DataFrame, size: float, overlap_s: float, most: int = 32, widest: float = 20.0) -> DataFrame:
+    """sliding(), but where more than `most` windows would come out they overlap by a second at most, and if that isn't enough they grow by whole seconds, as
+    few as bring their number down to `most`, until they are `widest`. Also gives the size used. media: id, duration; one that isn't positive has one window."""
+    d = F.when(F.col("duration") > 0, F.col("duration").cast("double")).otherwise(size)
+    overlap_ = F.when(_window_count(d, F.lit(size), F.lit(overlap_s)) > most, min(overlap_s, 1.0)).otherwise(overlap_s)
+    # 1 + (d - s) / (s - o) <= most holds from this size on
+    needed = F.ceil(F.round(F.greatest(F.lit(0.0), (d + (most - 1) * F.col("_o")) / most - size), 9))
+    grown = size + F.least(needed, F.lit(max(0, -int(-(widest - size) // 1))))
+    m = media.withColumns({"_d": d, "_o": overlap_}).withColumn("size", F.when(_window_count(d, F.lit(size), F.col("_o")) > most, grown).otherwise(size))
+    m = m.withColumn("n", F.explode(F.sequence(F.lit(0), _window_count(F.col("_d"), F.col("size"), F.col("_o")) - 1)))
+    start = F.col("n") * F.greatest(F.col("size") - F.col("_o"), F.lit(0.1))
+    return m.select("id", F.col("n").alias("window"), F.round(start, 6).alias("start"), F.round(F.least(start + F.col("size"), F.col("_d")), 6).alias("end"), "size")
+
+
 def next_in_order(rows: DataFrame, keys: list[str], t: str, key: str = "id", extra: list[str] | None = None) -> DataFrame:
     """(src_id, dst_id) of rows that follow each other within a key; rows without a time come last. extra columns come for both ends."""
     w = Window.partitionBy(*keys).orderBy(F.col(t).asc_nulls_last(), key)

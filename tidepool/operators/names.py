@@ -6,7 +6,7 @@ edit or two away: these meet by an index of the names' pieces of one to three ch
 every name.
 
 Cases: a null or blank text matches nothing and has no candidates; several names of one normal form are candidates of each
-other; an alias of an unknown name doesn't count; repeated names count once; ties go to the shorter name, then by code points.
+other; a text no longer than the edits has no names near it; an alias of an unknown name doesn't count; repeated names count once; ties go to the shorter name, then by code points.
 """
 
 from __future__ import annotations
@@ -56,8 +56,10 @@ def resolve(texts: DataFrame, names: DataFrame, aliases: DataFrame, edits: int =
     asked = open_.withColumn("piece", F.substring("norm", 1, PIECE))
     within = asked.join(index, "piece").filter(F.contains("form", F.col("norm"))).select("id", "name", F.lit(0).alias("far"))
     if edits:
-        # a name within so many edits has one of the text's pieces: those that the edits can't all touch
-        near = open_.select("id", "norm", F.explode(F.filter(_pieces(F.col("norm")), lambda p: F.char_length(p) == 1)).alias("piece")).join(index, "piece").select("id", "norm", "name", "form").distinct()
+        # of edits + 1 parts of a text at least one is whole in a name that is no more edits away
+        n, at = F.char_length("norm"), lambda j: F.floor(j * F.char_length("norm") / (edits + 1)).cast("int")
+        parts = F.array(*(F.substring("norm", at(j) + 1, F.least(at(j + 1) - at(j), F.lit(PIECE))) for j in range(edits + 1)))
+        near = open_.filter(n > edits).select("id", "norm", F.explode(F.array_distinct(parts)).alias("piece")).join(index, "piece").select("id", "norm", "name", "form").distinct()
         within = within.unionByName(near.filter(F.levenshtein("norm", "form", edits) > 0).select("id", "name", F.levenshtein("norm", "form", edits).alias("far")))
     order = Window.partitionBy("id").orderBy("far", F.char_length("name"), "name")
     best = within.groupBy("id", "name").agg(F.min("far").alias("far")).withColumn("n", F.row_number().over(order)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("id"))).filter(F.col("n") <= CANDIDATES)

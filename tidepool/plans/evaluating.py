@@ -18,9 +18,9 @@ PRED = f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), c AS (SEL
 def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = S.vectors(spark, d)
     q = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"), F.col("label").alias("ql"))
-    pairs = v.join(F.broadcast(q), F.col("id") != F.col("query_id"))
+    pairs = Sc.in_blocks(v, q.drop("ql")).filter("id <> query_id")
     predicted = Sc.top(pairs.select("query_id", "id", Sc.cosine(F.col("vector"), F.col("qvec")).alias("score")), ["query_id"], 20)
-    return predicted, pairs.filter("label = ql").select("query_id", "id")
+    return predicted, v.join(q, F.col("label") == F.col("ql")).filter("id <> query_id").select("query_id", "id")
 
 
 @query("precision_recall_at_k", f"{PRED} SELECT g.query_id, round(count(p.id) / 10.0, 6) AS precision, round(count(p.id) / count(*), 6) AS recall FROM g LEFT JOIN (SELECT * FROM p WHERE rank <= 10) p USING (query_id, id) GROUP BY 1")

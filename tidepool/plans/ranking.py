@@ -105,6 +105,14 @@ def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
     return I.sliding(m, 8.0, 2.0)
 
 
+@query("adaptive_windows", """WITH m AS (SELECT c_custkey AS id, greatest(1.0, abs(c_acctbal) / 15) AS dur FROM customer), c AS (SELECT *, CASE WHEN 1 + ceil(round((dur - 8) / 6, 9)) > 32 THEN 1.0 ELSE 2.0 END AS o FROM m),
+ g AS (SELECT *, list_filter(range(8, 21), lambda s: s = 20 OR dur <= s OR 1 + ceil(round((dur - s) / (s - o), 9)) <= 32)[1] AS size FROM c), w AS (SELECT *, unnest(range(0, CASE WHEN dur <= size THEN 1 ELSE 1 + CAST(ceil(round((dur - size) / (size - o), 9)) AS BIGINT) END)) AS w FROM g)
+ SELECT id, CAST(w AS INTEGER) AS "window", CAST(round(w * (size - o), 6) AS DOUBLE) AS "start", CAST(round(least(w * (size - o) + size, dur), 6) AS DOUBLE) AS "end", CAST(size AS DOUBLE) AS size FROM w""")
+def adaptive_windows(spark: SparkSession, d: str) -> DataFrame:
+    m = S.parquet(spark, d, "customer", "c_custkey", "c_acctbal").select(F.col("c_custkey").alias("id"), F.greatest(F.lit(1.0), F.abs("c_acctbal") / 15).alias("duration"))
+    return I.adaptive(m, 8.0, 2.0)
+
+
 @query("frame_cap", "WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, event_id FROM r WHERE n <= 10 OR i IN (SELECT i FROM (SELECT unnest(range(0, 10)) AS k) WHERE floor(k * n / 10.0) = i)")
 def frame_cap(spark: SparkSession, d: str) -> DataFrame:
     """At most ten evenly spaced frames of each: index floor(k * n / 10)."""

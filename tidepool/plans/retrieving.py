@@ -110,16 +110,16 @@ def dialog_ablation(spark: SparkSession, d: str) -> DataFrame:
 
 WORDS = ["when did the other open", "what kinds of that the", "what is the relationship status of marta", "who said that the"]
 SEARCH = f"""WITH q AS (SELECT vec_id AS query_id, embedding, CASE label % 4 {' '.join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WORDS))} END AS text, lang AS ql, source AS qs FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0),
- e AS (SELECT vec_id AS id, embedding, text, lang, source FROM embeddings JOIN documents ON doc_id = vec_id),
- cs AS (SELECT query_id, id, round({COS}, 9) AS score, CASE WHEN lang = ql AND source = qs THEN 0 WHEN lang = ql THEN 1 ELSE 2 END AS scope FROM e, q), lw AS (SELECT *, CASE WHEN score >= 0.3 THEN 0 ELSE 1 END AS low FROM cs),
+ e AS (SELECT doc_id AS id, embedding, text, lang, source FROM documents LEFT JOIN embeddings ON doc_id = vec_id), ev AS (SELECT vec_id AS id FROM embeddings),
+ cs AS (SELECT query_id, id, round({COS}, 9) AS score, CASE WHEN lang = ql AND source = qs THEN 0 WHEN lang = ql THEN 1 ELSE 2 END AS scope FROM e, q WHERE e.embedding IS NOT NULL), lw AS (SELECT *, CASE WHEN score >= 0.3 THEN 0 ELSE 1 END AS low FROM cs),
  fi AS (SELECT query_id, min(low * 10 + scope) AS first FROM lw GROUP BY 1), dn AS (SELECT query_id, id, score, scope, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM lw JOIN fi USING (query_id) WHERE low * 10 + scope = first), dense AS (SELECT * FROM dn WHERE n <= 10),
  qa AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(string_split(text, ' ')) AS token FROM q) GROUP BY ALL),
  dd AS (SELECT id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS tokens FROM e), st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM dd),
  tf AS (SELECT id, dl, token, count(*) AS tf FROM (SELECT id, len(tokens) AS dl, unnest(tokens) AS token FROM dd) WHERE token IN (SELECT token FROM qa) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
  bs AS (SELECT query_id, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS b FROM tf JOIN df USING (token) JOIN qa USING (token), st GROUP BY ALL),
- us AS (SELECT query_id, first % 10 AS used FROM fi), bi AS (SELECT query_id, id, b, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, id) AS n FROM bs JOIN cs USING (query_id, id) JOIN us USING (query_id) WHERE b > 0 AND scope <= used),
+ us AS (SELECT query_id, first % 10 AS used FROM fi), bi AS (SELECT query_id, id, b, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, id) AS n FROM bs JOIN e USING (id) JOIN q USING (query_id) JOIN us USING (query_id) WHERE b > 0 AND CASE WHEN e.lang = ql AND e.source = qs THEN 0 WHEN e.lang = ql THEN 1 ELSE 2 END <= used),
  po AS (SELECT query_id, id, d.score AS v, w.b FROM dense d FULL JOIN bi w USING (query_id, id) WHERE d.id IS NOT NULL OR w.n <= 50),
- co AS (SELECT a.src AS id, sum(a.g) AS g FROM (SELECT id AS src, 0.8 AS g FROM e WHERE id + 1 IN (SELECT id FROM e) UNION ALL SELECT id, 0.8 FROM e WHERE id - 1 IN (SELECT id FROM e) UNION ALL SELECT id, 0.2 FROM e WHERE id + 7 IN (SELECT id FROM e) UNION ALL SELECT id, 0.2 FROM e WHERE id - 7 IN (SELECT id FROM e)) a GROUP BY 1),
+ co AS (SELECT a.src AS id, sum(a.g) AS g FROM (SELECT id AS src, 0.8 AS g FROM ev WHERE id + 1 IN (SELECT id FROM ev) UNION ALL SELECT id, 0.8 FROM ev WHERE id - 1 IN (SELECT id FROM ev) UNION ALL SELECT id, 0.2 FROM ev WHERE id + 7 IN (SELECT id FROM ev) UNION ALL SELECT id, 0.2 FROM ev WHERE id - 7 IN (SELECT id FROM ev)) a GROUP BY 1),
  nv AS (SELECT po.*, CASE WHEN max(greatest(v, 0)) OVER z <= 0 OR v IS NULL THEN 0 WHEN max(greatest(v, 0)) OVER z = min(CASE WHEN v IS NOT NULL THEN greatest(v, 0) END) OVER z THEN 1 ELSE (greatest(v, 0) - min(CASE WHEN v IS NOT NULL THEN greatest(v, 0) END) OVER z) / (max(greatest(v, 0)) OVER z - min(CASE WHEN v IS NOT NULL THEN greatest(v, 0) END) OVER z) END AS vn, coalesce(ln(1 + b) / max(ln(1 + b)) OVER z, 0) AS bn FROM po WINDOW z AS (PARTITION BY query_id)),
  sc AS (SELECT nv.*, lang = ql AS same, used, round(0.6 * vn + 0.25 * bn + 0.1 * coalesce(g, 0) + 0.05 * pow(0.5, 60 - nv.id % 60) + CASE WHEN lang = ql THEN 0.1 ELSE 0 END, 9) AS score FROM nv JOIN e USING (id) JOIN q USING (query_id) JOIN us USING (query_id) LEFT JOIN co USING (id)),
  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) SELECT query_id, id, rank, CAST(round(score, 6) AS DOUBLE) AS score, CAST(used AS INTEGER) AS scope FROM k WHERE rank <= 10"""
@@ -129,8 +129,8 @@ SEARCH = f"""WITH q AS (SELECT vec_id AS query_id, embedding, CASE label % 4 {'
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Vectors and words of the narrowest language and source that has near ones, with neighbours by id, age, and a boost for the language."""
     doc = S.entries(spark, d).select("id", "text", F.col("memory_domain").alias("domain"), F.col("tenant_id").alias("source"), F.col("created_at").alias("t"))
-    e = S.vectors(spark, d).join(doc, "id")
-    q = e.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"), question(F.col("label")).alias("text"), F.col("domain").alias("q_domain"), F.col("source").alias("q_source"))
+    e = doc.join(S.vectors(spark, d), "id", "left")
+    q = e.filter("id % 50 = 0 AND vector IS NOT NULL").select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"), question(F.col("label")).alias("text"), F.col("domain").alias("q_domain"), F.col("source").alias("q_source"))
     ids = S.vectors(spark, d).select("id")
     links = ids.select(F.col("id").alias("src_id"), F.explode(F.array(F.struct((F.col("id") + 1).alias("dst_id"), F.lit("temporal_next").alias("rel_type"), F.lit(1.0).alias("weight")), F.struct((F.col("id") + 7).alias("dst_id"), F.lit("co_occurs").alias("rel_type"), F.lit(0.5).alias("weight")))).alias("x")).select("src_id", "x.*")
     edges = links.join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")

@@ -28,7 +28,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 @query("cosine_by_modality_max", f"WITH {TOPV} SELECT query_id, CAST(id % 100 AS BIGINT) AS id, round(max(score * CASE WHEN label % 2 = 0 THEN 1.0 ELSE 0.8 END), 6) AS score FROM cs GROUP BY 1, 2")
 def cosine_by_modality_max(spark: SparkSession, d: str) -> DataFrame:
     """The best weighted score of an object over its modalities."""
-    c = S.vectors(spark, d).join(F.broadcast(_queries(spark, d)), F.lit(True))
+    c = O.in_blocks(S.vectors(spark, d), _queries(spark, d))
     s = O.cosine(F.col("vector"), F.col("qvec")) * F.when(F.col("label") % 2 == 0, 1.0).otherwise(0.8)
     return c.groupBy("query_id", (F.col("id") % 100).alias("id")).agg(F.round(F.max(s), 6).alias("score"))
 
@@ -105,8 +105,10 @@ def routes(spark: SparkSession, d: str) -> DataFrame:
     v, q = S.vectors(spark, d), _queries(spark, d)
     a = O.cosine_top(q, v.select("id", "vector"), 30).select("query_id", "id", F.lit("vec").alias("route"), "score")
     ql = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("ql"))
-    both = v.join(F.broadcast(ql), F.lit(True))
-    b = both.filter("label = ql AND id % 3 = 0").select("query_id", "id", F.lit("entity").alias("route"), (1.0 / (1 + F.abs(F.col("ql") - F.col("label")))).alias("score"))
+    b = v.filter("id % 3 = 0").join(ql, F.col("label") == F.col("ql")).select("query_id", "id", F.lit("entity").alias("route"), (1.0 / (1 + F.abs(F.col("ql") - F.col("label")))).alias("score"))
+    # neighbours in time lie in a query's bucket or in one beside it
+    near = ql.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("query_id") - 20) / 20), F.floor((F.col("query_id") + 20) / 20))))
+    both = v.withColumn("bucket", F.floor(F.col("id") / 20)).join(near, "bucket")
     t = both.filter("abs(query_id - id) <= 20").select("query_id", "id", F.lit("time").alias("route"), F.pow(F.lit(0.5), F.abs(F.col("query_id") - F.col("id")) / 10.0).alias("score"))
     return a.unionByName(b).unionByName(t)
 
@@ -157,7 +159,7 @@ def minmax_modes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("hybrid_score", f"""WITH {TOPV}, h AS (SELECT query_id, id, 0.6 * round(score, 6) + 0.25 * round((label + 1) / 10.0, 6) + 0.1 * (id % 5) / 5.0 + 0.05 * round(pow(0.5, id / 100.0), 6) + CASE WHEN label = 3 THEN 0.1 ELSE 0 END AS s FROM cs), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS rank FROM h) SELECT query_id, id, CAST(round(s, 6) AS DOUBLE) AS score, rank FROM k WHERE rank <= 10""")
 def hybrid_score(spark: SparkSession, d: str) -> DataFrame:
-    c = S.vectors(spark, d).join(F.broadcast(_queries(spark, d)), F.lit(True))
+    c = O.in_blocks(S.vectors(spark, d), _queries(spark, d))
     parts = c.select("query_id", "id", "label", F.round(O.cosine(F.col("vector"), F.col("qvec")), 6).alias("v"), F.round((F.col("label") + 1) / 10.0, 6).alias("b"), ((F.col("id") % 5) / 5.0).alias("g"), F.round(O.recency(F.col("id") * 864.0), 6).alias("rec"))
     s = O.hybrid(O.HybridWeights(domain=0.1), domain=F.col("label") == 3)
     return O.top(parts.withColumn("score", F.round(s, 6)), ["query_id"], 10).select("query_id", "id", "score", "rank")
