@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["filtering", "joining", "aggregating", "ranking", "scoring", "functions", "maintaining", "answering", "evaluating", "streams", "tracks", "retrieving", "indexing", "vocabularies"]
+MODULES = ["filtering", "joining", "aggregating", "ranking", "scoring", "functions", "maintaining", "answering", "evaluating", "streams", "tracks", "retrieving", "indexing", "vocabularies", "dialogs"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
