@@ -122,6 +122,43 @@ def dialog_search(
     return c.select("query_id", "id", "rank", "final", "selection", "preselect", "fidelity", "signal", "routes")
 
 
+def dialog_routes(
+    questions: DataFrame, events: DataFrame, utterances: DataFrame, knowledge: DataFrame, edges: DataFrame, k: int = 50, least: float | None = None, without: Ablation = Ablation(), bucket: str = "DAY",
+) -> DataFrame:
+    """Hits (query_id, id, route, score) of the five routes, each run over the graph and cut to the k best events of a question.
+
+    questions: query_id, qvec, people (array of entity ids), t_from and t_to (null for any time). events: id, vector, t. utterances, knowledge: id, vector. edges: src_id, dst_id, rel_type.
+    event_vec: events near the question. vec: events that near utterances support. knowledge: events that near facts derive from. entity: events that involve people of
+    the question, by their share. time: events within its time, by how near to the middle; they meet in time buckets. Vectors meet blocks of questions."""
+    off, parts = {ROUTE_NAMES[r] for r in without.routes}, []
+
+    def cut(rows: DataFrame, route: str) -> None:
+        best = rows.groupBy("query_id", "id").agg(F.max(_exact(F.col("score"))).alias("score"))
+        parts.append(O.top(best, ["query_id"], k).select("query_id", "id", F.lit(route).alias("route"), "score"))
+
+    def near(rows: DataFrame, most: int) -> DataFrame:
+        return O.cosine_top(questions.select("query_id", "qvec"), rows.filter("vector IS NOT NULL").select("id", "vector"), most, least).select("query_id", F.col("id").alias("hit"), "score")
+
+    to = lambda rel, a, b: edges.filter(F.col("rel_type") == rel).select(F.col(a).alias("hit"), F.col(b).alias("id"))
+    if "event_vec" not in off:
+        cut(near(events, k).withColumnRenamed("hit", "id"), "event_vec")
+    if "vec" not in off:
+        cut(near(utterances, k).join(to("SUPPORTED_BY", "dst_id", "src_id"), "hit").join(events.select("id"), "id", "left_semi"), "vec")
+    if "knowledge" not in off:
+        cut(near(knowledge, k).join(to("DERIVED_FROM", "src_id", "dst_id"), "hit"), "knowledge")
+    if "entity" not in off:
+        people = questions.select("query_id", F.explode(F.array_distinct("people")).alias("hit"), F.size(F.array_distinct("people")).alias("n"))
+        met = people.join(to("INVOLVES", "dst_id", "src_id").distinct(), "hit").groupBy("query_id", "id", "n").agg(F.count(F.lit(1)).alias("c"))
+        cut(met.select("query_id", "id", (F.col("c") / F.col("n")).alias("score")), "entity")
+    if "time" not in off:
+        first, last = F.date_trunc(bucket, "t_from"), F.date_trunc(bucket, "t_to")
+        asked = questions.filter("t_from <= t_to").select("query_id", "t_from", "t_to", F.explode(F.sequence(first, last, F.expr(f"INTERVAL 1 {bucket}"))).alias("slot"))
+        at = events.filter("t IS NOT NULL").select("id", "t", F.date_trunc(bucket, "t").alias("slot")).join(asked, "slot").filter("t BETWEEN t_from AND t_to")
+        half = seconds(F.col("t_to"), F.col("t_from")) / 2
+        cut(at.select("query_id", "id", F.when(half > 0, 1 - 0.5 * F.abs(seconds(F.col("t"), F.col("t_from")) - half) / half).otherwise(1.0).alias("score")), "time")
+    return reduce(DataFrame.unionByName, parts) if parts else questions.select("query_id", F.lit(None).cast("string").alias("id"), F.lit("").alias("route"), F.lit(0.0).alias("score")).limit(0)
+
+
 def scoped(scored: DataFrame, queries: DataFrame, scopes: list[list[str]], k: int, threshold: float | None = None, relax: bool = False) -> DataFrame:
     """For each query the k best rows of its first scope with a row: (query_id, id, score, scope).
 

@@ -137,3 +137,26 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     w = O.HybridWeights(domain=0.1)
     found = R.hybrid_search(q, e.drop("label"), edges, 10, [["domain", "source"], ["domain"], []], timestamp(NOW), w, 0.3, True, hops=1)
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "scope")
+
+
+@query("dialog_routes", f"""WITH v AS (SELECT vec_id AS id, embedding, label FROM embeddings), q AS (SELECT id AS query_id, embedding, label, id AS mid FROM v WHERE id % 50 = 0),
+ cs AS (SELECT q.query_id, e.id, round({COS}, 9) AS score FROM v e, q), r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, id % 3 ORDER BY score DESC, id) AS n FROM cs),
+ h AS (SELECT query_id, id, 'event_vec' AS route, score FROM r1 WHERE id % 3 = 0 AND n <= 20 UNION ALL SELECT query_id, id - 1, 'vec', score FROM r1 WHERE id % 3 = 1 AND n <= 20 UNION ALL SELECT query_id, id - 2, 'knowledge', score FROM r1 WHERE id % 3 = 2 AND n <= 20
+ UNION ALL SELECT query_id, v.id, 'entity', count(*) / 2.0 FROM q JOIN v ON v.id % 3 = 0 JOIN (SELECT 0 AS k UNION ALL SELECT 1) ON (q.label + k) % 10 IN (v.label, (v.label + 3) % 10) GROUP BY 1, 2
+ UNION ALL SELECT query_id, v.id, 'time', round(1 - 0.5 * abs(v.id - mid) / 20.0, 9) FROM q JOIN v ON v.id % 3 = 0 AND abs(v.id - mid) <= 20),
+ b AS (SELECT *, row_number() OVER (PARTITION BY query_id, route ORDER BY score DESC, id) AS n FROM h) SELECT query_id, id, route, CAST(score AS DOUBLE) AS score FROM b WHERE n <= 20""")
+def dialog_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Every third vector is an event, the next one its utterance and the one after a fact; labels are people, ids are minutes."""
+    v = S.vectors(spark, d)
+    label = lambda k: ((F.col("label") + k) % 10).cast("string")
+    minute = timestamp("2024-01-01") + F.make_dt_interval(mins=F.col("id").cast("int"))
+    e, u, f = (v.filter(F.col("id") % 3 == k) for k in range(3))
+    edge = lambda rows, a, b, rel: rows.select(a.cast("string").alias("src_id"), b.cast("string").alias("dst_id"), F.lit(rel).alias("rel_type"))
+    i = F.col("id")
+    edges = edge(u, i - 1, i, "SUPPORTED_BY").union(edge(f, i, i - 2, "DERIVED_FROM")).union(edge(e, i, label(0), "INVOLVES")).union(edge(e, i, label(3), "INVOLVES"))
+    # ids are text in a graph: numbers of one length keep their order
+    wide = lambda c: F.lpad(c.cast("string"), 9, "0")
+    edges = edges.select(F.when(F.col("rel_type") != "", wide(F.col("src_id"))).alias("src_id"), F.when(F.col("rel_type") == "INVOLVES", F.col("dst_id")).otherwise(wide(F.col("dst_id"))).alias("dst_id"), "rel_type")
+    q = v.filter("id % 50 = 0").select(i.alias("query_id"), F.col("vector").alias("qvec"), F.array(label(0), label(1)).alias("people"), (minute - F.expr("INTERVAL 20 MINUTES")).alias("t_from"), (minute + F.expr("INTERVAL 20 MINUTES")).alias("t_to"))
+    e, u, f = (rows.withColumns({"t": minute, "id": wide(i)}) for rows in (e, u, f))
+    return R.dialog_routes(q, e, u, f, edges, 20, bucket="HOUR").withColumn("id", F.col("id").cast("long"))
