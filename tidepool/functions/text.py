@@ -109,6 +109,31 @@ def xywh(bbox: Column) -> Column:
     return F.when((F.size(bbox) == 4) & (w > 0) & (h > 0), F.array(bbox[0], bbox[1], w, h))
 
 
+def time_range(text: Column, as_of: Column) -> Column:
+    """What a text says of time, as a struct of start and end (excluded) or null: two dates with to, until, and, a dash or dots between them (either order); one date, month or year
+    written with digits; or today, yesterday, this or last week, month and year, in English or Chinese. The first of these that it has counts; a date that doesn't exist doesn't."""
+    low, day, iso = F.lower(F.coalesce(text, F.lit(""))), F.date_trunc("DAY", as_of).cast("timestamp_ntz"), r"(\d{4}-\d{1,2}-\d{1,2})"
+    to = r"\s*(?:to|until|and|through|till|-|–|\.\.|到|至)\s*"
+    date = lambda p, g=1: F.try_to_timestamp(F.regexp_extract(low, p, g), F.lit("y-M-d")).cast("timestamp_ntz")
+    one = F.expr("INTERVAL 1 DAY")
+    a, b = date(iso + to + iso, 1), date(iso + to + iso, 2)
+    month = F.try_to_timestamp(F.regexp_extract(low, r"\b(\d{4}-\d{1,2})(?![\d-])", 1), F.lit("y-M")).cast("timestamp_ntz")
+    year = F.try_to_timestamp(F.regexp_extract(low, r"\b((?:19|20)\d{2})(?![\d-])", 1), F.lit("y")).cast("timestamp_ntz")
+    span = lambda unit: F.date_trunc(unit, day).cast("timestamp_ntz")
+    back = lambda unit: span(unit) - F.expr(f"INTERVAL 1 {unit}")
+    pair = lambda x, y: F.struct(x.alias("start"), y.alias("end"))
+    says = lambda *words: low.rlike("|".join(words))
+    named = [
+        (says("yesterday", "昨天"), pair(day - one, day)), (says("today", "今天"), pair(day, day + one)), (says("last week", "上周"), pair(back("WEEK"), span("WEEK"))), (says("this week", "本周", "这周"), pair(span("WEEK"), span("WEEK") + F.expr("INTERVAL 1 WEEK"))),
+        (says("last month", "上个月"), pair(back("MONTH"), span("MONTH"))), (says("this month", "这个月", "本月"), pair(span("MONTH"), span("MONTH") + F.expr("INTERVAL 1 MONTH"))), (says("last year", "去年"), pair(back("YEAR"), span("YEAR"))), (says("this year", "今年"), pair(span("YEAR"), span("YEAR") + F.expr("INTERVAL 1 YEAR"))),
+    ]
+    single = date(r"\b" + iso + r"\b")
+    return F.coalesce(
+        F.when(a.isNotNull() & b.isNotNull(), pair(F.least(a, b), F.greatest(a, b) + one)), F.when(single.isNotNull(), pair(single, single + one)), F.when(month.isNotNull(), pair(month, month + F.expr("INTERVAL 1 MONTH"))),
+        F.when(year.isNotNull(), pair(year, year + F.expr("INTERVAL 1 YEAR"))), *(F.when(c, v) for c, v in named),
+    )
+
+
 def time_window(question: str, as_of: dt.datetime) -> tuple[dt.datetime, dt.datetime] | None:
     """What a question says of time, on the driver: a date, today, yesterday, last week or month."""
     q, day = question.lower(), as_of.replace(hour=0, minute=0, second=0, microsecond=0)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.literals import timestamp
+from ..functions import text as T
 from ..operators import filters as O
 from ..sources import tables as S
+from ..sources.store import new_path
 from .registry import query
 
 ENTRIES = """WITH e AS (SELECT d.doc_id AS id, d.text, d.source AS tenant_id, d.lang AS memory_domain, (l.quality = 1) AS published,
@@ -120,3 +122,71 @@ def srot_export(spark: SparkSession, d: str) -> DataFrame:
 def scene_dedup(spark: SparkSession, d: str) -> DataFrame:
     s = S.parquet(spark, d, "lineitem").select((F.col("l_orderkey") % 50).cast("double").alias("t_start_s"), F.col("l_quantity").alias("t_end_s"), F.col("l_returnflag").alias("modality"))
     return O.clean_scenes(s)
+
+
+@query("entities_overlap", f"{ENTRIES} SELECT id FROM e WHERE u1 IN ('u1', 'u3') OR u2 IN ('u1', 'u3')")
+def entities_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Entries that name one of some users."""
+    return S.entries(spark, d).filter(O.any_of(["u1", "u3"], "user_id")).select("id")
+
+
+@query("array_any", "SELECT p_partkey AS id FROM part WHERE p_partkey % 10 > 0 AND list_has_any(string_split(p_name, ' '), ['ring', 'red'])")
+def array_any(spark: SparkSession, d: str) -> DataFrame:
+    """A null array has none."""
+    p = S.parquet(spark, d, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 10 > 0, F.split("p_name", " ")).alias("words"))
+    return p.filter(O.any_of(["ring", "red"], "words")).select("id")
+
+
+@query("named_floor", "SELECT p_partkey AS id, CASE WHEN p_retailprice - 901 <= 0 THEN 1.0 ELSE round(p_retailprice - 901, 6) END AS score FROM part WHERE p_partkey IN (0, 5, 40, 150)")
+def named_floor(spark: SparkSession, d: str) -> DataFrame:
+    p = S.parquet(spark, d, "part", "p_partkey", "p_retailprice").select(F.col("p_partkey").alias("id"), F.round(F.col("p_retailprice") - 901, 6).alias("score"))
+    return O.floor_named(p, [0, 5, 40, 150, -1])
+
+
+@query("event_policy", "SELECT o_orderkey AS id, CAST(least(o_orderkey % 9 + 1, 5) AS INTEGER) AS turns, CAST(CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 30 ELSE 7 END * 86400 AS DOUBLE) AS ttl FROM orders WHERE o_orderkey % 11 > 0 AND o_totalprice / 500000 >= 0.4")
+def event_policy(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as events of some confidence (null for every eleventh) that rest on up to nine turns."""
+    k = F.col("o_orderkey")
+    e = S.parquet(spark, d, "orders", "o_orderkey", "o_totalprice").select(k.alias("id"), F.when(k % 11 > 0, F.col("o_totalprice") / 500000).alias("event_confidence"), F.when(k % 3 == 0, "mapped").when(k % 3 == 1, "weak").otherwise("unmapped").alias("evidence_status"), F.sequence(F.lit(0).cast("long"), k % 9).alias("source_turn_ids"))
+    return O.event_policy(e, 0.4).select("id", F.size("source_turn_ids").alias("turns"), "ttl")
+
+
+@query("segment_contained", "SELECT c_custkey AS id FROM customer WHERE c_acctbal >= 100 AND c_acctbal + 50 <= 900")
+def segment_contained(spark: SparkSession, d: str) -> DataFrame:
+    c = S.parquet(spark, d, "customer", "c_custkey", "c_acctbal").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("t_media_start"), (F.col("c_acctbal") + 50).alias("t_media_end"))
+    return O.contained(c, 100.0, 900.0).select("id")
+
+
+@query("name_squeeze", "SELECT p_partkey AS id, p_name || ' ' || p_brand AS name FROM part")
+def name_squeeze(spark: SparkSession, d: str) -> DataFrame:
+    p = S.parquet(spark, d, "part", "p_partkey", "p_name", "p_brand")
+    return p.select(F.col("p_partkey").alias("id"), T.squeeze(F.concat(F.lit(" \t"), F.replace("p_name", F.lit(" "), F.lit(" \n ")), F.lit("   "), "p_brand", F.lit(" "))).alias("name"))
+
+
+@query("importance_map", "SELECT o_orderkey AS id, CAST(CASE WHEN o_orderpriority LIKE '1%' THEN 0.9 WHEN o_orderpriority LIKE '3%' THEN 0.6 WHEN o_orderpriority LIKE '5%' THEN 0.3 END AS DOUBLE) AS importance FROM orders")
+def importance_map(spark: SparkSession, d: str) -> DataFrame:
+    first = F.substring("o_orderpriority", 1, 1)
+    word = F.when(first == "1", "HIGH").when(first == "3", "Medium").when(first == "5", "low").when(first == "2", "odd")
+    return S.parquet(spark, d, "orders", "o_orderkey", "o_orderpriority").select(F.col("o_orderkey").alias("id"), T.importance(word).alias("importance"))
+
+
+@query("time_ranges", """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 8 AS k, CAST(o_orderdate AS DATE) AS d FROM orders)
+ SELECT id, CASE k WHEN 0 THEN d WHEN 1 THEN d - 3 WHEN 2 THEN date_trunc('month', d) WHEN 3 THEN date_trunc('year', d) WHEN 4 THEN DATE '2024-03-12' WHEN 5 THEN DATE '2024-03-04' WHEN 6 THEN DATE '2024-02-01' END::TIMESTAMP AS "start",
+ CASE k WHEN 0 THEN d + 1 WHEN 1 THEN d + 1 WHEN 2 THEN date_trunc('month', d) + INTERVAL 1 MONTH WHEN 3 THEN date_trunc('year', d) + INTERVAL 1 YEAR WHEN 4 THEN DATE '2024-03-13' WHEN 5 THEN DATE '2024-03-11' WHEN 6 THEN DATE '2024-03-01' END::TIMESTAMP AS "end" FROM o""")
+def time_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Questions about days, spans, months, years and days by name, asked on a Wednesday."""
+    k, day = F.col("o_orderkey") % 8, F.col("o_orderdate").cast("date")
+    text = F.when(k == 0, F.concat(F.lit("what was on "), day.cast("string"), F.lit("?"))).when(k == 1, F.concat(F.lit("from "), day.cast("string"), F.lit(" to "), F.date_sub(day, 3).cast("string"))).when(k == 2, F.concat(F.lit("in "), F.date_format(day, "yyyy-M"))).when(k == 3, F.concat(F.lit("all of "), F.year(day).cast("string")))
+    text = text.when(k == 4, "What did they say Yesterday").when(k == 5, "上周做了什么").when(k == 6, "last month please").otherwise("2024-13-77 or never")
+    out = S.parquet(spark, d, "orders", "o_orderkey", "o_orderdate").select(F.col("o_orderkey").alias("id"), T.time_range(text, timestamp("2024-03-13 15:00:00")).alias("r"))
+    return out.select("id", "r.start", "r.end")
+
+
+@query("json_lines", "SELECT conv_id, turn, text FROM conversations WHERE (conv_id + turn) % 5 > 0")
+def json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Turns written as JSON lines, every fifth of them broken, and read back."""
+    t, path = S.parquet(spark, d, "conversations"), new_path(spark, "json-lines")
+    line = F.to_json(F.struct("conv_id", "turn", "text"))
+    t.select(F.when((F.col("conv_id") + F.col("turn")) % 5 > 0, line).otherwise(F.substring(line, 1, 9)).alias("value")).write.text(path)
+    kinds = {f.name: f.dataType.simpleString() for f in t.schema}
+    return S.json_lines(spark, path, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, text STRING")

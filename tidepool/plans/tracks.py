@@ -95,14 +95,18 @@ def speech_turns(spark: SparkSession, d: str) -> DataFrame:
     return media.speaker_tracks(x, y, 100.0).select("source_id", "speaker", "text", micros("start").alias("start"), micros("end").alias("end"))
 
 
-@query("external_sources", "SELECT doc_id AS id, source FROM documents WHERE source NOT IN ('tkg_dialog_utterance_index_v1', 'tkg_dialog_event_index_v1')")
+@query("external_sources", "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 > 1 THEN source END AS source FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 > 1")
 def external_sources(spark: SparkSession, d: str) -> DataFrame:
-    return S.parquet(spark, d, "documents", "doc_id", "source").filter(filters.external()).select(F.col("doc_id").alias("id"), "source")
+    """Two of five documents come from inside; those without a source don't."""
+    docs = S.parquet(spark, d, "documents", "doc_id", "source").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 > 0, F.when(F.col("doc_id") % 5 == 0, filters.INTERNAL_SOURCES[0]).when(F.col("doc_id") % 5 == 1, filters.INTERNAL_SOURCES[-1]).otherwise(F.col("source"))).alias("source"))
+    return docs.filter(filters.external())
 
 
-@query("edge_label_check", "SELECT 'SUPPLIED_BY' AS rel_type, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) UNION ALL SELECT 'BASED_IN', count(*) FROM supplier UNION ALL SELECT 'LIVES_IN', count(*) FROM customer")
+@query("edge_label_check", "SELECT 'SUPPLIED_BY' AS rel_type, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 3 > 0) UNION ALL SELECT 'LIVES_IN', count(*) FROM customer")
 def edge_label_check(spark: SparkSession, d: str) -> DataFrame:
-    """Edges whose relation isn't one of the typed graph, by relation."""
+    """Edges whose relation isn't one of the typed graph, by relation; suppliers' nations and a third of the supplies have one that is."""
     from ..schema import RELATIONS
 
-    return S.edges(spark, d).filter(~F.col("rel_type").isin(*RELATIONS)).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
+    third = (F.col("rel_type") == "SUPPLIED_BY") & (F.substring("src_id", 2, 20).cast("long") % 3 == 0)
+    named = S.edges(spark, d).withColumn("rel_type", F.when(F.col("rel_type") == "BASED_IN", "OCCURS_AT").when(third, "INVOLVES").otherwise(F.col("rel_type")))
+    return named.filter(~F.col("rel_type").isin(*RELATIONS)).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
