@@ -1,7 +1,7 @@
 """Tracks, utterances and frames of media: association, alignment, stitching, clustering.
 
-What depends on order within a source (stitching, matching, clustering) is a fold over that source's rows in pandas,
-grouped by source; sources are clips, so a group is small, and no group meets another.
+Stitching folds blocks of time. Matching and clustering are folds over a source's rows in pandas, grouped by source; sources
+are clips, so a group is small, and no group meets another.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from . import intervals
 from .scoring import cosine
 
@@ -48,29 +49,63 @@ def match_once(pairs: DataFrame) -> DataFrame:
     return pairs.select("source_id", "speaker", "track", "score", "verified").groupBy("source_id").applyInPandas(fold, schema)
 
 
-def stitch(tracks: DataFrame, least: float = 0.75, gap: float = 2.0) -> DataFrame:
-    """Tracklets of a seed in order of time, joined to the one being built if alike or close; its vector is the mean so far."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, now = [], None
-        for r in pdf.sort_values(["start", "end", "track"]).itertuples():
-            v = np.asarray(r.embedding, float)
-            if now is not None:
-                m = now["sum"] / now["n"]
-                norm = np.linalg.norm(m) * np.linalg.norm(v)
-                alike = len(m) == len(v) and norm > 0 and float(m @ v) / norm >= least
-                if alike or r.start - now["end"] <= gap:
-                    now["end"] = max(now["end"], r.end)
-                    now["tracks"] += 1
-                    if len(m) == len(v):
-                        now["sum"], now["n"] = now["sum"] + v, now["n"] + 1
-                    continue
-            now = {"seed": r.seed, "start": r.start, "end": r.end, "sum": v, "n": 1, "tracks": 1}
-            out.append(now)
-        return pd.DataFrame([(o["seed"], i, o["start"], o["end"], o["tracks"]) for i, o in enumerate(out)], columns=["seed", "part", "start", "end", "tracks"])
-
-    kind = tracks.schema["seed"].dataType.simpleString()
-    return tracks.groupBy("seed").applyInPandas(fold, f"seed {kind}, part long, start double, end double, tracks long")
+def _fold(rows: pd.DataFrame, entry: tuple | None, least: float, gap: float) -> tuple[list[list], tuple]:
+    """Pieces [start, end, tracks, goes on] of rows in order of time, and (sum, n, end) of the last one; entry: that of the rows before."""
+    total, n, last = entry if entry else (None, 0, None)
+    pieces: list[list] = []
+    for start, end, v in zip(rows["start"], rows["end"], rows["embedding"], strict=True):
+        v = np.asarray(v, float)
+        if total is not None:
+            m = total / n
+            norm = np.linalg.norm(m) * np.linalg.norm(v) if len(m) == len(v) else 0
+            if start - last <= gap or (norm > 0 and float(m @ v) / norm >= least):
+                last = max(last, end)
+                if len(m) == len(v):
+                    total, n = total + v, n + 1
+                if pieces:
+                    pieces[-1][1], pieces[-1][2] = max(pieces[-1][1], end), pieces[-1][2] + 1
+                else:
+                    pieces.append([start, end, 1, True])
+                continue
+        total, n, last = v, 1, end
+        pieces.append([start, end, 1, False])
+    return pieces, (total, n, last)
+
+
+def stitch(tracks: DataFrame, least: float = 0.75, gap: float = 2.0, width: float = 600.0) -> DataFrame:
+    """Tracklets of a seed in order of time, joined to the one being built if alike or close; its vector is the mean so far.
+
+    A seed's time is cut into blocks of `width` seconds that are folded apart, each from the state that the block before it ends in. Blocks whose first
+    state turns out to be another one are folded again, until none is: a block that begins a new tracklet anywhere mostly ends as it did, so few rounds
+    are needed, and never more than blocks. Pieces of a tracklet in several blocks are then added up. A task holds a block's rows."""
+    kind, label = tracks.schema["seed"].dataType.simpleString(), ["seed", "block"]
+    rows = stored(tracks.select("seed", "track", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("block", F.floor(F.col("start") / width)), "tracklets")
+    made = f"seed {kind}, block long, k int, start double, end double, tracks long, joins boolean, total array<double>, n int, last double, entry long"
+    state = F.struct("total", "n", "last")
+
+    def fold(key: tuple, own: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        known = len(before) and before["total"][0] is not None
+        entry = (np.asarray(before["total"][0], float), int(before["n"][0]), float(before["last"][0])) if known else None
+        pieces, (total, n, last) = _fold(own.sort_values(["start", "end", "track"]), entry, least, gap)
+        mark = before["entry"][0] if len(before) else 0
+        return pd.DataFrame([(*key, k, a, b, c, j, total if k == len(pieces) - 1 else None, n, last, mark) for k, (a, b, c, j) in enumerate(pieces)], columns=[*label, "k", "start", "end", "tracks", "joins", "total", "n", "last", "entry"])
+
+    def folded(some: DataFrame, entries: DataFrame) -> DataFrame:
+        return stored(some.groupBy(*label).cogroup(entries.groupBy(*label)).applyInPandas(fold, made), "pieces")
+
+    nothing = rows.select(*label).distinct().select(*label, F.lit(None).cast("array<double>").alias("total"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("long").alias("entry"))
+    pieces = folded(rows, nothing)
+    while True:
+        ends = pieces.groupBy(*label).agg(F.max_by(state, "k").alias("s"), F.max("entry").alias("entry"))
+        before = ends.withColumn("b", F.lag("s").over(Window.partitionBy("seed").orderBy("block"))).withColumn("now", F.coalesce(F.xxhash64("b.total", "b.n", "b.last"), F.lit(0)))
+        wrong = stored(before.filter("b IS NOT NULL AND now <> entry").select(*label, "b.total", "b.n", "b.last", F.col("now").alias("entry")), "entries")
+        if wrong.isEmpty():
+            break
+        again = folded(rows.join(wrong.select(*label), label, "left_semi"), wrong)
+        pieces = stored(pieces.join(wrong.select(*label), label, "left_anti").unionByName(again), "pieces")
+    order = Window.partitionBy("seed").orderBy("block", "k")
+    whole = pieces.withColumn("part", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order) - 1)
+    return whole.groupBy("seed", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("tracks").alias("tracks")).select("seed", "part", "start", "end", "tracks")
 
 
 def similar_faces(detections: DataFrame, least: float, detection: float = 0.8, quality: float = 20.0) -> DataFrame:
