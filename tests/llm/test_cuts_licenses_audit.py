@@ -1,6 +1,7 @@
 """License scan, fill-in-the-middle and divergence audit: SQL, brute force, and odd rows; joins of repeated ids."""
 
 import hashlib
+import gzip
 import random
 import re
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tests.test_oracles import TABLES, rows
-from tidepool.llm import divergence, fill_middle, licenses, ngram_join
+from tidepool.llm import divergence, fill_middle, language_model, licenses, ngram_join, packing, quality_classifier, toxicity, warc
 
 from .test_llm import brute_components, odd  # noqa: F401
 
@@ -176,3 +177,59 @@ def test_odd_rows(odd, call):  # noqa: F811
     else:
         assert {(r.lang, r.source, r.item) for r in got.filter("part = 'pair'").collect()} == {(lang, *pair) for lang in ("", "en") for pair in (("s", ""), ("", "s"))}
     assert call(odd.limit(0)).count() == 0
+
+
+def test_archives_of_both_kinds(spark, tmp_path):
+    """Compressed and plain files, through windows that are smaller than records, and a file that ends too early."""
+    pages = [(i, f"u{i}", "x" * (i * 700) + "é") for i in range(20)] + [(50, None, None)]
+    whole = {i: b"".join(d for *_, d in warc.record_chunks(i, u, (t or "").encode(), None)) for i, u, t in pages}
+    raw = b"".join(whole.values())
+    plain = b"".join(gzip.decompress(x) for x in whole.values())
+    want = [(str(i), len((t or "").encode())) for i, _, t in pages]
+    for data in (raw, plain):
+        for window in (100, 1 << 20):
+            assert [p.result()[:2] for p in warc._records(memoryview(data), window)] == want
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    (tmp_path / "b.warc").write_bytes(plain)
+    (tmp_path / "c.warc").write_bytes(b"")
+    assert Counter((str(r.page_id), r.payload_bytes) for r in warc.read_files(spark, str(tmp_path)).collect()) == Counter(want * 2)
+    for cut in (raw[:-9], plain[:-60]):
+        with pytest.raises(ValueError):
+            [p.result() for p in warc._records(memoryview(cut), 100)]
+
+
+@pytest.mark.parametrize("parts", [5, 12])
+def test_language_model_in_parts(spark, parts):
+    """Chunks and parts on a corpus of a few kilobytes: counts and base scores are those of one part, scores a token lie within 0.1 of them and in the mean within 0.02."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(60)]
+    weights = 1 / np.arange(1, 61)
+    rows = [(i, " ".join(rng.choice(words, rng.integers(5, 40), p=weights / weights.sum()))) for i in range(300)]
+    df = spark.createDataFrame([*rows, (None, "w0 w1"), (1000, None)], "doc_id long, text string")
+    size = sum(len(t) + 1 for _, t in rows)
+    one, many = ({r.doc_id: r for r in language_model.score(df, n).collect()} for n in (size * 2, size // parts))
+    assert one.keys() == many.keys() and len(one) == 302
+    for i, r in one.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (many[i].n_tokens, many[i].n_known, many[i].train_tokens, many[i].held_out) and abs(r.base_score - many[i].base_score) < 1e-9
+    off = np.array([(many[i].score - r.score) / r.n_tokens for i, r in one.items()])
+    assert abs(off).max() < 0.1 and abs(off.mean()) < 0.02
+
+
+def test_classifiers_and_archives_of_no_or_odd_rows(spark, odd):  # noqa: F811
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 10)], "doc_id long, quality int, toxic int")
+    for module, empty in ((quality_classifier, labels), (toxicity, labels)):
+        got = module.classify(odd, module.train(odd, empty)).collect()
+        assert len(got) == 11 and all(0 <= r.score <= 1 for r in got) and module.classify(odd.limit(0), module.train(odd.limit(0), labels.limit(0))).count() == 0
+    pages = odd.selectExpr("doc_id AS page_id", "source AS url", "text AS html", "media", "row")
+    assert len(warc.read_archives(warc.write_archives(pages)).collect()) == 11 and warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    from .test_llm import WORD_BPE
+
+    pieces = packing.pack(odd, WORD_BPE).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in odd.collect()} and sum(r.length for r in pieces if r.doc_id in (1, 2)) == 2
+    kept = odd
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        kept = stage(spark, kept, "")
+        assert kept.columns == odd.columns, name
+    assert corpus_pipeline.STAGES[3][1](spark, odd.limit(0), "").count() == 0

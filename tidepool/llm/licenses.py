@@ -1,7 +1,7 @@
 """License scan by diagonal voting.
 
 1. Every rolling k-gram of words of every text is hashed, and the hashes are joined to those of the templates. The
-   template table is fixed by TEMPLATES and PHRASES (its size is checked), so it is broadcast and texts aren't shuffled.
+   template table is fixed by NOTICES and PHRASES (its size is checked), so it is broadcast and texts aren't shuffled.
 2. A hit at word i of a text and word j of a template votes for diagonal i - j. Votes are added up per text, template and
    diagonal.
 3. Phrases: a diagonal that all k-grams of a phrase vote for is a place where its words stand consecutively.

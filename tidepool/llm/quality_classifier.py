@@ -7,8 +7,8 @@ an expression over them, so neither shuffles anything.
 
 Training reads at most TRAIN_ROWS labelled rows (in the order of a hash of the id); every document is scored.
 
-Cases: null text is empty, with statistics of zero, and scored like any other; without a label of both kinds the
-score is the share of label 1, or 0.5; rows repeat as given; an empty table gives none; other columns are not read.
+Cases: null text is empty, with statistics of zero, and scored like any other; with labels of one
+kind alone every score is 0.88 (label 1) or 0.12, and without labels 0.5; rows repeat as given; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations

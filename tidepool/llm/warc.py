@@ -187,18 +187,40 @@ def export(chunks: DataFrame, archive: str, to: BinaryIO) -> None:
         to.write(row.data)
 
 
+def _records(archive: memoryview, window: int = CHUNK) -> Iterator[Parser]:
+    """Parsed records of an archive, compressed record by record or not, read through windows: what is inflated at once is bounded, not the record."""
+    at = 0
+    while at < len(archive):
+        parser = Parser()
+        if bytes(archive[at : at + 2]) == b"\x1f\x8b":
+            while not parser.inflate.eof:
+                held = parser.inflate.unconsumed_tail or archive[at : at + window]
+                if not held:
+                    raise ValueError("the archive ends within a record")
+                at += 0 if parser.inflate.unconsumed_tail else len(held)
+                parser.take(parser.inflate.decompress(held, 4 * window))
+            at -= len(parser.inflate.unused_data)
+        else:
+            head = b""
+            while b"\r\n\r\n" not in head and len(head) < len(archive) - at:
+                head = bytes(archive[at : at + len(head) + 4096])
+            size = [x.split(b":")[1] for x in head.partition(b"\r\n\r\n")[0].split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")]
+            if not size:
+                raise ValueError(f"no record at {at}")
+            end = at + head.index(b"\r\n\r\n") + 4 + int(size[0])
+            for k in range(at, end, window):
+                parser.take(bytes(archive[k : min(k + window, end)]))
+            at = end + 4
+        yield parser
+
+
 def read_files(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
-    """Records of .warc or .warc.gz files that write_archives() made and export() wrote, a file at a time."""
+    """Records of .warc or .warc.gz files that write_archives() made and export() wrote. Spark gives a file's bytes as one value (2 GB at most); records are read from it through windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0):
-                rest, rows = memoryview(blob.as_buffer()), []
-                while len(rest):
-                    parser = Parser()
-                    parser.feed(rest)
-                    rest = memoryview(parser.inflate.unused_data)
-                    rows.append(parser.result())
+                rows = [parser.result() for parser in _records(memoryview(blob.as_buffer()))]
                 columns = zip(*rows, strict=True) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()], strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
