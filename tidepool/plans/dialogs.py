@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.literals import timestamp
 from ..operators import dialog as O
+from ..operators import profiles as P
 from ..sources import tables as S
 from .registry import query
 
@@ -68,3 +70,52 @@ def events_filtered(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d)
     out = O.choose_events(O.event_bundle(edges, edges.filter("rel_type = 'COVERS_EVENT'").select(F.col("dst_id").alias("id"))), entity="entity|guest 3", place="place|3", relation="NEXT_EVENT")
     return out.select("id", *(F.array_join(b, ",").alias(b) for b in ("entities", "places", "next")))
+
+
+TIMED = f"""{GRAPH}, te AS (SELECT 'event|' || s || '|' || n AS id, TIMESTAMP '2024-01-01' + (s * 100 + n) * INTERVAL 1 MINUTE AS t, CASE WHEN s % 3 = 0 THEN 'talk/short' WHEN s % 3 = 1 THEN 'talk/long/' || n % 2 ELSE 'other' END AS topic FROM ev),
+ tu AS (SELECT 'utterance|' || conv_id || '|' || turn AS id, TIMESTAMP '2024-01-01' + (conv_id * 100 + turn) * INTERVAL 1 MINUTE AS t, left(text, 20) AS text FROM conversations),
+ inv AS (SELECT a AS item, b AS id FROM x WHERE r = 'INVOLVES')"""
+
+
+def _timed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Events (id, t, topic_path) and utterances (id, t, text) of the conversations."""
+    t = S.turns(spark, d).withColumn("n", F.floor(F.col("idx") / 3))
+    at = lambda c: timestamp("2024-01-01") + F.make_dt_interval(mins=(F.col("session_id") * 100 + F.col(c)).cast("int"))
+    path = F.when(F.col("session_id") % 3 == 0, "talk/short").when(F.col("session_id") % 3 == 1, F.concat(F.lit("talk/long/"), (F.col("n") % 2).cast("string"))).otherwise("other")
+    events = t.select("session_id", "n").distinct().select(O.node_id("event", "session_id", "n").alias("id"), at("n").alias("t"), path.alias("topic_path"))
+    return events, t.select(O.node_id("utterance", "session_id", "idx").alias("id"), at("idx").alias("t"), F.substring("text", 1, 20).alias("text"))
+
+
+def _top(name: str, table: str, key: str, order: str, item: str) -> str:
+    return f"{name} AS (SELECT {key}, string_agg({item}, ';' ORDER BY k) AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS k FROM {table}) WHERE k <= 3 GROUP BY 1)"
+
+
+@query("entity_profiles", f"""WITH {TIMED}, ask AS (SELECT DISTINCT id FROM inv), oe AS (SELECT inv.id, item, t FROM inv JOIN te ON te.id = item), se AS (SELECT id, count(*) AS events, min(t) AS first_t, max(t) AS last_t FROM oe GROUP BY 1),
+ rl AS (SELECT a.id, b.id AS other, count(*) AS n FROM inv a JOIN inv b ON a.item = b.item AND a.id <> b.id GROUP BY 1, 2), qs AS (SELECT x.b AS id, x.a AS item, t, text FROM x JOIN tu ON tu.id = x.a WHERE r = 'SPOKEN_BY'), fc AS (SELECT b AS id, count(*) AS facts FROM x WHERE r = 'STATED_BY' GROUP BY 1),
+ st AS (SELECT 'entity|guest ' || user_id % 7 AS id, event_type AS p, arg_max('v' || event_id % 5, (ts, event_id)) AS v FROM events GROUP BY 1, 2), ss AS (SELECT id, string_agg(p || '=' || v, ';' ORDER BY p) AS states FROM st GROUP BY 1),
+ {_top('recent', 'oe', 'id', 't DESC, item', 'item')}, {_top('related', 'rl', 'id', 'n DESC, other', "other || '=' || n")}, {_top('quotes', 'qs', 'id', 't DESC, item', 'text')}
+ SELECT id, events, first_t, last_t, recent, coalesce(related, '') AS related, coalesce(quotes, '') AS quotes, coalesce(facts, 0) AS facts, coalesce(states, '') AS states FROM ask JOIN se USING (id) LEFT JOIN recent USING (id) LEFT JOIN related USING (id) LEFT JOIN quotes USING (id) LEFT JOIN fc USING (id) LEFT JOIN ss USING (id)""")
+def entity_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Everyone in the conversations: when, with whom, what they said, and their states."""
+    edges, (events, utterances) = _edges(spark, d), _timed(spark, d)
+    e = S.events(spark, d)
+    states = e.select(F.concat(F.lit("entity|guest "), (F.col("user_id") % 7).cast("string")).alias("subject"), F.col("action").alias("property"), F.concat(F.lit("v"), (F.col("id") % 5).cast("string")).alias("value"), F.col("t").alias("valid_from"), "id")
+    asked = edges.filter("rel_type = 'INVOLVES'").select(F.col("dst_id").alias("id"))
+    out = P.entity_profiles(asked, edges, events, utterances, states, 3)
+    line = lambda c, f: F.array_join(F.transform(c, f), ";").alias(c)
+    named = lambda k, v: lambda x: F.concat_ws("=", x[k], x[v].cast("string"))
+    return out.select("id", "events", "first_t", "last_t", line("recent", lambda x: x["id"]), line("related", named("id", "events")), line("quotes", lambda x: x["text"]), "facts", line("states", named("property", "value")))
+
+
+@query("topic_timelines", f"""WITH {TIMED}, ask AS (SELECT unnest(['talk', 'talk/long', 'talk/long/1', 'other', 'none']) AS topic_path), oe AS (SELECT topic_path, id AS item, t FROM ask JOIN te ON topic = topic_path OR starts_with(topic, topic_path || '/')),
+ se AS (SELECT topic_path, count(*) AS events, max(t) AS last_t FROM oe GROUP BY 1), pe AS (SELECT topic_path, inv.id AS who, count(*) AS n FROM oe JOIN inv USING (item) GROUP BY 1, 2), qs AS (SELECT DISTINCT topic_path, tu.id AS item, tu.t, text FROM oe JOIN x ON x.a = item AND r = 'SUPPORTED_BY' JOIN tu ON tu.id = x.b),
+ {_top('entities', 'pe', 'topic_path', 'n DESC, who', "who || '=' || n")}, {_top('quotes', 'qs', 'topic_path', 't DESC, item', 'text')}, tl AS (SELECT topic_path, string_agg(item, ';' ORDER BY t, item) AS timeline FROM (SELECT *, row_number() OVER (PARTITION BY topic_path ORDER BY t DESC, item) AS k FROM oe) WHERE k <= 3 GROUP BY 1)
+ SELECT topic_path, coalesce(events, 0) AS events, last_t, CASE WHEN last_t IS NULL THEN 'unknown' WHEN date_diff('day', CAST(last_t AS DATE), DATE '2024-01-20') <= 14 THEN 'ongoing' WHEN date_diff('day', CAST(last_t AS DATE), DATE '2024-01-20') <= 90 THEN 'paused' ELSE 'over' END AS status,
+ coalesce(timeline, '') AS timeline, coalesce(entities, '') AS entities, coalesce(quotes, '') AS quotes FROM ask LEFT JOIN se USING (topic_path) LEFT JOIN tl USING (topic_path) LEFT JOIN entities USING (topic_path) LEFT JOIN quotes USING (topic_path)""")
+def topic_timelines(spark: SparkSession, d: str) -> DataFrame:
+    """Topics and those above them, with who was there and what was said."""
+    edges, (events, utterances) = _edges(spark, d), _timed(spark, d)
+    asked = spark.createDataFrame([(p,) for p in ("talk", "talk/long", "talk/long/1", "other", "none")], "topic_path string")
+    out = P.topic_timelines(asked, events, edges, utterances, timestamp("2024-01-20"), 3)
+    line = lambda c, f: F.array_join(F.transform(c, f), ";").alias(c)
+    return out.select("topic_path", "events", "last_t", "status", line("timeline", lambda x: x["id"]), line("entities", lambda x: F.concat_ws("=", x["id"], x["events"].cast("string"))), line("quotes", lambda x: x["text"]))
