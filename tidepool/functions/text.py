@@ -6,7 +6,7 @@ import datetime as dt
 import re
 import uuid
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -89,6 +89,19 @@ def governance(has_text: Column, has_control: Column, semantic: Column) -> tuple
     return value, stable, F.when(value >= 0.8, 0).when(value >= 0.6, 7 * 86400).otherwise(86400)
 
 
+def governed(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Lifetimes and importances changed by domain: rows (domain, ttl in seconds, importance, ttl_pinned, importance_pinned) and rules (domain, ttl as a duration, delta).
+
+    A rule's lifetime takes the place of a row's, its delta is added within 0 and 1, unless pinned; a duration that can't be read changes nothing. Domains are few (a configuration)."""
+    r = rules.groupBy(F.col("domain").alias("_domain")).agg(F.max(F.struct("ttl", "delta")).alias("_r"))
+    both = rows.join(F.broadcast(r), F.col("domain") == F.col("_domain"), "left")
+    free = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    seconds = duration_seconds(F.col("_r.ttl"))
+    ttl = F.when(free("ttl_pinned") & seconds.isNotNull(), F.greatest(F.lit(0.0), seconds))
+    value = F.when(free("importance_pinned") & F.col("_r.delta").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("importance", F.lit(0.5)) + F.col("_r.delta"))))
+    return both.withColumns({"ttl": F.coalesce(ttl, F.col("ttl")), "importance": F.coalesce(value, F.col("importance"))}).drop("_domain", "_r")
+
+
 def keywords(text: Column, stop: list[str], most: int = 8) -> Column:
     """The first different words that say something."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}{3,})"), 1)

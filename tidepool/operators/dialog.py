@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
+from . import intervals
 
 EDGE = ["src_id", "dst_id", "rel_type", "src_type", "dst_type"]
 #: Branches of a bundle.
@@ -70,6 +71,30 @@ def dialog_edges(turns: DataFrame, events: DataFrame, facts: DataFrame, voices:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def media_edges(windows: DataFrame, tracks: DataFrame, utterances: DataFrame, width: float = 60.0) -> DataFrame:
+    """The edges of media sources' graphs. A window is a segment, a slice and an event; tracks are evidence of an entity; what overlaps a window in time belongs to it.
+
+    windows: source_id, window, start, end. tracks: source_id, track, entity (or null), start, end. utterances: source_id, n, start, end, track (of its speaker, or null). Overlaps are equi-joins on
+    time buckets of `width` seconds, so a source isn't paired with itself."""
+    seg, ts, ev = (node_id(k, "source_id", "window") for k in ("segment", "slice", "event"))
+    evd, utt, who = node_id("evidence", "source_id", "track"), node_id("utterance", "source_id", "n"), F.concat(F.lit("entity|"), F.col("entity").cast("string"))
+    w = windows.select("source_id", "window", "start", "end").distinct()
+    a = w.select("source_id", "window", F.col("start").cast("double").alias("a_start"), F.col("end").cast("double").alias("a_end"))
+    over = lambda rows, *c: intervals.overlap_join(a, rows.select("source_id", *c, F.col("start").cast("double").alias("b_start"), F.col("end").cast("double").alias("b_end")), width, ["source_id"])
+    seen, said = over(tracks, "track", "entity"), over(utterances, "n")
+    order = Window.partitionBy("source_id").orderBy("start", "window")
+    nexts = w.withColumn("after", F.lead("window").over(order)).filter("after IS NOT NULL")
+    spoke = utterances.filter("track IS NOT NULL").select("source_id", "n", "track").join(tracks.select("source_id", "track", "entity").distinct(), ["source_id", "track"])
+    parts = [
+        _edge(w, ev, seg, "SUMMARIZES", ("event", "media_segment")), _edge(w, ts, seg, "COVERS_SEGMENT", ("time_slice", "media_segment")), _edge(w, ts, ev, "COVERS_EVENT", ("time_slice", "event")),
+        _edge(nexts, seg, node_id("segment", "source_id", "after"), "NEXT_SEGMENT", ("media_segment", "media_segment")), _edge(nexts, ev, node_id("event", "source_id", "after"), "NEXT_EVENT", ("event", "event")),
+        _edge(seen, seg, evd, "CONTAINS_EVIDENCE", ("media_segment", "evidence")), _edge(seen, ev, evd, "SUPPORTED_BY", ("event", "evidence")), _edge(seen.filter("entity IS NOT NULL"), ev, who, "INVOLVES", ("event", "entity")),
+        _edge(tracks.filter("entity IS NOT NULL"), evd, who, "BELONGS_TO_ENTITY", ("evidence", "entity")), _edge(said, ev, utt, "SUPPORTED_BY", ("event", "utterance")), _edge(spoke, utt, evd, "SUPPORTED_BY", ("utterance", "evidence")),
+        _edge(spoke.filter("entity IS NOT NULL"), utt, who, "SPOKEN_BY", ("utterance", "entity")),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def event_bundle(edges: DataFrame, events: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
     """Events (id) with a list of ids for each of BRANCHES, from typed edges; entities and utterances are also those of what is known of the event.
 

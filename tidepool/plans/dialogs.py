@@ -119,3 +119,20 @@ def topic_timelines(spark: SparkSession, d: str) -> DataFrame:
     out = P.topic_timelines(asked, events, edges, utterances, timestamp("2024-01-20"), 3)
     line = lambda c, f: F.array_join(F.transform(c, f), ";").alias(c)
     return out.select("topic_path", "events", "last_t", "status", line("timeline", lambda x: x["id"]), line("entities", lambda x: F.concat_ws("=", x["id"], x["events"].cast("string"))), line("quotes", lambda x: x["text"]))
+
+
+@query("media_edges", """WITH v AS (SELECT event_id // 1000 AS s, event_id AS i, event_id * 13 % 5000 AS a, event_id * 7 % 5000 AS u, user_id % 23 AS p FROM events), w AS (SELECT s, n, n * 100 AS a, n * 100 + 120 AS b FROM (SELECT DISTINCT s FROM v), (SELECT unnest(range(0, 50)) AS n)),
+ t AS (SELECT s, i, a, a + 20 + i % 7 AS b, CASE WHEN i % 10 > 0 THEN p END AS p FROM v WHERE i % 2 = 0), u AS (SELECT s, i, u AS a, u + 5 AS b, CASE WHEN i % 3 > 0 THEN i - 1 END AS k FROM v WHERE i % 2 = 1),
+ wt AS (SELECT w.s, n, i, p FROM w JOIN t ON w.s = t.s AND w.a < t.b AND t.a < w.b), wu AS (SELECT w.s, n, i FROM w JOIN u ON w.s = u.s AND w.a < u.b AND u.a < w.b), x AS (SELECT w.s, w.n, w.n + 1 AS m FROM w WHERE n < 49), sp AS (SELECT u.s, u.i, t.i AS k, t.p FROM u JOIN t ON u.s = t.s AND u.k = t.i)
+ SELECT 'event|' || s || '|' || n AS src_id, 'segment|' || s || '|' || n AS dst_id, 'SUMMARIZES' AS rel_type FROM w UNION SELECT 'slice|' || s || '|' || n, 'segment|' || s || '|' || n, 'COVERS_SEGMENT' FROM w UNION SELECT 'slice|' || s || '|' || n, 'event|' || s || '|' || n, 'COVERS_EVENT' FROM w
+ UNION SELECT 'segment|' || s || '|' || n, 'segment|' || s || '|' || m, 'NEXT_SEGMENT' FROM x UNION SELECT 'event|' || s || '|' || n, 'event|' || s || '|' || m, 'NEXT_EVENT' FROM x UNION SELECT 'segment|' || s || '|' || n, 'evidence|' || s || '|' || i, 'CONTAINS_EVIDENCE' FROM wt
+ UNION SELECT 'event|' || s || '|' || n, 'evidence|' || s || '|' || i, 'SUPPORTED_BY' FROM wt UNION SELECT 'event|' || s || '|' || n, 'entity|' || p, 'INVOLVES' FROM wt WHERE p IS NOT NULL UNION SELECT 'evidence|' || s || '|' || i, 'entity|' || p, 'BELONGS_TO_ENTITY' FROM t WHERE p IS NOT NULL
+ UNION SELECT 'event|' || s || '|' || n, 'utterance|' || s || '|' || i, 'SUPPORTED_BY' FROM wu UNION SELECT 'utterance|' || s || '|' || i, 'evidence|' || s || '|' || k, 'SUPPORTED_BY' FROM sp UNION SELECT 'utterance|' || s || '|' || i, 'entity|' || p, 'SPOKEN_BY' FROM sp WHERE p IS NOT NULL""")
+def media_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A thousand events are a source: every second one a track, the others utterances, some of the track before them; fifty windows each."""
+    i = F.col("id")
+    e = S.events(spark, d).select("id", "user_id", F.floor(i / 1000).alias("source_id"))
+    tracks = e.filter("id % 2 = 0").select("source_id", i.alias("track"), F.when(i % 10 > 0, F.col("user_id") % 23).alias("entity"), (i * 13 % 5000).alias("start"), (i * 13 % 5000 + 20 + i % 7).alias("end"))
+    said = e.filter("id % 2 = 1").select("source_id", i.alias("n"), (i * 7 % 5000).alias("start"), (i * 7 % 5000 + 5).alias("end"), F.when(i % 3 > 0, i - 1).alias("track"))
+    windows = e.select("source_id").distinct().withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(49)))).select("source_id", "window", (F.col("window") * 100).alias("start"), (F.col("window") * 100 + 120).alias("end"))
+    return O.media_edges(windows, tracks, said).select("src_id", "dst_id", "rel_type")

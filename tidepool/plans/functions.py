@@ -90,6 +90,16 @@ def governance_scores(spark: SparkSession, d: str) -> DataFrame:
     return o.select("id", F.round(v, 6).alias("importance"), F.round(s, 6).alias("stability"), t.alias("ttl"))
 
 
+@query("domain_governance", """SELECT doc_id AS id, CAST(CASE WHEN doc_id % 5 = 0 THEN 60 WHEN lang = 'en' THEN 7200 WHEN lang = 'fr' THEN 172800 ELSE 60 END AS DOUBLE) AS ttl,
+ CAST(round(CASE WHEN doc_id % 7 = 0 THEN (doc_id % 10) / 10.0 ELSE greatest(0, least(1, (doc_id % 10) / 10.0 + CASE lang WHEN 'en' THEN 0.3 WHEN 'fr' THEN -0.4 WHEN 'de' THEN 0.05 ELSE 0 END)) END, 6) AS DOUBLE) AS importance FROM documents""")
+def domain_governance(spark: SparkSession, d: str) -> DataFrame:
+    """Languages as domains: some entries are pinned, one domain has no rule and one a duration that can't be read."""
+    i = F.col("doc_id")
+    e = S.parquet(spark, d, "documents", "doc_id", "lang").select(i.alias("id"), F.col("lang").alias("domain"), F.lit(60.0).alias("ttl"), ((i % 10) / 10.0).alias("importance"), (i % 5 == 0).alias("ttl_pinned"), F.when(i % 7 == 0, True).alias("importance_pinned"))
+    rules = spark.createDataFrame([("en", "2h", 0.3), ("fr", "2d", -0.4), ("de", "soon", 0.05)], "domain string, ttl string, delta double")
+    return T.governed(e, rules).select("id", "ttl", F.round("importance", 6).alias("importance"))
+
+
 @query("language_detect", "SELECT doc_id AS id, CASE WHEN regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') THEN 'zh' ELSE 'en' END AS language FROM documents")
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
     return S.parquet(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), T.language(F.col("text")).alias("language"))
