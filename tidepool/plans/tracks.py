@@ -18,7 +18,10 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
     return spans(spark, d).withColumn("source_id", F.col("user_id") % 10)
 
 
-@query("face_voice_pairs", f"WITH {SPANS}, {MS}, x AS (SELECT source_id, event_type || source_id AS speaker, a, b FROM m WHERE event_id % 2 = 0), y AS (SELECT source_id, event_type AS track, a, b FROM m WHERE event_id % 2 = 1), p AS (SELECT x.source_id, speaker, track, sum(least(x.b, y.b) - greatest(x.a, y.a)) AS seconds, sum(x.b - x.a) AS length, count(*) AS turns FROM x JOIN y ON x.source_id = y.source_id AND x.a < y.b AND y.a < x.b WHERE least(x.b, y.b) - greatest(x.a, y.a) >= 0.4 GROUP BY ALL) SELECT source_id, speaker, track, round(seconds, 6) AS seconds, round(0.75 * least(1.0, seconds / length) + 0.25 * turns / max(turns) OVER (PARTITION BY source_id, speaker), 6) AS score FROM p")
+FACE_VOICE = f"WITH {SPANS}, {MS}, x AS (SELECT source_id, event_type || source_id AS speaker, a, b FROM m WHERE event_id % 2 = 0), y AS (SELECT source_id, event_type AS track, a, b FROM m WHERE event_id % 2 = 1), p AS (SELECT x.source_id, speaker, track, sum(least(x.b, y.b) - greatest(x.a, y.a)) AS seconds, sum(x.b - x.a) AS length, count(*) AS turns FROM x JOIN y ON x.source_id = y.source_id AND x.a < y.b AND y.a < x.b WHERE least(x.b, y.b) - greatest(x.a, y.a) >= 0.4 GROUP BY ALL) SELECT source_id, speaker, track, round(seconds, 6) AS seconds, round(0.75 * least(1.0, seconds / length) + 0.25 * turns / max(turns) OVER (PARTITION BY source_id, speaker), 6) AS score FROM p"
+
+
+@query("face_voice_pairs", FACE_VOICE)
 def face_voice_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = _sources(spark, d)
     x = s.filter("id % 2 = 0").select("source_id", F.concat("action", F.col("source_id").cast("string")).alias("speaker"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
@@ -26,13 +29,22 @@ def face_voice_pairs(spark: SparkSession, d: str) -> DataFrame:
     return media.associate(x, y, width=100.0)
 
 
-@query("greedy_match")
+GREEDY = """WITH RECURSIVE fv AS (__PAIRS__), m AS (SELECT DISTINCT source_id, [] :: VARCHAR[] AS ls, [] :: VARCHAR[] AS rs, NULL :: VARCHAR AS speaker, NULL :: VARCHAR AS track, NULL :: DOUBLE AS score FROM fv
+ UNION ALL SELECT source_id, list_append(ls, speaker), list_append(rs, track), speaker, track, score FROM (SELECT m.source_id, m.ls, m.rs, fv.speaker, fv.track, fv.score, row_number() OVER (PARTITION BY m.source_id ORDER BY fv.score DESC, fv.speaker, fv.track) AS k FROM m JOIN fv ON fv.source_id = m.source_id AND NOT list_contains(m.ls, fv.speaker) AND NOT list_contains(m.rs, fv.track)) WHERE k = 1)
+ SELECT source_id, speaker, track, score FROM m WHERE speaker IS NOT NULL"""
+
+
+@query("greedy_match", GREEDY.replace("__PAIRS__", FACE_VOICE))
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: an order-dependent fold."""
+    """The best pair of each source, then the best of what is left."""
     return media.match_once(face_voice_pairs(spark, d).withColumn("verified", F.lit(False)))
 
 
-@query("tracklet_stitch")
+@query("tracklet_stitch", """WITH RECURSIVE o AS (SELECT label AS seed, vec_id * 3.0 AS a, vec_id * 3.0 + 2 AS b, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+ f AS (SELECT seed, n, 0 AS part, a, b, b AS last, v AS s FROM o WHERE n = 1
+ UNION ALL SELECT seed, n, CASE WHEN j THEN part ELSE part + 1 END, a, b, CASE WHEN j THEN greatest(last, b) ELSE b END, CASE WHEN j THEN list_transform(range(1, 65), lambda i: s[i] + v[i]) ELSE v END
+ FROM (SELECT o.seed, o.n, f.part, o.a, o.b, f.last, f.s, o.v, o.a - f.last <= 2 OR list_dot_product(f.s, o.v) / sqrt(list_dot_product(f.s, f.s) * list_dot_product(o.v, o.v)) >= 0.75 AS j FROM f JOIN o ON o.seed = f.seed AND o.n = f.n + 1))
+ SELECT seed, CAST(part AS BIGINT) AS part, CAST(min(a) AS DOUBLE) AS start, CAST(max(b) AS DOUBLE) AS "end", count(*) AS tracks FROM f GROUP BY 1, 2""")
 def tracklet_stitch(spark: SparkSession, d: str) -> DataFrame:
     v = S.vectors(spark, d)
     t = v.select(F.col("label").alias("seed"), F.col("id").alias("track"), (F.col("id") * 3.0).alias("start"), (F.col("id") * 3.0 + 2).alias("end"), F.col("vector").alias("embedding"))
