@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -143,10 +143,17 @@ def mark_policy(spark: SparkSession, d: str) -> DataFrame:
 TALK = "SELECT conv_id, list(text ORDER BY turn, text) AS u FROM conversations WHERE text IS NOT NULL GROUP BY 1"
 
 
+def _first_texts(turns: DataFrame, k: int) -> DataFrame:
+    """(id, u): the first k texts of each session, however many it has; tasks send k rows of a session."""
+    order = Window.partitionBy("session_id").orderBy("idx", "text")
+    first = turns.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k)
+    return first.groupBy(F.col("session_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("u"))
+
+
 @query("window_digest", f"SELECT conv_id AS id, CASE WHEN conv_id % 3 = 0 THEN 'given ' || conv_id WHEN conv_id % 3 = 1 AND len(trim(array_to_string(list_filter(list_slice(u, 1, 2), lambda x: len(trim(x)) > 0), ' '))) > 0 THEN array_to_string(list_filter(list_slice(u, 1, 2), lambda x: len(trim(x)) > 0), ' ') ELSE 'audio activity in ' || conv_id || '.0-' || (conv_id + 1) || '.5s' END AS summary FROM ({TALK})")
 def window_digest(spark: SparkSession, d: str) -> DataFrame:
     """A third of conversations have a summary, a third their utterances, a third neither."""
-    talk = S.turns(spark, d).filter("text IS NOT NULL").groupBy(F.col("session_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]).alias("u"))
+    talk = _first_texts(S.turns(spark, d).filter("text IS NOT NULL"), 2)
     start = F.col("id").cast("double")
     summary = T.digest(F.when(F.col("id") % 3 == 0, F.concat(F.lit("given "), F.col("id").cast("string"))), F.when(F.col("id") % 3 == 1, F.col("u")).otherwise(F.array().cast("array<string>")), F.lit("audio"), start, start + 1.5)
     return talk.select("id", summary.alias("summary"))
@@ -154,5 +161,7 @@ def window_digest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("context_compaction", f"SELECT conv_id AS id, array_to_string(list_transform(list_slice(list_filter(u, lambda x: len(trim(x)) > 0), 1, 3), lambda x: CASE WHEN len(x) > 40 THEN rtrim(substr(x, 1, 39)) || '\u2026' ELSE x END), chr(10)) AS context FROM ({TALK})")
 def context_compaction(spark: SparkSession, d: str) -> DataFrame:
-    talk = S.turns(spark, d).filter("text IS NOT NULL").groupBy(F.col("session_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]).alias("u"))
+    turns = S.turns(spark, d).filter("text IS NOT NULL")
+    said = _first_texts(turns.filter(F.length(F.btrim("text")) > 0), 3)
+    talk = turns.select(F.col("session_id").alias("id")).distinct().join(said, "id", "left").withColumn("u", F.coalesce("u", F.array().cast("array<string>")))
     return talk.select("id", F.array_join(T.compact(F.col("u"), 3, 40), "\n").alias("context"))

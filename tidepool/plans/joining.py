@@ -44,8 +44,11 @@ def first_meetings_all(spark: SparkSession, d: str) -> DataFrame:
 @query("first_meeting_pair", f"WITH {INV}, {PAIRS} SELECT event_id, o_orderdate AS t FROM p JOIN orders ON o_orderkey = event_id WHERE (a, b) = (SELECT (a, b) FROM p ORDER BY a, b LIMIT 1) ORDER BY t, event_id LIMIT 1")
 def first_meeting_pair(spark: SparkSession, d: str) -> DataFrame:
     inv = S.involves(spark, d)
-    pair = G.pairs_in_events(inv).orderBy("a", "b").limit(1).select("a", "b")
-    own = G.pairs_in_events(inv).join(F.broadcast(pair), ["a", "b"]).join(S.order_events(spark, d).select(F.col("id").alias("event_id"), "t"), "event_id")
+    # the first entity that has a companion, then its first companion: no pairs are made
+    first = inv.groupBy("event_id").agg(F.min("entity_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.min("a").alias("a"))
+    beside = inv.join(inv.join(F.broadcast(first), F.col("entity_id") == F.col("a")).select("event_id", "a"), "event_id").filter("entity_id > a")
+    second = beside.agg(F.min("entity_id").alias("b"))
+    own = beside.join(F.broadcast(second), F.col("entity_id") == F.col("b")).join(S.order_events(spark, d).select(F.col("id").alias("event_id"), "t"), "event_id")
     return own.select("event_id", "t").orderBy("t", "event_id").limit(1)
 
 
@@ -65,9 +68,11 @@ def explain_bundle(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.scoring import explain_signal
 
     e = S.order_events(spark, d).select(F.col("id").alias("event_id"))
-    lines = S.parquet(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
-    item = lambda letter, c: lines.select(F.col("l_orderkey").alias("event_id"), F.concat(F.lit(letter), F.col(c).cast("string")).alias("item"))
-    out = G.bundle(e, {"entities": item("p", "l_partkey"), "evidences": item("s", "l_suppkey"), "slices": item("", "l_shipdate")})
+    lines = S.parquet(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate").withColumnRenamed("l_orderkey", "event_id")
+    # all branches come from one table, so from one aggregate of it
+    ids = lambda letter, c: F.sort_array(F.collect_set(F.concat(F.lit(letter), F.col(c).cast("string"))))
+    own = lines.groupBy("event_id").agg(ids("p", "l_partkey").alias("entities"), ids("s", "l_suppkey").alias("evidences"), F.collect_set("l_shipdate").alias("slices"))
+    out = e.join(own, "event_id", "left").withColumns({c: F.coalesce(c, F.array().cast(own.schema[c].dataType)) for c in ("entities", "evidences", "slices")})
     signal = explain_signal(F.size("slices"), F.lit(0), F.size("entities"), F.lit(0))
     return out.select("event_id", F.array_join("entities", ",").alias("entities"), F.array_join("evidences", ",").alias("evidences"), F.size("slices").cast("long").alias("slices"), F.round(signal, 6).alias("signal"))
 
