@@ -15,7 +15,7 @@ import __spark_entry__
 from tests.test_oracles import TABLES, rows
 from tidepool.llm import divergence, fill_middle, language_model, licenses, ngram_join, packing, quality_classifier, toxicity, warc
 
-from .test_llm import brute_components, odd  # noqa: F401
+from .test_llm import odd  # noqa: F401
 
 
 @pytest.mark.parametrize("name", ["op12_fill_middle", "op13_source_divergence", "op10_ngram_join"])
