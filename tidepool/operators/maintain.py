@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
+from ..sources.store import dropped, stored
 
 
 def unique(rows: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
@@ -111,11 +111,14 @@ def purge(nodes: DataFrame, edges: DataFrame, doomed: DataFrame, owned: list[str
         cut = left.join(last.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct()
         if not directed:
             cut = cut.union(left.join(last.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi").select(F.col("src_id").alias("id"))).distinct()
+        before = left
         left = stored(left.join(last.withColumnRenamed("id", "src_id"), "src_id", "left_anti").join(last.withColumnRenamed("id", "dst_id"), "dst_id", "left_anti").select(*edges.columns), "edges-left")
         held = left.select(F.col("dst_id").alias("id"))
         held = held if directed else held.union(left.select(F.col("src_id").alias("id")))
         alone = nodes.filter(F.col("label").isin(*owned)).join(cut, "id", "left_semi").join(held, "id", "left_anti").join(every.select("id"), "id", "left_anti")
         went = stored(alone.select("id", "label", F.lit(n).alias("round")), "purged")
+        if n > 1:
+            dropped(before)
         if went.isEmpty():
             break
         every = every.unionByName(went)

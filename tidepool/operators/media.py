@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
+from ..sources.store import dropped, stored
 from . import intervals
 from .scoring import cosine
 
@@ -102,7 +102,9 @@ def stitch(tracks: DataFrame, least: float = 0.75, gap: float = 2.0, width: floa
         if wrong.isEmpty():
             break
         again = folded(rows.join(wrong.select(*label), label, "left_semi"), wrong)
-        pieces = stored(pieces.join(wrong.select(*label), label, "left_anti").unionByName(again), "pieces")
+        after = stored(pieces.join(wrong.select(*label), label, "left_anti").unionByName(again), "pieces")
+        dropped(pieces, again, wrong)
+        pieces = after
     order = Window.partitionBy("seed").orderBy("block", "k")
     whole = pieces.withColumn("part", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order) - 1)
     return whole.groupBy("seed", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("tracks").alias("tracks")).select("seed", "part", "start", "end", "tracks")
