@@ -189,12 +189,12 @@ def hybrid_search(
     queries: query_id, qvec, text and for each column of a scope q_<column>; entries: id, vector, text, t and these columns; edges: src_id, dst_id,
     rel_type, weight between ids. The k nearest vectors of the first scope that has any, and the `lexical` best texts of that scope, make one pool (a query
     that no scope serves has none); a vector's score is brought to [0, 1] among the nearest, a text's (its logarithm) to parts of the best's. Neighbours of a candidate within some hops add their weights,
-    and age takes off. An entry without a vector is found by its words. Word statistics are those of all entries. Queries are a request, taken in blocks that are broadcast."""
+    and age takes off. An entry without a vector has a cosine of 0, and is found by its words. Word statistics are those of all entries. Queries are a request, taken in blocks that are broadcast."""
     names = list(dict.fromkeys(x for s in scopes for x in s))
     dense = None
     for q in O.blocks(queries, O.QUERY_BLOCK):
         asked = q.select("query_id", "qvec", *(f"q_{x}" for x in names))
-        pairs = entries.filter("vector IS NOT NULL").select("id", "vector", *names).join(F.broadcast(asked), F.lit(True))
+        pairs = entries.select("id", "vector", *names).join(F.broadcast(asked), F.lit(True))
         part = scoped(pairs.select("query_id", "id", _exact(O.cosine(F.col("vector"), F.col("qvec"))).alias("score"), *names, *(f"q_{x}" for x in names)), q, scopes, k, threshold, relax)
         dense = part if dense is None else dense.unionByName(part)
     used = dense.groupBy("query_id").agg(F.min("scope").alias("scope"))

@@ -147,9 +147,9 @@ def normalise(events: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     steps = [("own", F.when(F.col("_known"), F.col("own"))), ("rule", F.col("rule_path")), ("topic", F.col("by_id")), ("keyword", F.col("by_keyword")), ("text", F.col("by_text")), ("bucket", F.col("bucket")), ("none", F.lit(LOOSE + "general"))]
     tags = F.when(F.size("rule_tags") > 0, F.col("rule_tags")).otherwise(F.col("tags"))
     out = out.select("id", F.coalesce(*(c for _, c in steps)).alias("topic_path"), tags.alias("tags"), "keywords", F.coalesce(*(F.when(c.isNotNull(), n) for n, c in steps)).alias("origin"))
-    # tags outside the vocabulary go: one row a tag, and back in order
-    kept = out.select("id", F.posexplode("tags").alias("n", "tag")).join(small(v.tags.distinct(), MOST_TERMS)[1], "tag").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "tag"))), lambda x: x["tag"]).alias("tags"))
-    return out.drop("tags").join(kept, "id", "left").select("id", "topic_path", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "keywords", "origin")
+    # tags outside the vocabulary go; the vocabulary of tags is a configuration, one row with an array
+    allowed = v.tags.agg(F.collect_set("tag").alias("_allowed"))
+    return out.join(F.broadcast(allowed), how="left").select("id", "topic_path", F.array_intersect("tags", "_allowed").alias("tags"), "keywords", "origin")
 
 
 def registered(events: DataFrame, registry: DataFrame, most: int = 2000) -> tuple[DataFrame, DataFrame]:
