@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.literals import seconds
 from . import graph as G
 from . import scoring as O
+from .nearest import nearest
 
 #: The five routes, and what a route, a signal and the blend of rank and score count.
 ROUTES = ["event_vec", "vec", "knowledge", "entity", "time"]
@@ -129,7 +130,7 @@ def dialog_routes(
 
     questions: query_id, qvec, people (array of entity ids), t_from and t_to (null for any time). events: id, vector, t. utterances, knowledge: id, vector. edges: src_id, dst_id, rel_type.
     event_vec: events near the question. vec: events that near utterances support. knowledge: events that near facts derive from. entity: events that involve people of
-    the question, by their share. time: events within its time, by how near to the middle; they meet in time buckets. Vectors meet blocks of questions."""
+    the question, by their share. time: events within its time, by how near to the middle; they meet in time buckets. Vectors meet questions in cells."""
     off, parts = {ROUTE_NAMES[r] for r in without.routes}, []
 
     def cut(rows: DataFrame, route: str) -> None:
@@ -147,9 +148,12 @@ def dialog_routes(
     if "knowledge" not in off:
         cut(near(knowledge, k).join(to("DERIVED_FROM", "src_id", "dst_id"), "hit"), "knowledge")
     if "entity" not in off:
-        people = questions.select("query_id", F.explode(F.array_distinct("people")).alias("hit"), F.size(F.array_distinct("people")).alias("n"))
-        met = people.join(to("INVOLVES", "dst_id", "src_id").distinct(), "hit").groupBy("query_id", "id", "n").agg(F.count(F.lit(1)).alias("c"))
-        cut(met.select("query_id", "id", (F.col("c") / F.col("n")).alias("score")), "entity")
+        # questions of the same people have the same events
+        asked = questions.select("query_id", F.array_sort(F.array_distinct("people")).alias("people"))
+        people = asked.select("people").distinct().select("people", F.explode("people").alias("hit"), F.size("people").alias("n"))
+        met = people.join(to("INVOLVES", "dst_id", "src_id").distinct(), "hit").groupBy("people", "id", "n").agg(F.count(F.lit(1)).alias("c"))
+        best = O.top(met.select("people", "id", _exact(F.col("c") / F.col("n")).alias("score")), ["people"], k).drop("rank")
+        cut(asked.join(best, "people").select("query_id", "id", "score"), "entity")
     if "time" not in off:
         first, last = F.date_trunc(bucket, "t_from"), F.date_trunc(bucket, "t_to")
         asked = questions.filter("t_from <= t_to").select("query_id", "t_from", "t_to", F.explode(F.sequence(first, last, F.expr(f"INTERVAL 1 {bucket}"))).alias("slot"))
@@ -189,20 +193,23 @@ def hybrid_search(
     queries: query_id, qvec, text and for each column of a scope q_<column>; entries: id, vector, text, t and these columns; edges: src_id, dst_id,
     rel_type, weight between ids. The k nearest vectors of the first scope that has any, and the `lexical` best texts of that scope, make one pool (a query
     that no scope serves has none); a vector's score is brought to [0, 1] among the nearest, a text's (its logarithm) to parts of the best's. Neighbours of a candidate within some hops add their weights,
-    and age takes off. An entry without a vector has a cosine of 0, and is found by its words. Word statistics are those of all entries. Queries are a request, taken in blocks that are broadcast."""
+    and age takes off. An entry without a vector has a cosine of 0, and is found by its words. Word statistics are those of all entries. Queries meet vectors in cells."""
     names = list(dict.fromkeys(x for s in scopes for x in s))
-    dense = None
-    for q in O.blocks(queries, O.QUERY_BLOCK):
-        asked = q.select("query_id", "qvec", *(f"q_{x}" for x in names))
-        pairs = entries.select("id", "vector", *names).join(F.broadcast(asked), F.lit(True))
-        part = scoped(pairs.select("query_id", "id", _exact(O.cosine(F.col("vector"), F.col("qvec"))).alias("score"), *names, *(f"q_{x}" for x in names)), q, scopes, k, threshold, relax)
-        dense = part if dense is None else dense.unionByName(part)
+    asked, own = queries.select("query_id", "qvec", *(f"q_{x}" for x in names)), entries.select("id", "vector", *names)
+    # the k nearest of each scope: where it is a query's first with a row that counts, the narrower ones' rows don't count and are behind
+    near = reduce(DataFrame.unionByName, [nearest(asked, own, k, s) for s in scopes]).withColumn("score", _exact(F.col("cos"))).drop("cos").distinct()
+    dense = scoped(near, queries, scopes, k, threshold, relax)
     used = dense.groupBy("query_id").agg(F.min("scope").alias("scope"))
-    words = O.bm25(entries.select("id", "text"), queries.select("query_id", "text")).withColumn("b", _exact(F.col("score")))
-    words = words.join(used, "query_id").join(queries.select("query_id", *(f"q_{x}" for x in names)), "query_id").join(entries.select("id", *names), "id")
-    inside = reduce(lambda a, b: a | b, ((F.col("scope") == i) & _agree(s) for i, s in enumerate(scopes)))
-    words = words.filter(inside & (F.col("b") > 0)).select("query_id", "id", "b", "scope")
-    asked = O.top(words, ["query_id"], lexical, "b").drop("rank").unionByName(words.join(dense.select("query_id", "id"), ["query_id", "id"], "left_semi"))
+    # each different text is weighed once, and its best are cut once for what queries of a scope have in common
+    said = F.coalesce("text", F.lit("")).alias("said")
+    words = O.bm25(entries.select("id", "text"), queries.select(said).distinct().select(F.col("said").alias("query_id"), F.col("said").alias("text")))
+    words = words.select(F.col("query_id").alias("said"), "id", _exact(F.col("score")).alias("b")).filter("b > 0")
+    asking = queries.select("query_id", said, *(f"q_{x}" for x in names)).join(used, "query_id")
+    asked = dense.select("query_id", "id", "scope").join(asking.select("query_id", "said"), "query_id").join(words, ["said", "id"]).select("query_id", "id", "b", "scope")
+    placed = words.join(entries.select("id", *names), "id")
+    for i, s in enumerate(scopes):
+        best = O.top(placed, ["said", *s], lexical, "b").drop("rank")
+        asked = asked.unionByName(asking.filter(F.col("scope") == i).join(best, "said").filter(_agree(s)).select("query_id", "id", "b", "scope"))
     hits = dense.select("query_id", "id", F.col("score").alias("v"), F.lit(None).cast("double").alias("b"), "scope").unionByName(asked.withColumn("v", F.lit(None).cast("double")))
     both = hits.groupBy("query_id", "id").agg(F.max("v").alias("v"), F.max("b").alias("b"), F.min("scope").alias("scope"))
     near = O.graph_score(G.expand(edges, both.select(F.col("id").alias("seed")).distinct(), hops, cap)).withColumnRenamed("seed", "id")

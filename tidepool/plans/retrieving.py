@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.literals import timestamp
 from ..operators import retrieval as R
 from ..operators import scoring as O
+from ..operators.nearest import nearest
 from ..sources import tables as S
 from .registry import query
-from .scoring import COS
+from .scoring import COS, _queries, within
 
 #: Questions by label.
 QUESTIONS = ["When did the other open", "What kinds of that the", "What is the relationship status of Marta", "Who said that the"]
@@ -21,25 +22,17 @@ def question(label: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, QUESTIONS)), (label % len(QUESTIONS) + 1).cast("int"))
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
-    """All vectors against every id divisible by 50: query_id, ql, id, label, cos."""
-    v = S.vectors(spark, d)
-    q = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"), F.col("label").alias("ql"))
-    out = None
-    for block in O.blocks(q):
-        part = v.join(F.broadcast(block), F.lit(True)).select("query_id", "ql", "id", "label", F.round(O.cosine(F.col("vector"), F.col("qvec")), 9).alias("cos"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """Five routes of 50 candidates for each query."""
-    n = _near(spark, d)
-    apart = F.abs(F.col("query_id") - F.col("id"))
-    routes = {
-        "event_vec": n.filter("id % 2 = 0").withColumn("score", F.col("cos")), "vec": n.withColumn("score", F.col("cos")), "knowledge": n.filter("label = ql").withColumn("score", F.round(F.pow(F.lit(0.5), apart / 100.0), 9)),
-        "entity": n.filter("id % 3 = 0").withColumn("score", 1.0 / (1 + F.abs(F.col("ql") - F.col("label")))), "time": n.filter("abs(query_id - id) <= 20").withColumn("score", F.lit(0.7)),
-    }
+    """Five routes of 50 candidates for each query. Hits with a score of 0 never count, so none is made where a score is rounded to it."""
+    v, q = S.vectors(spark, d), _queries(spark, d)
+    label = S.vectors(spark, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), "label")
+    near = lambda rows: nearest(q, rows.select("id", "vector"), 50).withColumn("score", F.round("cos", 9))
+    known = within(v.select("id", "label"), label, 3200, "label").withColumn("score", F.round(F.pow(F.lit(0.5), F.abs(F.col("query_id") - F.col("id")) / 100.0), 9))
+    # what is best for a label is among the 50 smallest ids of each label
+    some = O.top(v.filter("id % 3 = 0").select("id", "label", F.lit(0).alias("score")), ["label"], 50).select("id", "label")
+    asked = label.select(F.col("label").alias("ql")).distinct().join(some, F.lit(True)).withColumn("score", 1.0 / (1 + F.abs(F.col("ql") - F.col("label"))))
+    met = label.withColumnRenamed("label", "ql").join(O.top(asked.drop("label"), ["ql"], 50).drop("rank"), "ql")
+    routes = {"event_vec": near(v.filter("id % 2 = 0")), "vec": near(v), "knowledge": known, "entity": met, "time": within(v.select("id"), label, 20).withColumn("score", F.lit(0.7))}
     out = None
     for name, rows in routes.items():
         part = O.top(rows.select("query_id", "id", "score"), ["query_id"], 50).select("query_id", "id", F.lit(name).alias("route"), "score")
@@ -98,7 +91,8 @@ def _sql(routes: str, recency: float, signal: str, weight: float, middle: str) -
 @query("dialog_search", _sql("'event_vec', 'vec', 'knowledge', 'entity', 'time'", 0.05, SIGNAL, 0.02, HEAD))
 def dialog_search(spark: SparkSession, d: str) -> DataFrame:
     """Five routes, fidelity, recency, outside scores for the first 30 and the signal of what is known."""
-    n = _near(spark, d).filter("id % 4 <> 0 AND abs(query_id - id) <= 100")
+    v = S.vectors(spark, d).select("id")
+    n = within(v, v.filter("id % 50 = 0").select(F.col("id").alias("query_id")), 100).filter("id % 4 <> 0")
     return _search(spark, d, outside=n.select("query_id", "id", ((F.col("id") * 7 % 11) / 10.0).alias("model")), how=R.Rerank("blend", 30))
 
 
