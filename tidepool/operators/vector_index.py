@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
-from .scoring import cosine, top
+from .nearest import cogrouped, matrix
+from .scoring import top
 
 #: Vectors that centroids are fitted on, at most; lists at most; vectors of a piece, about.
 SAMPLE, LISTS, PIECE = 16_384, 1024, 4096
@@ -36,11 +37,7 @@ SLIP = 1e-6
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of unit length, and which rows have the right length and a norm; the others are 0."""
-    rows = column.to_pylist()
-    ok = np.array([v is not None and len(v) == dim and None not in v for v in rows], bool)
-    out = np.zeros((len(rows), dim))
-    if ok.any():
-        out[ok] = np.array([v for v, k in zip(rows, ok, strict=True) if k], np.float64)
+    out, ok = matrix(column, dim)
     norm = np.sqrt((out * out).sum(axis=1))
     ok &= norm > 0
     out[ok] /= norm[ok, None]
@@ -127,12 +124,13 @@ class VectorIndex:
 
         return asked.mapInArrow(run, f"query_id {kind}, qvec {element}, list int, piece int")
 
-    def _scored(self, probed: DataFrame) -> DataFrame:
-        return self.rows.join(probed, ["list", "piece"]).select("query_id", "id", cosine(F.col("vector"), F.col("qvec")).alias("score"))
+    def _scored(self, probed: DataFrame, k: int) -> DataFrame:
+        """The k best of each piece and query that probes it."""
+        return cogrouped(probed, self.rows, ["list", "piece"], k).select("query_id", "id", F.col("cos").alias("score"))
 
     def search(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
         """The k nearest (query_id, id, score, rank) among the lists that lie nearest to each query (query_id, qvec)."""
-        return top(self._scored(self._probes(queries, probes)), ["query_id"], k)
+        return top(self._scored(self._probes(queries, probes), k), ["query_id"], k)
 
     def probes_for(self, k: int, recall: float = 0.95, queries: int = TRIALS) -> int:
         """How many lists to probe for this share of the k nearest, measured with some of the indexed vectors as queries: TRIALS * k rows come here."""
@@ -149,4 +147,5 @@ class VectorIndex:
         """The k nearest among all vectors."""
         first = stored(self.search(queries, k, probes).drop("rank"), "first-hits")
         reached = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k).select("query_id", "least")
-        return top(first.unionByName(self._scored(self._probes(queries, probes, reached))), ["query_id"], k)
+        rest = self._probes(queries, probes, reached).join(reached, "query_id", "left")
+        return top(first.unionByName(self._scored(rest, k)), ["query_id"], k)
