@@ -72,7 +72,8 @@ def event_repair(spark: SparkSession, d: str) -> DataFrame:
         (F.col("o_totalprice") / 300000 - 0.1).alias("confidence"), F.array(F.lit("zz"), F.concat(F.lit(" n"), (F.col("o_custkey") % 25).cast("string"))).alias("turn_ids"),
     )
     n = S.parquet(spark, d, "nation", "n_nationkey").filter("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("turn_id"))
-    return R.events(e, n).withColumns({"confidence": F.round("confidence", 6), "turn_ids": F.array_join("turn_ids", ","), "errors": F.array_join("errors", ",")})
+    # a half of the sixth digit is one of the product, as in SQL; round() to six digits would go by the decimal digits of the number
+    return R.events(e, n).withColumns({"confidence": F.round(F.col("confidence") * 1e6) / 1e6, "turn_ids": F.array_join("turn_ids", ","), "errors": F.array_join("errors", ",")})
 
 
 @query("state_repair", """WITH s AS (SELECT c_custkey AS k, c_name, CASE c_custkey % 4 WHEN 0 THEN 'segment' WHEN 1 THEN 'job' WHEN 2 THEN 'unknown' ELSE '' END AS p, c_mktsegment AS v, c_custkey % 9 = 0 AS neg, c_nationkey % 2 = 0 AS ok FROM customer),
