@@ -31,3 +31,13 @@ def test_event_repair_rounds_as_its_sql(spark):
     want = c.execute(f"SELECT event_id, confidence FROM ({registry.ORACLES['event_repair']}) ORDER BY 1").fetchall()
     got = registry.QUERIES["event_repair"](spark, d).select("event_id", F.col("confidence")).orderBy("event_id").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_pairs_have_partitions_by_their_count(spark, monkeypatch):
+    i = spark.createDataFrame([(e, p) for e in range(50) for p in range(e % 9)], "event_id int, entity_id long")
+    want = sorted((e, a, b) for e in range(50) for a, b in combinations(range(e % 9), 2))
+    for size, pairs in ((10**6, 1), (100, -(-len(want) // 100))):
+        monkeypatch.setattr(graph, "ROWS", size)
+        out = graph.pairs_in_events(i)
+        assert out.rdd.getNumPartitions() == pairs and sorted((r.event_id, r.a, r.b) for r in out.collect()) == want
+    assert not graph.pairs_in_events(i.limit(0)).collect()

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a partition, about.
+ROWS = 500_000
 #: Entities of a block, at least and at most.
 FEW, MANY = 256, 2048
 
@@ -29,10 +31,16 @@ def relations_of(involves: DataFrame, events: DataFrame, entity: object, start:
     return both.groupBy("entity_id").agg(F.count_distinct("event_id").alias("strength"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
-def pairs_in_events(involves: DataFrame) -> DataFrame:
-    """Unordered pairs a < b of entities of an event. The pairs of an event are its own; no event's rows meet another's."""
-    x, y = involves.select("event_id", F.col("entity_id").alias("a")), involves.select("event_id", F.col("entity_id").alias("b"))
-    return x.join(y, "event_id").filter("a < b")
+def pairs_in_events(involves: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """Unordered pairs a < b of entities of an event. The pairs of an event are its own; no event's rows meet another's. times (event_id, t) give them a time.
+
+    Pairs come dealt by a and b, in partitions whose number goes by a count of them: what is small in bytes would be put together, and has many pairs."""
+    size = involves.groupBy("event_id").count().agg(F.sum("count"), F.sum(F.expr("count * (count - 1) / 2"))).first()
+    rows, pairs = (max(1, -(-int(n or 0) // ROWS)) for n in size)
+    own = involves.repartition(rows, "event_id")
+    x, y = own.select("event_id", F.col("entity_id").alias("a")), own.select("event_id", F.col("entity_id").alias("b"))
+    x = x if times is None else x.join(times.repartition(rows, "event_id"), "event_id")
+    return x.join(y, "event_id").filter("a < b").repartition(pairs, "a", "b")
 
 
 def shared_events(involves: DataFrame, least: int = 1, block: int | None = None) -> DataFrame:
@@ -72,13 +80,13 @@ def shared_events(involves: DataFrame, least: int = 1, block: int | None = None)
 
 def co_occurrence(involves: DataFrame, events: DataFrame, least: int = 1) -> DataFrame:
     """Weight, first and last time of each pair of entities that share at least so many events. Recomputed, so running twice changes nothing."""
-    pairs = pairs_in_events(involves).join(events.select(F.col("id").alias("event_id"), "t"), "event_id")
+    pairs = pairs_in_events(involves, events.select(F.col("id").alias("event_id"), "t"))
     return pairs.groupBy("a", "b").agg(F.count_distinct("event_id").alias("weight"), F.min("t").alias("first_t"), F.max("t").alias("last_t")).filter(F.col("weight") >= least)
 
 
 def first_meetings(involves: DataFrame, events: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """The earliest event of each pair, by time and then id, and where it was."""
-    pairs = pairs_in_events(involves).join(events.select(F.col("id").alias("event_id"), "t"), "event_id")
+    pairs = pairs_in_events(involves, events.select(F.col("id").alias("event_id"), "t"))
     out = pairs.groupBy("a", "b").agg(F.min(F.struct("t", "event_id")).alias("m")).select("a", "b", "m.event_id", "m.t")
     return out.join(places, "event_id", "left") if places is not None else out
 
