@@ -3,8 +3,9 @@
 import random
 import time
 from collections import Counter
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from tidepool.streaming import machines
@@ -133,3 +134,52 @@ def steps(step, good, blank):
     for n in (1, 2):
         step({("s:c2:2", "STAGE2_FAILED", "stage2", n, "no"), ("s:c2:2", "STAGE2_RUNNING", "stage2", n + 1, None)}, rep=[("s", "c2", "s:c2:2", "stage2", False, "no")])
     step({("s:c2:2", "FAILED", "stage2", 3, "no")}, rep=[("s", "c2", "s:c2:2", "stage2", False, "no")])
+
+
+def test_a_key_has_few_timers_and_few_reads():
+    """Messages go by the triggers of a key and not by its rows; what a timer leaves is woken by the next one."""
+    calls = Counter()
+
+    class Store:
+        def __init__(self, name):
+            self.name, self.rows = name, []
+
+        def __getattr__(self, verb):
+            def call(*args):
+                calls[f"{self.name}.{verb}"] += 1
+                if verb in ("update", "put", "clear"):
+                    self.rows = {"update": lambda: [args[0]], "put": lambda: list(args[0]), "clear": list}[verb]()
+                elif verb in ("appendValue", "appendList"):
+                    self.rows += [args[0]] if verb == "appendValue" else args[0]
+                elif verb == "exists":
+                    return bool(self.rows)
+                elif verb == "get":
+                    return self.rows[0] if self.name == "holds" else iter(self.rows)
+
+            return call
+
+    class Handle:
+        timers: set = set()
+
+        def registerTimer(self, ms):
+            self.timers.add(ms)
+
+        getValueState = getListState = getMapState = lambda self, name, *_: Store(name)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    m, handle = machines.States(), Handle()
+    m.init(handle)
+    rows = pd.DataFrame([("observation", f"{i:03d}", "ab"[i % 2], T0 + timedelta(minutes=i), None) for i in range(200)], columns=["kind", "id", "value", "t", "reason"])
+    assert sum(map(len, m.handleInputRows(("k",), iter([rows[::2], rows[1::2]]), At(0)))) == 0
+    assert len(handle.timers) == 1
+    first = int(T0.replace(tzinfo=UTC).timestamp() * 1000)
+    got = []
+    for ms in (first, first + 50 * 60_000, first + 10**9):
+        while due := sorted(t for t in handle.timers if t <= ms):
+            handle.timers.remove(due[0])
+            got += [r for part in m.handleExpiredTimer(("k",), At(ms), At(due[0])) for r in part["id"]]
+        assert len(handle.timers) <= 1
+    assert got == [f"{i:03d}" for i in range(200)] and calls["waits.get"] == calls["holds.exists"] == 3 and calls["holds.update"] == 3

@@ -11,6 +11,9 @@ from ..streaming import ingest as O
 from ..streaming import machines
 from .registry import query
 
+#: Rows of a file that a stream is fed, at most about.
+FILE_ROWS = 500_000
+
 
 @query("tumbling_windows", "SELECT date_trunc('hour', ts) AS \"start\", event_type AS action, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -53,9 +56,10 @@ def state_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events in files whose order has nothing to do with time, as a stream of observations: the log of each user's state is that of the whole table in order of time."""
     rows = S.events(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("id").cast("string").alias("id"), F.col("action").alias("value"), F.col("t").cast("timestamp").alias("t"))
     files, log, at = new_path(spark, "observations"), new_path(spark, "state-log"), new_path(spark, "state-checkpoint")
-    rows.repartition(3, F.xxhash64("id")).write.parquet(files)
+    parts = max(1, -(-rows.count() // (3 * FILE_ROWS)))
+    rows.repartition(3 * parts, F.xxhash64("id")).write.parquet(files)
     end = rows.agg(F.max("t").alias("t")).select(F.lit("").alias("key"), F.lit("end").alias("id"), F.lit(None).cast("string").alias("value"), (F.col("t") + F.make_dt_interval(days=F.lit(800))).alias("t"))
     end.coalesce(1).write.mode("append").parquet(files)
-    out = machines.state_log(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(files), delay="400 days")
+    out = machines.state_log(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * parts).parquet(files), delay="400 days")
     out.writeStream.format("parquet").option("path", log).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(log).filter("key <> ''").select("key", "id", "status", "before")

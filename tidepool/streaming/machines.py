@@ -2,6 +2,9 @@
 
 Both take two kinds of rows in one stream and emit a row for whatever they decide, so a sink of them is a log that can be
 replayed. State is a few rows a key: the state that holds, what waits for the watermark, what waits for a decision.
+Every access to it is a message to the JVM and every row in it is packed by itself, so a call reads and writes the state
+that holds once, what a trigger brought waits as one row of arrays, and a key has a timer for the first of that, not one for
+each row; when it fires, all that is due is applied, and the first of the rest has the next.
 
 States: observations (id, value, t) wait until the watermark has passed t and are then applied in order of (t, id), so the
 result doesn't depend on triggers, Arrow batches or the order of arrival within the delay. One that comes later than that
@@ -19,7 +22,7 @@ Cases: rows without a key or id are dropped; repeats of an id that waits count o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -43,11 +46,16 @@ def _us(t: object) -> int | None:
     return None if t is None or t is pd.NaT else int(pd.Timestamp(t).value // 1000)
 
 
+def _packed(rows: list[tuple]) -> tuple:
+    """Rows as one row of arrays."""
+    return tuple(map(list, zip(*rows, strict=True)))
+
+
 class States(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.holds = handle.getValueState("holds", "value string, since long, seen long")
-        self.waits = handle.getListState("waits", "id string, value string, t long, reason string")
+        self.waits = handle.getListState("waits", "ids array<string>, values array<string>, times array<long>, reasons array<string>")
         self.aside = handle.getMapState("aside", "id string", "value string, t long, reason string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
@@ -61,50 +69,64 @@ class States(StatefulProcessor):
                 (fresh if kind == "observation" else decisions).append((i, value, mark if at is None else at, reason))
         out: list[tuple] = []
         if fresh:
-            self.waits.appendList(fresh)
-            for ms in {-(-t // 1000) for _, _, t, _ in fresh if t > mark}:
-                self.handle.registerTimer(ms)
+            self.waits.appendValue(_packed(fresh))
+            self._wake(t for _, _, t, _ in fresh if t > mark)
         if any(t <= mark for _, _, t, _ in fresh):
             out += self._due(mark)
         for i, verdict, _, _ in decisions:
             out += self._decided(i, verdict)
-        yield self._rows(key, out)
+        if out:
+            yield self._rows(key, out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        yield self._rows(key, self._due(max(timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs() * 1000)))
+        if out := self._due(max(timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs() * 1000), True):
+            yield self._rows(key, out)
 
     def _rows(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
         made = pd.DataFrame([(key[0], *r) for r in out], columns=STATE_NAMES)
         made["t"] = pd.to_datetime(made["t"], unit="us")
         return made
 
-    def _due(self, mark: int) -> list[tuple]:
-        rows = {r[0]: tuple(r) for r in self.waits.get()}
+    def _wake(self, times: Iterable[int]) -> None:
+        if (first := min(times, default=None)) is not None:
+            self.handle.registerTimer(-(-first // 1000))
+
+    def _due(self, mark: int, fired: bool = False) -> list[tuple]:
+        """A timer that fired leaves one for the first of what still waits."""
+        rows = {r[0]: r for packed in self.waits.get() for r in zip(*packed, strict=True)}
         due = sorted((r for r in rows.values() if r[2] <= mark), key=lambda r: (r[2], r[0]))
+        rest = [r for r in rows.values() if r[2] > mark]
+        if fired:
+            self._wake(r[2] for r in rest)
         if not due:
             return []
-        if rest := [r for r in rows.values() if r[2] > mark]:
-            self.waits.put(rest)
+        if rest:
+            self.waits.put([_packed(rest)])
         else:
             self.waits.clear()
-        return [self._observed(*r) for r in due]
-
-    def _observed(self, i: str, value: str, t: int, reason: str | None) -> tuple:
-        if reason:
-            self.aside.updateValue((i,), (value, t, reason))
-            return i, value, t, "pending", reason, None
-        now = tuple(self.holds.get()) if self.holds.exists() else None
-        if now is None:
-            self.holds.update((value, t, t))
-            return i, value, t, "created", None, None
-        if t < now[1]:
-            self.aside.updateValue((i,), (value, t, "out_of_order"))
-            return i, value, t, "pending", "out_of_order", None
-        if value == now[0]:
-            self.holds.update((value, now[1], t))
-            return i, value, t, "touched", None, None
-        self.holds.update((value, t, t))
-        return i, value, t, "updated", None, now[0]
+        return self._observed(due)
+
+    def _observed(self, rows: list[tuple]) -> list[tuple]:
+        held = now = tuple(self.holds.get()) if self.holds.exists() else None
+        out: list[tuple] = []
+        for i, value, t, reason in rows:
+            late = not reason and now is not None and t < now[1]
+            if reason or late:
+                reason = reason or "out_of_order"
+                self.aside.updateValue((i,), (value, t, reason))
+                out.append((i, value, t, "pending", reason, None))
+            elif now is None:
+                now = (value, t, t)
+                out.append((i, value, t, "created", None, None))
+            elif value == now[0]:
+                now = (value, now[1], t)
+                out.append((i, value, t, "touched", None, None))
+            else:
+                out.append((i, value, t, "updated", None, now[0]))
+                now = (value, t, t)
+        if now != held:
+            self.holds.update(now)
+        return out
 
     def _decided(self, i: str, verdict: str) -> list[tuple]:
         if not self.aside.containsKey((i,)):
@@ -114,7 +136,7 @@ class States(StatefulProcessor):
         if verdict != "approve":
             return [(i, value, t, "rejected", reason, None)]
         out = [(i, value, t, "approved", reason, None)]
-        return out if reason == "out_of_order" else [*out, self._observed(i, value, t, None)]
+        return out if reason == "out_of_order" else [*out, *self._observed([(i, value, t, None)])]
 
     def close(self) -> None:
         pass
