@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import graph
 from tidepool.plans import registry
+from tidepool.sources import tables
 
 
 def test_shared_events_in_blocks(spark):
@@ -41,3 +42,11 @@ def test_pairs_have_partitions_by_their_count(spark, monkeypatch):
         out = graph.pairs_in_events(i)
         assert out.rdd.getNumPartitions() == pairs and sorted((r.event_id, r.a, r.b) for r in out.collect()) == want
     assert not graph.pairs_in_events(i.limit(0)).collect()
+
+
+def test_lines_have_partitions_by_their_count(spark, sf, monkeypatch):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    for size, n in ((10**6, spark.sparkContext.defaultParallelism), (100, -(-lines // 100))):
+        monkeypatch.setattr(tables, "ROWS", size)
+        for made in (tables.involves(spark, sf), tables.edges(spark, sf).filter("rel_type = 'SUPPLIED_BY'")):
+            assert made.rdd.getNumPartitions() == n and made.count() == made.distinct().count()
