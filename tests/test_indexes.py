@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.operators import scoring
+from tidepool.operators import scoring, text_index
 from tidepool.operators.text_index import TextIndex, candidates, postings, words_of
 from tidepool.operators.vector_index import VectorIndex
 from tidepool.plans import registry
@@ -115,3 +115,37 @@ def test_recall_of_the_query(spark, sf):
     exact = {(r.query_id, r.id) for r in registry.QUERIES["cosine_topk"](spark, sf).collect()}
     got = {(r.query_id, r.id) for r in registry.QUERIES["ann_topk"](spark, sf).collect()}
     assert len(got & exact) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"PART": 3, "BLOCK": 2, "SCORES": 4}])
+def test_postings_meet_queries_in_cells(spark, tmp_path, monkeypatch, sizes):
+    """A posting is shuffled once for a block of queries, not for each query with its word, and no hit is shuffled; with k a cell gives few rows."""
+    for name, n in sizes.items():
+        monkeypatch.setattr(text_index, name, n)
+    rows = TEXTS + [(2, "blue fox"), (None, "fish lost red"), (9, "red lost"), (10, "red lost"), (11, "red lost"), (12, "lost red"), (13, "of none")]
+    index = TextIndex(spark, f"file://{tmp_path}/i", 4)
+    texts = spark.createDataFrame(rows, "id long, text string")
+    index.add(texts)
+    asked = {1: "red fish red", 2: "nothing here", 4: "狐狸 FOX", 5: "lost", 6: "red lost", 7: "blue blue fox", None: "fish"}
+    q = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    words = {w for t in asked.values() for w in words_of(t)}
+    one = Counter()
+    for question, t in asked.items():
+        mean = sum(len(words_of(x or "")) for _, x in rows) / len(rows)
+        for w, times in Counter(words_of(t)).items():
+            df = sum(w in words_of(x or "") for _, x in rows)
+            for i, x in rows:
+                if tf := words_of(x or "").count(w):
+                    one[question, i] += times * math.log1p((len(rows) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words_of(x)) / mean))
+    own = {i: set().union(*(words_of(x or "") for j, x in rows if j == i)) for i, _ in rows}
+    assert words and {(r.query_id, r.id) for r in index.having_all(q).collect()} == {(k, i) for k, t in asked.items() for i, w in own.items() if {*words_of(t)} <= w}
+    for found in (index.bm25(q), scoring.bm25(texts, q)):
+        assert {(r.query_id, r.id): r.score for r in found.collect()} == pytest.approx(one)
+    order = lambda r: (r[1] is not None, r[1] or 0)
+    for k in (1, 2, 5):
+        want = {(x, i) for x in asked for i in [i for _, i in sorted(((-round(s, 6), i) for (y, i), s in one.items() if y == x), key=lambda r: (r[0], order(r)))][:k]}
+        for found in (index.bm25(q, k), scoring.bm25(texts, q, k)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Aggregate" not in plan.split("FlatMapCoGroupsInArrow")[0] and {(r.query_id, r.id) for r in scoring.top(found.withColumn("score", F.round("score", 6)), ["query_id"], k).collect()} == want
+    if not sizes:
+        assert index.bm25(q, 1).count() == len({x for x, _ in one})

@@ -5,6 +5,9 @@ nothing is shuffled. The index stores them dealt by word into shards (folders),
 segments: one is whole or isn't there, as a segment counts once Spark's success file of its second table stands.
 Shards and words that aren't asked for are ruled out before a file is opened, or by the statistics in it.
 
+Postings meet queries in cells of a part of the texts and a block of the queries: groups of a cogroup, which Spark deals and shuffles.
+A posting is shuffled once for each block, and what it adds to a query's texts is added within the cell.
+
 Cases: null and empty texts count as texts of length 0; a null id has postings and is a hit without an id; an id that is
 added twice is two texts; a query without words has no hits.
 """
@@ -14,20 +17,27 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import small
+from ..sources.store import small, stored
+from .nearest import places
 
 #: Words as scoring.bm25_tokens() has them: ASCII words in lower case, and pairs of characters of Chinese runs.
 RUN = re.compile(r"[A-Za-z0-9_]+|[一-鿿]+")
 #: Asked words are broadcast up to so many, and named in the scan's filter up to so many.
 MOST_WORDS, NAMED_WORDS = 200_000, 400
 HELD = 1 << 17
+#: Texts, postings and queries of a cell, about; scores or bits held at once; cells of a partition, from so many cells on.
+PART, POSTINGS, BLOCK, SCORES, MOST_DEALT = 8192, 1 << 20, 4096, 1 << 22, 2000
+#: Scores further apart than this are still apart when they are rounded to six digits.
+SLACK = 2e-6
 FIELDS = ["id", "dl", "token", "tf"]
 
 
@@ -125,27 +135,122 @@ class TextIndex:
                 rows = rows.filter(F.col("token").isin([r.token for r in words.collect()]))
         return rows.filter("shard >= 0").join(words, "token").select(*FIELDS)
 
-    def bm25(self, queries: DataFrame) -> DataFrame:
-        """(query_id, id, score) of texts that have a word of a query (query_id, text)."""
+    def bm25(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """(query_id, id, score) of texts that have a word of a query (query_id, text); with k as weighed() cuts them."""
         asked = asked_words(queries)
-        return weighed(self.of(asked.select("token").distinct()), asked, self.statistics())
+        return weighed(self.of(asked.select("token").distinct()), asked, self.statistics(), k=k)
 
     def having_all(self, queries: DataFrame) -> DataFrame:
         """(query_id, id) of texts that have every word of a query."""
         asked = asked_words(queries)
-        n = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-        _, each = small(asked.select("query_id", "token").join(n, "query_id"), MOST_WORDS)
-        return self.of(asked.select("token").distinct()).join(each, "token").groupBy("query_id", "id", "n").agg(F.count_distinct("token").alias("found")).filter("found = n").select("query_id", "id")
-
-
-def weighed(tf: DataFrame, asked: DataFrame, statistics: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25 sums of postings of asked words: (query_id, id, score). How many texts have a word is counted among the postings."""
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    _, terms = small(asked, MOST_WORDS)
-    rows = tf.join(df, "token").join(terms, "token").join(F.broadcast(statistics), F.lit(True))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+        return having_all(self.of(asked.select("token").distinct()), asked)
+
+
+def _cells(tf: DataFrame, postings: int, texts: int, terms: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Postings and the words of queries (query_id, token, ...) in cells: the texts of one id are in one part, the words of a query in one block."""
+    parts = max(1, -(-texts // PART), -(-postings // POSTINGS))
+    blocks = max(1, -(-terms.select("query_id").distinct().count() // BLOCK))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = tf.select("id", "dl", "token", "tf", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_part"), each(blocks).alias("_block"))
+    asked = terms.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_part", each(parts))
+    # cells are work, not bytes, so they aren't left to be put together by their size
+    n = min(MOST_DEALT, parts * blocks)
+    rows, asked = (x.repartition(n, "_part", "_block").groupBy("_part", "_block") for x in (rows, asked))
+    return rows.cogroup(asked).applyInArrow(run, schema)
+
+
+def _coded(left: pa.Table, right: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, int]:
+    """The ids of a cell and each posting's number among them; each posting's word; the queries and each term's number among them; each term's word; how many words there are.
+
+    Words are numbered among those of the queries; a posting of another word has -1."""
+    ids, asked = (x.combine_chunks().dictionary_encode(null_encoding="encode") for x in (left["id"], right["query_id"]))
+    words = right["token"].combine_chunks().dictionary_encode()
+    of = pc.fill_null(pc.index_in(left["token"].combine_chunks(), value_set=words.dictionary), -1)
+    return ids.dictionary, ids.indices.to_numpy(), of.to_numpy(), asked.dictionary, asked.indices.to_numpy(), words.indices.to_numpy(), len(words.dictionary)
+
+
+def _found(schema: str, ids: pa.Array, asked: pa.Array, r: np.ndarray, q: np.ndarray, *more: np.ndarray) -> pa.Table:
+    return pa.Table.from_arrays([asked.take(pa.array(q, pa.int64())), ids.take(pa.array(r, pa.int64())), *map(pa.array, more)], [x.split()[0] for x in schema.split(", ")])
+
+
+def _schema(tf: DataFrame, asked: DataFrame) -> str:
+    return f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {tf.schema['id'].dataType.simpleString()}"
+
+
+def having_all(tf: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id) of ids whose postings (of asked words) have every word of a query (query_id, token): a word's texts are bits, which are and-ed."""
+    schema = _schema(tf, asked)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, at, word, queries, query, term, words = _coded(left, right)
+        # the last row is that of a word that no text has
+        bits = np.zeros((words + 1, -(-len(ids) // 8)), np.uint8)
+        on = word >= 0
+        np.bitwise_or.at(bits, (word[on], at[on] >> 3), (128 >> (at[on] & 7)).astype(np.uint8))
+        order = np.argsort(query, kind="stable")
+        first = np.searchsorted(query[order], np.arange(len(queries) + 1))
+        r, q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, SCORES // max(1, len(ids)))
+        for a in range(0, len(queries), step) if len(ids) else ():
+            b = min(len(queries), a + step)
+            all_of = np.bitwise_and.reduceat(bits[term[order[first[a] : first[b]]]], first[a:b] - first[a], axis=0)
+            i, j = np.nonzero(np.unpackbits(all_of, axis=1, count=len(ids)))
+            r.append(j)
+            q.append(i + a)
+        return _found(schema, ids, queries, np.concatenate(r), np.concatenate(q))
+
+    size = tf.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("id").alias("texts")).first()
+    return _cells(tf, size.n, size.texts, asked.select("query_id", "token").distinct(), run, schema)
+
+
+def weighed(tf: DataFrame, asked: DataFrame, statistics: DataFrame, k1: float = 1.5, b: float = 0.75, k: int | None = None) -> DataFrame:
+    """BM25 sums of postings of asked words: (query_id, id, score). How many texts have a word is counted among the postings.
+
+    With k only what could be among a query's k best comes out of a cell, whether scores are rounded to six digits or not (and of equal scores the k smallest ids)."""
+    df = stored(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "word-counts")
+    of, size = statistics.first(), df.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()
+    n, mean = of.n or 0, of.avgdl
+    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = asked.join(df, "token").select("query_id", "token", (F.col("times") * idf).alias("weight"))
+    schema = _schema(tf, asked) + ", score double"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, at, word, queries, query, term, words = _coded(left, right)
+        tf, dl, weight = left["tf"].to_numpy(), left["dl"].to_numpy(), right["weight"].to_numpy()
+        by_word, by_term = np.argsort(word, kind="stable"), np.lexsort((query, term))
+        from_word, from_term = (np.searchsorted(x, np.arange(words + 1)) for x in (word[by_word], term[by_term]))
+        rank = places(ids)
+        found = []
+        step = max(1, SCORES // max(1, len(ids)))
+        for a in range(0, len(queries), step) if len(ids) else ():
+            scores = np.zeros((len(ids), min(step, len(queries) - a)))
+            for w in range(words):
+                p, t = by_word[from_word[w] : from_word[w + 1]], by_term[from_term[w] : from_term[w + 1]]
+                t = t[(query[t] >= a) & (query[t] < a + step)]
+                if not len(p) or not len(t):
+                    continue
+                part = weight[t] * tf[p][:, None] * (k1 + 1) / (tf[p] + k1 * (1 - b + b * dl[p] / mean))[:, None]
+                cell = np.ix_(at[p], query[t] - a)
+                if len(np.unique(at[p])) == len(p):
+                    scores[cell] += part
+                else:  # texts that share an id
+                    np.add.at(scores, cell, part)
+            hit = scores > 0
+            if k is not None and len(ids) > k:
+                hit &= scores >= np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] - SLACK
+            r, q = np.nonzero(hit)
+            s = scores[r, q]
+            if k is not None and len(r):
+                order = np.lexsort((rank[r], -s, q))
+                r, q, s = r[order], q[order], s[order]
+                first = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (s[1:] != s[:-1])])
+                on = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)])) < k
+                r, q, s = r[on], q[on], s[on]
+            found.append((r, q + a, s))
+        r, q, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return _found(schema, ids, queries, r, q, s)
+
+    return _cells(tf, size.n, n, terms, run, schema)
 
 
 #: What a hit in a text of each branch counts.

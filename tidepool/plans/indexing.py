@@ -24,7 +24,7 @@ def posting_topk(spark: SparkSession, d: str) -> DataFrame:
     index.add(docs.filter("id % 2 = 0"))
     index.add(docs.filter("id % 2 <> 0"))
     q = S.parquet(spark, d, "benchmark").withColumnRenamed("item_id", "query_id")
-    return O.top(index.bm25(q).withColumn("score", F.round("score", 6)), ["query_id"], 10).select("query_id", "id", "score", "rank")
+    return O.top(index.bm25(q, 10).withColumn("score", F.round("score", 6)), ["query_id"], 10).select("query_id", "id", "score", "rank")
 
 
 TOK = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+'), lambda x: lower(x))"
