@@ -5,9 +5,9 @@ from itertools import combinations
 import duckdb
 from pyspark.sql import functions as F
 
-from tidepool.operators import graph
+from tidepool.operators import graph, maintain
 from tidepool.plans import registry
-from tidepool.sources import tables
+from tidepool.sources import store, tables
 
 
 def test_shared_events_in_blocks(spark):
@@ -50,3 +50,31 @@ def test_lines_have_partitions_by_their_count(spark, sf, monkeypatch):
         monkeypatch.setattr(tables, "ROWS", size)
         for made in (tables.involves(spark, sf), tables.edges(spark, sf).filter("rel_type = 'SUPPLIED_BY'")):
             assert made.rdd.getNumPartitions() == n and made.count() == made.distinct().count()
+
+
+def test_purge_stores_edges_once(spark, monkeypatch):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(6)]
+    pairs = chain + [(f"k{i % 3}", f"k{(i + 1) % 3}") for i in range(300)] + [("c3", "z"), ("k0", "z"), ("c2", "c2"), ("x", "c5"), ("c4", "w"), ("c4", "w"), ("u", "u"), (None, "c9"), ("c0", "y"), ("y", "c0")]
+    ids = sorted({x for p in pairs for x in p if x and x != "x"} | {"lone"})
+    nodes = spark.createDataFrame([(i, "Region" if i == "y" else "Entity") for i in ids], "id string, label string")
+    edges = spark.createDataFrame([(a, b, "R") for a, b in pairs], "src_id string, dst_id string, rel_type string")
+    for directed, doomed in ((True, ["c0"]), (False, ["c2", "y"]), (True, ["c2", "c4", "none"]), (True, [])):
+        rows = []
+
+        def counted(df, name, rows=rows):
+            out = store.stored(df, name)
+            rows.append(out.count())
+            return out
+
+        monkeypatch.setattr(maintain, "stored", counted)
+        want, gone, left = {(i, 0) for i in doomed if i in ids}, {*doomed}, pairs
+        for n in range(1, 20):
+            cut = {b for a, b in left if a in gone} | (set() if directed else {a for a, b in left if b in gone})
+            left = [(a, b) for a, b in left if a not in gone and b not in gone]
+            held = {b for _, b in left} | (set() if directed else {a for a, _ in left})
+            new = {i for i in ids if i != "y" and i in cut and i not in held and i not in gone}
+            want, gone = want | {(i, n) for i in new}, gone | new
+        kept, rest, went = maintain.purge(nodes, edges, spark.createDataFrame([(i,) for i in doomed], "id string"), ["Entity"], directed)
+        assert {(r.id, r["round"]) for r in went.collect()} == want and {r.id for r in kept.collect()} == {*ids} - gone
+        assert sorted((r.src_id or "", r.dst_id) for r in rest.collect()) == sorted((a or "", b) for a, b in left)
+        assert sum(x for x in rows if x >= 250) <= len(pairs) * (1 if directed else 2)

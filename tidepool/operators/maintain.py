@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import dropped, stored
+from ..sources.store import dropped, small, stored
+
+#: Ids of a round are broadcast up to so many; rows of a partition of nodes or edges, about.
+FEW, ROWS = 200_000, 500_000
 
 
 def unique(rows: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
@@ -102,29 +105,37 @@ def purge(nodes: DataFrame, edges: DataFrame, doomed: DataFrame, owned: list[str
 
     A node of an owned label goes as well when the last edge that leads to it went with others: an entity that nothing mentions any more, then a
     place that only it was at, and so on to the fixed point. With directed=False it takes the last of all its edges, in whichever direction. One
-    that had no such edge to begin with stays. Each round joins only edges that
-    touch what went in the round before, and is stored, so the plan doesn't grow; rounds are as many as the longest chain."""
-    went = stored(nodes.join(doomed.select("id").distinct(), "id", "left_semi").select("id", "label", F.lit(0).alias("round")), "purged")
-    every, left = went, edges
+    that had no such edge to begin with stays. Edges are counted once for each end that they hold, with those that have gone; what other ends hold
+    is stored only where these can go themselves. A round joins that with what went in the round before; rounds are as many as the longest chain."""
+    spark = nodes.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-max(nodes.count(), edges.count()) // ROWS))
+    nodes_, doomed_ = nodes.repartition(parts, "id"), doomed.select("id").repartition(parts, "id")
+    went = stored(nodes_.join(doomed_, "id", "left_semi").select("id", "label", F.lit(0).alias("round")), "purged")
+    ends = edges.select(F.col("src_id").alias("holder"), F.col("dst_id").alias("id"))
+    ends = ends if directed else ends.unionByName(edges.select(F.col("dst_id").alias("holder"), F.col("src_id").alias("id")))
+    own = nodes.filter(F.col("label").isin(*owned))
+    fate = own.select(F.col("id").alias("holder"), F.lit(False).alias("gone")).unionByName(went.select(F.col("id").alias("holder"), F.lit(True).alias("gone")))
+    fate = fate.repartition(parts, "holder").groupBy("holder").agg(F.max("gone").alias("gone"))
+    held = ends.repartition(parts, "holder").join(fate, "holder", "left").select(F.when(~F.col("gone"), F.col("holder")).alias("holder"), "id", F.coalesce("gone", F.lit(False)).alias("gone"))
+    held = stored(held, "edges-held")
+    counts = held.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if("gone").alias("lost"))
+    state = stored(own.repartition(parts, "id").join(went.select("id").repartition(parts, "id"), "id", "left_anti").join(counts, "id").select("id", "label", "n", "lost"), "edges-lost")
+    every, made = went, []
     for n in range(1, rounds + 1):
-        last = went.select("id")
-        cut = left.join(last.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct()
-        if not directed:
-            cut = cut.union(left.join(last.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi").select(F.col("src_id").alias("id"))).distinct()
-        before = left
-        left = stored(left.join(last.withColumnRenamed("id", "src_id"), "src_id", "left_anti").join(last.withColumnRenamed("id", "dst_id"), "dst_id", "left_anti").select(*edges.columns), "edges-left")
-        held = left.select(F.col("dst_id").alias("id"))
-        held = held if directed else held.union(left.select(F.col("src_id").alias("id")))
-        alone = nodes.filter(F.col("label").isin(*owned)).join(cut, "id", "left_semi").join(held, "id", "left_anti").join(every.select("id"), "id", "left_anti")
-        went = stored(alone.select("id", "label", F.lit(n).alias("round")), "purged")
-        if n > 1:
-            dropped(before)
+        went = stored(state.filter("lost = n").select("id", "label", F.lit(n).alias("round")), "purged")
         if went.isEmpty():
             break
         every = every.unionByName(went)
+        _, last = small(went.select(F.col("id").alias("holder")).distinct(), FEW)
+        more = held.filter("holder IS NOT NULL").join(last, "holder", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("more"))
+        made.append(state)
+        state = stored(state.filter("lost < n").join(more, "id", "left").select("id", "label", "n", (F.col("lost") + F.coalesce("more", F.lit(0))).alias("lost")), "edges-lost")
     else:
         raise RuntimeError(f"there are still orphans after {rounds} rounds")
-    return nodes.join(every.select("id"), "id", "left_anti"), left, every
+    dropped(held, state, *made)
+    gone = every.select("id")
+    left = edges.join(gone.withColumnRenamed("id", "src_id"), "src_id", "left_anti").join(gone.withColumnRenamed("id", "dst_id"), "dst_id", "left_anti").select(*edges.columns)
+    return nodes.join(gone, "id", "left_anti"), left, every
 
 
 def history(audit: DataFrame) -> DataFrame:

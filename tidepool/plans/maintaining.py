@@ -109,7 +109,7 @@ def purge_cascade(spark: SparkSession, d: str) -> DataFrame:
     line = S.parquet(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey")
     nodes = o.select(at("o", "o_orderkey").alias("id"), F.lit("Event").alias("label")).unionByName(S.parquet(spark, d, "part", "p_partkey").select(at("p", "p_partkey").alias("id"), F.lit("Entity").alias("label")))
     nodes = nodes.unionByName(S.parquet(spark, d, "supplier", "s_suppkey").select(at("s", "s_suppkey").alias("id"), F.lit("Place").alias("label")))
-    edges = line.select(at("o", "l_orderkey").alias("src_id"), at("p", "l_partkey").alias("dst_id"), F.lit("INVOLVES").alias("rel_type")).union(line.select(at("p", "l_partkey"), at("s", "l_suppkey"), F.lit("SUPPLIED_BY"))).distinct()
+    edges = line.select(at("o", "l_orderkey").alias("src_id"), at("p", "l_partkey").alias("dst_id"), F.lit("INVOLVES").alias("rel_type")).union(line.select(at("p", "l_partkey"), at("s", "l_suppkey"), F.lit("SUPPLIED_BY")))
     _, _, went = O.purge(nodes, edges, o.filter("o_custkey % 5 < 4").select(at("o", "o_orderkey").alias("id")), ["Entity", "Place"])
     return went.groupBy("label", "round").agg(F.count(F.lit(1)).alias("n"))
 
