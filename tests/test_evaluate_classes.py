@@ -32,3 +32,7 @@ def test_measures_make_no_pairs_of_a_class(spark, tmp_path):
     assert not isinstance(made[1], type(made[0]))
     got = evaluating.leaderboard(spark, str(tmp_path))
     assert sorted(round(r.recall * 2999) for r in got.collect()) == [1, 5, 20]
+
+
+def test_leaderboard_searches_once(spark, sf):
+    assert "CoGroup" not in evaluating.leaderboard(spark, sf)._jdf.queryExecution().toString()
