@@ -11,6 +11,7 @@ from tidepool.operators import scoring, text_index
 from tidepool.operators.text_index import TextIndex, candidates, postings, words_of
 from tidepool.operators.vector_index import VectorIndex
 from tidepool.plans import registry
+from tidepool.sources.store import new_path
 
 TEXTS = [(1, "Red fish, blue fish"), (2, "the red_fox 42"), (3, None), (4, ""), (5, "红色的狐狸 fox"), (6, "狐"), (7, "red red red"), (None, "red lost"), (8, "fish " * 5000)]
 
@@ -75,6 +76,30 @@ def test_best_branch_of_an_event_counts(spark, tmp_path):
     assert [(r.event_id, r.score, r.source_id, r.branches) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1.0, "u", "evidence,summary,utterance"), (2, 0.8, None, "utterance")]
 
 
+def test_candidates_in_cells_are_those_of_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = [(f"{e}-{t}", e if e % 13 else None, t if t % 3 else None, ["summary", "utterance", "evidence"][min(t, 2)], " ".join(rng.choice(vocabulary, rng.integers(0, 12), p=np.arange(40, 0, -1) / 820))) for e in range(300) for t in range(4)]
+    asked = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 4)))) for i in range(200)] + [(900 + i, "w1 W0 w1") for i in range(30)] + [(950, "w0 nowhere")]
+    want = []
+    for q, question in asked:
+        hits: dict = {}
+        for _, e, t, branch, text in rows:
+            if question.split() and {*words_of(question)} <= {*words_of(text)}:
+                hits.setdefault(e, []).append((text_index.BRANCHES[branch], t, branch))
+        best = sorted(((-max(s for s, _, _ in h), 1e9 if e is None else e), e, max(((s, t) for s, t, _ in h if t is not None), default=(0, None))[1], ",".join(sorted({b for _, _, b in h}))) for e, h in hits.items())[:5]
+        want += [(q, e, -s, source, branches, n) for n, ((s, _), e, source, branches) in enumerate(best, 1)]
+    made = {b: TextIndex(spark, new_path(spark, b), 4) for b in text_index.BRANCHES}
+    for b in made:
+        made[b].add(spark.createDataFrame([(i, x) for i, _, _, branch, x in rows if branch == b], "id string, text string"))
+    owners = {b: spark.createDataFrame([(i, e, t) for i, e, t, branch, _ in rows if branch == b], "id string, event_id long, source_id int") for b in made}
+    for sizes in ({}, {"PART": 150, "QUESTIONS": 40, "CHECKED": 50, "FREQUENT": 8}, {"FREQUENT": 1}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(text_index, name, size)
+        got = candidates(made, owners, spark.createDataFrame(asked, "query_id int, text string"), 5)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 300
+
+
 def vectors(spark, n=3000, dim=16, seed=0):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(30, dim))

@@ -167,3 +167,20 @@ def test_bm25_topk_of_every_benchmark_item(spark, tmp_path):
         want += [(q, i, -s, k) for k, (s, i) in enumerate(sorted(scores), 1)]
     found = got(spark, "bm25_topk", str(tmp_path))
     assert [(q, i, k) for q, i, _, k in found] == [(q, i, k) for q, i, _, k in sorted(want)] and [r[2] for r in found] == pytest.approx([r[2] for r in sorted(want)], abs=1e-5)
+
+
+def test_event_candidates_of_every_conversation(spark, tmp_path):
+    said = [(1, 0, "user", "Red fish swim, and more"), (1, 1, "assistant", "swim fish red"), (2, 0, "user", "red FISH swim"), (2, 1, "user", "no"), (50, 0, "user", "blue"), (51, 0, "user", ""), (53, 1, "user", "blue red fish swim"), (None, 0, "user", "blue")]
+    c, t, r, x = zip(*said)
+    pq.write_table(pa.table({"conv_id": pa.array(c, pa.int64()), "turn": pa.array(t, pa.int64()), "role": r, "text": x}), tmp_path / "conversations.parquet")
+    rank = {"summary": 1.0, "utterance": 0.8, "evidence": 0.6}
+    want = []
+    for q, turn, _, text in said:
+        words, hits = {*text.lower().replace(",", "").split()[:3]}, {}
+        for e, n, role, other in said if q is not None and turn == 0 and words else ():
+            if words <= {*other.lower().replace(",", "").split()}:
+                hits.setdefault(e, []).append(("summary" if n == 0 else "utterance" if role == "user" else "evidence", n))
+        best = sorted((-max(rank[b] for b, _ in h), 1e9 if e is None else e, e, max(((rank[b], n) for b, n in h if n % 3), default=(0, None))[1], ",".join(sorted({b for b, _ in h}))) for e, h in hits.items())
+        want += [(q, e, -s, source, branches, n) for n, (s, _, e, source, branches) in enumerate(best, 1)]
+    found = registry.QUERIES["event_candidates"](spark, str(tmp_path)).collect()
+    assert {r[0] for r in want} == {1, 2, 50} and sorted(map(tuple, found), key=repr) == sorted(want, key=repr)

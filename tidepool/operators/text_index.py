@@ -6,7 +6,8 @@ segments: one is whole or isn't there, as a segment counts once Spark's success
 Shards and words that aren't asked for are ruled out before a file is opened, or by the statistics in it.
 
 Postings meet queries in cells of a part of the texts and a block of the queries: groups of a cogroup, which Spark deals and shuffles.
-A posting is shuffled once for each block, and what it adds to a query's texts is added within the cell.
+A posting is shuffled once for each block, and what it adds to a query's texts is added within the cell. Events are found
+in cells as well, of whole events, and a cell gives the best of each question only.
 
 Cases: null and empty texts count as texts of length 0; a null id has postings and is a hit without an id; an id that is
 added twice is two texts; a query without words has no hits.
@@ -36,6 +37,8 @@ MOST_WORDS, NAMED_WORDS = 200_000, 400
 HELD = 1 << 17
 #: Texts, postings and queries of a cell, about; scores or bits held at once; cells of a partition, from so many cells on.
 PART, POSTINGS, BLOCK, SCORES, MOST_DEALT = 8192, 1 << 20, 4096, 1 << 22, 2000
+#: Questions of a cell of events, about; texts looked up at once; a word is frequent if more than this part of a cell's texts have it.
+QUESTIONS, CHECKED, FREQUENT = 1 << 18, 1 << 20, 64
 #: Scores further apart than this are still apart when they are rounded to six digits.
 SLACK = 2e-6
 FIELDS = ["id", "dl", "token", "tf"]
@@ -261,12 +264,112 @@ def candidates(indexes: dict[str, TextIndex], owners: dict[str, DataFrame], quer
     """(query_id, event_id, score, source_id, branches, rank): for each query the k best events with a text that has all its words.
 
     indexes: a branch's texts; owners (id, event_id, source_id): whose text it is. The best branch of an event counts; its source is that of
-    the best branch that has one."""
-    out = None
-    for branch, index in indexes.items():
-        hit = index.having_all(queries).join(owners[branch], "id").select("query_id", "event_id", "source_id", F.lit(BRANCHES[branch]).alias("score"), F.lit(branch).alias("branch"))
-        out = hit if out is None else out.unionByName(hit)
-    first = F.max_by("source_id", F.when(F.col("source_id").isNotNull(), F.struct("score", "source_id")))
-    each = out.groupBy("query_id", "event_id").agg(F.max("score").alias("score"), first.alias("source_id"), F.array_join(F.sort_array(F.collect_set("branch")), ",").alias("branches"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "event_id")
-    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    the best branch that has one. Queries of the same words are one question. Texts of all branches meet questions in cells of a part of the
+    events, so an event is in one cell, which gives a question's k best; hits are neither shuffled nor stored."""
+    words = F.array_join(F.sort_array(F.collect_set("token")), " ")
+    own = stored(asked_words(queries).groupBy("query_id").agg(words.alias("words")), "query-words")
+    asked = stored(own.select("words").distinct().withColumn("question", F.monotonically_increasing_id()), "questions")
+    terms = asked.select(F.explode(F.split("words", " ")).alias("token")).distinct()
+    rows, size, total = None, 0, 0.0
+    for n, (branch, index) in enumerate(indexes.items()):
+        of = index.statistics().first()
+        size, total = size + (of.n or 0), total + (of.n or 0) * (of.avgdl or 0)
+        texts = index.of(terms).groupBy("id").agg(F.collect_set("token").alias("words"))
+        texts = texts.join(owners[branch].select("id", "event_id", "source_id").distinct(), "id").select("event_id", "source_id", F.lit(n).alias("branch"), "words")
+        rows = texts if rows is None else rows.unionByName(texts)
+    parts, blocks = max(1, -(-size // PART), -(-int(total) // POSTINGS)), max(1, -(-asked.count() // QUESTIONS))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("event_id"), F.lit(parts)).cast("int")).withColumn("_block", each(blocks))
+    asked_ = asked.withColumn("_block", F.pmod(F.xxhash64("question"), F.lit(blocks)).cast("int")).withColumn("_part", each(parts))
+    # cells are work, not bytes, so they aren't left to be put together by their size
+    left, right = (x.repartition(min(MOST_DEALT, parts * blocks), "_part", "_block").groupBy("_part", "_block") for x in (rows, asked_))
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("event_id", "source_id")]
+    schema = f"question long, event_id {kinds[0]}, source_id {kinds[1]}, score double, branches string"
+    best = left.cogroup(right).applyInArrow(_best_events([*indexes], k), schema)
+    order = Window.partitionBy("question").orderBy(F.desc("score"), F.asc_nulls_last("event_id"))
+    best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return own.join(asked, "words").select("query_id", "question").join(best, "question").select("query_id", "event_id", "score", "source_id", "branches", "rank")
+
+
+def _best_events(branches: list[str], k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a cell of texts (event_id, source_id, branch, words: a list) and questions (question, words: joined) its k best events of each question."""
+    scores = np.array([BRANCHES[b] for b in branches])
+    level = np.unique(scores, return_inverse=True)[1]
+
+    def coded(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+        """Values in their order, nulls last, and each row's place among them."""
+        of = column.combine_chunks().dictionary_encode(null_encoding="encode")
+        place = pc.rank(of.dictionary, null_placement="at_end", tiebreaker="first").to_numpy().astype(np.int64) - 1
+        return of.dictionary.take(pa.array(np.argsort(place))), place[of.indices.to_numpy()]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, asked = left["words"].combine_chunks(), pc.split_pattern(right["words"].combine_chunks(), " ")
+        n, size = len(texts), asked.value_lengths().to_numpy()
+        events, event = coded(left["event_id"])
+        sources, source = coded(left["source_id"])
+        branch = left["branch"].to_numpy()
+        # of a source the best branch counts, then the source itself
+        source = np.where(left["source_id"].is_null().to_numpy(), -1, level[branch] * (len(sources) + 1) + source)
+        words = asked.flatten().dictionary_encode()
+        of = pc.fill_null(pc.index_in(texts.flatten(), value_set=words.dictionary), -1).to_numpy().astype(np.int64)
+        keys = np.sort((of * n + np.repeat(np.arange(n), texts.value_lengths().to_numpy()))[of >= 0])
+        word, text = np.divmod(keys, max(1, n))
+        first = np.searchsorted(word, np.arange(len(words.dictionary) + 1))
+        df = np.diff(first)
+        # a question's words, the rarest first
+        term = words.indices.to_numpy().astype(np.int64)
+        term = term[np.lexsort((df[term], np.repeat(np.arange(len(size)), size)))]
+        start = np.cumsum(size) - size
+        rarest = df[term[start]]
+        frequent = df > n // FREQUENT
+        found: list[tuple] = []
+
+        def add(q: np.ndarray, t: np.ndarray) -> None:
+            """The k best events of questions q, all of whose hits are here."""
+            if not len(q):
+                return
+            group = q * len(events) + event[t]
+            order = np.argsort(group, kind="stable")
+            group, t = group[order], t[order]
+            at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            q, e = np.divmod(group[at], len(events))
+            top, from_, met = np.maximum.reduceat(scores[branch[t]], at), np.maximum.reduceat(source[t], at), np.bitwise_or.reduceat(1 << branch[t], at)
+            order = np.lexsort((e, -top, q))
+            q = q[order]
+            on = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+            on = np.arange(len(q)) - np.repeat(on, np.diff(np.r_[on, len(q)])) < k
+            found.append((q[on], *(x[order][on] for x in (e, from_, top, met))))
+
+        # questions of frequent words only: a word's texts are bits, which are and-ed
+        often = np.flatnonzero(frequent[term[start]])
+        row = np.cumsum(frequent) - 1
+        on = frequent[word]
+        bits = np.zeros((int(frequent.sum()), -(-n // 8)), np.uint8)
+        np.bitwise_or.at(bits, (row[word[on]], text[on] >> 3), (128 >> (text[on] & 7)).astype(np.uint8))
+        step = max(1, CHECKED // max(1, n))
+        for a in range(0, len(often), step):
+            those = often[a : a + step]
+            at = np.cumsum(size[those]) - size[those]
+            own = row[term[np.repeat(start[those] - at, size[those]) + np.arange(size[those].sum())]]
+            i, j = np.nonzero(np.unpackbits(np.bitwise_and.reduceat(bits[own], at, axis=0), axis=1, count=n))
+            add(those[i], j)
+        # others: the texts of the rarest word, which are looked up for the other words
+        seldom = np.flatnonzero(~frequent[term[start]] & (rarest > 0))
+        ends = np.cumsum(rarest[seldom])
+        for those in np.split(seldom, np.flatnonzero(np.diff(ends // CHECKED)) + 1):
+            many = rarest[those]
+            q = np.repeat(those, many)
+            t = text[np.repeat(first[term[start[those]]] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            for slot in range(1, int(size[those].max(initial=0))):
+                more = size[q] > slot
+                want = term[start[q[more]] + slot] * n + t[more]
+                ok = ~more
+                ok[more] = keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want
+                q, t = q[ok], t[ok]
+            add(q, t)
+        q, e, s, top, met = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        names = {m: ",".join(sorted(b for i, b in enumerate(branches) if m >> i & 1)) for m in np.unique(met).tolist()}
+        of_source = pa.array(np.where(s < 0, 0, s % (len(sources) + 1)), pa.int64(), mask=s < 0)
+        return pa.Table.from_arrays([right["question"].take(pa.array(q)), events.take(pa.array(e)), sources.take(of_source), pa.array(top), pa.array([names[m] for m in met.tolist()], pa.string())], ["question", "event_id", "source_id", "score", "branches"])
+
+    return run
