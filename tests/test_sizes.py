@@ -3,9 +3,12 @@
 from itertools import combinations
 
 import duckdb
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
-from tidepool.operators import graph, maintain
+from tidepool.operators import graph, intervals, maintain
 from tidepool.plans import registry
 from tidepool.sources import store, tables
 
@@ -78,3 +81,38 @@ def test_purge_stores_edges_once(spark, monkeypatch):
         assert {(r.id, r["round"]) for r in went.collect()} == want and {r.id for r in kept.collect()} == {*ids} - gone
         assert sorted((r.src_id or "", r.dst_id) for r in rest.collect()) == sorted((a or "", b) for a, b in left)
         assert sum(x for x in rows if x >= 250) <= len(pairs) * (1 if directed else 2)
+
+
+def test_overlap_pairs_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    at = np.round(np.r_[rng.uniform(0, 40, 60), rng.uniform(20, 21, 60), np.repeat(25.0, 8)], 1).tolist()
+    rows = [(i, int(rng.integers(0, 9)), s, s + n) for i, (s, n) in enumerate(zip(at, [*np.round(rng.exponential(4, 125), 1).tolist(), 0.0, -3.0, 0.0]))]
+    rows += [(900, None, 20.0, 30.0), (901, 3, None, 30.0), (902, 3, 20.0, None), rows[5], rows[70]]
+    full = [r for r in rows if None not in r]
+    want = sorted((x[0], y[0], min(x[3], y[3]) - max(x[2], y[2])) for x in full for y in full if x[1] < y[1] and x[2] < y[3] and y[2] < x[3])
+    t = spark.createDataFrame(rows, "id long, key int, start double, end double")
+    for sizes, width in (({}, 5.0), ({"PIECE": 300, "DEALT": 100, "MADE": 7}, 5.0), ({"MOST_PIECED": 0}, 2.5)):
+        for name, size in sizes.items():
+            monkeypatch.setattr(intervals, name, size)
+        got = sorted(map(tuple, intervals.overlap_pairs(t, width).collect()))
+        assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
+    words = t.select(F.concat(F.lit("e"), "id").alias("id"), F.col("key").cast("string"), "start", "end")
+    assert sorted((r.a, r.b) for r in intervals.overlap_pairs(words, 5.0).collect()) == sorted((f"e{a}", f"e{b}") for a, b, _ in want)
+    assert not intervals.overlap_pairs(t.limit(0), 5.0).collect()
+
+
+def test_overlap_pairs_are_small_in_files(spark, tmp_path):
+    # every row overlaps a few hundred others, as where many users act at a time
+    rng = np.random.default_rng(5)
+    rows = [(10**6 + i, int(u), float(s), float(s + n)) for i, (u, s, n) in enumerate(zip(rng.permutation(3000), rng.uniform(0, 1200, 3000), np.round(rng.exponential(50, 3000), 2)))]
+    d = str(tmp_path / "t")
+    spark.createDataFrame(rows, "event_id long, user_id long, s double, value double").select("event_id", (F.timestamp_micros((F.lit(1704067200) + F.col("s")).cast("long") * 1000000)).cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), (F.col("value") - F.col("s")).alias("value"), F.lit("{}").alias("props")).write.parquet(f"{d}/events.parquet")
+    out = registry.QUERIES["interval_overlap_pairs"](spark, d)
+    out.write.parquet(str(tmp_path / "out"))
+    columns = {}
+    for f in (tmp_path / "out").glob("*.parquet"):
+        m = pq.ParquetFile(f).metadata
+        for g in range(m.num_row_groups):
+            for c in map(m.row_group(g).column, range(2)):
+                columns[c.path_in_schema] = columns.get(c.path_in_schema, 0) + c.total_compressed_size
+    assert out.count() > 200_000 and sum(columns.values()) < 1.3 * out.count()
