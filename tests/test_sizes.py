@@ -116,3 +116,25 @@ def test_overlap_pairs_are_small_in_files(spark, tmp_path):
             for c in map(m.row_group(g).column, range(2)):
                 columns[c.path_in_schema] = columns.get(c.path_in_schema, 0) + c.total_compressed_size
     assert out.count() > 200_000 and sum(columns.values()) < 1.3 * out.count()
+
+
+def test_shared_events_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = {f"n{i}": {int(e) for e in rng.integers(0, 40, rng.integers(1, 12))} for i in range(90)}
+    sets |= {f"m{i}": sets["n3"] for i in range(40)}
+    i = spark.createDataFrame([(e, p) for p, own in sets.items() for e in own], "event_id int, entity_id string").repartition(5)
+    want = sorted((a, b, len(sets[a] & sets[b])) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 2)
+    monkeypatch.setattr(graph, "WIDE", 4)
+    monkeypatch.setattr(graph, "COUNTED", 20)
+    for block in (200, 30):
+        assert sorted(map(tuple, graph.shared_events(i, 2, block).collect())) == want
+
+
+def test_shared_events_are_small_in_files(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    sets = [np.flatnonzero(rng.random(200) < 0.2).tolist() for _ in range(24)]
+    rows = [(e, p) for p in range(2400) for e in sets[p % 24]]
+    out = graph.shared_events(spark.createDataFrame(rows, "event_id int, entity_id long"), 3)
+    out.write.parquet(str(tmp_path / "out"))
+    pairs = spark.read.parquet(str(tmp_path / "out")).count()
+    assert pairs > 2_000_000 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.7 * pairs
